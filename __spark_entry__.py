@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regemb.operators import embed, encode, stats as st
+import numpy as np
+
+from regemb.operators import distances, embed, encode, rff, stats as st
 from regemb.plans import sqltext as S
 from regemb.plans.standin import STANDIN, person
 
@@ -118,6 +120,45 @@ def q_weighted_sample(spark, sf_dir):
     return st.weighted_sample(o, "w", 500, key="o_orderkey").select("o_orderkey", "w")
 
 
+# fixed test frequencies: 64 rows (positions) x 4 frequencies, bandwidth 2
+FREQS = rff.gaussian_freqs(64, 4, bandwidth=2.0, seed=7)
+ONE = rff.gaussian_freqs(1, 4, bandwidth=1.0, seed=11)
+PAIR = rff.orthogonal_freqs(2, 4, bandwidth=1.5, seed=13)
+
+
+def q_rff_embedding(spark, sf_dir):
+    """A10 (+M4 given frequencies): RFF mean embedding over all features."""
+    p, s = _stats(spark, sf_dir)
+    return _r(rff.rff_embedding(p, s, freqs=FREQS).values, "value")
+
+
+def q_rff_one_real(spark, sf_dir):
+    """RFF of one standardised real."""
+    p, s = _stats(spark, sf_dir)
+    return _r(rff.real_rff_embedding(p, s, ["l_extendedprice"], ONE).values, "value")
+
+
+def q_rff_real_pair(spark, sf_dir):
+    """RFF of a pair of reals (orthogonal frequencies, M2)."""
+    p, s = _stats(spark, sf_dir)
+    return _r(rff.real_rff_embedding(p, s, ["l_extendedprice", "l_tax"], PAIR).values, "value")
+
+
+def q_rff_conditional(spark, sf_dir):
+    """RFF of a real conditional on each level of a discrete feature."""
+    p, s = _stats(spark, sf_dir)
+    e = rff.real_rff_embedding(p, s, ["l_extendedprice"], ONE, condition="l_returnflag")
+    return _r(e.values, "value")
+
+
+def q_median_heuristic(spark, sf_dir):
+    """K1 + J11 + A19: exact median pairwise distance of a 5,000-row sample."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("w", F.lit(1.0))
+    samp = st.weighted_sample(e, "w", 5000, key="vec_id")
+    return _r(distances.median_sq_distance_df(spark, samp, "embedding"),
+              "median_sq_dist", "bandwidth")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "linear_embedding": q_linear_embedding,
@@ -132,6 +173,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "thermometer": q_thermometer,
         "interactions": q_interactions,
         "weighted_sample": q_weighted_sample,
+        "rff_embedding": q_rff_embedding,
+        "rff_one_real": q_rff_one_real,
+        "rff_real_pair": q_rff_real_pair,
+        "rff_conditional": q_rff_conditional,
+        "median_heuristic": q_median_heuristic,
     }
 
 
@@ -163,6 +209,18 @@ WITH o AS (SELECT o_orderkey, floor(o_totalprice / 1000) + 1 AS w,
 SELECT o_orderkey, w FROM o
 ORDER BY CASE WHEN w > 0 THEN -ln({hu}) / w ELSE 'inf'::DOUBLE END, o_orderkey
 LIMIT 500""",
+        "rff_embedding": S.rff_sql(FREQS.tolist(), full=True),
+        "rff_one_real": S.rff_sql(ONE.tolist(), ["l_extendedprice"]),
+        "rff_real_pair": S.rff_sql(PAIR.tolist(), ["l_extendedprice", "l_tax"]),
+        "rff_conditional": S.rff_sql(ONE.tolist(), ["l_extendedprice"], condition="l_returnflag"),
+        "median_heuristic": f"""
+WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v,
+                  {S.hash_uniform_sql('vec_id')} AS u FROM embeddings),
+s AS (SELECT vec_id, v FROM e ORDER BY -ln(u) / 1.0, vec_id LIMIT 5000),
+p AS (SELECT list_distance(a.v, b.v) AS d FROM s a JOIN s b ON a.vec_id < b.vec_id)
+SELECT (SELECT count(*) FROM s) AS n_points, count(*) AS n_pairs,
+       round(median(d * d), 6) AS median_sq_dist, round(sqrt(median(d * d)), 6) AS bandwidth
+FROM p""",
     }
 
 

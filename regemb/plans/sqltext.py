@@ -136,3 +136,70 @@ vals AS (SELECT s.*, coalesce(w.weight, 0.0) AS weight FROM sums s
          JOIN wts w ON s.region IS NOT DISTINCT FROM w.region AND s.subset = w.subset
          WHERE s.feature <> '__w__')
 {final}""")
+
+
+def rff_sql(freqs, reals: list[str] | None = None, full: bool = False,
+            condition: str | None = None, spec: MicrodataSpec = STANDIN) -> str:
+    """RFF mean embedding as SQL with literal frequencies.
+
+    ``full``: all encoded features (frequency rows by catalogue position);
+    otherwise the listed reals (frequency row i for real i), optionally per
+    level of ``condition``.
+    """
+    D = len(freqs[0])
+    fcols = ", ".join(f"f{j}" for j in range(D))
+    fr_rows = ", ".join("(" + ", ".join([str(i)] + [repr(float(v)) for v in row]) + ")"
+                        for i, row in enumerate(freqs))
+    w = f"coalesce(CAST({spec.weight} AS DOUBLE), 0.0)"
+    g = level_expr(condition) if condition else "CAST(NULL AS VARCHAR)"
+    if full:
+        skip = set(spec.alloc)
+        rl = [r for r in spec.real if r not in skip]
+        dl = [d for d in spec.discrete_all if d not in skip]
+        feat = " UNION ALL ".join(
+            [f"SELECT rid, c.pos, {z_expr(r)} AS x FROM pr JOIN cat c ON c.feature = {q(r)}"
+             for r in rl]
+            + [f"SELECT rid, c.pos, 1.0 FROM pr JOIN cat c ON c.feature = {q(d)} "
+               f"AND c.level = {level_expr(d)}" for d in dl])
+        cat = catalogue_cte(spec, skip) + ","
+    else:
+        feat = " UNION ALL ".join(f"SELECT rid, {i} AS pos, {z_expr(r)} AS x FROM pr"
+                                  for i, r in enumerate(reals))
+        cat = ""
+    angles = ", ".join(f"sum(x * f{j}) AS a{j}" for j in range(D))
+    aco = ", ".join(f"coalesce(a{j}, 0.0) AS a{j}" for j in range(D))
+    sums = ", ".join([f"sum(w * sin(a{j})) AS s{j}" for j in range(D)]
+                     + [f"sum(w * cos(a{j})) AS c{j}" for j in range(D)])
+    where = "WHERE g IS NOT NULL" if condition else ""
+    if full:
+        prefix, fid = "'rff'", "'rff'"
+    elif condition:
+        ident = "_".join(reals)
+        prefix, fid = f"{q(condition + '_' + ident + '_')} || g", q(f"{condition}_{ident}_rff")
+    else:
+        ident = "_".join(reals)
+        prefix, fid = q(ident), q(ident + "_rff")
+    lvl = "" if full else ", g AS level"
+    outs = []
+    for j in range(2 * D):
+        col = f"s{j}" if j < D else f"c{j - D}"
+        nm = f"sin{j}" if j < D else f"cos{j - D}"
+        outs.append(f"SELECT region, 0 AS subset, {j} AS pos, {prefix} || '_{nm}' AS feature_name, "
+                    f"{fid} AS feature_id, round(CASE WHEN wt = 0 THEN 0.0 ELSE {col} / "
+                    f"(wt * sqrt({D}.0)) END, 6) AS value{lvl} FROM agg")
+    return with_person(f"""
+{stats_ctes(spec)},
+{cat}
+pr AS (SELECT row_number() OVER () AS rid, region, {w} AS w, {g} AS g, * EXCLUDE (region)
+       FROM person),
+fr AS (SELECT * FROM (VALUES {fr_rows}) t(pos, {fcols})),
+feat AS ({feat}),
+ang AS (SELECT rid, {angles} FROM feat JOIN fr USING (pos) GROUP BY rid),
+rowsx AS (SELECT pr.region, pr.g, pr.w, {aco} FROM pr LEFT JOIN ang USING (rid) {where}),
+agg AS (SELECT region, g, sum(w) AS wt, {sums} FROM rowsx GROUP BY region, g)
+{' UNION ALL '.join(outs)}""")
+
+
+def hash_uniform_sql(key: str) -> str:
+    h = f"CAST(('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8)) AS UBIGINT)"
+    return f"(CASE WHEN {h} = 0 THEN pow(2.0, -33) ELSE {h} / 4294967296.0 END)"
