@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 import numpy as np
 
-from regemb.operators import distances, embed, encode, rff, stats as st
+from regemb.operators import clean, distances, embed, encode, regions, rff, rollup, setops
+from regemb.operators import stats as st
 from regemb.plans import sqltext as S
-from regemb.plans.standin import STANDIN, person
+from regemb.plans.standin import (STANDIN, household_rows, person, person_lines, region_lookup,
+                                  superregion_lookup, table)
 
 SF_SMOKE = "/root/testdata/sf0.001"
 
@@ -159,6 +161,169 @@ def q_median_heuristic(spark, sf_dir):
               "median_sq_dist", "bandwidth")
 
 
+def q_batch_merge_embedding(spark, sf_dir):
+    """Embeddings of yearly batches recombined by weight share."""
+    p, s = _stats(spark, sf_dir)
+    pb = p.withColumn("_rb", F.concat_ws("\x1f", "region", F.col("batch").cast("string")))
+    e = embed.linear_embedding(pb, s, region_col="_rb")
+    split = lambda d: (d.withColumn("batch", F.split_part(F.col("region"), F.lit("\x1f"), F.lit(2)))
+                        .withColumn("region", F.split_part(F.col("region"), F.lit("\x1f"), F.lit(1))))
+    m = embed.merge_batches(split(e.values), split(e.weights))
+    return _r(m.values, "value")
+
+
+def q_batch_merge_moments(spark, sf_dir):
+    """A3: real moments of yearly batches recombined."""
+    p = person(spark, sf_dir)
+    b = st.real_moments(p, list(STANDIN.real), by=["batch"])
+    return _r(st.merge_moments(b), "mean", "std")
+
+
+def _lin(spark, sf_dir):
+    p, s = _stats(spark, sf_dir)
+    return p, s, embed.linear_embedding(p, s)
+
+
+def q_superregion_rollup(spark, sf_dir):
+    """A15 + A17 + J7: nation embeddings rolled up to world regions."""
+    _, _, e = _lin(spark, sf_dir)
+    return _r(rollup.superregion_rollup(e, superregion_lookup(spark, sf_dir)).values, "value")
+
+
+def q_superregion_weights(spark, sf_dir):
+    """A15 + A9: rolled-up target weights."""
+    _, _, e = _lin(spark, sf_dir)
+    return _r(rollup.superregion_rollup(e, superregion_lookup(spark, sf_dir)).weights, "weight")
+
+
+def q_state_rollup(spark, sf_dir):
+    """Roll-up to the first two characters of the region name."""
+    _, _, e = _lin(spark, sf_dir)
+    return _r(rollup.state_rollup(e).values, "value")
+
+
+def q_rollup_all(spark, sf_dir):
+    """Linear and RFF embeddings rolled up together."""
+    p, s, e = _lin(spark, sf_dir)
+    r = rff.rff_embedding(p, s, freqs=FREQS)
+    out = rollup.rollup_all([e, r], mapping=superregion_lookup(spark, sf_dir))
+    return _r(out[0].values.withColumn("kind", F.lit("lin")).unionByName(
+        out[1].values.withColumn("kind", F.lit("rff"))), "value")
+
+
+def q_rollup_conditional(spark, sf_dir):
+    """A15 on A13: conditional RFF rolled up by each level's own weight."""
+    p, s = _stats(spark, sf_dir)
+    e = rff.real_rff_embedding(p, s, ["l_extendedprice"], ONE, condition="l_returnflag")
+    return _r(rollup.superregion_rollup(e, superregion_lookup(spark, sf_dir)).values, "value")
+
+
+CLEAN_SPEC = STANDIN.__class__(
+    name="tpch-standin-raw", weight="l_quantity", real=STANDIN.real,
+    discrete=STANDIN.discrete, alloc=STANDIN.alloc, meta=("l_orderkey", "st", "PUMA"),
+    adjust={"adjinc": ("l_extendedprice", "l_tax")}, drops=("l_linestatus",),
+    renames={"l_returnflag": "RFLAG"}, geo_year="10", era_subset=True)
+
+
+def q_clean_chain(spark, sf_dir):
+    """P2 + P3 + P4 + P5 + P6: era filter, voter filter, drop, rename, adjust."""
+    raw = (person(spark, sf_dir, with_region=False)
+           .withColumn("PUMA10", F.when(F.col("l_linenumber") == "7", F.lit(-9))
+                       .otherwise(F.col("st")))
+           .withColumn("PUMA00", F.when(F.col("l_linenumber") == "7", F.col("st"))
+                       .otherwise(F.lit(-9)))
+           .withColumn("AGEP", F.col("l_linenumber").cast("int") * 6)
+           .withColumn("CIT", F.when(F.col("o_orderstatus") == "F", F.lit("5"))
+                       .when(F.col("o_orderstatus") == "P", F.lit("b"))))
+    c = clean.clean(raw, CLEAN_SPEC, voters=True)
+    return _r(c.groupBy("PUMA", "RFLAG").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("wt"),
+        F.sum("l_extendedprice").alias("price_adj"), F.sum("l_tax").alias("tax_adj"),
+        F.max("adjinc_orig").alias("max_factor")), "wt", "price_adj", "tax_adj")
+
+
+def q_household_join(spark, sf_dir):
+    """Persons joined to households; unmatched persons vanish."""
+    j = clean.join_housing(person_lines(spark, sf_dir), household_rows(spark, sf_dir),
+                           key="l_orderkey")
+    return _r(j.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"),
+                                             F.sum("l_quantity").alias("wt")), "wt")
+
+
+def _partial_lookup(spark, sf_dir):
+    # nation 0 left out of the lookup so some places stay unmapped
+    return region_lookup(spark, sf_dir).where(F.col("st") != 0)
+
+
+def q_unmapped_report(spark, sf_dir):
+    """J3 + J6 + K2: places with no region, most common first."""
+    p = person(spark, sf_dir, with_region=False)
+    a = regions.assign_region(p, _partial_lookup(spark, sf_dir), on=["st"])
+    return regions.unmapped_report(a, ["st", "l_linenumber"])
+
+
+def q_mapped_weights(spark, sf_dir):
+    """J3 + J6: unmapped rows leave the region partitions (but not the stats)."""
+    p = person(spark, sf_dir, with_region=False)
+    a = regions.mapped_only(regions.assign_region(p, _partial_lookup(spark, sf_dir), on=["st"]))
+    return _r(embed.region_weights(a, STANDIN.weight), "weight")
+
+
+def _stab(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    return n.select(F.col("n_nationkey").alias("state"),
+                    F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0"))
+                    .alias("stab"))
+
+
+def q_state_regions(spark, sf_dir):
+    """State code -> postal-code region."""
+    p = person(spark, sf_dir, with_region=False).withColumn(
+        "ST", F.lpad(F.col("st").cast("string"), 2, "0"))
+    a = regions.assign_state(p, _stab(spark, sf_dir), st="ST")
+    return _r(embed.region_weights(a, STANDIN.weight), "weight")
+
+
+def q_puma_regions(spark, sf_dir):
+    """``<stab>_<puma>`` regions."""
+    p = person(spark, sf_dir, with_region=False).withColumnRenamed("st", "ST") \
+        .withColumn("PUMA", F.col("l_linenumber").cast("int"))
+    a = regions.assign_puma_region(p, _stab(spark, sf_dir))
+    return _r(embed.region_weights(a, STANDIN.weight), "weight")
+
+
+def q_coverage(spark, sf_dir):
+    """J10 + U5: customer keys without orders / order keys without customers."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
+    cov = regions.coverage(c, o, "k")
+    return (cov["left_only"].withColumn("side", F.lit("customer_only"))
+            .unionByName(cov["right_only"].withColumn("side", F.lit("orders_only"))))
+
+
+def q_set_ops(spark, sf_dir):
+    """U1 + U3 + U4 + U7: union, alias-row augmentation, distinct pairs."""
+    n = table(spark, sf_dir, "nation")
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"),
+                                                F.lit("c").alias("src"))
+    s_ = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
+    u = setops.union_all([c, s_])
+    u = setops.augment_alias_rows(u, F.col("k").isin(1, 2), "k", 77777)
+    pairs = setops.distinct_pairs(
+        u.join(n, u.k == n.n_nationkey, "left").withColumn("src", F.coalesce("src", F.lit("s"))),
+        "k", "src")
+    return pairs
+
+
+def q_set_equal(spark, sf_dir):
+    """Do customers and suppliers cover the same nations?"""
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"))
+    s_ = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("k"))
+    eq = setops.same_sets(c, s_)
+    return (c.distinct().agg(F.count(F.lit(1)).alias("n_customer_nations"))
+            .withColumn("same", F.lit(eq)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "linear_embedding": q_linear_embedding,
@@ -178,6 +343,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "rff_real_pair": q_rff_real_pair,
         "rff_conditional": q_rff_conditional,
         "median_heuristic": q_median_heuristic,
+        "batch_merge_embedding": q_batch_merge_embedding,
+        "batch_merge_moments": q_batch_merge_moments,
+        "superregion_rollup": q_superregion_rollup,
+        "superregion_weights": q_superregion_weights,
+        "state_rollup": q_state_rollup,
+        "rollup_all": q_rollup_all,
+        "rollup_conditional": q_rollup_conditional,
+        "clean_chain": q_clean_chain,
+        "household_join": q_household_join,
+        "unmapped_report": q_unmapped_report,
+        "mapped_weights": q_mapped_weights,
+        "state_regions": q_state_regions,
+        "puma_regions": q_puma_regions,
+        "coverage": q_coverage,
+        "set_ops": q_set_ops,
+        "set_equal": q_set_equal,
     }
 
 
@@ -221,6 +402,62 @@ p AS (SELECT list_distance(a.v, b.v) AS d FROM s a JOIN s b ON a.vec_id < b.vec_
 SELECT (SELECT count(*) FROM s) AS n_points, count(*) AS n_pairs,
        round(median(d * d), 6) AS median_sq_dist, round(sqrt(median(d * d)), 6) AS bandwidth
 FROM p""",
+        "batch_merge_embedding": S.linear_sql(),
+        "batch_merge_moments": stats_only + "\nSELECT feature, cnt, round(mean, 6) AS mean, "
+                                            "round(std, 6) AS std FROM rstats",
+        "superregion_rollup": S.linear_sql(region_expr="r.r_name"),
+        "superregion_weights": S.linear_sql(region_expr="r.r_name", weight_out=True),
+        "state_rollup": S.linear_sql(region_expr="substr(n.n_name, 1, 2)"),
+        "rollup_all": "SELECT *, 'lin' AS kind FROM (" + S.linear_sql(region_expr="r.r_name")
+                      + ") UNION ALL " + "SELECT * FROM ("
+                      + S.rff_sql(FREQS.tolist(), full=True, region_expr="r.r_name", kind="rff")
+                      + ")",
+        "rollup_conditional": S.rff_sql(ONE.tolist(), ["l_extendedprice"], condition="l_returnflag",
+                                        region_expr="r.r_name"),
+        "clean_chain": S.with_person("""
+raw AS (SELECT *, CASE WHEN l_linenumber = '7' THEN -9 ELSE st END AS puma10,
+               CAST(l_linenumber AS INTEGER) * 6 AS agep,
+               CASE o_orderstatus WHEN 'F' THEN '5' WHEN 'P' THEN 'b' END AS cit FROM person)
+SELECT puma10 AS PUMA, l_returnflag AS RFLAG, count(*) AS n, round(sum(l_quantity), 6) AS wt,
+       round(sum(l_extendedprice * adjinc / 1e6), 6) AS price_adj,
+       round(sum(l_tax * adjinc / 1e6), 6) AS tax_adj, max(adjinc) AS max_factor
+FROM raw
+WHERE puma10 IS DISTINCT FROM -9 AND agep >= 18 AND TRY_CAST(cit AS INTEGER) IS DISTINCT FROM 5
+GROUP BY 1, 2"""),
+        "household_join": S.with_person("""
+x AS (SELECT 1)
+SELECT o_orderstatus, count(*) AS n, round(sum(l_quantity), 6) AS wt FROM person GROUP BY 1"""),
+        "unmapped_report": S.with_person("""
+x AS (SELECT 1)
+SELECT st, l_linenumber, count(*) AS count FROM person WHERE st = 0 GROUP BY 1, 2"""),
+        "mapped_weights": S.with_person("""
+x AS (SELECT 1)
+SELECT region, 0 AS subset, round(sum(l_quantity), 6) AS weight FROM person WHERE st <> 0
+GROUP BY 1"""),
+        "state_regions": S.with_person("""
+x AS (SELECT 1)
+SELECT 'N' || lpad(CAST(st AS VARCHAR), 2, '0') AS region, 0 AS subset,
+       round(sum(l_quantity), 6) AS weight FROM person GROUP BY 1""", "n.n_name"),
+        "puma_regions": S.with_person("""
+x AS (SELECT 1)
+SELECT 'N' || lpad(CAST(st AS VARCHAR), 2, '0') || '_' || l_linenumber AS region, 0 AS subset,
+       round(sum(l_quantity), 6) AS weight FROM person GROUP BY 1"""),
+        "coverage": """
+SELECT k, 'customer_only' AS side FROM (SELECT c_custkey AS k FROM customer
+  EXCEPT SELECT o_custkey FROM orders)
+UNION ALL
+SELECT k, 'orders_only' FROM (SELECT o_custkey AS k FROM orders
+  EXCEPT SELECT c_custkey FROM customer)""",
+        "set_ops": """
+WITH u AS (SELECT c_nationkey AS k, 'c' AS src FROM customer
+           UNION ALL SELECT s_nationkey, NULL FROM supplier),
+a AS (SELECT * FROM u UNION ALL SELECT 77777, src FROM u WHERE k IN (1, 2))
+SELECT DISTINCT k, coalesce(src, 's') AS src FROM a""",
+        "set_equal": """
+SELECT (SELECT count(DISTINCT c_nationkey) FROM customer) AS n_customer_nations,
+       NOT EXISTS (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)
+       AND NOT EXISTS (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer)
+       AS same""",
     }
 
 

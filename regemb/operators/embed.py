@@ -108,7 +108,7 @@ def entry_array(stats: Stats, reals: list[str], disc: list[str],
 def _sums(df, stats, entries, region_col, weight, subsets, valueless: list[str]):
     base = with_subsets(df, subsets).select(
         F.col(region_col).alias("region"), "subset",
-        *[F.col(c) for c in df.columns if c not in (region_col, "subset")],
+        *[F.col(c) for c in df.columns if c not in (region_col, "region", "subset")],
         weight_col(weight).alias("_w"))
     ex = base.select("region", "subset", F.inline(entries))
     keep = F.col("level").isNotNull() | F.col("feature").isin(valueless)

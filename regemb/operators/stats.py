@@ -30,7 +30,7 @@ def totals(df: DataFrame, weight: str) -> DataFrame:
                   F.sum(F.col(weight)).alias("wt_total"))
 
 
-def real_moments(df: DataFrame, reals: list[str]) -> DataFrame:
+def real_moments(df: DataFrame, reals: list[str], by: list[str] | None = None) -> DataFrame:
     """A2: per real feature the non-null count, mean and population std.
 
     One global aggregate (partial per task, merged once), then unpivoted to
@@ -45,12 +45,13 @@ def real_moments(df: DataFrame, reals: list[str]) -> DataFrame:
         x = F.col(c).cast("double")
         aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"),
                  F.stddev_pop(x).alias(f"s{i}")]
-    wide = df.agg(*aggs)
+    by = by or []
+    wide = df.groupBy(*by).agg(*aggs)
     entries = F.array(*[
         F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("cnt"),
                  F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"))
         for i, c in enumerate(reals)])
-    return wide.select(F.inline(entries))
+    return wide.select(*by, F.inline(entries))
 
 
 def level_entries(columns: list[str]) -> Column:

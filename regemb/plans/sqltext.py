@@ -7,7 +7,7 @@ same spec so both sides agree on feature order and names.
 
 from __future__ import annotations
 
-from regemb.plans.standin import PERSON_SQL, STANDIN
+from regemb.plans.standin import STANDIN, person_sql
 from regemb.spec import MicrodataSpec
 
 
@@ -72,15 +72,16 @@ def level_expr(d: str) -> str:
             f"WHERE feature = {q(d)}) THEN 'nan' END)")
 
 
-def with_person(body_ctes: str) -> str:
-    return "WITH " + PERSON_SQL.strip() + ",\n" + body_ctes.strip().lstrip(",")
+def with_person(body_ctes: str, region_expr: str = "n.n_name") -> str:
+    return "WITH " + person_sql(region_expr).strip() + ",\n" + body_ctes.strip().lstrip(",")
 
 
 def linear_sql(spec: MicrodataSpec = STANDIN, subsets: list[str] | None = None,
                skip: set[str] | None = None, ordered: dict[str, list[str]] | None = None,
                pairs: list[tuple[str, str]] | None = None, reals_on: bool = True,
                disc_on: bool = True, weight_out: bool = False,
-               only_features: list[str] | None = None) -> str:
+               only_features: list[str] | None = None,
+               region_expr: str = "n.n_name") -> str:
     """Linear embedding (or interaction shares) per region/subset as SQL."""
     skip = set(spec.alloc) if skip is None else skip
     ordered = ordered or {}
@@ -135,11 +136,12 @@ wts AS (SELECT region, subset, s AS weight FROM sums WHERE feature = '__w__'),
 vals AS (SELECT s.*, coalesce(w.weight, 0.0) AS weight FROM sums s
          JOIN wts w ON s.region IS NOT DISTINCT FROM w.region AND s.subset = w.subset
          WHERE s.feature <> '__w__')
-{final}""")
+{final}""", region_expr)
 
 
 def rff_sql(freqs, reals: list[str] | None = None, full: bool = False,
-            condition: str | None = None, spec: MicrodataSpec = STANDIN) -> str:
+            condition: str | None = None, spec: MicrodataSpec = STANDIN,
+            region_expr: str = "n.n_name", kind: str | None = None) -> str:
     """RFF mean embedding as SQL with literal frequencies.
 
     ``full``: all encoded features (frequency rows by catalogue position);
@@ -180,6 +182,8 @@ def rff_sql(freqs, reals: list[str] | None = None, full: bool = False,
         ident = "_".join(reals)
         prefix, fid = q(ident), q(ident + "_rff")
     lvl = "" if full else ", g AS level"
+    if kind:
+        lvl += f", {q(kind)} AS kind"
     outs = []
     for j in range(2 * D):
         col = f"s{j}" if j < D else f"c{j - D}"
@@ -197,7 +201,7 @@ feat AS ({feat}),
 ang AS (SELECT rid, {angles} FROM feat JOIN fr USING (pos) GROUP BY rid),
 rowsx AS (SELECT pr.region, pr.g, pr.w, {aco} FROM pr LEFT JOIN ang USING (rid) {where}),
 agg AS (SELECT region, g, sum(w) AS wt, {sums} FROM rowsx GROUP BY region, g)
-{' UNION ALL '.join(outs)}""")
+{' UNION ALL '.join(outs)}""", region_expr)
 
 
 def hash_uniform_sql(key: str) -> str:

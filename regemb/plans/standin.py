@@ -66,7 +66,8 @@ def household_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.col("c_nationkey").alias("st"),
                      "o_orderstatus",
                      (F.lit(1000000) + F.lit(10000) * (F.lit(2001) - F.year("o_orderdate")))
-                     .alias("adjinc")))
+                     .alias("adjinc"),
+                     F.year("o_orderdate").alias("batch")))
 
 
 def region_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +93,9 @@ def person(spark: SparkSession, sf_dir: str, with_region: bool = True) -> DataFr
     return df
 
 
-# DuckDB/ANSI text of the same view, for oracle queries.
-PERSON_SQL = """
+def person_sql(region_expr: str = "n.n_name") -> str:
+    """DuckDB/ANSI text of the same view (a ``person`` CTE), for oracles."""
+    return f"""
 person AS (
   SELECT l.l_orderkey, l.l_quantity, l.l_extendedprice,
          nullif(l.l_discount, 0.0) AS l_discount, l.l_tax,
@@ -101,9 +103,14 @@ person AS (
          CAST(l.l_linenumber AS VARCHAR) AS l_linenumber,
          c.c_nationkey AS st, o.o_orderstatus,
          1000000 + 10000 * (2001 - year(o.o_orderdate)) AS adjinc,
-         n.n_name AS region
+         year(o.o_orderdate) AS batch,
+         {region_expr} AS region
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
   LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+  LEFT JOIN region r ON n.n_regionkey = r.r_regionkey
 )"""
+
+
+PERSON_SQL = person_sql()
