@@ -27,8 +27,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regemb.operators.encode import catalogue, level_of, standardize
-from regemb.operators.regions import bounded_broadcast
+from regemb.operators.encode import catalogue, feature_count, level_of, standardize
+from regemb.operators.regions import BROADCAST_MAX_ROWS
 from regemb.operators.stats import NAN_LEVEL, Stats
 from regemb.spec import skip_features
 
@@ -72,9 +72,7 @@ def _entry(feature: str | Column, level: Column | None, val: Column) -> Column:
 
 
 def ordered_levels(stats: Stats, feature: str) -> list[str]:
-    rows = (stats.value_counts.where(F.col("feature") == feature)
-            .select("level").orderBy("level").collect())
-    return [r[0] for r in rows]
+    return stats.levels().get(feature, [])
 
 
 def entry_array(stats: Stats, reals: list[str], disc: list[str],
@@ -149,7 +147,9 @@ def linear_embedding(df: DataFrame, stats: Stats, region_col: str = "region",
     entries = entry_array(stats, reals, disc, ordered)
     sums = _sums(df, stats, entries, region_col, weight, subsets, [WEIGHT_KEY] + reals)
     vals, weights = _normalise(sums)
-    cat = bounded_broadcast(catalogue(stats, skip))
+    cat = catalogue(stats, skip)  # built from collected metadata; its length is known
+    if feature_count(stats, skip) <= BROADCAST_MAX_ROWS:
+        cat = F.broadcast(cat)
     out = (vals.join(cat, (vals.feature == cat.feature) & vals.level.eqNullSafe(cat.level))
                .select("region", "subset", "pos", "feature_name", "feature_id", "value"))
     return Embedding(out, weights, "lin")

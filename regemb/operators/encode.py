@@ -33,14 +33,45 @@ def level_of(col: str, with_nan: bool) -> Column:
     return F.coalesce(lv, F.lit(NAN_LEVEL)) if with_nan else lv
 
 
+def catalogue_rows(stats: Stats, skip: set[str] | None = None) -> list[tuple]:
+    """F4/W4/W3 on the driver: ``(pos, feature_name, feature_id, feature, level, keep)``.
+
+    Reals first in spec order, then each discrete feature in spec order with
+    its levels sorted and ``nan`` last; ``keep`` is false on the first level
+    of every feature with more than one column (F7).  The level list is
+    metadata collected once by ``Stats.materialize``.
+    """
+    skip = skip or set()
+    spec = stats.spec
+    reals = [r for r in spec.real if r not in skip]
+    disc = [d for d in spec.discrete_all if d not in skip]
+    nn = stats.needs_nan()
+    levels = stats.levels()
+    rows = [(i, r, r, r, None, True) for i, r in enumerate(reals)]
+    pos = len(reals)
+    for d in disc:
+        lv = list(levels.get(d, [])) + ([NAN_LEVEL] if nn.get(d) else [])
+        for k, v in enumerate(lv):
+            rows.append((pos, f"{d}_{v}", d, d, v, not (k == 0 and len(lv) > 1)))
+            pos += 1
+    return rows
+
+
+CATALOGUE_SCHEMA = ("pos int, feature_name string, feature_id string, feature string, "
+                    "level string, keep boolean")
+
+
 def catalogue(stats: Stats, skip: set[str] | None = None) -> DataFrame:
-    """``(pos, feature_name, feature_id, feature, level, keep)``.
+    """The feature catalogue as a (small) DataFrame."""
+    spark = stats.totals.sparkSession
+    return spark.createDataFrame(catalogue_rows(stats, skip), CATALOGUE_SCHEMA)
 
-    Built from the value-count table with windows partitioned by feature;
-    only the per-feature offset table (one row per feature) is ordered
-    globally.  ``keep`` is false on the first level of every feature with
-    more than one column (dropping it removes the exact collinearity of
-    one-hot blocks, F7).
+
+def catalogue_from_counts(stats: Stats, skip: set[str] | None = None) -> DataFrame:
+    """The same catalogue computed distributed from the value-count table.
+
+    Windows are partitioned by feature; only the per-feature offset table
+    (one row per feature) is ordered globally.
     """
     skip = skip or set()
     spark = stats.totals.sparkSession
@@ -48,14 +79,10 @@ def catalogue(stats: Stats, skip: set[str] | None = None) -> DataFrame:
     reals = [r for r in spec.real if r not in skip]
     disc = [d for d in spec.discrete_all if d not in skip]
     nn = stats.needs_nan()
-
-    real_rows = [(i, r, r, r, None, True) for i, r in enumerate(reals)]
-    schema = ("pos int, feature_name string, feature_id string, feature string, "
-              "level string, keep boolean")
-    real_df = spark.createDataFrame(real_rows, schema)
+    real_df = spark.createDataFrame([(i, r, r, r, None, True) for i, r in enumerate(reals)],
+                                    CATALOGUE_SCHEMA)
     if not disc:
         return real_df
-
     ford = F.create_map(*[x for i, d in enumerate(disc) for x in (F.lit(d), F.lit(i))])
     levels = (stats.value_counts.where(F.col("feature").isin(disc))
               .select("feature", "level", F.lit(0).alias("is_nan")))
@@ -68,7 +95,6 @@ def catalogue(stats: Stats, skip: set[str] | None = None) -> DataFrame:
     within = Window.partitionBy("feature").orderBy("is_nan", "level")
     levels = levels.withColumn("rank", F.row_number().over(within))
     per_feature = levels.groupBy("feature", "ford").agg(F.count(F.lit(1)).alias("n"))
-    # one row per feature: a global running sum is fine here
     offs = per_feature.withColumn(
         "offset", F.sum("n").over(Window.orderBy("ford").rowsBetween(
             Window.unboundedPreceding, -1)))
@@ -83,15 +109,14 @@ def catalogue(stats: Stats, skip: set[str] | None = None) -> DataFrame:
     return real_df.unionByName(cat)
 
 
-def feature_count(cat: DataFrame) -> int:
+def feature_count(stats: Stats, skip: set[str] | None = None) -> int:
     """number of encoded columns."""
-    return cat.count()
+    return len(catalogue_rows(stats, skip))
 
 
-def level_positions(cat: DataFrame) -> dict[tuple[str, str | None], int]:
+def level_positions(stats: Stats, skip: set[str] | None = None) -> dict[tuple[str, str | None], int]:
     """Driver-side ``{(feature, level): pos}``; the catalogue is metadata-sized."""
-    return {(r["feature"], r["level"]): r["pos"]
-            for r in cat.select("feature", "level", "pos").collect()}
+    return {(r[3], r[4]): r[0] for r in catalogue_rows(stats, skip)}
 
 
 def encode_sparse(df: DataFrame, stats: Stats, skip: set[str] | None = None,
@@ -114,7 +139,7 @@ def encode_sparse(df: DataFrame, stats: Stats, skip: set[str] | None = None,
         if reals else F.array().cast("array<double>")
     idx_cols = []
     if disc:
-        pos = level_positions(catalogue(stats, skip))
+        pos = level_positions(stats, skip)
         for d in disc:
             m = {lv: p for (f, lv), p in pos.items() if f == d}
             lookup = F.create_map(*[x for lv, p in sorted(m.items())

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regemb.operators.embed import Embedding, weight_col, with_subsets
-from regemb.operators.encode import catalogue, level_of, level_positions, standardize
+from regemb.operators.encode import level_of, level_positions, standardize
 from regemb.operators.stats import Stats
 from regemb.spec import skip_features
 
@@ -180,8 +180,7 @@ def rff_embedding(df: DataFrame, stats: Stats, freqs: np.ndarray | None = None,
     weight = weight or spec.weight
     reals = [r for r in spec.real if r not in skip]
     disc = [d for d in spec.discrete_all if d not in skip]
-    cat = catalogue(stats, skip)
-    pos = level_positions(cat)
+    pos = level_positions(stats, skip)
     n_feats = len(pos)
     if freqs is None:
         if bandwidth is None:

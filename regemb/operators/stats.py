@@ -131,9 +131,19 @@ def weighted_sample(df: DataFrame, weight: str, n: int = 5000,
 # ---------------------------------------------------------------------------
 
 
+# Above this many distinct (feature, level) pairs the level catalogue is not
+# metadata any more; such a "discrete" feature should be recoded first.
+MAX_LEVELS = 5_000_000
+
+
 @dataclass
 class Stats:
-    """The stats bundle (D5) as small DataFrames plus cached driver constants."""
+    """The stats bundle (D5) as small DataFrames plus driver-side constants.
+
+    ``materialize()`` runs two jobs -- one global aggregate (A1 + A2) and the
+    value counts (A4) -- and keeps their small results; everything the
+    encoders need (means, stds, levels, nan flags) is then a constant.
+    """
 
     spec: MicrodataSpec
     totals: DataFrame
@@ -141,52 +151,91 @@ class Stats:
     value_counts: DataFrame
     sample: DataFrame | None = None
     region_type: str | None = None
+    _tot: dict | None = field(default=None, repr=False)
     _real_params: dict | None = field(default=None, repr=False)
+    _vc_rows: list | None = field(default=None, repr=False)
     _needs_nan: dict | None = field(default=None, repr=False)
-    _n_total: int | None = field(default=None, repr=False)
+
+    def materialize(self) -> "Stats":
+        if self._tot is None:
+            row = self.totals.first()
+            self._tot = {"n_total": int(row["n_total"]), "wt_total": row["wt_total"]}
+        if self._real_params is None:
+            self._real_params = {r["feature"]: (r["mean"], r["std"])
+                                 for r in self.reals.collect()}
+        if self._vc_rows is None:
+            if self.value_counts.limit(MAX_LEVELS + 1).count() > MAX_LEVELS:
+                raise ValueError("too many discrete levels for a level catalogue")
+            self._vc_rows = [(r["feature"], r["level"], int(r["cnt"]))
+                             for r in self.value_counts.collect()]
+        return self
 
     def n_total(self) -> int:
-        if self._n_total is None:
-            self._n_total = int(self.totals.first()["n_total"])
-        return self._n_total
+        return self.materialize()._tot["n_total"]
+
+    def wt_total(self):
+        return self.materialize()._tot["wt_total"]
 
     def real_params(self) -> dict[str, tuple[float | None, float | None]]:
         """``{feature: (mean, std)}``; one row per real feature of the spec."""
-        if self._real_params is None:
-            self._real_params = {r["feature"]: (r["mean"], r["std"])
-                                 for r in self.reals.collect()}
-        return self._real_params
+        return self.materialize()._real_params
+
+    def levels(self) -> dict[str, list[str]]:
+        """``{feature: sorted levels}`` of every discrete feature with values."""
+        out: dict[str, list[str]] = {}
+        for f, lv, _ in self.materialize()._vc_rows:
+            out.setdefault(f, []).append(lv)
+        return {f: sorted(v) for f, v in out.items()}
 
     def needs_nan(self) -> dict[str, bool]:
         """``{feature: bool}`` for every discrete feature (and flag) of the spec."""
         if self._needs_nan is None:
-            got = {r["feature"]: bool(r["needs_nan"])
-                   for r in needs_nan(self.value_counts, self.n_total()).collect()}
+            seen: dict[str, int] = {}
+            for f, _, c in self.materialize()._vc_rows:
+                seen[f] = seen.get(f, 0) + c
             n = self.n_total()
-            self._needs_nan = {f: got.get(f, n > 0) for f in self.spec.discrete_all}
+            self._needs_nan = {f: seen.get(f, 0) < n for f in self.spec.discrete_all}
         return self._needs_nan
 
     def needs_nan_df(self) -> DataFrame:
         return needs_nan(self.value_counts, self.n_total())
 
-    def persist(self) -> "Stats":
-        for d in (self.totals, self.reals, self.value_counts):
-            d.cache()
-        return self
-
 
 def compute_stats(df: DataFrame, spec: MicrodataSpec, sample_size: int = 5000,
                   sample_key_col: str | None = None, seed: int = 0,
                   region_type: str | None = None) -> Stats:
-    """A1 + A2 + A4 (+ K1 when ``sample_size``) over ``df`` for ``spec``."""
-    tot = totals(df, spec.weight)
-    reals = real_moments(df, list(spec.real))
+    """A1 + A2 + A4 (+ K1 when ``sample_size``) over ``df`` for ``spec``.
+
+    A1 and A2 share one global aggregate (``totals`` and ``reals`` are two
+    projections of it, so materialising both costs one scan).
+    """
+    reals = list(spec.real)
+    aggs = [F.count(F.lit(1)).alias("n_total"), F.sum(F.col(spec.weight)).alias("wt_total")]
+    for i, c in enumerate(reals):
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"),
+                 F.stddev_pop(x).alias(f"s{i}")]
+    one = df.agg(*aggs)
+    tot = one.select("n_total", "wt_total")
+    if reals:
+        entries = F.array(*[
+            F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("cnt"),
+                     F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"))
+            for i, c in enumerate(reals)])
+        real_df = one.select(F.inline(entries))
+    else:
+        real_df = real_moments(df, [])
     vc = value_counts(df, list(spec.discrete_all))
     samp = None
     if sample_size:
         samp = weighted_sample(df, spec.weight, sample_size,
                                key=sample_key_col or spec.key, seed=seed)
-    return Stats(spec, tot, reals, vc, samp, region_type)
+    s = Stats(spec, tot, real_df, vc, samp, region_type)
+    # one scan for A1 + A2: keep the single-row result
+    row = one.first()
+    s._tot = {"n_total": int(row["n_total"]), "wt_total": row["wt_total"]}
+    s._real_params = {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(reals)}
+    return s
 
 
 def merge_moments(batch_reals: DataFrame) -> DataFrame:
