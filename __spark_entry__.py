@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 import numpy as np
 
-from regemb.operators import clean, distances, embed, encode, regions, rff, rollup, setops
+from regemb.operators import clean, distances, embed, encode, graph, regions, rff, rollup, setops
 from regemb.operators import stats as st
 from regemb.plans import sqltext as S
 from regemb.plans.standin import (STANDIN, household_rows, person, person_lines, region_lookup,
@@ -324,6 +324,62 @@ def q_set_equal(spark, sf_dir):
             .withColumn("same", F.lit(eq)))
 
 
+def _place_pairs(spark, sf_dir):
+    """County-PUMA stand-in: customer <-> (nation, month, priority) cells."""
+    o = table(spark, sf_dir, "orders")
+    c = table(spark, sf_dir, "customer")
+    nat = F.lpad(F.col("c_nationkey").cast("string"), 2, "0")
+    return (o.join(c, o.o_custkey == c.c_custkey)
+             .select(F.concat(nat, F.lit("-"), F.lpad(F.col("c_custkey").cast("string"), 7, "0"))
+                     .alias("county"),
+                     F.concat(nat, F.lit("_"), F.date_format("o_orderdate", "yyyyMM"),
+                              F.substring("o_orderpriority", 1, 1)).alias("puma"))
+             .distinct())
+
+
+PAIRS_SQL = """
+pairs AS (SELECT DISTINCT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '-'
+                 || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS county,
+                 lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '_' || strftime(o_orderdate, '%Y%m')
+                 || substr(o_orderpriority, 1, 1) AS puma
+          FROM orders JOIN customer ON o_custkey = c_custkey),
+e AS (SELECT 'L:' || county AS a, 'R:' || puma AS b FROM pairs),
+und AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+walk(node, root) AS (SELECT a, a FROM und
+                     UNION SELECT und.b, walk.root FROM walk JOIN und ON walk.node = und.a),
+comp AS (SELECT CASE WHEN node LIKE 'L:%' THEN 'left' ELSE 'right' END AS side,
+                substr(node, 3) AS key, min(root) AS component FROM walk GROUP BY node)"""
+
+
+def _members(spark, sf_dir):
+    m = graph.bipartite_components(_place_pairs(spark, sf_dir), "county", "puma")
+    return m.withColumn("st", F.substring("key", 1, 2))
+
+
+def q_components(spark, sf_dir):
+    """G1: connected components of the bipartite place graph."""
+    return graph.bipartite_components(_place_pairs(spark, sf_dir), "county", "puma")
+
+
+def q_region_names(spark, sf_dir):
+    """G3 + W1 + O19: county -> region named ``<stab>_00_<nn>`` per state."""
+    m = _members(spark, sf_dir)
+    stab = table(spark, sf_dir, "nation").select(
+        F.lpad(F.col("n_nationkey").cast("string"), 2, "0").alias("st"),
+        F.concat(F.lit("N"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("stab"))
+    names = graph.name_regions(m, "st", "00", stab)
+    return graph.membership(m, names)["left"]
+
+
+def q_forced_merge(spark, sf_dir):
+    """Every component touching state 02 forced into one."""
+    pairs = _place_pairs(spark, sf_dir)
+    forced = {"02": pairs.where(F.col("county").startswith("02-")).select("county")}
+    m = graph.bipartite_components(pairs, "county", "puma", forced=forced)
+    return m.groupBy(F.substring("key", 1, 2).alias("st")).agg(
+        F.count_distinct("component").alias("n_components"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "linear_embedding": q_linear_embedding,
@@ -359,6 +415,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "coverage": q_coverage,
         "set_ops": q_set_ops,
         "set_equal": q_set_equal,
+        "components": q_components,
+        "region_names": q_region_names,
+        "forced_merge": q_forced_merge,
     }
 
 
@@ -458,6 +517,22 @@ SELECT (SELECT count(DISTINCT c_nationkey) FROM customer) AS n_customer_nations,
        NOT EXISTS (SELECT c_nationkey FROM customer EXCEPT SELECT s_nationkey FROM supplier)
        AND NOT EXISTS (SELECT s_nationkey FROM supplier EXCEPT SELECT c_nationkey FROM customer)
        AS same""",
+        "components": "WITH RECURSIVE " + PAIRS_SQL.strip() + "\nSELECT side, key, component FROM comp",
+        "region_names": "WITH RECURSIVE " + PAIRS_SQL.strip() + """,
+cs AS (SELECT component, min(substr(key, 1, 2)) AS st,
+              min(CASE WHEN side = 'left' THEN key END) AS first_key FROM comp GROUP BY component),
+named AS (SELECT component, 'N' || st || '_00_'
+                 || lpad(CAST(row_number() OVER (PARTITION BY st ORDER BY first_key, component)
+                              AS VARCHAR), 2, '0') AS region FROM cs)
+SELECT key, region FROM comp JOIN named USING (component) WHERE side = 'left'""",
+        "forced_merge": "WITH RECURSIVE " + PAIRS_SQL.strip().replace(
+            "e AS (SELECT 'L:' || county AS a, 'R:' || puma AS b FROM pairs),",
+            "e AS (SELECT 'L:' || county AS a, 'R:' || puma AS b FROM pairs UNION ALL "
+            "SELECT 'L:' || county, 'H:02' FROM pairs WHERE county LIKE '02-%'),") + """
+SELECT substr(key, 1, 2) AS st, count(DISTINCT component) AS n_components FROM comp
+WHERE side <> 'right' OR key NOT LIKE '02' GROUP BY 1""".replace(
+            "WHERE side <> 'right' OR key NOT LIKE '02' ", "WHERE component IS NOT NULL AND "
+            "NOT (side = 'right' AND key = '02') "),
     }
 
 

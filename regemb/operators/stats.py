@@ -164,10 +164,10 @@ class Stats:
             self._real_params = {r["feature"]: (r["mean"], r["std"])
                                  for r in self.reals.collect()}
         if self._vc_rows is None:
-            if self.value_counts.limit(MAX_LEVELS + 1).count() > MAX_LEVELS:
+            rows = self.value_counts.limit(MAX_LEVELS + 1).collect()
+            if len(rows) > MAX_LEVELS:
                 raise ValueError("too many discrete levels for a level catalogue")
-            self._vc_rows = [(r["feature"], r["level"], int(r["cnt"]))
-                             for r in self.value_counts.collect()]
+            self._vc_rows = [(r["feature"], r["level"], int(r["cnt"])) for r in rows]
         return self
 
     def n_total(self) -> int:
@@ -201,40 +201,74 @@ class Stats:
         return needs_nan(self.value_counts, self.n_total())
 
 
+TOTAL_KEY = "__n__"
+
+
 def compute_stats(df: DataFrame, spec: MicrodataSpec, sample_size: int = 5000,
                   sample_key_col: str | None = None, seed: int = 0,
                   region_type: str | None = None) -> Stats:
-    """A1 + A2 + A4 (+ K1 when ``sample_size``) over ``df`` for ``spec``.
-
-    A1 and A2 share one global aggregate (``totals`` and ``reals`` are two
-    projections of it, so materialising both costs one scan).
+    """A1 + A2 + A4 in one scan (+ K1 when ``sample_size``).
+
+    Every row is unpivoted into ``(feature, level, x)`` entries -- one total
+    entry carrying the weight, one per real carrying its value, one per
+    discrete column carrying its level -- and a single
+    ``groupBy(feature, level)`` computes row counts, non-null counts, weight
+    sums, means and population stds.  The result has one row per real and per
+    level, so it is collected once (bounded by ``MAX_LEVELS``) and the three
+    stats tables are small local DataFrames afterwards.
     """
+    spark = df.sparkSession
     reals = list(spec.real)
-    aggs = [F.count(F.lit(1)).alias("n_total"), F.sum(F.col(spec.weight)).alias("wt_total")]
-    for i, c in enumerate(reals):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"),
-                 F.stddev_pop(x).alias(f"s{i}")]
-    one = df.agg(*aggs)
-    tot = one.select("n_total", "wt_total")
-    if reals:
-        entries = F.array(*[
-            F.struct(F.lit(c).alias("feature"), F.col(f"c{i}").alias("cnt"),
-                     F.col(f"m{i}").alias("mean"), F.col(f"s{i}").alias("std"))
-            for i, c in enumerate(reals)])
-        real_df = one.select(F.inline(entries))
-    else:
-        real_df = real_moments(df, [])
-    vc = value_counts(df, list(spec.discrete_all))
+    disc = list(spec.discrete_all)
+    nul = F.lit(None).cast("string")
+    ent = [F.struct(F.lit(TOTAL_KEY).alias("feature"), nul.alias("level"),
+                    F.col(spec.weight).cast("double").alias("x"))]
+    ent += [F.struct(F.lit(r).alias("feature"), nul.alias("level"),
+                     F.col(r).cast("double").alias("x")) for r in reals]
+    ent += [F.struct(F.lit(d).alias("feature"), F.col(d).cast("string").alias("level"),
+                     F.lit(None).cast("double").alias("x")) for d in disc]
+    agg = (df.select(F.inline(F.array(*ent)))
+             .where(F.col("level").isNotNull() | F.col("x").isNotNull()
+                    | F.col("feature").isin([TOTAL_KEY] + reals))
+             .groupBy("feature", "level")
+             .agg(F.count(F.lit(1)).alias("rows"), F.count("x").alias("cnt"),
+                  F.sum("x").alias("sx"), F.avg("x").alias("mean"),
+                  F.stddev_pop("x").alias("std")))
+    rows = agg.limit(MAX_LEVELS + len(reals) + 2).collect()
+    if len(rows) > MAX_LEVELS + len(reals) + 1:
+        raise ValueError("too many discrete levels for a level catalogue")
+    by = {(r["feature"], r["level"]): r for r in rows}
+    tot_row = by.get((TOTAL_KEY, None))
+    n_total = int(tot_row["rows"]) if tot_row else 0
+    wt_total = tot_row["sx"] if tot_row else None
+    real_rows = []
+    for r in reals:
+        x = by.get((r, None))
+        real_rows.append((r, int(x["cnt"]) if x else 0, x["mean"] if x else None,
+                          x["std"] if x else None))
+    vc_rows = sorted(((r["feature"], r["level"], int(r["rows"])) for r in rows
+                      if r["feature"] in set(disc) and r["level"] is not None))
+    tot = spark.createDataFrame([(n_total, wt_total)], "n_total long, wt_total double")
+    real_df = spark.createDataFrame(real_rows, "feature string, cnt long, mean double, std double")
+    vc = spark.createDataFrame(vc_rows, "feature string, level string, cnt long")
     samp = None
     if sample_size:
         samp = weighted_sample(df, spec.weight, sample_size,
                                key=sample_key_col or spec.key, seed=seed)
-    s = Stats(spec, tot, real_df, vc, samp, region_type)
-    # one scan for A1 + A2: keep the single-row result
-    row = one.first()
-    s._tot = {"n_total": int(row["n_total"]), "wt_total": row["wt_total"]}
-    s._real_params = {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(reals)}
+    st = Stats(spec, tot, real_df, vc, samp, region_type)
+    st._tot = {"n_total": n_total, "wt_total": wt_total}
+    st._real_params = {r: (m, s_) for r, _, m, s_ in real_rows}
+    st._vc_rows = vc_rows
+    return st
+
+
+def compute_stats_lazy(df: DataFrame, spec: MicrodataSpec, sample_size: int = 0,
+                       key: str | None = None, seed: int = 0) -> Stats:
+    """The three stats tables as lazy DataFrames (three scans, nothing collected)."""
+    s = Stats(spec, totals(df, spec.weight), real_moments(df, list(spec.real)),
+              value_counts(df, list(spec.discrete_all)))
+    if sample_size:
+        s.sample = weighted_sample(df, spec.weight, sample_size, key=key or spec.key, seed=seed)
     return s
 
 
