@@ -17,6 +17,8 @@ import numpy as np
 
 from regemb.operators import clean, distances, embed, encode, graph, regions, rff, rollup, setops
 from regemb.operators import stats as st
+from regemb.functions import recode as R
+from regemb.operators import votes as V
 from regemb.plans import sqltext as S
 from regemb.plans.standin import (STANDIN, household_rows, person, person_lines, region_lookup,
                                   superregion_lookup, table)
@@ -380,6 +382,118 @@ def q_forced_merge(spark, sf_dir):
         F.count_distinct("component").alias("n_components"))
 
 
+def _codes(spark, sf_dir):
+    """Census-like text codes derived from every order."""
+    o = table(spark, sf_dir, "orders")
+    day = F.dayofmonth("o_orderdate")
+    return o.select(
+        "o_orderkey",
+        F.substring("o_orderpriority", 1, 1).alias("HISP"),
+        F.month("o_orderdate").cast("string").alias("RAC1P"),
+        day.cast("string").alias("SCHL"),
+        (F.month("o_orderdate") + day).cast("string").alias("RAC2P"),
+        F.when(F.col("o_orderstatus") == "F", "1").when(F.col("o_orderstatus") == "O", "2")
+         .otherwise("8").alias("FER"),
+        (day * 7).cast("string").alias("ANC1P"),
+        (day * 7 + 560).cast("string").alias("LANP"),
+        F.lpad((day * 3).cast("string"), 2, "0").alias("NAICSP"),
+        F.when(F.col("o_orderstatus") != "P", F.lpad((day * 3).cast("string"), 2, "0"))
+         .alias("naicsp07"),
+        F.lpad((F.month("o_orderdate") * 4).cast("string"), 2, "0").alias("naicsp02"),
+        (F.col("o_totalprice") / 50).cast("int").cast("string").alias("OCCP"))
+
+
+def q_recodes(spark, sf_dir):
+    """Every recode applied to census-like codes."""
+    c = _codes(spark, sf_dir)
+    return c.select(
+        "o_orderkey",
+        R.industry_sector("NAICSP", on_unknown="null").alias("sector"),
+        R.industry_sector(R.first_present("naicsp07", "naicsp02"), "null").alias("sector_old"),
+        R.ethnicity("HISP", "RAC1P").alias("ethnicity"),
+        R.any_hispanic("HISP").alias("anyhisp"),
+        R.occupation_group("OCCP").alias("occ"),
+        R.has_degree("SCHL").alias("hasdegree"),
+        R.has_degree(R.remap("SCHL", R.SCHL_NEW_TO_OLD), R.DEGREE_CUTOFF_COMMON)
+         .alias("hasdegree_common"),
+        R.remap("SCHL", R.SCHG_NEW_TO_OLD).alias("schg"),
+        R.remap("SCHL", R.SCHL_NEW_TO_OLD).alias("schl"),
+        R.remap("HISP", R.MIL_OLD_TO_NEW).alias("mil"),
+        R.remap("FER", R.FER_NEW_TO_OLD).alias("fer"),
+        R.remap("LANP", R.LANP_NEW_TO_OLD, identity_default=True).alias("lanp"),
+        R.remap("ANC1P", R.ANCP_NEW_TO_OLD, identity_default=True).alias("anc1p"),
+        R.remap("RAC2P", R.RAC2P_NEW).alias("rac2p_new"),
+        R.remap("RAC2P", R.RAC2P_OLD).alias("rac2p_old"))
+
+
+def q_recode_profile(spark, sf_dir):
+    """A recode profile over the code table, then counts of derived features."""
+    c = _codes(spark, sf_dir)
+    prof = R.RecodeProfile(
+        derive={"ETHNICITY": R.ethnicity("HISP", "RAC1P"), "ANYHISP": R.any_hispanic("HISP"),
+                "HASDEGREE": R.has_degree("SCHL"),
+                "NAICSP": R.industry_sector("NAICSP", on_unknown="null")},
+        keep={"SCHL", "RAC2P"}, skip={"FER", "ANC1P", "LANP", "naicsp07", "naicsp02",
+                                      "OCCP", "HISP", "RAC1P"},
+        meta={"o_orderkey"}, absent={"FOD1P"})
+    r = R.apply_profile(c, prof)
+    return r.groupBy("ETHNICITY", "ANYHISP", "HASDEGREE", "NAICSP").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
+def q_regroup_counts(spark, sf_dir):
+    """Value counts of SCHL regrouped to the old attainment codes."""
+    c = _codes(spark, sf_dir)
+    vc = st.value_counts(c, ["SCHL"])
+    return R.regroup_counts(vc, "SCHL", R.remap(F.col("level"), R.SCHL_NEW_TO_OLD))
+
+
+# stand-in aliases: four part names play the four main candidates
+VOTE_ALIASES = {"red plate jr": "barack obama", "small widget jr": "mitt romney",
+                "hot plate jr": "gary johnson", "hot ring jr": "jill stein"}
+
+
+def _county_results(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    p = table(spark, sf_dir, "part")
+    j = li.join(p, li.l_partkey == p.p_partkey)
+    raw = F.concat(F.upper("p_name"), F.lit("  Jr, "), F.col("p_type"), F.lit(" (write-in)"))
+    cand = V.normalize_candidate(raw, {**V.NAME_ALIASES, **VOTE_ALIASES})
+    return j.select(F.lpad(F.col("l_suppkey").cast("string"), 5, "0").alias("fips"),
+                    cand.alias("cand"), F.col("l_quantity").cast("long").alias("votes")) \
+            .withColumn("party", V.party("cand"))
+
+
+def q_top_candidates(spark, sf_dir):
+    """O16 + A21 + K3: normalised names, votes summed, top 50."""
+    return V.top_candidates(_county_results(spark, sf_dir), 50)
+
+
+def q_votes_by_party(spark, sf_dir):
+    """O17 + A22: votes by party."""
+    return V.votes_by(_county_results(spark, sf_dir), "party")
+
+
+def q_votes_by_region(spark, sf_dir):
+    """J8 + A23: region x party pivot with integer totals."""
+    s_ = table(spark, sf_dir, "supplier")
+    n = table(spark, sf_dir, "nation")
+    cr = s_.join(n, s_.s_nationkey == n.n_nationkey).select(
+        F.lpad(F.col("s_suppkey").cast("string"), 5, "0").alias("fips"),
+        F.col("n_name").alias("region"))
+    return V.region_party_table(_county_results(spark, sf_dir), cr)
+
+
+def q_precinct_rollup(spark, sf_dir):
+    """A24 + U1: precinct rows (events) rolled into one county and appended."""
+    ev = table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("candidate"), F.round("value").cast("long").alias("votes"))
+    roll = V.precinct_rollup(ev, "ev", "99999", "All events")
+    other = _county_results(spark, sf_dir).groupBy("fips").agg(
+        F.sum("votes").alias("votes")).withColumn("state", F.lit("li"))
+    return setops.union_all([roll, other])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "linear_embedding": q_linear_embedding,
@@ -418,6 +532,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "components": q_components,
         "region_names": q_region_names,
         "forced_merge": q_forced_merge,
+        "recodes": q_recodes,
+        "recode_profile": q_recode_profile,
+        "regroup_counts": q_regroup_counts,
+        "top_candidates": q_top_candidates,
+        "votes_by_party": q_votes_by_party,
+        "votes_by_region": q_votes_by_region,
+        "precinct_rollup": q_precinct_rollup,
     }
 
 
@@ -525,6 +646,45 @@ named AS (SELECT component, 'N' || st || '_00_'
                  || lpad(CAST(row_number() OVER (PARTITION BY st ORDER BY first_key, component)
                               AS VARCHAR), 2, '0') AS region FROM cs)
 SELECT key, region FROM comp JOIN named USING (component) WHERE side = 'left'""",
+        "recodes": "WITH " + CODES_SQL + f"""
+SELECT o_orderkey, {_sql_sector('NAICSP')} AS sector,
+       {_sql_sector('coalesce(naicsp07, naicsp02)')} AS sector_old,
+       {_sql_eth('HISP', 'RAC1P')} AS ethnicity,
+       CAST(coalesce(TRY_CAST(HISP AS INTEGER) > 1, FALSE) AS INTEGER) AS anyhisp,
+       {_sql_occ('OCCP')} AS occ, {_sql_deg('SCHL', 20)} AS hasdegree,
+       {_sql_deg(_sql_map('SCHL', R.SCHL_NEW_TO_OLD), 12)} AS hasdegree_common,
+       {_sql_map('SCHL', R.SCHG_NEW_TO_OLD)} AS schg, {_sql_map('SCHL', R.SCHL_NEW_TO_OLD)} AS schl,
+       {_sql_map('HISP', R.MIL_OLD_TO_NEW)} AS mil, {_sql_map('FER', R.FER_NEW_TO_OLD)} AS fer,
+       {_sql_remap_identity('LANP', R.LANP_NEW_TO_OLD)} AS lanp,
+       {_sql_remap_identity('ANC1P', R.ANCP_NEW_TO_OLD)} AS anc1p,
+       {_sql_map('RAC2P', R.RAC2P_NEW)} AS rac2p_new, {_sql_map('RAC2P', R.RAC2P_OLD)} AS rac2p_old
+FROM codes""",
+        "recode_profile": "WITH " + CODES_SQL + f"""
+SELECT {_sql_eth('HISP', 'RAC1P')} AS ETHNICITY,
+       CAST(coalesce(TRY_CAST(HISP AS INTEGER) > 1, FALSE) AS INTEGER) AS ANYHISP,
+       {_sql_deg('SCHL', 20)} AS HASDEGREE, {_sql_sector('NAICSP')} AS NAICSP, count(*) AS n
+FROM codes GROUP BY 1, 2, 3, 4""",
+        "regroup_counts": "WITH " + CODES_SQL + f"""
+SELECT 'SCHL' AS feature, {_sql_map('SCHL', R.SCHL_NEW_TO_OLD)} AS level, count(*) AS cnt
+FROM codes WHERE {_sql_map('SCHL', R.SCHL_NEW_TO_OLD)} IS NOT NULL GROUP BY 1, 2""",
+        "top_candidates": "WITH " + _votes_sql() + """
+SELECT cand, sum(votes) AS votes FROM crp GROUP BY cand ORDER BY votes DESC, cand LIMIT 50""",
+        "votes_by_party": "WITH " + _votes_sql() + """
+SELECT party, sum(votes) AS votes FROM crp GROUP BY party""",
+        "votes_by_region": "WITH " + _votes_sql() + """
+SELECT n_name AS region,
+       CAST(coalesce(sum(CASE WHEN party = 'D' THEN votes END), 0) AS BIGINT) AS votes_D,
+       CAST(coalesce(sum(CASE WHEN party = 'R' THEN votes END), 0) AS BIGINT) AS votes_R,
+       CAST(coalesce(sum(CASE WHEN party = 'L' THEN votes END), 0) AS BIGINT) AS votes_L,
+       CAST(coalesce(sum(CASE WHEN party = 'G' THEN votes END), 0) AS BIGINT) AS votes_G,
+       CAST(coalesce(sum(CASE WHEN party = 'oth' THEN votes END), 0) AS BIGINT) AS votes_oth
+FROM crp JOIN supplier ON fips = lpad(CAST(s_suppkey AS VARCHAR), 5, '0')
+JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""",
+        "precinct_rollup": "WITH " + _votes_sql() + """
+SELECT '99999' AS fips, 'All events' AS county, event_type AS candidate,
+       sum(CAST(round(value) AS BIGINT)) AS votes, 'ev' AS state FROM events GROUP BY event_type
+UNION ALL
+SELECT fips, NULL, NULL, sum(votes), 'li' FROM crp GROUP BY fips""",
         "forced_merge": "WITH RECURSIVE " + PAIRS_SQL.strip().replace(
             "e AS (SELECT 'L:' || county AS a, 'R:' || puma AS b FROM pairs),",
             "e AS (SELECT 'L:' || county AS a, 'R:' || puma AS b FROM pairs UNION ALL "
@@ -536,6 +696,72 @@ WHERE side <> 'right' OR key NOT LIKE '02' GROUP BY 1""".replace(
     }
 
 
+def _sql_map(x: str, d: dict) -> str:
+    whens = " ".join(f"WHEN {k} THEN " + ("NULL" if v is None else S.q(str(v)))
+                     for k, v in d.items())
+    return f"(CASE TRY_CAST({x} AS INTEGER) {whens} END)"
+
+
+def _sql_remap_identity(x: str, d: dict) -> str:
+    keys = ", ".join(str(k) for k in d)
+    return (f"(CASE WHEN TRY_CAST({x} AS INTEGER) IN ({keys}) THEN {_sql_map(x, d)} "
+            f"WHEN TRY_CAST({x} AS INTEGER) BETWEEN 0 AND 999 "
+            f"THEN CAST(TRY_CAST({x} AS INTEGER) AS VARCHAR) END)")
+
+
+def _sql_sector(x: str) -> str:
+    whens = " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in R.NAICS_SECTORS.items())
+    return f"(CASE substr(CAST({x} AS VARCHAR), 1, 2) {whens} END)"
+
+
+def _sql_occ(x: str) -> str:
+    v = f"TRY_CAST({x} AS DOUBLE)"
+    whens = " ".join(f"WHEN {v} >= {lo} THEN {S.q(name)}"
+                     for lo, name in reversed(R.OCCUPATION_GROUPS))
+    return f"(CASE WHEN {v} IS NULL THEN NULL {whens} END)"
+
+
+def _sql_eth(h: str, r: str) -> str:
+    return (f"(CASE WHEN TRY_CAST({h} AS INTEGER) IS DISTINCT FROM 1 THEN 'hispanic' "
+            f"ELSE {_sql_map(r, R.ETHNICITY)} END)")
+
+
+def _sql_deg(x: str, k: int) -> str:
+    return f"CAST(coalesce(TRY_CAST({x} AS INTEGER) >= {k}, FALSE) AS INTEGER)"
+
+
+CODES_SQL = """codes AS (
+  SELECT o_orderkey, substr(o_orderpriority, 1, 1) AS HISP,
+         CAST(month(o_orderdate) AS VARCHAR) AS RAC1P,
+         CAST(day(o_orderdate) AS VARCHAR) AS SCHL,
+         CAST(month(o_orderdate) + day(o_orderdate) AS VARCHAR) AS RAC2P,
+         CASE o_orderstatus WHEN 'F' THEN '1' WHEN 'O' THEN '2' ELSE '8' END AS FER,
+         CAST(day(o_orderdate) * 7 AS VARCHAR) AS ANC1P,
+         CAST(day(o_orderdate) * 7 + 560 AS VARCHAR) AS LANP,
+         lpad(CAST(day(o_orderdate) * 3 AS VARCHAR), 2, '0') AS NAICSP,
+         CASE WHEN o_orderstatus <> 'P' THEN lpad(CAST(day(o_orderdate) * 3 AS VARCHAR), 2, '0')
+         END AS naicsp07,
+         lpad(CAST(month(o_orderdate) * 4 AS VARCHAR), 2, '0') AS naicsp02,
+         CAST(CAST(trunc(o_totalprice / 50) AS INTEGER) AS VARCHAR) AS OCCP
+  FROM orders)"""
+
+
+def _votes_sql() -> str:
+    aliases = {**V.NAME_ALIASES, **VOTE_ALIASES}
+    s = "lower(upper(p_name) || '  Jr, ' || p_type || ' (write-in)')"
+    for cut in V.NAME_CUTS:
+        s = f"split_part({s}, {S.q(cut)}, 1)"
+    s = f"replace(trim({s}), '  ', ' ')"
+    whens = " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in aliases.items())
+    cand = f"coalesce(CASE {s} {whens} END, {s})"
+    pw = " ".join(f"WHEN {S.q(k)} THEN {S.q(v)}" for k, v in V.PARTIES.items())
+    return f"""cr AS (
+  SELECT lpad(CAST(l_suppkey AS VARCHAR), 5, '0') AS fips, {cand} AS cand,
+         CAST(l_quantity AS BIGINT) AS votes
+  FROM lineitem JOIN part ON l_partkey = p_partkey),
+crp AS (SELECT *, coalesce(CASE cand {pw} END, 'oth') AS party FROM cr)"""
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the linear embedding of every nation at sf0.001."""
     return q_linear_embedding(spark, SF_SMOKE)
