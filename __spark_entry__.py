@@ -17,7 +17,10 @@ import numpy as np
 
 from regemb.operators import clean, distances, embed, encode, graph, regions, rff, rollup, setops
 from regemb.operators import stats as st
+from regemb.functions import geo as G
 from regemb.functions import recode as R
+from regemb.operators import geo as GO
+from regemb.operators import regress as M
 from regemb.operators import votes as V
 from regemb.plans import sqltext as S
 from regemb.plans.standin import (STANDIN, household_rows, person, person_lines, region_lookup,
@@ -494,6 +497,79 @@ def q_precinct_rollup(spark, sf_dir):
     return setops.union_all([roll, other])
 
 
+def q_cartesian(spark, sf_dir):
+    """Centroid degrees -> Cartesian km (published convention)."""
+    sup = table(spark, sf_dir, "supplier")
+    x, y, z = G.to_cartesian(F.col("s_acctbal") / 200, F.col("s_acctbal") / 100)
+    return _r(sup.select("s_suppkey", x.alias("x"), y.alias("y"), z.alias("z")), "x", "y", "z")
+
+
+def _county_polygons(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    n = table(spark, sf_dir, "nation")
+    x0 = F.col("c_acctbal") / 1000
+    y0 = F.col("c_nationkey").cast("double")
+    w = F.abs(F.col("c_acctbal")) / 5000 + 0.1
+    h = F.lit(0.5)
+    pt = lambda a, b: F.struct(a.alias("x"), b.alias("y"))
+    ring = F.array(pt(x0, y0), pt(x0 + w, y0), pt(x0 + w, y0 + h), pt(x0, y0 + h))
+    return c.join(n, c.c_nationkey == n.n_nationkey).select(
+        F.col("n_name").alias("region"), ring.alias("polygon"))
+
+
+def q_centroids(spark, sf_dir):
+    """Area-weighted region centroids from county polygons."""
+    return _r(GO.region_centroids(_county_polygons(spark, sf_dir)), "lon", "lat", "area")
+
+
+SPATIAL_D = 8
+
+
+def q_spatial_features(spark, sf_dir):
+    """M9 + O18 + A25: Matern-3/2 random features of region centroids."""
+    cen = GO.region_centroids(_county_polygons(spark, sf_dir))
+    x, y, z = G.to_cartesian("lat", "lon")
+    xyz = cen.select("region", x.alias("x"), y.alias("y"), z.alias("z"))
+    f = M.matern32_features(xyz, n_freqs=SPATIAL_D, seed=5)
+    return _r(f, *[f"m{j}" for j in range(2 * SPATIAL_D)])
+
+
+def _regression_frame(spark, sf_dir):
+    p, s = _stats(spark, sf_dir)
+    skip = set(STANDIN.alloc) | {"l_returnflag"}
+    e = embed.linear_embedding(p, s, skip=skip)
+    positions = [r[0] for r in encode.catalogue_rows(s, skip)]
+    names = [r[1] for r in encode.catalogue_rows(s, skip)]
+    X = M.design_matrix(M.wide(e.values, positions))
+    tgt = (p.groupBy("region").agg(
+        F.sum(F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("y"),
+        F.sum(F.when(F.col("l_returnflag").isin("A", "R"), 1).otherwise(0)).alias("n"))
+        .withColumn("share", F.col("y") / F.col("n")))
+    # one row per region: cut the lineage before the iterative fits
+    return X.join(tgt, "region").checkpoint(), names
+
+
+def q_regression(spark, sf_dir):
+    """M6 + M7 + M8 + K5 + A26: ridge (CV penalty) and probit GLM on embeddings."""
+    df, _ = _regression_frame(spark, sf_dir)
+    train, test = M.split(df, test_fraction=0.2, seed=1)
+    ridge = M.ridge_cv(train, folds=3)
+    glm = M.probit_binomial(df)
+    ev_r = M.explained_variance(ridge.transform(df)).withColumn("model", F.lit("ridge"))
+    ev_g = M.explained_variance(glm.transform(df)).withColumn("model", F.lit("probit"))
+    n_test = test.count()
+    return ev_r.unionByName(ev_g).withColumn("n_test", F.lit(n_test))
+
+
+def q_top_coefficients(spark, sf_dir):
+    """P12 + K4: largest ridge coefficients after the name-prefix filter."""
+    df, names = _regression_frame(spark, sf_dir)
+    ridge = M.ridge_cv(df, folds=3)
+    coefs = M.coefficient_table(ridge, names)
+    kept = M.prefix_filter(coefs, ["l_linenumber_7"])
+    return M.top_coefficients(kept, 19)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "linear_embedding": q_linear_embedding,
@@ -539,6 +615,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "votes_by_party": q_votes_by_party,
         "votes_by_region": q_votes_by_region,
         "precinct_rollup": q_precinct_rollup,
+        "cartesian": q_cartesian,
+        "centroids": q_centroids,
+        "spatial_features": q_spatial_features,
+        "regression": q_regression,
+        "top_coefficients": q_top_coefficients,
     }
 
 
@@ -685,6 +766,15 @@ SELECT '99999' AS fips, 'All events' AS county, event_type AS candidate,
        sum(CAST(round(value) AS BIGINT)) AS votes, 'ev' AS state FROM events GROUP BY event_type
 UNION ALL
 SELECT fips, NULL, NULL, sum(votes), 'li' FROM crp GROUP BY fips""",
+        "cartesian": """
+SELECT s_suppkey,
+       round(6371.0 * sin(radians(s_acctbal / 200)) * cos(radians(s_acctbal / 100)), 6) AS x,
+       round(6371.0 * sin(radians(s_acctbal / 200)) * sin(radians(s_acctbal / 100)), 6) AS y,
+       round(6371.0 * cos(radians(s_acctbal / 200)), 6) AS z
+FROM supplier""",
+        "centroids": "WITH " + CENTROID_SQL + """
+SELECT region, round(lon, 6) AS lon, round(lat, 6) AS lat, round(area, 6) AS area FROM cen""",
+        "spatial_features": _spatial_sql(),
         "forced_merge": "WITH RECURSIVE " + PAIRS_SQL.strip().replace(
             "e AS (SELECT 'L:' || county AS a, 'R:' || puma AS b FROM pairs),",
             "e AS (SELECT 'L:' || county AS a, 'R:' || puma AS b FROM pairs UNION ALL "
@@ -762,6 +852,36 @@ def _votes_sql() -> str:
 crp AS (SELECT *, coalesce(CASE cand {pw} END, 'oth') AS party FROM cr)"""
 
 
+def _spatial_sql() -> str:
+    import math
+    rs = np.random.default_rng(5)
+    z = rs.normal(size=(3, SPATIAL_D))
+    u = rs.chisquare(3, size=SPATIAL_D)
+    w = z / np.sqrt(u / 3.0) * math.sqrt(3.0) / 560.0
+    sc = repr(math.sqrt(0.18 / SPATIAL_D))
+    cols = []
+    for j in range(SPATIAL_D):
+        ang = f"(x * {float(w[0, j])!r} + y * {float(w[1, j])!r} + z * {float(w[2, j])!r})"
+        cols.append(f"round({sc} * sin({ang}), 6) AS m{j}")
+    for j in range(SPATIAL_D):
+        ang = f"(x * {float(w[0, j])!r} + y * {float(w[1, j])!r} + z * {float(w[2, j])!r})"
+        cols.append(f"round({sc} * cos({ang}), 6) AS m{SPATIAL_D + j}")
+    return "WITH " + CENTROID_SQL + """,
+xyz AS (SELECT region, 6371.0 * sin(radians(lat)) * cos(radians(lon)) AS x,
+               6371.0 * sin(radians(lat)) * sin(radians(lon)) AS y,
+               6371.0 * cos(radians(lat)) AS z FROM cen)
+SELECT region, """ + ", ".join(cols) + " FROM xyz"
+
+
+CENTROID_SQL = """rect AS (
+  SELECT n_name AS region, c_acctbal / 1000 AS x0, CAST(c_nationkey AS DOUBLE) AS y0,
+         abs(c_acctbal) / 5000 + 0.1 AS w, 0.5 AS h
+  FROM customer JOIN nation ON c_nationkey = n_nationkey),
+cen AS (SELECT region, sum(w * h * (x0 + w / 2)) / sum(w * h) AS lon,
+               sum(w * h * (y0 + h / 2)) / sum(w * h) AS lat, sum(w * h) AS area
+        FROM rect GROUP BY region)"""
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Flagship: the linear embedding of every nation at sf0.001."""
     return q_linear_embedding(spark, SF_SMOKE)
