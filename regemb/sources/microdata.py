@@ -23,10 +23,11 @@ NA_COLUMNS = ["SERIALNO", "indp02", "indp07", "INDP", "OCCP", "occp02", "occp10"
 
 
 def typed(df: DataFrame, spec: MicrodataSpec) -> DataFrame:
-    """Cast text columns by role: reals -> double, weights/factors -> bigint,
-    discrete/meta -> trimmed text; unknown roles are left as text."""
+    """Cast text columns by role: reals and weights -> double, adjustment
+    factors -> bigint, discrete/meta -> trimmed text; unknown roles stay text."""
     real = set(spec.real) | {c for cols in spec.adjust.values() for c in cols}
-    weights = set(spec.weights) | set(spec.adjust)
+    weights = set(spec.weights)
+    factors = set(spec.adjust)
     na_cols = set(spec.na_columns or NA_COLUMNS)
     out = []
     for c in df.columns:
@@ -34,10 +35,10 @@ def typed(df: DataFrame, spec: MicrodataSpec) -> DataFrame:
         if c in na_cols:
             x = F.when(x.isin(NA_TOKENS), F.lit(None)).otherwise(x)
         x = F.when(x == "", F.lit(None)).otherwise(x)
-        if c in real:
+        if c in real or c in weights:
             x = x.try_cast("double")
-        elif c in weights:
-            x = x.try_cast("bigint")
+        elif c in factors:
+            x = x.try_cast("double").cast("bigint")
         out.append(x.alias(c))
     return df.select(*out)
 
