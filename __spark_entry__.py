@@ -570,6 +570,66 @@ def q_top_coefficients(spark, sf_dir):
     return M.top_coefficients(kept, 19)
 
 
+def q_drop_collinear(spark, sf_dir):
+    """F7 + F5: linear embedding without the first level of each one-hot block."""
+    p, s = _stats(spark, sf_dir)
+    e = embed.linear_embedding(p, s)
+    return _r(embed.drop_collinear(e, s).values, "value")
+
+
+def q_only_features(spark, sf_dir):
+    """Feature selection with ``only`` (allocation flags then included)."""
+    p, s = _stats(spark, sf_dir)
+    from regemb.spec import skip_features
+    skip = skip_features(STANDIN, only=["l_tax", "o_orderstatus"])
+    return _r(embed.linear_embedding(p, s, skip=skip).values, "value")
+
+
+# stand-in category table for part types (the degree-code table's role)
+TYPE_CATEGORIES = [("ECONOMY", "1"), ("SMALL", "2"), ("MEDIUM", "2"), ("LARGE", "2"),
+                   ("PROMO", "3"), ("STANDARD", "4")]
+
+
+def q_category_join(spark, sf_dir):
+    """Code -> category by a broadcast join with the code table."""
+    part = table(spark, sf_dir, "part")
+    lk = spark.createDataFrame(TYPE_CATEGORIES, "name string, cat_code string")
+    lk = lk.withColumn("code", F.xxhash64("name") % 1000)
+    codes = part.withColumn("type_code", (F.xxhash64("p_type") % 1000).cast("string"))
+    j = R.degree_category_join(codes, "type_code", lk, out="cat")
+    return j.groupBy("cat").agg(F.count(F.lit(1)).alias("n"),
+                                F.sum("p_size").alias("size_sum"))
+
+
+def q_two_party_share(spark, sf_dir):
+    """Trials, successes and share from the region x party table."""
+    return _r(M.two_party_target(q_votes_by_region(spark, sf_dir)), "share")
+
+
+def q_bandwidth_heuristic(spark, sf_dir):
+    """K1 + F6 + M3: median-heuristic bandwidth of the encoded person sample."""
+    p = person(spark, sf_dir).withColumn(
+        "_row", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_extendedprice",
+                            "l_discount", "l_tax", "l_returnflag", "l_linestatus"))
+    s = st.compute_stats(p, STANDIN, sample_size=2000, sample_key_col="_row")
+    bw = distances.median_heuristic_bandwidth(s)
+    return spark.createDataFrame([(float(bw),)], "bandwidth double")
+
+
+def q_superregions(spark, sf_dir):
+    """U7 + G4: components over two eras' county -> region edges, named per state."""
+    era1 = q_region_names(spark, sf_dir).select(F.col("key").alias("county"), "region")
+    c = table(spark, sf_dir, "customer")
+    nat = F.lpad(F.col("c_nationkey").cast("string"), 2, "0")
+    era2 = c.select(F.concat(nat, F.lit("-"), F.lpad(F.col("c_custkey").cast("string"), 7, "0"))
+                    .alias("county"),
+                    F.concat(nat, F.lit("_"), F.col("c_mktsegment")).alias("region"))
+    m = graph.superregions([era1, era2], "county", "region")
+    m = m.withColumn("st", F.when(F.col("side") == "left", F.substring("key", 1, 2)))
+    names = graph.name_regions(m, "st", "merged")
+    return graph.membership(m, names)["left"]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "linear_embedding": q_linear_embedding,
@@ -620,6 +680,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "spatial_features": q_spatial_features,
         "regression": q_regression,
         "top_coefficients": q_top_coefficients,
+        "drop_collinear": q_drop_collinear,
+        "only_features": q_only_features,
+        "category_join": q_category_join,
+        "two_party_share": q_two_party_share,
+        "bandwidth_heuristic": q_bandwidth_heuristic,
+        "superregions": q_superregions,
     }
 
 
@@ -775,6 +841,49 @@ FROM supplier""",
         "centroids": "WITH " + CENTROID_SQL + """
 SELECT region, round(lon, 6) AS lon, round(lat, 6) AS lat, round(area, 6) AS area FROM cen""",
         "spatial_features": _spatial_sql(),
+        "drop_collinear": S.linear_sql().replace(
+            "v.level IS NOT DISTINCT FROM c.level", "v.level IS NOT DISTINCT FROM c.level "
+            "WHERE c.keep"),
+        "only_features": S.linear_sql(skip={"l_extendedprice", "l_discount", "l_returnflag",
+                                            "l_linestatus", "l_linenumber"}),
+        "category_join": """
+WITH lk AS (SELECT * FROM (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in TYPE_CATEGORIES)
+        + """) t(name, cat_code))
+SELECT lk.cat_code AS cat, count(*) AS n, sum(p_size) AS size_sum
+FROM part LEFT JOIN lk ON p_type = lk.name GROUP BY 1""",
+        "two_party_share": "WITH " + _votes_sql() + """,
+vr AS (SELECT n_name AS region,
+              coalesce(sum(CASE WHEN party = 'D' THEN votes END), 0) AS d,
+              coalesce(sum(CASE WHEN party = 'R' THEN votes END), 0) AS r
+       FROM crp JOIN supplier ON fips = lpad(CAST(s_suppkey AS VARCHAR), 5, '0')
+       JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name)
+SELECT region, d + r AS n, d AS y, round(d / (d + r), 6) AS share FROM vr""",
+        "superregions": "WITH RECURSIVE " + PAIRS_SQL.strip() + """,
+cs AS (SELECT component, min(substr(key, 1, 2)) AS st,
+              min(CASE WHEN side = 'left' THEN key END) AS first_key FROM comp GROUP BY component),
+named AS (SELECT component, 'N' || st || '_00_'
+                 || lpad(CAST(row_number() OVER (PARTITION BY st ORDER BY first_key, component)
+                              AS VARCHAR), 2, '0') AS region FROM cs),
+era1 AS (SELECT key AS county, region FROM comp JOIN named USING (component)
+         WHERE side = 'left'),
+era2 AS (SELECT lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '-'
+                || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS county,
+                lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '_' || c_mktsegment AS region
+         FROM customer),
+e2 AS (SELECT 'L:' || county AS a, 'R:' || region AS b FROM era1
+       UNION ALL SELECT 'L:' || county, 'R:' || region FROM era2),
+und2 AS (SELECT a, b FROM e2 UNION SELECT b, a FROM e2),
+walk2(node, root) AS (SELECT a, a FROM und2
+                      UNION SELECT und2.b, walk2.root FROM walk2 JOIN und2 ON walk2.node = und2.a),
+comp2 AS (SELECT CASE WHEN node LIKE 'L:%' THEN 'left' ELSE 'right' END AS side,
+                 substr(node, 3) AS key, min(root) AS component FROM walk2 GROUP BY node),
+cs2 AS (SELECT component, min(CASE WHEN side = 'left' THEN substr(key, 1, 2) END) AS st,
+               min(CASE WHEN side = 'left' THEN key END) AS first_key
+        FROM comp2 GROUP BY component),
+named2 AS (SELECT component, st || '_merged_'
+                  || lpad(CAST(row_number() OVER (PARTITION BY st ORDER BY first_key, component)
+                               AS VARCHAR), 2, '0') AS region FROM cs2)
+SELECT key, region FROM comp2 JOIN named2 USING (component) WHERE side = 'left'""",
         "forced_merge": "WITH RECURSIVE " + PAIRS_SQL.strip().replace(
             "e AS (SELECT 'L:' || county AS a, 'R:' || puma AS b FROM pairs),",
             "e AS (SELECT 'L:' || county AS a, 'R:' || puma AS b FROM pairs UNION ALL "

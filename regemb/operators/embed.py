@@ -155,6 +155,14 @@ def linear_embedding(df: DataFrame, stats: Stats, region_col: str = "region",
     return Embedding(out, weights, "lin")
 
 
+def drop_collinear(emb: Embedding, stats: Stats, skip: set[str] | None = None) -> Embedding:
+    """drop the first level of every multi-level one-hot block (W3 ``keep``)."""
+    from regemb.operators.encode import catalogue_rows
+    skip = skip_features(stats.spec) if skip is None else skip
+    dropped = [r[0] for r in catalogue_rows(stats, skip) if not r[5]]
+    return Embedding(emb.values.where(~F.col("pos").isin(dropped)), emb.weights, emb.kind)
+
+
 def interaction_embedding(df: DataFrame, stats: Stats, pairs: list[tuple[str, str]],
                           region_col: str = "region",
                           subsets: list[str | Column] | None = None,

@@ -72,8 +72,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b",
            .where(F.col("a") != F.col("b")).distinct().checkpoint())
     sig = _signature(e)
     for _ in range(max_rounds):
-        e = large_star(e).checkpoint()
-        e = small_star(e).checkpoint()
+        # one reliable checkpoint per round keeps the lineage at two steps
+        e = small_star(large_star(e)).checkpoint()
         new = _signature(e)
         if new == sig:
             break
@@ -122,12 +122,12 @@ def name_regions(members: DataFrame, state: str, yy: str, stab: DataFrame | None
                  fmt: str = "%s_%s_%02d") -> DataFrame:
     """W1 + G3: name components ``<stab>_<yy>_<nn>`` per state.
 
-    ``members`` has ``(side, key, component, <state>)``.  A component must lie
-    in one state (else error); components are numbered within their state in
+    ``members`` has ``(side, key, component, <state>)`` (state may be null on
+    nodes that carry none).  A component must lie in one state (else error); components are numbered within their state in
     order of their smallest left key.  Returns ``(component, state, region)``.
     """
     comp = (members.groupBy("component")
-            .agg(F.count_distinct(state).alias("n_states"), F.first(state).alias(state),
+            .agg(F.count_distinct(state).alias("n_states"), F.max(state).alias(state),
                  F.min(F.when(F.col("side") == "left", F.col("key"))).alias("first_key")))
     bad = comp.where(F.col("n_states") > 1).limit(1).collect()
     if bad:
