@@ -630,6 +630,20 @@ def q_superregions(spark, sf_dir):
     return graph.membership(m, names)["left"]
 
 
+def q_stream_embedding(spark, sf_dir):
+    """A8 on a stream: yearly files of persons arrive; the embedding is kept as
+    streaming sums and equals the batch embedding when all have arrived."""
+    from regemb.session import scratch_path
+    from regemb.streaming import incremental
+    p, s = _stats(spark, sf_dir)
+    src = scratch_path(spark, "stream-src")
+    p.repartition("batch").write.parquet(src)
+    out = scratch_path(spark, "stream-out")
+    e = incremental.run_to_completion(spark, src, spark.read.parquet(src).schema, s, out,
+                                      files_per_trigger=2)
+    return _r(e.values, "value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "linear_embedding": q_linear_embedding,
@@ -686,6 +700,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "two_party_share": q_two_party_share,
         "bandwidth_heuristic": q_bandwidth_heuristic,
         "superregions": q_superregions,
+        "stream_embedding": q_stream_embedding,
     }
 
 
@@ -841,6 +856,7 @@ FROM supplier""",
         "centroids": "WITH " + CENTROID_SQL + """
 SELECT region, round(lon, 6) AS lon, round(lat, 6) AS lat, round(area, 6) AS area FROM cen""",
         "spatial_features": _spatial_sql(),
+        "stream_embedding": S.linear_sql(),
         "drop_collinear": S.linear_sql().replace(
             "v.level IS NOT DISTINCT FROM c.level", "v.level IS NOT DISTINCT FROM c.level "
             "WHERE c.keep"),
