@@ -120,13 +120,18 @@ def join_housing(persons: DataFrame, housing: DataFrame, key: str = "SERIALNO",
     Columns in ``drop`` (the census default: record type, place codes and the
     already-used factor) leave the housing side first; any other shared
     non-key column is an error.  Unmatched persons vanish.
+
+    Both sides are fact tables keyed by household, so the join is a
+    sort-merge join on the key (hinted: the planner's file-size estimate can
+    otherwise pick the *person* side as a broadcast build when its pruned
+    columns look small).  AQE still splits skewed keys.
     """
     drop = HOUSING_DROP if drop is None else drop
     hcols = [c for c in housing.columns if c not in set(drop) or c == key]
     shared = ({c.lower() for c in persons.columns} & {c.lower() for c in hcols}) - {key.lower()}
     if shared:
         raise SchemaError(f"person and housing tables share columns {sorted(shared)}")
-    return persons.join(housing.select(*hcols), key, "inner")
+    return persons.join(housing.select(*hcols).hint("merge"), key, "inner")
 
 
 def clean(df: DataFrame, spec: MicrodataSpec, voters: bool = False,

@@ -76,17 +76,40 @@ def pick_freqs(n_freqs: int, bandwidth: float, n_feats: int, seed: int | None =
 # A10 core
 
 
-def _rff_partials(n_real: int, n_idx: int, bc, n_freqs: int, chunk: int):
+def _rff_partials(n_real: int, n_idx: int, bc, n_freqs: int, chunk: int, max_groups: int):
+    """Per task: accumulate weighted sin/cos sums per group over all batches.
+
+    Emits one row per (group, position) when the task ends, or earlier when
+    more than ``max_groups`` groups are held (bounding task memory at
+    ``max_groups * (2D + 1)`` doubles).
+    """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         W = bc.value
         D = n_freqs
+        acc: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            if not acc:
+                return None
+            keys = list(acc)
+            g = len(keys)
+            vals = np.stack([acc[k] for k in keys])
+            acc.clear()
+            return pd.DataFrame({
+                "region": np.repeat(np.array([k[0] for k in keys], dtype=object), 2 * D + 1),
+                "subset": np.repeat(np.array([k[1] for k in keys], dtype=np.int32), 2 * D + 1),
+                "g": np.repeat(np.array([k[2] for k in keys], dtype=object), 2 * D + 1),
+                "pos": np.tile(np.arange(-1, 2 * D, dtype=np.int32), g),
+                "s": vals.reshape(-1)})
+
         for pdf in batches:
             if pdf.empty:
                 continue
             codes = (pdf.groupby(["region", "subset", "g"], dropna=False, sort=False)
                         .ngroup().to_numpy())
             _, first = np.unique(codes, return_index=True)
-            uniq = list(pdf[["region", "subset", "g"]].iloc[first].itertuples(index=False))
+            uniq = [tuple(None if (isinstance(v, float) and v != v) else v for v in t)
+                    for t in pdf[["region", "subset", "g"]].iloc[first].itertuples(index=False)]
             order = np.argsort(codes, kind="stable")
             codes = codes[order]
             w = pdf["_w"].to_numpy(dtype=np.float64)[order]
@@ -94,8 +117,8 @@ def _rff_partials(n_real: int, n_idx: int, bc, n_freqs: int, chunk: int):
                  if n_real else None)
             idx = (pdf[[f"i{k}" for k in range(n_idx)]].fillna(-1).to_numpy(dtype=np.int64)[order]
                    if n_idx else None)
-            acc = np.zeros((len(uniq), 2 * D))
-            wsum = np.bincount(codes, weights=w, minlength=len(uniq))
+            part = np.zeros((len(uniq), 2 * D + 1))
+            part[:, 0] = np.bincount(codes, weights=w, minlength=len(uniq))
             for s in range(0, len(w), chunk):
                 e = min(s + chunk, len(w))
                 ang = Z[s:e] @ W[:n_real] if n_real else np.zeros((e - s, D))
@@ -107,20 +130,22 @@ def _rff_partials(n_real: int, n_idx: int, bc, n_freqs: int, chunk: int):
                 sc = np.concatenate([np.sin(ang), np.cos(ang)], axis=1) * w[s:e, None]
                 c = codes[s:e]
                 starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                acc[c[starts]] += np.add.reduceat(sc, starts, axis=0)
-            g = len(uniq)
-            reg = np.repeat([u[0] for u in uniq], 2 * D + 1)
-            sub = np.repeat([u[1] for u in uniq], 2 * D + 1)
-            grp = np.repeat([u[2] for u in uniq], 2 * D + 1)
-            pos = np.tile(np.arange(-1, 2 * D, dtype=np.int32), g)
-            val = np.c_[wsum, acc].reshape(-1)
-            yield pd.DataFrame({"region": reg, "subset": sub.astype(np.int32),
-                                "g": grp, "pos": pos, "s": val})
+                part[c[starts], 1:] += np.add.reduceat(sc, starts, axis=0)
+            for i, key in enumerate(uniq):
+                if key in acc:
+                    acc[key] += part[i]
+                else:
+                    acc[key] = part[i].copy()
+            if len(acc) > max_groups:
+                yield flush()
+        out = flush()
+        if out is not None:
+            yield out
     return run
 
 
 def rff_sums(rows: DataFrame, n_real: int, n_idx: int, freqs: np.ndarray,
-             chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+             chunk: int = ROWS_PER_CHUNK, max_groups: int | None = None) -> DataFrame:
     """Partial sums -> ``(region, subset, g, pos, s)`` with ``pos = -1`` the weight.
 
     ``rows`` has ``region, subset, g, _w, z0.., i0..``.
@@ -130,7 +155,11 @@ def rff_sums(rows: DataFrame, n_real: int, n_idx: int, freqs: np.ndarray,
         raise ValueError(f"frequency matrix is {freqs.nbytes} bytes; over the broadcast bound")
     bc = rows.sparkSession.sparkContext.broadcast(freqs)
     schema = "region string, subset int, g string, pos int, s double"
-    part = rows.mapInPandas(_rff_partials(n_real, n_idx, bc, freqs.shape[1], chunk), schema)
+    if max_groups is None:
+        # hold at most ~64 MB of partial sums per task
+        max_groups = max(16, (64 << 20) // (8 * (2 * freqs.shape[1] + 1)))
+    part = rows.mapInPandas(
+        _rff_partials(n_real, n_idx, bc, freqs.shape[1], chunk, max_groups), schema)
     return part.groupBy("region", "subset", "g", "pos").agg(F.sum("s").alias("s"))
 
 
