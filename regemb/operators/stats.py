@@ -113,19 +113,35 @@ def sample_key(weight: Column, u: Column) -> Column:
 
 
 def weighted_sample(df: DataFrame, weight: str, n: int = 5000,
-                    key: str | None = None, seed: int = 0) -> DataFrame:
+                    key: str | None = None, seed: int = 0,
+                    total_weight: float | None = None, oversample: float = 3.0) -> DataFrame:
     """K1: ``n`` rows drawn without replacement with probability ~ weight.
 
-    Planned as ``TakeOrderedAndProject``: every task keeps its own best ``n``
-    and only those reach the final merge, so the work is distributed and the
-    result is bounded by ``n`` (the sample size is the feature here).
-    ``key`` makes the draw reproducible across partitionings; without it
-    ``rand(seed)`` is used.
+    The draw keeps the ``n`` smallest keys ``-ln(u)/w``.  A plain
+    ``orderBy(key).limit(n)`` would send every task's local top ``n`` to one
+    final task (tasks x n rows on a large cluster), so the keys are first cut
+    at a threshold ``t``: a row passes with probability ``1 - exp(-w t)``, so
+    ``t = oversample * n / sum(w)`` keeps about ``oversample * n`` rows.  If
+    fewer than ``n`` pass, ``t`` grows and the count is repeated; the ``n``
+    smallest keys are always below a threshold that passes ``n`` rows, so the
+    result is exactly the unfiltered one.  ``key`` makes the draw
+    reproducible across partitionings; without it ``rand(seed)`` is used.
     """
     u = hash_uniform(F.col(key)) if key else (1.0 - F.rand(seed))
     order = [F.col("_sample_key")] + ([F.col(key)] if key else [])
-    return (df.withColumn("_sample_key", sample_key(F.col(weight), u))
-              .orderBy(*order).limit(n).drop("_sample_key"))
+    keyed = df.withColumn("_sample_key", sample_key(F.col(weight), u))
+    if total_weight is None:
+        total_weight = df.agg(F.sum(F.when(F.col(weight) > 0, F.col(weight)))).first()[0]
+    cut = keyed
+    if total_weight and total_weight > 0:
+        t = oversample * n / float(total_weight)
+        for _ in range(6):
+            passed = keyed.where(F.col("_sample_key") <= t).limit(n).count()
+            if passed >= n:
+                cut = keyed.where(F.col("_sample_key") <= t)
+                break
+            t *= 8.0
+    return cut.orderBy(*order).limit(n).drop("_sample_key")
 
 
 # ---------------------------------------------------------------------------
@@ -254,7 +270,10 @@ def compute_stats(df: DataFrame, spec: MicrodataSpec, sample_size: int = 5000,
     samp = None
     if sample_size:
         samp = weighted_sample(df, spec.weight, sample_size,
-                               key=sample_key_col or spec.key, seed=seed)
+                               key=sample_key_col or spec.key, seed=seed,
+                               # any positive total keeps the draw exact (the
+                               # threshold only widens when it is too tight)
+                               total_weight=wt_total)
     st = Stats(spec, tot, real_df, vc, samp, region_type)
     st._tot = {"n_total": n_total, "wt_total": wt_total}
     st._real_params = {r: (m, s_) for r, _, m, s_ in real_rows}

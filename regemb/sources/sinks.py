@@ -20,12 +20,13 @@ def write_partitioned(df: DataFrame, path: str, region_col: str = "region",
                       mode: str = "errorifexists", max_records_per_file: int = 5_000_000) -> None:
     """One directory per region.
 
-    ``repartition(region)`` sends each region's rows to one writer task so a
-    region gets few files; a region holding a third of the data is split into
-    files of ``max_records_per_file`` rows by the writer, and AQE splits the
-    oversized shuffle partition.
+    The ``rebalance`` hint clusters rows by region (so a region gets few
+    files) while letting AQE split a skewed partition across several writer
+    tasks -- a region holding a third of the data is written in parallel,
+    never by one task -- and coalesce tiny ones.  ``maxRecordsPerFile``
+    bounds file size.
     """
-    (df.repartition(region_col).write.mode(mode)
+    (df.hint("rebalance", region_col).write.mode(mode)
        .option("maxRecordsPerFile", max_records_per_file)
        .partitionBy(region_col).parquet(path))
 
