@@ -707,7 +707,31 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 # --- oracle SQL --------------------------------------------------------------
 
 
+def _no_negative_zero(sql: str) -> str:
+    """Wrap every ``round(...)`` as ``(round(...) + 0.0)``: DuckDB rounds tiny
+    negatives to -0.0 where Spark gives 0.0, and the two hash differently."""
+    out, i, low = [], 0, sql.lower()
+    while True:
+        j = low.find("round(", i)
+        while j > 0 and (low[j - 1].isalnum() or low[j - 1] == "_"):
+            j = low.find("round(", j + 6)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 1, j + 6
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = _no_negative_zero(sql[j + 6:k - 1])
+        out.append(f"{sql[i:j]}(round({inner}) + 0.0)")
+        i = k
+
+
 def oracle_sql() -> dict[str, str]:
+    return {k: _no_negative_zero(v) for k, v in _oracle_sql().items()}
+
+
+def _oracle_sql() -> dict[str, str]:
     stats_only = S.with_person(S.stats_ctes())
     hu = ("(CASE WHEN h = 0 THEN pow(2.0, -33) ELSE h / 4294967296.0 END)")
     return {
@@ -726,7 +750,7 @@ def oracle_sql() -> dict[str, str]:
         "thermometer": S.linear_sql(ordered=THERMO, only_features=list(THERMO)),
         "interactions": S.linear_sql(subsets=SUBSETS_SQL, pairs=PAIRS),
         "weighted_sample": f"""
-WITH o AS (SELECT o_orderkey, floor(o_totalprice / 1000) + 1 AS w,
+WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice / 1000) + 1 AS BIGINT) AS w,
                   CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS UBIGINT) AS h
            FROM orders)
 SELECT o_orderkey, w FROM o
@@ -762,7 +786,8 @@ raw AS (SELECT *, CASE WHEN l_linenumber = '7' THEN -9 ELSE st END AS puma10,
                CASE o_orderstatus WHEN 'F' THEN '5' WHEN 'P' THEN 'b' END AS cit FROM person)
 SELECT puma10 AS PUMA, l_returnflag AS RFLAG, count(*) AS n, round(sum(l_quantity), 6) AS wt,
        round(sum(l_extendedprice * adjinc / 1e6), 6) AS price_adj,
-       round(sum(l_tax * adjinc / 1e6), 6) AS tax_adj, max(adjinc) AS max_factor
+       round(sum(l_tax * adjinc / 1e6), 6) AS tax_adj,
+       CAST(max(adjinc) AS INTEGER) AS max_factor
 FROM raw
 WHERE puma10 IS DISTINCT FROM -9 AND agep >= 18 AND TRY_CAST(cit AS INTEGER) IS DISTINCT FROM 5
 GROUP BY 1, 2"""),
@@ -830,9 +855,10 @@ FROM codes GROUP BY 1, 2, 3, 4""",
 SELECT 'SCHL' AS feature, {_sql_map('SCHL', R.SCHL_NEW_TO_OLD)} AS level, count(*) AS cnt
 FROM codes WHERE {_sql_map('SCHL', R.SCHL_NEW_TO_OLD)} IS NOT NULL GROUP BY 1, 2""",
         "top_candidates": "WITH " + _votes_sql() + """
-SELECT cand, sum(votes) AS votes FROM crp GROUP BY cand ORDER BY votes DESC, cand LIMIT 50""",
+SELECT cand, CAST(sum(votes) AS BIGINT) AS votes FROM crp GROUP BY cand
+ORDER BY votes DESC, cand LIMIT 50""",
         "votes_by_party": "WITH " + _votes_sql() + """
-SELECT party, sum(votes) AS votes FROM crp GROUP BY party""",
+SELECT party, CAST(sum(votes) AS BIGINT) AS votes FROM crp GROUP BY party""",
         "votes_by_region": "WITH " + _votes_sql() + """
 SELECT n_name AS region,
        CAST(coalesce(sum(CASE WHEN party = 'D' THEN votes END), 0) AS BIGINT) AS votes_D,
@@ -844,9 +870,10 @@ FROM crp JOIN supplier ON fips = lpad(CAST(s_suppkey AS VARCHAR), 5, '0')
 JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name""",
         "precinct_rollup": "WITH " + _votes_sql() + """
 SELECT '99999' AS fips, 'All events' AS county, event_type AS candidate,
-       sum(CAST(round(value) AS BIGINT)) AS votes, 'ev' AS state FROM events GROUP BY event_type
+       CAST(sum(CAST(round(value) AS BIGINT)) AS BIGINT) AS votes, 'ev' AS state
+FROM events GROUP BY event_type
 UNION ALL
-SELECT fips, NULL, NULL, sum(votes), 'li' FROM crp GROUP BY fips""",
+SELECT fips, NULL, NULL, CAST(sum(votes) AS BIGINT), 'li' FROM crp GROUP BY fips""",
         "cartesian": """
 SELECT s_suppkey,
        round(6371.0 * sin(radians(s_acctbal / 200)) * cos(radians(s_acctbal / 100)), 6) AS x,
@@ -865,12 +892,12 @@ SELECT region, round(lon, 6) AS lon, round(lat, 6) AS lat, round(area, 6) AS are
         "category_join": """
 WITH lk AS (SELECT * FROM (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in TYPE_CATEGORIES)
         + """) t(name, cat_code))
-SELECT lk.cat_code AS cat, count(*) AS n, sum(p_size) AS size_sum
+SELECT lk.cat_code AS cat, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size_sum
 FROM part LEFT JOIN lk ON p_type = lk.name GROUP BY 1""",
         "two_party_share": "WITH " + _votes_sql() + """,
 vr AS (SELECT n_name AS region,
-              coalesce(sum(CASE WHEN party = 'D' THEN votes END), 0) AS d,
-              coalesce(sum(CASE WHEN party = 'R' THEN votes END), 0) AS r
+              CAST(coalesce(sum(CASE WHEN party = 'D' THEN votes END), 0) AS BIGINT) AS d,
+              CAST(coalesce(sum(CASE WHEN party = 'R' THEN votes END), 0) AS BIGINT) AS r
        FROM crp JOIN supplier ON fips = lpad(CAST(s_suppkey AS VARCHAR), 5, '0')
        JOIN nation ON s_nationkey = n_nationkey GROUP BY n_name)
 SELECT region, d + r AS n, d AS y, round(d / (d + r), 6) AS share FROM vr""",
