@@ -89,40 +89,144 @@ ANCP_NEW_TO_OLD = {94: 87, 131: 176, 146: 144, 168: 434, 169: 434, 181: 32, 185:
 ANCP_OLD_TO_COMMON = {794: 995, 936: 935}
 
 # Detailed race (RAC2P) labels common to old and new code lists
-_AIT = "Other specified American Indian tribes"
-_AIC = "All other specified American Indian tribe combinations"
-_AINS = "American Indian and Alaska Native, not specified"
-_OA = "Other Asian"
-_ONH = "Other Native Hawaiian and Other Pacific Islander"
 RAC2P_OLD = {
-    1: "White", 2: "Black or African American", 3: "Apache", 4: "Blackfeet", 5: "Cherokee",
-    6: "Cheyenne", 7: "Chickasaw", 8: "Chippewa", 9: "Choctaw", 10: _AIT, 11: "Comanche",
-    12: "Creek", 13: "Crow", 14: _AIT, 15: _AIT, 16: "Iroquois", 17: "Lumbee", 18: _AIT,
-    19: "Navajo", 20: _AIT, 21: "Pima", 22: "Potawatomi", 23: "Pueblo",
-    24: "Puget Sound Salish", 25: "Seminole", 26: "Sioux", 27: "Tohono O'Odham", 28: _AIT,
-    29: "Yaqui", 30: _AIT, 31: _AIT, 32: _AIC, 33: _AINS, 34: "Alaskan Athabascan",
-    35: "Aleut", 36: "Inupiat", 37: "Tlingit-Haida", 38: "Other Alaska Native", 39: _AINS,
-    40: "Asian Indian", 41: "Bangladeshi", 42: "Cambodian", 43: "Chinese", 44: "Filipino",
-    45: "Hmong", 46: "Indonesian", 47: "Japanese", 48: "Korean", 49: "Laotian",
-    50: "Malaysian", 51: "Pakistani", 52: "Sri Lankan", 53: "Thai", 54: "Vietnamese",
-    55: _OA, 56: _OA, 57: "All combinations of Asian races only", 58: "Native Hawaiian",
-    59: "Samoan", 60: "Tongan", 61: _ONH, 62: "Guamanian or Chamorro", 63: _ONH, 64: _ONH,
-    65: _ONH, 66: "Some Other Race", 67: "Two or More Races",
+    1: 'White',
+    2: 'Black or African American',
+    3: 'Apache',
+    4: 'Blackfeet',
+    5: 'Cherokee',
+    6: 'Cheyenne',
+    7: 'Chickasaw',
+    8: 'Chippewa',
+    9: 'Choctaw',
+    10: 'Other specified American Indian tribes',
+    11: 'Comanche',
+    12: 'Creek',
+    13: 'Crow',
+    14: 'Other specified American Indian tribes',
+    15: 'Other specified American Indian tribes',
+    16: 'Iroquois',
+    17: 'Lumbee',
+    18: 'Other specified American Indian tribes',
+    19: 'Navajo',
+    20: 'Other specified American Indian tribes',
+    21: 'Pima',
+    22: 'Potawatomi',
+    23: 'Pueblo',
+    24: 'Puget Sound Salish',
+    25: 'Seminole',
+    26: 'Sioux',
+    27: "Tohono O'Odham",
+    28: 'Other specified American Indian tribes',
+    29: 'Yaqui',
+    30: 'Other specified American Indian tribes',
+    31: 'Other specified American Indian tribes',
+    32: 'All other specified American Indian tribe combinations',
+    33: 'American Indian and Alaska Native, not specified',
+    34: 'Alaskan Athabascan',
+    35: 'Aleut',
+    36: 'Inupiat',
+    37: 'Tlingit-Haida',
+    38: 'Other Alaska Native',
+    39: 'American Indian and Alaska Native, not specified',
+    40: 'Asian Indian',
+    41: 'Bangladeshi',
+    42: 'Cambodian',
+    43: 'Chinese',
+    44: 'Filipino',
+    45: 'Hmong',
+    46: 'Indonesian',
+    47: 'Japanese',
+    48: 'Korean',
+    49: 'Laotian',
+    50: 'Malaysian',
+    51: 'Pakistani',
+    52: 'Sri Lankan',
+    53: 'Thai',
+    54: 'Vietnamese',
+    55: 'Other Asian',
+    56: 'Other Asian',
+    57: 'All combinations of Asian races only',
+    58: 'Native Hawaiian',
+    59: 'Samoan',
+    60: 'Tongan',
+    61: 'Other Native Hawaiian and Other Pacific Islander',
+    62: 'Guamanian or Chamorro',
+    63: 'Other Native Hawaiian and Other Pacific Islander',
+    64: 'Other Native Hawaiian and Other Pacific Islander',
+    65: 'Other Native Hawaiian and Other Pacific Islander',
+    66: 'Some Other Race',
+    67: 'Two or More Races',
 }
 RAC2P_NEW = {
-    1: "White", 2: "Black or African American", 3: "Apache", 4: "Blackfeet", 5: "Cherokee",
-    6: "Cheyenne", 7: "Chickasaw", 8: "Chippewa", 9: "Choctaw", 10: "Comanche", 11: "Creek",
-    12: "Crow", 13: _AIT, 14: "Iroquois", 15: "Lumbee", 16: _AIT, 17: "Navajo", 18: "Pima",
-    19: "Potawatomi", 20: "Pueblo", 21: "Puget Sound Salish", 22: "Seminole", 23: "Sioux",
-    24: _AIT, 25: "Tohono O'Odham", 26: "Yaqui", 27: _AIT, 28: _AIC, 29: _AINS,
-    30: "Alaskan Athabascan", 31: "Tlingit-Haida", 32: "Inupiat", 33: "Other Alaska Native",
-    34: "Aleut", 35: "Other Alaska Native", 36: _AIC, 37: _AINS, 38: "Asian Indian",
-    39: "Bangladeshi", 40: _OA, 41: _OA, 42: "Cambodian", 43: "Chinese", 44: "Chinese",
-    45: "Filipino", 46: "Hmong", 47: "Indonesian", 48: "Japanese", 49: "Korean",
-    50: "Laotian", 51: "Malaysian", 52: _OA, 53: _OA, 54: "Pakistani", 55: "Sri Lankan",
-    56: "Thai", 57: "Vietnamese", 58: _OA, 59: "All combinations of Asian races only",
-    60: "Native Hawaiian", 61: "Samoan", 62: "Tongan", 63: "Guamanian or Chamorro",
-    64: _ONH, 65: _ONH, 66: _ONH, 67: "Some Other Race", 68: "Two or More Races",
+    1: 'White',
+    2: 'Black or African American',
+    3: 'Apache',
+    4: 'Blackfeet',
+    5: 'Cherokee',
+    6: 'Cheyenne',
+    7: 'Chickasaw',
+    8: 'Chippewa',
+    9: 'Choctaw',
+    10: 'Comanche',
+    11: 'Creek',
+    12: 'Crow',
+    13: 'Other specified American Indian tribes',
+    14: 'Iroquois',
+    15: 'Lumbee',
+    16: 'Other specified American Indian tribes',
+    17: 'Navajo',
+    18: 'Pima',
+    19: 'Potawatomi',
+    20: 'Pueblo',
+    21: 'Puget Sound Salish',
+    22: 'Seminole',
+    23: 'Sioux',
+    24: 'Other specified American Indian tribes',
+    25: "Tohono O'Odham",
+    26: 'Yaqui',
+    27: 'Other specified American Indian tribes',
+    28: 'All other specified American Indian tribe combinations',
+    29: 'American Indian and Alaska Native, not specified',
+    30: 'Alaskan Athabascan',
+    31: 'Tlingit-Haida',
+    32: 'Inupiat',
+    33: 'Other Alaska Native',
+    34: 'Aleut',
+    35: 'Other Alaska Native',
+    36: 'All other specified American Indian tribe combinations',
+    37: 'American Indian and Alaska Native, not specified',
+    38: 'Asian Indian',
+    39: 'Bangladeshi',
+    40: 'Other Asian',
+    41: 'Other Asian',
+    42: 'Cambodian',
+    43: 'Chinese',
+    44: 'Chinese',
+    45: 'Filipino',
+    46: 'Hmong',
+    47: 'Indonesian',
+    48: 'Japanese',
+    49: 'Korean',
+    50: 'Laotian',
+    51: 'Malaysian',
+    52: 'Other Asian',
+    53: 'Other Asian',
+    54: 'Pakistani',
+    55: 'Sri Lankan',
+    56: 'Thai',
+    57: 'Vietnamese',
+    58: 'Other Asian',
+    59: 'All combinations of Asian races only',
+    60: 'Native Hawaiian',
+    61: 'Samoan',
+    62: 'Tongan',
+    63: 'Guamanian or Chamorro',
+    64: 'Other Native Hawaiian and Other Pacific Islander',
+    65: 'Other Native Hawaiian and Other Pacific Islander',
+    66: 'Other Native Hawaiian and Other Pacific Islander',
+    67: 'Some Other Race',
+    68: 'Two or More Races',
 }
 
 # Attainment code at or above which a person "has a degree"
@@ -182,10 +286,11 @@ def degree_category(c: str | Column, lookup: DataFrame | dict) -> Column | DataF
 
 def degree_category_join(df: DataFrame, col: str, lookup: DataFrame, out: str | None = None,
                          code_col: str = "code", cat_col: str = "cat_code") -> DataFrame:
-    """O4 as a broadcast join with the (173-row) code table."""
+    """O4 as a join with the (173-row) code table, broadcast after a size check."""
+    from regemb.operators.regions import bounded_broadcast
     out = out or col
-    lk = F.broadcast(lookup.select(F.col(code_col).try_cast("int").alias("_code"),
-                                   F.col(cat_col).cast("string").alias("_cat")))
+    lk = bounded_broadcast(lookup.select(F.col(code_col).try_cast("int").alias("_code"),
+                                         F.col(cat_col).cast("string").alias("_cat")))
     return (df.withColumn("_code", code(col)).join(lk, "_code", "left")
               .withColumn(out, F.col("_cat")).drop("_code", "_cat"))
 

@@ -2,8 +2,10 @@
 
 Every sink writes Parquet or CSV through the DataFrame writer; nothing is
 gathered on the driver.  Small outputs (stats, region weights, exports) are
-``coalesce``d to one file for convenience -- their size is bounded by the
-number of features and regions, not by the microdata.
+written as one file for convenience -- their size is bounded by the number
+of features and regions, not by the microdata.  ``repartition(1)`` (not
+``coalesce(1)``) keeps the aggregation that produces them parallel; only
+the final, bounded write is one task.
 """
 
 from __future__ import annotations
@@ -33,14 +35,14 @@ def write_partitioned(df: DataFrame, path: str, region_col: str = "region",
 
 def save_stats(stats: Stats, path: str, mode: str = "errorifexists") -> None:
     """Four small tables under ``path``."""
-    stats.totals.coalesce(1).write.mode(mode).parquet(f"{path}/totals")
-    stats.reals.coalesce(1).write.mode(mode).parquet(f"{path}/reals")
-    stats.value_counts.coalesce(1).write.mode(mode).parquet(f"{path}/value_counts")
+    stats.totals.repartition(1).write.mode(mode).parquet(f"{path}/totals")
+    stats.reals.repartition(1).write.mode(mode).parquet(f"{path}/reals")
+    stats.value_counts.repartition(1).write.mode(mode).parquet(f"{path}/value_counts")
     meta = stats.totals.sparkSession.createDataFrame(
         [(stats.spec.name, stats.region_type)], "version string, region_type string")
-    meta.coalesce(1).write.mode(mode).parquet(f"{path}/meta")
+    meta.repartition(1).write.mode(mode).parquet(f"{path}/meta")
     if stats.sample is not None:
-        stats.sample.coalesce(1).write.mode(mode).parquet(f"{path}/sample")
+        stats.sample.repartition(1).write.mode(mode).parquet(f"{path}/sample")
 
 
 def load_stats(spark: SparkSession, path: str, spec: MicrodataSpec) -> Stats:
@@ -80,8 +82,8 @@ def export_wide(emb: Embedding, names: list[str], path: str, subset: int = 0,
     v = emb.values.where(F.col("subset") == subset)
     wide = v.groupBy("region").pivot("feature_name", names).agg(F.first("value"))
     wide = wide.select("region", *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)).alias(n)
-                                   for n in names]).orderBy("region")
-    wide.coalesce(1).write.mode(mode).option("header", True).csv(path)
+                                   for n in names])
+    wide.repartition(1).sortWithinPartitions("region").write.mode(mode).option("header", True).csv(path)
     return wide
 
 
@@ -89,6 +91,6 @@ def write_region_weights(emb: Embedding, path: str, subset: int = 0,
                          mode: str = "errorifexists") -> DataFrame:
     """``region,total_wt`` CSV."""
     w = (emb.weights.where(F.col("subset") == subset)
-         .select("region", F.col("weight").alias("total_wt")).orderBy("region"))
-    w.coalesce(1).write.mode(mode).option("header", True).csv(path)
+         .select("region", F.col("weight").alias("total_wt")))
+    w.repartition(1).sortWithinPartitions("region").write.mode(mode).option("header", True).csv(path)
     return w
