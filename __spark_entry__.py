@@ -120,6 +120,14 @@ def q_interactions(spark, sf_dir):
     return _r(embed.interaction_embedding(p, s, PAIRS, subsets=SUBSETS).values, "value")
 
 
+def q_shared_pass(spark, sf_dir):
+    """Linear embedding and interactions from one shared scan."""
+    p, s = _stats(spark, sf_dir)
+    lin, inter = embed.linear_with_interactions(p, s, PAIRS, subsets=SUBSETS)
+    return _r(lin.values.select("region", "subset", "feature_name", "feature_id", "value")
+              .unionByName(inter.values), "value")
+
+
 def q_weighted_sample(spark, sf_dir):
     """K1: 500 orders drawn with probability ~ floor(price/1000)+1."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn(
@@ -701,6 +709,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bandwidth_heuristic": q_bandwidth_heuristic,
         "superregions": q_superregions,
         "stream_embedding": q_stream_embedding,
+        "shared_pass": q_shared_pass,
     }
 
 
@@ -884,6 +893,9 @@ FROM supplier""",
 SELECT region, round(lon, 6) AS lon, round(lat, 6) AS lat, round(area, 6) AS area FROM cen""",
         "spatial_features": _spatial_sql(),
         "stream_embedding": S.linear_sql(),
+        "shared_pass": "SELECT region, subset, feature_name, feature_id, value FROM ("
+                       + S.linear_sql(subsets=SUBSETS_SQL) + ") UNION ALL SELECT * FROM ("
+                       + S.linear_sql(subsets=SUBSETS_SQL, pairs=PAIRS) + ")",
         "drop_collinear": S.linear_sql().replace(
             "v.level IS NOT DISTINCT FROM c.level", "v.level IS NOT DISTINCT FROM c.level "
             "WHERE c.keep"),

@@ -183,6 +183,39 @@ def interaction_embedding(df: DataFrame, stats: Stats, pairs: list[tuple[str, st
     return Embedding(out, weights, "extra")
 
 
+def linear_with_interactions(df: DataFrame, stats: Stats, pairs: list[tuple[str, str]],
+                             region_col: str = "region",
+                             subsets: list[str | Column] | None = None,
+                             skip: set[str] | None = None,
+                             weight: str | None = None) -> tuple[Embedding, Embedding]:
+    """The linear embedding (A6) and level-pair shares (A14) in one pass.
+
+    Both featurizers are entry sums, so their entry arrays are concatenated
+    and a single scan + ``groupBy`` serves both; the outputs are split by
+    feature afterwards.  Same results as the two separate calls.
+    """
+    spec = stats.spec
+    skip = skip_features(spec) if skip is None else skip
+    weight = weight or spec.weight
+    reals = [r for r in spec.real if r not in skip]
+    disc = [d for d in spec.discrete_all if d not in skip]
+    entries = entry_array(stats, reals, disc, None, pairs)
+    sums = _sums(df, stats, entries, region_col, weight, subsets, [WEIGHT_KEY] + reals)
+    vals, weights = _normalise(sums)
+    pair_names = [f"{a}_{b}" for a, b in pairs]
+    cat = catalogue(stats, skip)
+    if feature_count(stats, skip) <= BROADCAST_MAX_ROWS:
+        cat = F.broadcast(cat)
+    lin_v = vals.where(~F.col("feature").isin(pair_names))
+    lin = (lin_v.join(cat, (lin_v.feature == cat.feature) & lin_v.level.eqNullSafe(cat.level))
+                .select("region", "subset", "pos", "feature_name", "feature_id", "value"))
+    inter = (vals.where(F.col("feature").isin(pair_names))
+                 .select("region", "subset",
+                         F.concat_ws("_", "feature", "level").alias("feature_name"),
+                         F.col("feature").alias("feature_id"), "value"))
+    return Embedding(lin, weights, "lin"), Embedding(inter, weights, "extra")
+
+
 def region_weights(df: DataFrame, weight: str, region_col: str = "region",
                    subsets: list[str | Column] | None = None) -> DataFrame:
     """Total weight per region and subset."""

@@ -46,7 +46,8 @@ class ExtrasConfig:
 
 
 def extras(df: DataFrame, stats: Stats, cfg: ExtrasConfig, region_col: str = "region",
-           subsets: list[str | Column] | None = None) -> list[embed.Embedding]:
+           subsets: list[str | Column] | None = None,
+           interactions: bool = True) -> list[embed.Embedding]:
     """A11-A14 with per-block bandwidths from the sample (M5)."""
     pairs = list(itertools.combinations(cfg.reals, 2))
     one_bw = distances.block_bandwidths(stats, cfg.reals, [[r] for r in cfg.reals])
@@ -63,7 +64,7 @@ def extras(df: DataFrame, stats: Stats, cfg: ExtrasConfig, region_col: str = "re
     out += [rff.real_rff_embedding(df, stats, [r], one_f[r], region_col, subsets, condition=d)
             for r in cfg.reals for d in cfg.discretes]
     dpairs = list(itertools.combinations(cfg.discretes, 2))
-    if dpairs:
+    if dpairs and interactions:
         out.append(embed.interaction_embedding(df, stats, dpairs, region_col, subsets))
     return out
 
@@ -84,12 +85,23 @@ def featurize(df: DataFrame, stats: Stats | None = None, spec: MicrodataSpec | N
     if stats is None:
         stats = compute_stats(df, spec, sample_size=5000)
     out: dict[str, object] = {}
-    if linear:
+    dpairs = (list(itertools.combinations(extras_config.discretes, 2))
+              if extras_config is not None else [])
+    shared = linear and dpairs and not ordered
+    inter = None
+    if shared:
+        # Linear means and level-pair shares from one scan
+        out["lin"], inter = embed.linear_with_interactions(df, stats, dpairs, region_col,
+                                                           subsets, skip)
+    elif linear:
         out["lin"] = embed.linear_embedding(df, stats, region_col, subsets, skip, ordered)
     if rff_config is not None:
         c = rff_config
         out["rff"] = rff.rff_embedding(df, stats, c.freqs, c.n_freqs, c.bandwidth,
                                        c.orthogonal, c.seed, region_col, subsets, skip)
     if extras_config is not None:
-        out["extra"] = extras(df, stats, extras_config, region_col, subsets)
+        out["extra"] = extras(df, stats, extras_config, region_col, subsets,
+                              interactions=not shared)
+        if inter is not None:
+            out["extra"].append(inter)
     return out
