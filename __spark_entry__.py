@@ -134,6 +134,17 @@ def q_shared_pass(spark, sf_dir):
               .unionByName(inter.values), "value")
 
 
+def _custom_features(Z, idx):
+    # a user featurizer: price, price x discount, tax squared (standardised)
+    return np.c_[Z[:, 0], Z[:, 0] * Z[:, 1], Z[:, 2] ** 2]
+
+
+def q_custom_featurizer(spark, sf_dir):
+    """A user featurizer (numpy over encoded rows) averaged per region."""
+    p, s = _stats(spark, sf_dir)
+    return _r(rff.custom_embedding(p, s, _custom_features, 3, "custom").values, "value")
+
+
 def q_weighted_sample(spark, sf_dir):
     """K1: 500 orders drawn with probability ~ floor(price/1000)+1."""
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn(
@@ -716,6 +727,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "superregions": q_superregions,
         "stream_embedding": q_stream_embedding,
         "shared_pass": q_shared_pass,
+        "custom_featurizer": q_custom_featurizer,
     }
 
 
@@ -899,6 +911,18 @@ FROM supplier""",
 SELECT region, round(lon, 6) AS lon, round(lat, 6) AS lat, round(area, 6) AS area FROM cen""",
         "spatial_features": _spatial_sql(),
         "stream_embedding": S.linear_sql(),
+        "custom_featurizer": S.with_person(S.stats_ctes() + f""",
+zz AS (SELECT region, coalesce(CAST(l_quantity AS DOUBLE), 0.0) AS w,
+              {S.z_expr('l_extendedprice')} AS z0, {S.z_expr('l_discount')} AS z1,
+              {S.z_expr('l_tax')} AS z2 FROM person),
+agg AS (SELECT region, sum(w) AS wt, sum(w * z0) AS a0, sum(w * z0 * z1) AS a1,
+               sum(w * z2 * z2) AS a2 FROM zz GROUP BY region)
+SELECT region, 0 AS subset, 0 AS pos, 'custom_0' AS feature_name, 'custom' AS feature_id,
+       round(CASE WHEN wt = 0 THEN 0.0 ELSE a0 / wt END, 6) AS value FROM agg
+UNION ALL SELECT region, 0, 1, 'custom_1', 'custom',
+       round(CASE WHEN wt = 0 THEN 0.0 ELSE a1 / wt END, 6) FROM agg
+UNION ALL SELECT region, 0, 2, 'custom_2', 'custom',
+       round(CASE WHEN wt = 0 THEN 0.0 ELSE a2 / wt END, 6) FROM agg"""),
         "shared_pass": "SELECT region, subset, feature_name, feature_id, value FROM ("
                        + S.linear_sql(subsets=SUBSETS_SQL) + ") UNION ALL SELECT * FROM ("
                        + S.linear_sql(subsets=SUBSETS_SQL, pairs=PAIRS) + ")",

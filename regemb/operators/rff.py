@@ -76,17 +76,18 @@ def pick_freqs(n_freqs: int, bandwidth: float, n_feats: int, seed: int | None =
 # A10 core
 
 
-def _rff_partials(n_real: int, n_idx: int, bc, n_freqs: int, chunk: int, max_groups: int):
-    """Per task: accumulate weighted sin/cos sums per group over all batches.
-
-    Emits one row per (group, position) when the task ends, or earlier when
-    more than ``max_groups`` groups are held (bounding task memory at
-    ``max_groups * (2D + 1)`` doubles).
+def _partials(n_real: int, n_idx: int, features, out_size: int, chunk: int, max_groups: int):
+    """Per task: accumulate weighted feature sums per group over all batches.
+
+    ``features(Z, idx)`` maps a chunk of encoded rows (reals ``Z`` n x R,
+    catalogue positions ``idx`` n x K with -1 for none) to an n x
+    ``out_size`` matrix.  Emits one row per (group, position) when the task
+    ends, or earlier when more than ``max_groups`` groups are held (bounding
+    task memory at ``max_groups * (out_size + 1)`` doubles).
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        W = bc.value
-        D = n_freqs
         acc: dict[tuple, np.ndarray] = {}
+        width = out_size + 1
 
         def flush():
             if not acc:
@@ -96,10 +97,10 @@ def _rff_partials(n_real: int, n_idx: int, bc, n_freqs: int, chunk: int, max_gro
             vals = np.stack([acc[k] for k in keys])
             acc.clear()
             return pd.DataFrame({
-                "region": np.repeat(np.array([k[0] for k in keys], dtype=object), 2 * D + 1),
-                "subset": np.repeat(np.array([k[1] for k in keys], dtype=np.int32), 2 * D + 1),
-                "g": np.repeat(np.array([k[2] for k in keys], dtype=object), 2 * D + 1),
-                "pos": np.tile(np.arange(-1, 2 * D, dtype=np.int32), g),
+                "region": np.repeat(np.array([k[0] for k in keys], dtype=object), width),
+                "subset": np.repeat(np.array([k[1] for k in keys], dtype=np.int32), width),
+                "g": np.repeat(np.array([k[2] for k in keys], dtype=object), width),
+                "pos": np.tile(np.arange(-1, out_size, dtype=np.int32), g),
                 "s": vals.reshape(-1)})
 
         for pdf in batches:
@@ -114,23 +115,17 @@ def _rff_partials(n_real: int, n_idx: int, bc, n_freqs: int, chunk: int, max_gro
             codes = codes[order]
             w = pdf["_w"].to_numpy(dtype=np.float64)[order]
             Z = (pdf[[f"z{i}" for i in range(n_real)]].to_numpy(dtype=np.float64)[order]
-                 if n_real else None)
+                 if n_real else np.zeros((len(w), 0)))
             idx = (pdf[[f"i{k}" for k in range(n_idx)]].fillna(-1).to_numpy(dtype=np.int64)[order]
-                   if n_idx else None)
-            part = np.zeros((len(uniq), 2 * D + 1))
+                   if n_idx else np.zeros((len(w), 0), dtype=np.int64))
+            part = np.zeros((len(uniq), width))
             part[:, 0] = np.bincount(codes, weights=w, minlength=len(uniq))
             for s in range(0, len(w), chunk):
                 e = min(s + chunk, len(w))
-                ang = Z[s:e] @ W[:n_real] if n_real else np.zeros((e - s, D))
-                for k in range(n_idx):
-                    col = idx[s:e, k]
-                    ok = col >= 0
-                    if ok.any():
-                        ang[ok] += W[col[ok]]
-                sc = np.concatenate([np.sin(ang), np.cos(ang)], axis=1) * w[s:e, None]
+                fx = features(Z[s:e], idx[s:e]) * w[s:e, None]
                 c = codes[s:e]
                 starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                part[c[starts], 1:] += np.add.reduceat(sc, starts, axis=0)
+                part[c[starts], 1:] += np.add.reduceat(fx, starts, axis=0)
             for i, key in enumerate(uniq):
                 if key in acc:
                     acc[key] += part[i]
@@ -144,31 +139,54 @@ def _rff_partials(n_real: int, n_idx: int, bc, n_freqs: int, chunk: int, max_gro
     return run
 
 
-def rff_sums(rows: DataFrame, n_real: int, n_idx: int, freqs: np.ndarray,
-             chunk: int = ROWS_PER_CHUNK, max_groups: int | None = None) -> DataFrame:
-    """Partial sums -> ``(region, subset, g, pos, s)`` with ``pos = -1`` the weight.
+def featurizer_sums(rows: DataFrame, n_real: int, n_idx: int, features, out_size: int,
+                    chunk: int = ROWS_PER_CHUNK, max_groups: int | None = None) -> DataFrame:
+    """Weighted sums of a user featurizer -> ``(region, subset, g, pos, s)``.
 
-    ``rows`` has ``region, subset, g, _w, z0.., i0..``.
+    ``pos = -1`` carries the weight.  ``rows`` has ``region, subset, g, _w,
+    z0.., i0..`` (see ``_rows``).  Partial sums are combined map-side by the
+    final ``groupBy``.
     """
+    if max_groups is None:
+        # hold at most ~64 MB of partial sums per task
+        max_groups = max(16, (64 << 20) // (8 * (out_size + 1)))
+    schema = "region string, subset int, g string, pos int, s double"
+    part = rows.mapInPandas(_partials(n_real, n_idx, features, out_size, chunk, max_groups),
+                            schema)
+    return part.groupBy("region", "subset", "g", "pos").agg(F.sum("s").alias("s"))
+
+
+def rff_sums(rows: DataFrame, n_real: int, n_idx: int, freqs: np.ndarray,
+             chunk: int = ROWS_PER_CHUNK, max_groups: int | None = None) -> DataFrame:
+    """RFF as a featurizer: ``[sin(xW), cos(xW)]`` with the gather for levels."""
     freqs = np.ascontiguousarray(freqs, dtype=np.float64)
     if freqs.nbytes > MAX_FREQ_BYTES:
         raise ValueError(f"frequency matrix is {freqs.nbytes} bytes; over the broadcast bound")
     bc = rows.sparkSession.sparkContext.broadcast(freqs)
-    schema = "region string, subset int, g string, pos int, s double"
-    if max_groups is None:
-        # hold at most ~64 MB of partial sums per task
-        max_groups = max(16, (64 << 20) // (8 * (2 * freqs.shape[1] + 1)))
-    part = rows.mapInPandas(
-        _rff_partials(n_real, n_idx, bc, freqs.shape[1], chunk, max_groups), schema)
-    return part.groupBy("region", "subset", "g", "pos").agg(F.sum("s").alias("s"))
+    D = freqs.shape[1]
+
+    def features(Z, idx):
+        W = bc.value
+        ang = Z @ W[:n_real] if n_real else np.zeros((len(Z), D))
+        for k in range(idx.shape[1]):
+            col = idx[:, k]
+            ok = col >= 0
+            if ok.any():
+                ang[ok] += W[col[ok]]
+        return np.concatenate([np.sin(ang), np.cos(ang)], axis=1)
+
+    return featurizer_sums(rows, n_real, n_idx, features, 2 * D, chunk, max_groups)
+
 
+def finish(sums: DataFrame, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
+    """Divide by ``weight * scale`` per ``(region, subset, g)``; zero weight gives 0.
 
-def finish(sums: DataFrame, n_freqs: int) -> tuple[DataFrame, DataFrame]:
-    """Divide by ``weight * sqrt(D)`` per ``(region, subset, g)``; zero weight gives 0."""
+    RFF uses ``scale = sqrt(D)``; a plain featurizer mean uses 1.
+    """
     wnd = Window.partitionBy("region", "subset", "g")
     g = sums.withColumn("weight", F.max(F.when(F.col("pos") == -1, F.col("s"))).over(wnd))
     weights = g.where(F.col("pos") == -1).select("region", "subset", "g", "weight")
-    denom = F.col("weight") * F.lit(math.sqrt(n_freqs))
+    denom = F.col("weight") * F.lit(float(scale))
     vals = (g.where(F.col("pos") >= 0)
              .select("region", "subset", "g", "pos",
                      F.coalesce(F.try_divide(F.col("s"), denom), F.lit(0.0)).alias("value")))
@@ -227,7 +245,7 @@ def rff_embedding(df: DataFrame, stats: Stats, freqs: np.ndarray | None = None,
         lookup = F.create_map(*[x for lv, p in sorted(m.items()) for x in (F.lit(lv), F.lit(p))])
         idx.append(lookup[level_of(d, nn.get(d, False))])
     rows = _rows(df, region_col, weight, subsets, z, idx, None)
-    vals, weights = finish(rff_sums(rows, len(reals), len(disc), freqs), D)
+    vals, weights = finish(rff_sums(rows, len(reals), len(disc), freqs), math.sqrt(D))
     vals = _names(vals, D, F.lit("rff")).select(
         "region", "subset", "pos", "feature_name", F.lit("rff").alias("feature_id"), "value")
     return Embedding(vals, weights.drop("g"), "rff")
@@ -252,7 +270,7 @@ def real_rff_embedding(df: DataFrame, stats: Stats, reals: list[str], freqs: np.
     if condition:
         rows = rows.where(F.col("g").isNotNull())
     D = np.asarray(freqs).shape[1]
-    vals, weights = finish(rff_sums(rows, len(reals), 0, np.asarray(freqs)), D)
+    vals, weights = finish(rff_sums(rows, len(reals), 0, np.asarray(freqs)), math.sqrt(D))
     ident = "_".join(reals)
     if condition:
         prefix = F.concat(F.lit(f"{condition}_{ident}_"), F.col("g"))
@@ -264,3 +282,36 @@ def real_rff_embedding(df: DataFrame, stats: Stats, reals: list[str], freqs: np.
         "region", "subset", "pos", "feature_name", F.lit(fid).alias("feature_id"),
         "value", F.col("g").alias("level"))
     return Embedding(vals, weights.withColumnRenamed("g", "level"), "extra")
+
+
+def custom_embedding(df: DataFrame, stats: Stats, features, out_size: int, name: str,
+                     region_col: str = "region", subsets: list[str | Column] | None = None,
+                     skip: set[str] | None = None, weight: str | None = None) -> Embedding:
+    """The weighted mean of a user featurizer over each region/subset.
+
+    ``features(Z, idx)`` receives a chunk of encoded rows -- standardised
+    reals ``Z`` (n x R, spec order) and catalogue positions ``idx`` (n x K,
+    -1 where a feature has no active column) -- and returns an n x
+    ``out_size`` matrix.  It runs inside Arrow batches; Spark partitions the
+    rows and sums the partial results.
+    """
+    spec = stats.spec
+    skip = skip_features(spec) if skip is None else skip
+    weight = weight or spec.weight
+    reals = [r for r in spec.real if r not in skip]
+    disc = [d for d in spec.discrete_all if d not in skip]
+    pos = level_positions(stats, skip)
+    params = stats.real_params()
+    nn = stats.needs_nan()
+    z = [standardize(F.col(r), *params.get(r, (None, None))) for r in reals]
+    idx = []
+    for d in disc:
+        m = {lv: p for (f, lv), p in pos.items() if f == d}
+        lookup = F.create_map(*[x for lv, p in sorted(m.items()) for x in (F.lit(lv), F.lit(p))])
+        idx.append(lookup[level_of(d, nn.get(d, False))])
+    rows = _rows(df, region_col, weight, subsets, z, idx, None)
+    vals, weights = finish(featurizer_sums(rows, len(reals), len(disc), features, out_size))
+    vals = vals.select("region", "subset", "pos",
+                       F.concat(F.lit(name + "_"), F.col("pos").cast("string")).alias("feature_name"),
+                       F.lit(name).alias("feature_id"), "value")
+    return Embedding(vals, weights.drop("g"), name)

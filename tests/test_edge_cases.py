@@ -236,3 +236,23 @@ def test_rff_matches_dense_numpy(spark):
         want = (np.array(w) @ feats) / (sum(w) * math.sqrt(5))
         for j, v in enumerate(want):
             assert got[(reg, j)] == pytest.approx(v, abs=1e-12)
+
+
+def test_custom_featurizer_matches_linear_mean(spark):
+    rs = np.random.default_rng(6)
+    rows = [("r" + str(rs.integers(3)), float(rs.integers(1, 4)), float(rs.normal()),
+             ["a", "b"][rs.integers(2)]) for _ in range(50)]
+    df = _df(spark, rows)
+    s = st.compute_stats(df, SPEC, sample_size=0)
+
+    def feats(Z, idx):
+        # first real and its square, plus "has an active level"
+        return np.c_[Z[:, 0], Z[:, 0] ** 2, (idx[:, 0] >= 0).astype(float)]
+
+    got = {(r["region"], r["pos"]): r["value"]
+           for r in rff.custom_embedding(df, s, feats, 3, "mine").values.collect()}
+    lin = {(r["region"], r["feature_name"]): r["value"]
+           for r in embed.linear_embedding(df, s).values.collect()}
+    for reg in {r[0] for r in rows}:
+        assert got[(reg, 0)] == pytest.approx(lin[(reg, "x")], abs=1e-12)
+        assert got[(reg, 2)] == pytest.approx(1.0)
