@@ -123,7 +123,8 @@ PAIRS = [("l_returnflag", "l_linestatus"), ("l_returnflag", "o_orderstatus"),
 def q_interactions(spark, sf_dir):
     """Discrete x discrete level-pair shares."""
     p, s = _stats(spark, sf_dir)
-    return _r(embed.interaction_embedding(p, s, PAIRS, subsets=SUBSETS).values, "value")
+    return _r(embed.interaction_embedding(p, s, PAIRS, subsets=SUBSETS).values.drop("pos"),
+              "value")
 
 
 def q_shared_pass(spark, sf_dir):
@@ -131,7 +132,7 @@ def q_shared_pass(spark, sf_dir):
     p, s = _stats(spark, sf_dir)
     lin, inter = embed.linear_with_interactions(p, s, PAIRS, subsets=SUBSETS)
     return _r(lin.values.select("region", "subset", "feature_name", "feature_id", "value")
-              .unionByName(inter.values), "value")
+              .unionByName(inter.values.drop("pos")), "value")
 
 
 def _custom_features(Z, idx):

@@ -163,6 +163,22 @@ def drop_collinear(emb: Embedding, stats: Stats, skip: set[str] | None = None) -
     return Embedding(emb.values.where(~F.col("pos").isin(dropped)), emb.weights, emb.kind)
 
 
+def interaction_names(stats: Stats, pairs: list[tuple[str, str]]) -> list[str]:
+    """F8: names of the level-pair columns, pair by pair, levels in catalogue order
+    (sorted, ``nan`` last when needed); their index is the column position."""
+    levels = stats.levels()
+    nn = stats.needs_nan()
+
+    def lv(d):
+        return list(levels.get(d, [])) + ([NAN_LEVEL] if nn.get(d) else [])
+    return [f"{d1}_{d2}_{a}_{b}" for d1, d2 in pairs for a in lv(d1) for b in lv(d2)]
+
+
+def _pair_positions(stats: Stats, pairs: list[tuple[str, str]]) -> Column:
+    names = interaction_names(stats, pairs)
+    return F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
+
+
 def interaction_embedding(df: DataFrame, stats: Stats, pairs: list[tuple[str, str]],
                           region_col: str = "region",
                           subsets: list[str | Column] | None = None,
@@ -177,9 +193,9 @@ def interaction_embedding(df: DataFrame, stats: Stats, pairs: list[tuple[str, st
     entries = entry_array(stats, [], [], None, pairs)
     sums = _sums(df, stats, entries, region_col, weight, subsets, [WEIGHT_KEY])
     vals, weights = _normalise(sums)
-    out = vals.select("region", "subset",
-                      F.concat_ws("_", "feature", "level").alias("feature_name"),
-                      F.col("feature").alias("feature_id"), "value")
+    name = F.concat_ws("_", "feature", "level")
+    out = vals.select("region", "subset", _pair_positions(stats, pairs)[name].alias("pos"),
+                      name.alias("feature_name"), F.col("feature").alias("feature_id"), "value")
     return Embedding(out, weights, "extra")
 
 
@@ -209,10 +225,11 @@ def linear_with_interactions(df: DataFrame, stats: Stats, pairs: list[tuple[str,
     lin_v = vals.where(~F.col("feature").isin(pair_names))
     lin = (lin_v.join(cat, (lin_v.feature == cat.feature) & lin_v.level.eqNullSafe(cat.level))
                 .select("region", "subset", "pos", "feature_name", "feature_id", "value"))
+    name = F.concat_ws("_", "feature", "level")
     inter = (vals.where(F.col("feature").isin(pair_names))
-                 .select("region", "subset",
-                         F.concat_ws("_", "feature", "level").alias("feature_name"),
-                         F.col("feature").alias("feature_id"), "value"))
+                 .select("region", "subset", _pair_positions(stats, pairs)[name].alias("pos"),
+                         name.alias("feature_name"), F.col("feature").alias("feature_id"),
+                         "value"))
     return Embedding(lin, weights, "lin"), Embedding(inter, weights, "extra")
 
 

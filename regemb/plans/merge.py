@@ -9,16 +9,20 @@ from regemb.operators.embed import Embedding
 from regemb.sources import sinks
 
 
-def merge_features(embs: dict[str, Embedding], how: str = "state",
-                   mapping: DataFrame | None = None) -> dict[str, Embedding]:
-    """Roll every embedding up to states or super-regions."""
+def merge_features(embs: dict[str, Embedding | list[Embedding]], how: str = "state",
+                   mapping: DataFrame | None = None) -> dict[str, Embedding | list[Embedding]]:
+    """Roll every embedding (and every extra) up to states or
+    super-regions; conditional features keep their per-level weights."""
     if how == "state":
-        return {k: rollup.state_rollup(e) for k, e in embs.items()}
-    if how == "superregion":
+        one = rollup.state_rollup
+    elif how == "superregion":
         if mapping is None:
             raise ValueError("super-region roll-up needs the region -> merged_region table")
-        return {k: rollup.superregion_rollup(e, mapping) for k, e in embs.items()}
-    raise ValueError(f"unknown roll-up {how!r}")
+        def one(e):
+            return rollup.superregion_rollup(e, mapping)
+    else:
+        raise ValueError(f"unknown roll-up {how!r}")
+    return {k: ([one(x) for x in e] if isinstance(e, list) else one(e)) for k, e in embs.items()}
 
 
 def export(emb: Embedding, names: list[str], path: str, rff: Embedding | None = None,

@@ -256,3 +256,20 @@ def test_custom_featurizer_matches_linear_mean(spark):
     for reg in {r[0] for r in rows}:
         assert got[(reg, 0)] == pytest.approx(lin[(reg, "x")], abs=1e-12)
         assert got[(reg, 2)] == pytest.approx(1.0)
+
+
+def test_interactions_roll_up(spark):
+    from regemb.operators import rollup
+    rows = [("AL_1", 1.0, 1.0, "a"), ("AL_2", 3.0, 2.0, "b"), ("AK_1", 2.0, 0.0, None)]
+    df = _df(spark, rows)
+    spec = MicrodataSpec(name="t", weight="w", real=("x",), discrete=("d", "e"))
+    df = df.withColumn("e", F.lit("z"))
+    s = st.compute_stats(df, spec, sample_size=0)
+    inter = embed.interaction_embedding(df, s, [("d", "e")])
+    names = embed.interaction_names(s, [("d", "e")])
+    assert names == ["d_e_a_z", "d_e_b_z", "d_e_nan_z"]
+    got = {(r["region"], r["pos"], r["feature_name"]): r["value"]
+           for r in rollup.state_rollup(inter).values.collect()}
+    assert got[("AL", 0, "d_e_a_z")] == pytest.approx(0.25)
+    assert got[("AL", 1, "d_e_b_z")] == pytest.approx(0.75)
+    assert got[("AK", 2, "d_e_nan_z")] == pytest.approx(1.0)

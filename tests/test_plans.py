@@ -78,6 +78,8 @@ def test_featurize_merge_export(spark, sorted_data):
         if p < 8:
             assert x * x + v[(reg, p + 8)] ** 2 <= 1 / 8 + 1e-12
     assert len(out["extra"]) == 2 + 1 + 4 + 1
+    rolled_all = MG.merge_features(out, "superregion", mp)
+    assert {e.values.select("region").distinct().count() for e in rolled_all["extra"]} == {5}
     # exports
     names = [r["feature_name"] for r in lin.values.select("feature_name").distinct().collect()]
     wide = sinks.export_wide(lin, sorted(names), f"{base}/export_linear.csv")
