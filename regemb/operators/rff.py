@@ -281,6 +281,8 @@ def real_rff_embedding(df: DataFrame, stats: Stats, reals: list[str], freqs: np.
     vals = _names(vals, D, prefix).select(
         "region", "subset", "pos", "feature_name", F.lit(fid).alias("feature_id"),
         "value", F.col("g").alias("level"))
+    if not condition:
+        return Embedding(vals.drop("level"), weights.drop("g"), "extra")
     return Embedding(vals, weights.withColumnRenamed("g", "level"), "extra")
 
 

@@ -20,6 +20,14 @@ from regemb.operators.embed import Embedding
 from regemb.operators.regions import strict_map
 
 
+def _join_ns(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner equi-join on ``keys`` where null keys match null keys."""
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys],
+                     *[c for c in right.columns if c not in keys])
+    cond = [left[k].eqNullSafe(r[f"_r_{k}"]) for k in keys]
+    return left.join(r, cond, "inner").drop(*[f"_r_{k}" for k in keys])
+
+
 def _keys(emb: Embedding) -> list[str]:
     return [c for c in emb.weights.columns if c not in ("region", "weight")]
 
@@ -37,11 +45,11 @@ def rollup(emb: Embedding, target: Column | None = None,
         w = w.withColumn("_t", target)
     w = w.select("region", *keys, "_t", "weight")
     desc = [c for c in emb.values.columns if c not in ["region", "value", "pos"] + keys]
-    v = emb.values.join(w, ["region"] + keys)
+    v = _join_ns(emb.values, w, ["region"] + keys)
     num = (v.groupBy("_t", *keys, "pos", *desc)
             .agg(F.sum(F.col("weight") * F.col("value")).alias("_num")))
     tw = w.groupBy("_t", *keys).agg(F.sum("weight").alias("weight"))
-    vals = (num.join(tw, ["_t"] + keys)
+    vals = (_join_ns(num, tw, ["_t"] + keys)
                .select(F.col("_t").alias(out_col), *keys, "pos", *desc,
                        F.coalesce(F.try_divide(F.col("_num"), F.col("weight")),
                                   F.lit(0.0)).alias("value")))

@@ -181,7 +181,7 @@ def rff_sql(freqs, reals: list[str] | None = None, full: bool = False,
     else:
         ident = "_".join(reals)
         prefix, fid = q(ident), q(ident + "_rff")
-    lvl = "" if full else ", g AS level"
+    lvl = ", g AS level" if condition else ""
     if kind:
         lvl += f", {q(kind)} AS kind"
     outs = []
