@@ -184,6 +184,18 @@ def q_rff_conditional(spark, sf_dir):
     return _r(e.values, "value")
 
 
+def q_extras_one_pass(spark, sf_dir):
+    """X3 for A11-A13: one real, a real pair and a conditional block from one scan."""
+    p, s = _stats(spark, sf_dir)
+    embs = rff.multi_real_rff(p, s, [(["l_extendedprice"], ONE, None),
+                                     (["l_extendedprice", "l_tax"], PAIR, None),
+                                     (["l_extendedprice"], ONE, "l_returnflag")])
+    parts = [e.values if "level" in e.values.columns
+             else e.values.withColumn("level", F.lit(None).cast("string")) for e in embs]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return _r(out, "value")
+
+
 def q_median_heuristic(spark, sf_dir):
     """K1 + J11 + A19: exact median pairwise distance of a 5,000-row sample."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").withColumn("w", F.lit(1.0))
@@ -729,6 +741,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "stream_embedding": q_stream_embedding,
         "shared_pass": q_shared_pass,
         "custom_featurizer": q_custom_featurizer,
+        "extras_one_pass": q_extras_one_pass,
     }
 
 
@@ -912,6 +925,13 @@ FROM supplier""",
 SELECT region, round(lon, 6) AS lon, round(lat, 6) AS lat, round(area, 6) AS area FROM cen""",
         "spatial_features": _spatial_sql(),
         "stream_embedding": S.linear_sql(),
+        "extras_one_pass": "SELECT *, CAST(NULL AS VARCHAR) AS level FROM ("
+                           + S.rff_sql(ONE.tolist(), ["l_extendedprice"])
+                           + ") UNION ALL SELECT *, CAST(NULL AS VARCHAR) FROM ("
+                           + S.rff_sql(PAIR.tolist(), ["l_extendedprice", "l_tax"])
+                           + ") UNION ALL SELECT * FROM ("
+                           + S.rff_sql(ONE.tolist(), ["l_extendedprice"],
+                                       condition="l_returnflag") + ")",
         "custom_featurizer": S.with_person(S.stats_ctes() + f""",
 zz AS (SELECT region, coalesce(CAST(l_quantity AS DOUBLE), 0.0) AS w,
               {S.z_expr('l_extendedprice')} AS z0, {S.z_expr('l_discount')} AS z1,

@@ -317,3 +317,134 @@ def custom_embedding(df: DataFrame, stats: Stats, features, out_size: int, name:
                        F.concat(F.lit(name + "_"), F.col("pos").cast("string")).alias("feature_name"),
                        F.lit(name).alias("feature_id"), "value")
     return Embedding(vals, weights.drop("g"), name)
+
+
+def _multi_partials(blocks: list[tuple[list[int], int | None, int]], bc, chunk: int,
+                    max_groups: int):
+    """Kernel for several RFF blocks in one pass.
+
+    ``blocks[b] = (real column indices, condition index or None, D)``.  Each
+    block's partial sums are keyed by ``(block, region, subset, level)``.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        freqs = bc.value
+        acc: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            if not acc:
+                return None
+            parts = []
+            for (b, reg, sub, g), v in acc.items():
+                width = len(v)
+                parts.append(pd.DataFrame({
+                    "block": np.full(width, b, dtype=np.int32), "region": [reg] * width,
+                    "subset": np.full(width, sub, dtype=np.int32), "g": [g] * width,
+                    "pos": np.arange(-1, width - 1, dtype=np.int32), "s": v}))
+            acc.clear()
+            return pd.concat(parts, ignore_index=True)
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            w_all = pdf["_w"].to_numpy(dtype=np.float64)
+            Z_all = pdf[[c for c in pdf.columns if c.startswith("z")]].to_numpy(dtype=np.float64)
+            for b, (cols, cond, D) in enumerate(blocks):
+                gcol = f"g{cond}" if cond is not None else None
+                keys = ["region", "subset"] + ([gcol] if gcol else [])
+                sub_pdf = pdf if gcol is None else pdf[pdf[gcol].notna()]
+                if sub_pdf.empty:
+                    continue
+                sel = sub_pdf.index.to_numpy() if gcol else np.arange(len(pdf))
+                codes = (sub_pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy())
+                _, first = np.unique(codes, return_index=True)
+                firsts = sub_pdf[keys].iloc[first]
+                uniq = [(r[0], int(r[1]), (r[2] if gcol else None))
+                        for r in firsts.itertuples(index=False)]
+                order = np.argsort(codes, kind="stable")
+                codes = codes[order]
+                rows = sel[order]
+                w = w_all[rows]
+                Z = Z_all[rows][:, cols]
+                W = freqs[b]
+                part = np.zeros((len(uniq), 2 * D + 1))
+                part[:, 0] = np.bincount(codes, weights=w, minlength=len(uniq))
+                for s in range(0, len(w), chunk):
+                    e = min(s + chunk, len(w))
+                    ang = Z[s:e] @ W
+                    fx = np.concatenate([np.sin(ang), np.cos(ang)], axis=1) * w[s:e, None]
+                    c = codes[s:e]
+                    starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+                    part[c[starts], 1:] += np.add.reduceat(fx, starts, axis=0)
+                for i, (reg, sub, g) in enumerate(uniq):
+                    key = (b, reg, sub, g)
+                    if key in acc:
+                        acc[key] += part[i]
+                    else:
+                        acc[key] = part[i].copy()
+            if len(acc) > max_groups:
+                yield flush()
+        out = flush()
+        if out is not None:
+            yield out
+    return run
+
+
+def multi_real_rff(df: DataFrame, stats: Stats,
+                   blocks: list[tuple[list[str], np.ndarray, str | None]],
+                   region_col: str = "region", subsets: list[str | Column] | None = None,
+                   weight: str | None = None, chunk: int = ROWS_PER_CHUNK) -> list[Embedding]:
+    """A11-A13 for many blocks in one scan (X3 for the RFF extras).
+
+    ``blocks`` are ``(reals, freqs, condition)``.  One ``mapInPandas`` pass
+    computes every block's partial sums, one ``groupBy`` combines them, and
+    the summed table (blocks x regions x levels x 2D rows, independent of the
+    row count) is written as a reliable checkpoint so each block's result is
+    read from it instead of rescanning the data.  Results equal
+    ``real_rff_embedding`` block by block.
+    """
+    spark = df.sparkSession
+    weight = weight or stats.spec.weight
+    params = stats.real_params()
+    nn = stats.needs_nan()
+    reals = list(dict.fromkeys(r for b in blocks for r in b[0]))
+    conds = list(dict.fromkeys(b[2] for b in blocks if b[2]))
+    base = with_subsets(df, subsets)
+    rows = base.select(
+        F.col(region_col).cast("string").alias("region"),
+        F.col("subset").cast("int").alias("subset"),
+        weight_col(weight).alias("_w"),
+        *[standardize(F.col(r), *params.get(r, (None, None))).alias(f"z{i}")
+          for i, r in enumerate(reals)],
+        *[level_of(d, nn.get(d, False)).alias(f"g{j}") for j, d in enumerate(conds)])
+    spec_blocks = [([reals.index(r) for r in rs], conds.index(c) if c else None,
+                    np.asarray(f).shape[1]) for rs, f, c in blocks]
+    freqs = [np.ascontiguousarray(f, dtype=np.float64) for _, f, _ in blocks]
+    if sum(f.nbytes for f in freqs) > MAX_FREQ_BYTES:
+        raise ValueError("frequency matrices exceed the broadcast bound")
+    bc = spark.sparkContext.broadcast(freqs)
+    width = max(2 * sb[2] + 1 for sb in spec_blocks)
+    max_groups = max(16, (64 << 20) // (8 * width))
+    schema = "block int, region string, subset int, g string, pos int, s double"
+    part = rows.mapInPandas(_multi_partials(spec_blocks, bc, chunk, max_groups), schema)
+    from regemb.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    sums = (part.groupBy("block", "region", "subset", "g", "pos")
+                .agg(F.sum("s").alias("s")).checkpoint())
+    out = []
+    for b, (rs, f, cond) in enumerate(blocks):
+        D = np.asarray(f).shape[1]
+        vals, weights = finish(sums.where(F.col("block") == b).drop("block"), math.sqrt(D))
+        ident = "_".join(rs)
+        if cond:
+            prefix = F.concat(F.lit(f"{cond}_{ident}_"), F.col("g"))
+            fid = f"{cond}_{ident}_rff"
+        else:
+            prefix, fid = F.lit(ident), f"{ident}_rff"
+        v = _names(vals, D, prefix).select(
+            "region", "subset", "pos", "feature_name", F.lit(fid).alias("feature_id"),
+            "value", F.col("g").alias("level"))
+        if cond:
+            out.append(Embedding(v, weights.withColumnRenamed("g", "level"), "extra"))
+        else:
+            out.append(Embedding(v.drop("level"), weights.drop("g"), "extra"))
+    return out

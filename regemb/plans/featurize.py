@@ -57,12 +57,11 @@ def extras(df: DataFrame, stats: Stats, cfg: ExtrasConfig, region_col: str = "re
              for r, bw in zip(cfg.reals, one_bw)}
     pair_f = {p: rff.pick_freqs(cfg.pair_n_freqs, bw, 2, int(rs.integers(2 ** 23)))
               for p, bw in zip(pairs, pair_bw)}
-    out = [rff.real_rff_embedding(df, stats, [r], one_f[r], region_col, subsets)
-           for r in cfg.reals]
-    out += [rff.real_rff_embedding(df, stats, list(p), pair_f[p], region_col, subsets)
-            for p in pairs]
-    out += [rff.real_rff_embedding(df, stats, [r], one_f[r], region_col, subsets, condition=d)
-            for r in cfg.reals for d in cfg.discretes]
+    # every RFF block of the extras comes from one scan of the data
+    blocks = ([([r], one_f[r], None) for r in cfg.reals]
+              + [(list(p), pair_f[p], None) for p in pairs]
+              + [([r], one_f[r], d) for r in cfg.reals for d in cfg.discretes])
+    out = rff.multi_real_rff(df, stats, blocks, region_col, subsets) if blocks else []
     dpairs = list(itertools.combinations(cfg.discretes, 2))
     if dpairs and interactions:
         out.append(embed.interaction_embedding(df, stats, dpairs, region_col, subsets))
