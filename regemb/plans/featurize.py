@@ -15,7 +15,6 @@ from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from regemb.operators import distances, embed, rff
 from regemb.operators.stats import Stats, compute_stats
