@@ -46,12 +46,16 @@ class Embedding:
 
 
 def predicate(p: str | Column) -> Column:
-    c = F.expr(p) if isinstance(p, str) else p
-    return F.coalesce(c, F.lit(False))
+    return F.expr(p) if isinstance(p, str) else p
 
 
 def with_subsets(df: DataFrame, subsets: list[str | Column] | None) -> DataFrame:
-    """P10: add ``subset`` (one row per satisfied predicate); drop rows in none."""
+    """P10: add ``subset`` (one row per satisfied predicate); drop rows in none.
+
+    A null predicate counts as false.  The pre-filter is the plain ``OR`` of
+    the predicates (no ``coalesce`` wrapper) so Catalyst can push it into the
+    Parquet scan when the columns allow.
+    """
     if not subsets:
         return df.withColumn("subset", F.lit(0))
     preds = [predicate(p) for p in subsets]
