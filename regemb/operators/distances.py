@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from regemb.session import ship_package  # noqa: E402
+
 BINS = 1 << 14
 FINAL_MAX = 1 << 18
 BLOCK = 64
@@ -84,6 +86,7 @@ def _pass(spark: SparkSession, bc, n: int, lo: float, hi: float, bins: int,
                                         "cnt": h[nz].astype(np.int64), "v": np.zeros(len(nz))})
                 yield pd.DataFrame({"bin": [-1], "cnt": [below], "v": [0.0]})
 
+    ship_package(spark)
     parts = min(nblocks, 4 * spark.sparkContext.defaultParallelism)
     res = spark.range(nblocks).repartition(parts).mapInPandas(
         run, "bin long, cnt long, v double")

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from regemb.operators.embed import Embedding, weight_col, with_subsets
 from regemb.operators.encode import level_of, level_positions, standardize
 from regemb.operators.stats import Stats
+from regemb.session import ship_package
 from regemb.spec import skip_features
 
 MAX_FREQ_BYTES = 512 * 1024 * 1024
@@ -151,6 +152,7 @@ def featurizer_sums(rows: DataFrame, n_real: int, n_idx: int, features, out_size
         # hold at most ~64 MB of partial sums per task
         max_groups = max(16, (64 << 20) // (8 * (out_size + 1)))
     schema = "region string, subset int, g string, pos int, s double"
+    ship_package(rows.sparkSession)
     part = rows.mapInPandas(_partials(n_real, n_idx, features, out_size, chunk, max_groups),
                             schema)
     return part.groupBy("region", "subset", "g", "pos").agg(F.sum("s").alias("s"))
@@ -425,6 +427,7 @@ def multi_real_rff(df: DataFrame, stats: Stats,
     width = max(2 * sb[2] + 1 for sb in spec_blocks)
     max_groups = max(16, (64 << 20) // (8 * width))
     schema = "block int, region string, subset int, g string, pos int, s double"
+    ship_package(spark)
     part = rows.mapInPandas(_multi_partials(spec_blocks, bc, chunk, max_groups), schema)
     from regemb.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)

@@ -61,3 +61,41 @@ def _count():
 
 
 _counter = _count()
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``regemb`` importable by the Python workers (``addPyFile``).
+
+    Operators that run Python on executors (``mapInPandas`` kernels) need
+    the package there.  On a cluster it is normally passed with
+    ``spark-submit --py-files``; when the workers cannot import it, the
+    package is zipped once per application into the shared checkpoint folder
+    and added to the context.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _shipped:
+        return
+    import importlib.util
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    target = scratch_path(spark, "pyfiles")
+    local = target[len("file:"):] if target.startswith("file:") else target
+    if "://" in local:  # a remote shared folder: build locally, Spark uploads it
+        local = tempfile.mkdtemp(prefix="regemb-pyfiles-")
+    os.makedirs(local, exist_ok=True)
+    path = os.path.join(local, "regemb.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for d, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(d, f)
+                    z.write(full, os.path.relpath(full, root))
+    sc.addPyFile(path)
+    _shipped.add(app)
+    importlib.util.find_spec("regemb")  # the driver side already has it
