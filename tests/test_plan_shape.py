@@ -33,3 +33,8 @@ def test_flagship_scans_are_pruned_and_shuffles_few(spark):
     # joins (household + region lookup), one aggregation shuffle, one small window shuffle
     assert plan.count("Exchange hashpartitioning") <= 5
     assert "Generate inline" in plan
+    # the aggregation shuffle is keyed by region *and* feature/level, so a hot
+    # region is spread over reducers (and pre-aggregated map-side)
+    keys = re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)
+    assert any("region" in k and "feature" in k and "level" in k for k in keys)
+    assert "partial_sum" in plan

@@ -114,3 +114,17 @@ def test_partition_count_invariance(spark):
     da = {(r["region"], r["pos"]): r["value"] for r in a.collect()}
     db = {(r["region"], r["pos"]): r["value"] for r in b.collect()}
     assert all(abs(da[k] - db[k]) < 1e-9 for k in da)
+
+
+def test_hot_region_written_in_parallel(spark, scratch):
+    """A region with a third of all rows is split across writer tasks/files."""
+    n = 30000
+    df = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(
+            F.concat(F.lit("R"), (F.col("id") % 50).cast("string"))).alias("region"),
+        F.col("id").cast("double").alias("x")).repartition(8)
+    sinks.write_partitioned(df, f"{scratch}/hot", max_records_per_file=2000)
+    files = [f for f in os.listdir(f"{scratch}/hot/region=HOT") if f.endswith(".parquet")]
+    assert len(files) >= 5
+    back = spark.read.parquet(f"{scratch}/hot")
+    assert back.count() == n and back.where(F.col("region") == "HOT").count() == n // 3
