@@ -135,15 +135,11 @@ def q_shared_pass(spark, sf_dir):
               .unionByName(inter.values.drop("pos")), "value")
 
 
-def _custom_features(Z, idx):
-    # a user featurizer: price, price x discount, tax squared (standardised)
-    return np.c_[Z[:, 0], Z[:, 0] * Z[:, 1], Z[:, 2] ** 2]
-
-
 def q_custom_featurizer(spark, sf_dir):
     """A user featurizer (numpy over encoded rows) averaged per region."""
+    from regemb.plans.standin import price_tax_features
     p, s = _stats(spark, sf_dir)
-    return _r(rff.custom_embedding(p, s, _custom_features, 3, "custom").values, "value")
+    return _r(rff.custom_embedding(p, s, price_tax_features, 3, "custom").values, "value")
 
 
 def q_weighted_sample(spark, sf_dir):

@@ -93,6 +93,14 @@ def person(spark: SparkSession, sf_dir: str, with_region: bool = True) -> DataFr
     return df
 
 
+def price_tax_features(Z, idx):
+    """A stand-in user featurizer (X2) over encoded rows: standardised price,
+    price x discount and tax squared.  It lives in the package so Python
+    workers can import it."""
+    import numpy as np
+    return np.c_[Z[:, 0], Z[:, 0] * Z[:, 1], Z[:, 2] ** 2]
+
+
 def person_sql(region_expr: str = "n.n_name") -> str:
     """DuckDB/ANSI text of the same view (a ``person`` CTE), for oracles."""
     return f"""
