@@ -273,3 +273,36 @@ def test_interactions_roll_up(spark):
     assert got[("AL", 0, "d_e_a_z")] == pytest.approx(0.25)
     assert got[("AL", 1, "d_e_b_z")] == pytest.approx(0.75)
     assert got[("AK", 2, "d_e_nan_z")] == pytest.approx(1.0)
+
+
+def test_linear_embedding_matches_pandas_brute_force(spark):
+    import pandas as pd
+    rs = np.random.default_rng(11)
+    n = 400
+    pdf = pd.DataFrame({
+        "region": rs.choice(["a", "b", "c", "d"], n),
+        "w": rs.integers(0, 5, n).astype(float),
+        "x": np.where(rs.random(n) < 0.2, np.nan, rs.normal(3, 2, n)),
+        "d": rs.choice(["p", "q", "r", None], n)})
+    df = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None),
+                               "region string, w double, x double, d string")
+    s = st.compute_stats(df, SPEC, sample_size=0)
+    subsets = ["x > 3", "d = 'q' OR d IS NULL"]
+    got = {(r["region"], r["subset"], r["feature_name"]): r["value"]
+           for r in embed.linear_embedding(df, s, subsets=subsets).values.collect()}
+    m, sd = pdf["x"].mean(), pdf["x"].std(ddof=0)
+    z = ((pdf["x"] - m) / sd).fillna(0.0)
+    masks = [(pdf["x"] > 3).to_numpy(), ((pdf["d"] == "q") | pdf["d"].isna()).to_numpy()]
+    for i, mask in enumerate(masks):
+        for reg in "abcd":
+            sel = mask & (pdf["region"] == reg).to_numpy()
+            w = pdf["w"][sel]
+            tw = w.sum()
+            if not sel.any():
+                continue
+            exp_x = float((w * z[sel]).sum() / tw) if tw else 0.0
+            assert got[(reg, i, "x")] == pytest.approx(exp_x, abs=1e-12)
+            for lv in ["p", "q", "r", "nan"]:
+                hit = (pdf["d"][sel].fillna("nan") == lv).to_numpy()
+                exp = float(w[hit].sum() / tw) if tw else 0.0
+                assert got.get((reg, i, f"d_{lv}"), 0.0) == pytest.approx(exp, abs=1e-12)
