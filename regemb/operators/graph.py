@@ -69,8 +69,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b",
               .distinct()
     # orient each edge small -> large; self-loops only keep their node alive
     e = (e0.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-           .where(F.col("a") != F.col("b")).distinct())
-    sig = None  # the first round's checkpoint cuts the input lineage
+           .where(F.col("a") != F.col("b")).distinct().checkpoint())
+    sig = _signature(e)
     for _ in range(max_rounds):
         # one reliable checkpoint per round keeps the lineage at two steps
         e = small_star(large_star(e)).checkpoint()
