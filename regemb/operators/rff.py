@@ -217,12 +217,18 @@ def rff_embedding(df: DataFrame, stats: Stats, freqs: np.ndarray | None = None,
                   n_freqs: int = 2048, bandwidth: float | None = None,
                   orthogonal: bool = True, seed: int | None = None,
                   region_col: str = "region", subsets: list[str | Column] | None = None,
-                  skip: set[str] | None = None, weight: str | None = None) -> Embedding:
+                  skip: set[str] | None = None, weight: str | None = None,
+                  ordered: dict[str, list[str]] | None = None) -> Embedding:
     """A10: RFF mean embedding over every encoded feature.
 
     Given ``freqs`` win; else the bandwidth (median heuristic when None,
     M3) and a seeded draw (M4) make them.  Output positions: sines
     ``0..D-1`` then cosines ``D..2D-1``.
+
+    ``ordered`` features use thermometer coding (F3): level k switches on
+    the columns of levels 1..k, so its angle contribution is the prefix sum
+    of those frequency rows.  The prefix sums are appended to the frequency
+    matrix and gathered like one-hot rows.
     """
     spec = stats.spec
     skip = skip_features(spec) if skip is None else skip
@@ -242,10 +248,24 @@ def rff_embedding(df: DataFrame, stats: Stats, freqs: np.ndarray | None = None,
     nn = stats.needs_nan()
     z = [standardize(F.col(r), *params.get(r, (None, None))) for r in reals]
     idx = []
+    extra_rows = []
     for d in disc:
         m = {lv: p for (f, lv), p in pos.items() if f == d}
+        if ordered and d in ordered:
+            # thermometer: level k -> row holding the sum of rows of levels 1..k
+            levels = [lv for lv in ordered[d] if lv in m]
+            cum = np.cumsum(freqs[[m[lv] for lv in levels]], axis=0) if levels else []
+            m = {}
+            for k, lv in enumerate(levels):
+                m[lv] = n_feats + len(extra_rows)
+                extra_rows.append(cum[k])
+            lookup = F.create_map(*[x for lv, p in m.items() for x in (F.lit(lv), F.lit(p))])
+            idx.append(lookup[F.col(d).cast("string")] if m else F.lit(None).cast("int"))
+            continue
         lookup = F.create_map(*[x for lv, p in sorted(m.items()) for x in (F.lit(lv), F.lit(p))])
         idx.append(lookup[level_of(d, nn.get(d, False))])
+    if extra_rows:
+        freqs = np.vstack([freqs, np.array(extra_rows)])
     rows = _rows(df, region_col, weight, subsets, z, idx, None)
     vals, weights = finish(rff_sums(rows, len(reals), len(disc), freqs), math.sqrt(D))
     vals = _names(vals, D, F.lit("rff")).select(

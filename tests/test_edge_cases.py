@@ -306,3 +306,27 @@ def test_linear_embedding_matches_pandas_brute_force(spark):
                 hit = (pdf["d"][sel].fillna("nan") == lv).to_numpy()
                 exp = float(w[hit].sum() / tw) if tw else 0.0
                 assert got.get((reg, i, f"d_{lv}"), 0.0) == pytest.approx(exp, abs=1e-12)
+
+
+def test_rff_thermometer_matches_dense_numpy(spark):
+    rs = np.random.default_rng(12)
+    rows = [("r" + str(rs.integers(2)), float(rs.integers(1, 4)), float(rs.normal()),
+             ["a", "b", "c", None][rs.integers(4)]) for _ in range(60)]
+    df = _df(spark, rows)
+    s = st.compute_stats(df, SPEC, sample_size=0)
+    W = rff.gaussian_freqs(5, 3, 1.0, seed=13)  # rows: x, d_a, d_b, d_c, d_nan
+    got = {(r["region"], r["pos"]): r["value"] for r in
+           rff.rff_embedding(df, s, freqs=W, ordered={"d": ["a", "b", "c"]}).values.collect()}
+    m, sd = s.real_params()["x"]
+    for reg in {r[0] for r in rows}:
+        X, w = [], []
+        for r in rows:
+            if r[0] != reg:
+                continue
+            k = {"a": 1, "b": 2, "c": 3}.get(r[3], 0)
+            X.append([(r[2] - m) / sd] + [1.0 if j < k else 0.0 for j in range(3)] + [0.0])
+            w.append(r[1])
+        A = np.array(X) @ W
+        want = (np.array(w) @ np.c_[np.sin(A), np.cos(A)]) / (sum(w) * math.sqrt(3))
+        for j, v in enumerate(want):
+            assert got[(reg, j)] == pytest.approx(v, abs=1e-12)
