@@ -161,6 +161,12 @@ def q_rff_embedding(spark, sf_dir):
     return _r(rff.rff_embedding(p, s, freqs=FREQS).values, "value")
 
 
+def q_rff_thermometer(spark, sf_dir):
+    """A10 + F3: RFF with thermometer-coded ordered features."""
+    p, s = _stats(spark, sf_dir)
+    return _r(rff.rff_embedding(p, s, freqs=FREQS, ordered=THERMO).values, "value")
+
+
 def q_rff_one_real(spark, sf_dir):
     """RFF of one standardised real."""
     p, s = _stats(spark, sf_dir)
@@ -740,6 +746,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "shared_pass": q_shared_pass,
         "custom_featurizer": q_custom_featurizer,
         "extras_one_pass": q_extras_one_pass,
+        "rff_thermometer": q_rff_thermometer,
     }
 
 
@@ -923,6 +930,7 @@ FROM supplier""",
 SELECT region, round(lon, 6) AS lon, round(lat, 6) AS lat, round(area, 6) AS area FROM cen""",
         "spatial_features": _spatial_sql(),
         "stream_embedding": S.linear_sql(),
+        "rff_thermometer": S.rff_sql(FREQS.tolist(), full=True, ordered=THERMO),
         "extras_one_pass": "SELECT *, CAST(NULL AS VARCHAR) AS level FROM ("
                            + S.rff_sql(ONE.tolist(), ["l_extendedprice"])
                            + ") UNION ALL SELECT *, CAST(NULL AS VARCHAR) FROM ("

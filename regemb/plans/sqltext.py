@@ -141,7 +141,8 @@ vals AS (SELECT s.*, coalesce(w.weight, 0.0) AS weight FROM sums s
 
 def rff_sql(freqs, reals: list[str] | None = None, full: bool = False,
             condition: str | None = None, spec: MicrodataSpec = STANDIN,
-            region_expr: str = "n.n_name", kind: str | None = None) -> str:
+            region_expr: str = "n.n_name", kind: str | None = None,
+            ordered: dict[str, list[str]] | None = None) -> str:
     """RFF mean embedding as SQL with literal frequencies.
 
     ``full``: all encoded features (frequency rows by catalogue position);
@@ -161,7 +162,8 @@ def rff_sql(freqs, reals: list[str] | None = None, full: bool = False,
         feat = " UNION ALL ".join(
             [f"SELECT rid, c.pos, {z_expr(r)} AS x FROM pr JOIN cat c ON c.feature = {q(r)}"
              for r in rl]
-            + [f"SELECT rid, c.pos, 1.0 FROM pr JOIN cat c ON c.feature = {q(d)} "
+            + [_thermo_feat(d, (ordered or {})[d]) if d in (ordered or {}) else
+               f"SELECT rid, c.pos, 1.0 FROM pr JOIN cat c ON c.feature = {q(d)} "
                f"AND c.level = {level_expr(d)}" for d in dl])
         cat = catalogue_cte(spec, skip) + ","
     else:
@@ -204,6 +206,14 @@ agg AS (SELECT region, g, sum(w) AS wt, {sums} FROM rowsx GROUP BY region, g)
 {' UNION ALL '.join(outs)}""", region_expr)
 
 
+def _thermo_feat(d: str, levels: list[str]) -> str:
+    """Thermometer rows: every level up to the row's own (none for others)."""
+    lst = "[" + ", ".join(q(x) for x in levels) + "]"
+    return (f"SELECT rid, c.pos, 1.0 FROM pr JOIN cat c ON c.feature = {q(d)} "
+            f"AND list_position({lst}, c.level) IS NOT NULL "
+            f"AND list_position({lst}, c.level) <= list_position({lst}, CAST({d} AS VARCHAR))")
+
+
 def hash_uniform_sql(key: str) -> str:
     h = f"CAST(('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8)) AS UBIGINT)"
     return f"(CASE WHEN {h} = 0 THEN pow(2.0, -33) ELSE {h} / 4294967296.0 END)"
