@@ -330,3 +330,27 @@ def test_rff_thermometer_matches_dense_numpy(spark):
         want = (np.array(w) @ np.c_[np.sin(A), np.cos(A)]) / (sum(w) * math.sqrt(3))
         for j, v in enumerate(want):
             assert got[(reg, j)] == pytest.approx(v, abs=1e-12)
+
+
+def test_rff_inner_products_approach_kernel_mean(spark):
+    rs = np.random.default_rng(21)
+    rows = [(["a", "b"][i % 2], float(rs.integers(1, 4)), float(rs.normal(i % 2, 1.0)),
+             ["p", "q"][rs.integers(2)]) for i in range(80)]
+    df = _df(spark, rows)
+    s = st.compute_stats(df, SPEC, sample_size=0)
+    bw, D = 1.5, 4096
+    W = rff.gaussian_freqs(3, D, bw, seed=5)  # rows: x, d_p, d_q
+    vals = rff.rff_embedding(df, s, freqs=W).values.collect()
+    emb = {reg: np.zeros(2 * D) for reg in "ab"}
+    for r in vals:
+        emb[r["region"]][r["pos"]] = r["value"]
+    m, sd = s.real_params()["x"]
+
+    def enc(r):
+        return np.array([(r[2] - m) / sd, r[3] == "p", r[3] == "q"], dtype=float)
+    A = [(enc(r), r[1]) for r in rows if r[0] == "a"]
+    B = [(enc(r), r[1]) for r in rows if r[0] == "b"]
+    num = sum(wa * wb * math.exp(-((xa - xb) ** 2).sum() / (2 * bw * bw))
+              for xa, wa in A for xb, wb in B)
+    den = sum(w for _, w in A) * sum(w for _, w in B)
+    assert float(emb["a"] @ emb["b"]) == pytest.approx(num / den, abs=0.03)
