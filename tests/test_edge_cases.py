@@ -354,3 +354,15 @@ def test_rff_inner_products_approach_kernel_mean(spark):
               for xa, wa in A for xb, wb in B)
     den = sum(w for _, w in A) * sum(w for _, w in B)
     assert float(emb["a"] @ emb["b"]) == pytest.approx(num / den, abs=0.03)
+
+
+def test_empty_subset_is_absent_and_others_unaffected(spark):
+    df = _df(spark, [("a", 1.0, 1.0, "p"), ("a", 3.0, 2.0, "q")])
+    s = st.compute_stats(df, SPEC, sample_size=0)
+    e = embed.linear_embedding(df, s, subsets=["x > 100", "TRUE"])
+    subs = {r["subset"] for r in e.weights.collect()}
+    assert subs == {1}  # subset 0 matched nothing: no rows, i.e. all zeros
+    alone = embed.linear_embedding(df, s, subsets=["TRUE"])
+    a = {(r["feature_name"]): r["value"] for r in e.values.collect()}
+    b = {(r["feature_name"]): r["value"] for r in alone.values.collect()}
+    assert a == pytest.approx(b)
