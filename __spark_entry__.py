@@ -32,6 +32,14 @@ from regemb.plans import sqltext as S
 from regemb.plans.standin import (STANDIN, household_rows, person, person_lines, region_lookup,
                                   superregion_lookup, table)
 
+try:  # the training-data operators are an optional part
+    import corpus_pipeline as _pipeline
+    from regemb.llm import queries as _llm
+except ModuleNotFoundError as e:
+    if e.name not in ("corpus_pipeline", "regemb.llm", "regemb.llm.queries"):
+        raise
+    _llm = _pipeline = None
+
 SF_SMOKE = "/root/testdata/sf0.001"
 
 
@@ -687,6 +695,11 @@ def q_stream_embedding(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    extra = {**_llm.queries(), "pipeline": _pipeline.run} if _llm else {}
+    return {**_queries(), **extra}
+
+
+def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "linear_embedding": q_linear_embedding,
         "region_weights": q_region_weights,
@@ -774,7 +787,11 @@ def _no_negative_zero(sql: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: _no_negative_zero(v) for k, v in _oracle_sql().items()}
+    own = {k: _no_negative_zero(v) for k, v in _oracle_sql().items()}
+    extra = dict(_llm.oracle_sql()) if _llm else {}
+    if _pipeline and _pipeline.ORACLE_SQL:
+        extra["pipeline"] = _pipeline.ORACLE_SQL
+    return {**own, **extra}
 
 
 def _oracle_sql() -> dict[str, str]:
