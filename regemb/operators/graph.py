@@ -8,12 +8,12 @@ list and the number of rounds grows like log^2 of the component size, so a
 long chain needs a handful of rounds, not one per hop.  After convergence
 every component is a star around its smallest node, which is the label.
 
-Every round's edge list is written with ``checkpoint()`` (a reliable
-checkpoint in the shared ``spark.checkpoint.dir``), which cuts the lineage
-and lets a lost executor's work be re-read rather than recomputed from the
-first round.  High-degree nodes (a hub holding a third of the edges) only
-meet partial aggregation in ``groupBy(u).min`` and AQE's skew-join split in
-the join back to the edges.
+Every step's edge list and minima are written to the folder that
+``spark.checkpoint.dir`` names, which cuts the lineage and lets a lost
+executor's work be re-read rather than recomputed from the first round.
+High-degree nodes (a hub holding a third of the edges) only meet partial
+aggregation in ``groupBy(u).min`` and a join of two stored tables, whose
+skewed partitions AQE splits.
 """
 
 from __future__ import annotations
@@ -22,7 +22,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from regemb.session import ensure_checkpoint_dir
+from regemb.session import scratch_path
+
+
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: a plain scan, no lineage.
+
+    Joins of two such scans shuffle both sides, which is what lets AQE split
+    the partition of a hub (it cannot split below an aggregate).
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, f"graph-{name}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -30,11 +42,14 @@ def _both(e: DataFrame) -> DataFrame:
              .unionByName(e.select(F.col("b").alias("u"), F.col("a").alias("v"))))
 
 
+def _smallest(b: DataFrame) -> DataFrame:
+    return _kept(b.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "minima")
+
+
 def large_star(e: DataFrame) -> DataFrame:
     """Connect every strictly larger neighbour of u to u's smallest neighbourhood node."""
     b = _both(e)
-    m = b.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return (b.join(m, "u").where(F.col("v") > F.col("u"))
+    return (b.join(_smallest(b), "u").where(F.col("v") > F.col("u"))
              .select(F.col("v").alias("a"), F.col("m").alias("b"))
              .where(F.col("a") != F.col("b")).distinct())
 
@@ -42,7 +57,7 @@ def large_star(e: DataFrame) -> DataFrame:
 def small_star(e: DataFrame) -> DataFrame:
     """Connect u and its smaller neighbours to the smallest of them."""
     b = _both(e).where(F.col("v") <= F.col("u"))
-    m = b.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    m = _smallest(b)
     moved = b.join(m, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
     own = m.select(F.col("u").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(own).where(F.col("a") != F.col("b")).distinct()
@@ -54,32 +69,25 @@ def _signature(e: DataFrame) -> tuple[int, int]:
     return int(r["n"]), int(r["h"] or 0)
 
 
-def connected_components(edges: DataFrame, src: str = "a", dst: str = "b",
-                         max_rounds: int = 200) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """``(node, component)`` for every node of an undirected edge list.
 
     Node ids may be any orderable type (strings here); the component label
-    is the smallest node of the component.
+    is the smallest node of the component.  Rounds go on until nothing moves.
     """
-    spark = edges.sparkSession
-    ensure_checkpoint_dir(spark)
-    e0 = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).where(
-        F.col("a").isNotNull() & F.col("b").isNotNull())
-    nodes = e0.select(F.col("a").alias("node")).union(e0.select(F.col("b").alias("node"))) \
-              .distinct()
-    # orient each edge small -> large; self-loops only keep their node alive
-    e = (e0.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-           .where(F.col("a") != F.col("b")).distinct().checkpoint())
+    e0 = _kept(edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"))
+                    .where(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct(), "edges")
+    # self-loops only keep their node alive
+    loops = e0.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"))
+    e = e0.where(F.col("a") != F.col("b"))
+    nodes = _both(e).select(F.col("u").alias("node")).union(loops).distinct()
     sig = _signature(e)
-    for _ in range(max_rounds):
-        # one reliable checkpoint per round keeps the lineage at two steps
-        e = small_star(large_star(e)).checkpoint()
+    while sig[0]:
+        e = _kept(small_star(_kept(large_star(e), "large")), "small")
         new = _signature(e)
         if new == sig:
             break
         sig = new
-    else:
-        raise RuntimeError("connected components did not converge")
     parent = (_both(e).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("component"))
               .withColumnRenamed("u", "node"))
     return (nodes.join(parent, "node", "left")
