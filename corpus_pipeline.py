@@ -13,7 +13,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from regemb.llm import exact_dedup, mixing, packing, toxicity
+from regemb.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from regemb.llm.base import stored, table
 
 
@@ -28,6 +28,11 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.dedup(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: one document of each class of near copies stays."""
+    return ngram_join.dedup(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 4: rows as often as the mix takes them."""
     return mixing.mix(docs)
@@ -42,6 +47,7 @@ def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 STAGES = [
     ("toxicity", drop_toxic),
     ("exact_dedup", drop_copies),
+    ("ngram_jaccard", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_windows),
 ]

@@ -8,11 +8,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regemb.llm import (exact_dedup, mixing, packing, quality, spotsigs, token_count,
-                        toxicity)
+from regemb.llm import (exact_dedup, mixing, ngram_join, packing, quality, spotsigs,
+                        token_count, toxicity)
 from regemb.llm.base import crc_of_id, table
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return ngram_join.classes(table(spark, sf_dir, "documents"))
+
+
 def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint of every text and of its edited text, and how alike they are."""
     rows = spotsigs.edited_and_next(table(spark, sf_dir, "documents"))
@@ -69,8 +74,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op2_spotsigs, op3_packing, op4_mixing, op6_exact_dedup, op7_token_count, op8_quality,
-        op10_toxicity)}
+        op1_ngram_jaccard, op2_spotsigs, op3_packing, op4_mixing, op6_exact_dedup,
+        op7_token_count, op8_quality, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
