@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regemb.llm import (exact_dedup, mixing, ngram_join, packing, quality, spotsigs,
-                        token_count, toxicity)
+from regemb.llm import (exact_dedup, license_scan, mixing, ngram_join, packing, quality,
+                        spotsigs, suffix_dedup, token_count, toxicity)
 from regemb.llm.base import crc_of_id, table
 
 
@@ -43,6 +43,12 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
                        mixing.taken_words(F.col("spans")).alias("taken"), "source")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence family of every line that a template could confirm."""
+    docs = table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.Classifier(spark, docs))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of equal texts of every document."""
     return exact_dedup.classes(table(spark, sf_dir, "documents"))
@@ -63,6 +69,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What goes of every text because a smaller document has it too."""
+    return suffix_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every text, learned outside the held-out fold."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
@@ -74,8 +85,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_ngram_jaccard, op2_spotsigs, op3_packing, op4_mixing, op6_exact_dedup,
-        op7_token_count, op8_quality, op10_toxicity)}
+        op1_ngram_jaccard, op2_spotsigs, op3_packing, op4_mixing, op5_license_scan,
+        op6_exact_dedup, op7_token_count, op8_quality, op9_suffix_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
