@@ -15,8 +15,8 @@
 * **Confirmation.**  A predicted family counts only if the paragraph holds at
   least ``MIN_TEMPLATE`` of the two-word n-grams of one of its templates.
 
-A paragraph with none of the n-grams that confirmation needs can never be
-confirmed, so lines without any cue word of the templates are not scored.
+Lines without any cue word (:func:`cue_words`) hold too few n-grams of every
+template to be confirmed; they are not scored and give no row.
 
 Null or empty texts have no paragraphs.  Null ids stay null.  Repeated rows
 give repeated results.  An empty table gives an empty result (the model then
@@ -25,7 +25,6 @@ has only the built-in unknown paragraphs).  Extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 
 import numpy as np
@@ -153,17 +152,33 @@ def lines(docs: DataFrame) -> DataFrame:
             .select("doc_id", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("line_no", "line")))
 
 
-def cue_pattern() -> str:
-    """A line must hold one of these words: the rarest word of each template's n-grams."""
-    plain = {w for text in UNKNOWN for w in words_of(text)} - {"license", "public", "mit"}
-    cues = {w for texts in TEMPLATES.values() for t in texts for w in words_of(t)
-            if len(w) > 2 and w not in plain and w not in _STOP}
-    return r"(?i)\b(?:" + "|".join(sorted(cues)) + r")\b"
+def cue_words() -> set[str]:
+    """Words without any of which no template can be confirmed.
+
+    For every template words are added, long ones first, until its two-word
+    n-grams that hold none of them are fewer than confirmation needs.
+    """
+    cues: set[str] = set()
+    for texts in TEMPLATES.values():
+        for text in texts:
+            w = words_of(text)
+            pairs = {(w[i], w[i + 1]) for i in range(len(w) - 1)}
+            for word in sorted(set(w), key=lambda x: (x in _COMMON, -len(x), x)):
+                if sum(not cues & set(p) for p in pairs) < MIN_TEMPLATE * len(pairs):
+                    break
+                cues.add(word)
+    return cues
 
 
-_STOP = {"the", "and", "for", "any", "are", "you", "may", "not", "can", "this", "that", "with",
-         "without", "under", "into", "part", "all", "use", "form", "forms", "file", "files",
-         "work", "met", "free", "later", "person", "prior", "law"}
+# Words too common to look for unless nothing else is left.
+_COMMON = {"the", "and", "for", "any", "are", "you", "may", "not", "can", "this", "that", "with",
+           "without", "under", "into", "of", "or", "to", "in", "is", "it", "a", "by"}
+
+
+def cue_pattern() -> str:
+    """Matches the lines that hold a cue word."""
+    return (r"(?iu)(?<![\p{L}\p{N}])(?:" + "|".join(sorted(cue_words()))
+            + r")(?![\p{L}\p{N}])")
 
 
 class Classifier:
@@ -185,8 +200,8 @@ class Classifier:
         vocabulary = CountVectorizer(inputCol="seen", outputCol="features", vocabSize=SLOTS,
                                      binary=True).fit(rows)
         model = LogisticRegression(family="multinomial", regParam=2e-4, elasticNetParam=0.5,
-                                   maxIter=60, standardization=False) \
-            .fit(vocabulary.transform(rows.where("not held")))
+                                   maxIter=40, standardization=False) \
+            .fit(vocabulary.transform(rows.where("not held")).coalesce(1))
         self.weights = np.zeros((len(FAMILIES), SLOTS))
         at = [int(v) - 1 for v in vocabulary.vocabulary]
         self.weights[:model.numClasses, at] = model.coefficientMatrix.toArray()
@@ -195,24 +210,27 @@ class Classifier:
         self.temperature = self._temperature(rows.where("held").select("s", "label"))
 
     def _temperature(self, held: DataFrame) -> float:
-        z = self.margins("s")
-        losses = []
-        for t in TEMPERATURES:
-            e = F.aggregate(z, F.lit(0.0), lambda a, v: a + F.exp(v / t))
-            losses.append(F.avg(F.log(e) - F.element_at(z, (F.col("label") + 1).cast("int")) / t))
-        found = held.agg(*losses).first()
-        return min((v if v is not None else math.inf, t)
-                   for v, t in zip(found, TEMPERATURES, strict=True))[1]
+        """Best temperature for the held-out paragraphs, a few hundred by construction."""
+        rows = held.collect()
+        z = np.array([self.intercepts + self.weights[:, np.array(r["s"], int) - 1].sum(1)
+                      for r in rows]).reshape(-1, len(FAMILIES))
+        label = np.array([int(r["label"]) for r in rows], int)
+
+        def loss(t: float) -> float:
+            u = z / t
+            top = u.max(1)
+            return float(np.mean(top + np.log(np.exp(u - top[:, None]).sum(1))
+                                 - u[np.arange(len(u)), label]))
+        return min(TEMPERATURES, key=loss) if len(rows) else 1.0
 
     def margins(self, s: str) -> Column:
         """Margins by family of a slot array: one lookup per slot and family."""
-        out = []
-        for k in range(len(FAMILIES)):
+        def margin(k: int) -> Column:
             table = F.split(F.lit(",".join(f"{v:.6g}" for v in self.weights[k])), ",") \
                      .cast("array<double>")
-            out.append(F.aggregate(F.col(s), F.lit(float(self.intercepts[k])),
-                                   lambda a, i, table=table: a + F.element_at(table, i)))
-        return F.array(*out)
+            return F.aggregate(F.col(s), F.lit(float(self.intercepts[k])),
+                               lambda a, i: a + F.element_at(table, i))
+        return F.array(*map(margin, range(len(FAMILIES))))
 
 
 def template_share(two: Column, family: str) -> Column:
