@@ -20,8 +20,9 @@ with a smaller id.  Texts are taken as UTF-8; strings are judged on the input.
    marked.
 4. **Removal.**  Marks return to their documents and are merged.
 
-The table is shuffled once by id; both joins read that shuffle.  Long texts
-are worked through in slices.  A key with more than ``GROUP_BYTES`` of
+The table is shuffled once by id; both joins read that shuffle.  Keys and
+fragments travel packed by range of keys.  Long texts are worked through in
+slices.  A key with more than ``GROUP_BYTES`` of
 fragments at its owner (a common phrase in very many surroundings) is not
 sorted there: its strings are grouped by their bytes in a step of their own,
 spread over all tasks.
@@ -41,17 +42,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regemb.llm.base import text_of
+from regemb.llm.base import shuffle_partitions, text_of
 from regemb.llm.shingles import mix
 
 LENGTH = 50
 GRAM = 16
-SLICE = 1 << 20            # bytes worked on at once
-GATHER = 16 << 20          # bytes after which a task sends its keys
-SORT_BYTES = 2 << 20       # bytes of fragments in one suffix array, about
+SLICE = 1 << 18            # bytes worked on at once
+GATHER = 8 << 20           # bytes after which a task sends its keys
+FRAGMENTS = 30_000         # distinct fragments after which a task sends them
+SORT_BYTES = 1 << 19       # bytes of fragments in one suffix array, about
 GROUP_BYTES = 16 << 20     # of one key; beyond, its strings are grouped by a shuffle
 NO_ID = -(1 << 63)
 _MARK = np.dtype([("check", "<u4"), ("start", "<i8"), ("end", "<i8")])
@@ -118,6 +121,26 @@ def slices(texts: list[tuple], limit: int = SLICE) -> Iterator[list[tuple]]:
 # --- suffix sorting ----------------------------------------------------------
 
 
+def _by_words(w: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Places by the seven words from each on; a word is looked at only to break ties."""
+    places = places[np.argsort(w[places], kind="stable")]
+    tied = np.arange(len(places))
+    group = np.concatenate([[0], np.cumsum(w[places][1:] != w[places][:-1])]) if len(places) \
+        else np.zeros(0, np.int64)
+    for o in range(8, 49, 8):
+        again = np.zeros(len(tied), bool)
+        again[1:] = group[1:] == group[:-1]
+        again[:-1] |= again[1:]
+        tied, group = tied[again], group[again]
+        if not len(tied):
+            break
+        v = w[places[tied] + o]
+        order = np.lexsort((v, group))
+        places[tied], v = places[tied][order], v[order]
+        group = np.concatenate([[0], np.cumsum((v[1:] != v[:-1]) | (group[1:] != group[:-1]))])
+    return places
+
+
 def two_stage_order(data: np.ndarray) -> np.ndarray:
     """Places of ``data`` by the first 56 bytes (or more) of their suffixes."""
     n = len(data)
@@ -135,7 +158,7 @@ def two_stage_order(data: np.ndarray) -> np.ndarray:
     small = np.flatnonzero(rises)
     padded = np.concatenate([data, np.zeros(64, np.uint8)])
     w = _words(padded, n + 56, ">")
-    direct = small[np.lexsort([w[small + o] for o in range(48, -1, -8)])] if len(small) else small
+    direct = _by_words(w, small)
     # stage two: induce the rest, bucket by bucket
     first_byte = data[direct]
     cuts = np.searchsorted(first_byte, np.arange(257))
@@ -212,51 +235,95 @@ def _texts(batch: pa.RecordBatch) -> list[bytes]:
 
 
 def _spread(ids: np.ndarray) -> np.ndarray:
-    return mix(ids.astype(np.int64).view(np.uint64)).view(np.int64)
+    return mix(ids.astype(np.int64).view(np.uint64))
+
+
+def _bin(keys: np.ndarray, bins: int) -> np.ndarray:
+    """Equal ranges of 64-bit keys."""
+    return ((keys >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int32)
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns as compressed byte planes."""
+    out = [np.array([len(columns)], "<i8").tobytes()]
+    for c in columns:
+        c = np.ascontiguousarray(c)
+        out.append(np.array([c.itemsize, len(c)], "<i8").tobytes())
+        out.append(c.view(np.uint8).reshape(len(c), c.itemsize).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(out))
 
 
-def _key_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Probes and proved pairs: ``route, proved, key, doc_id``."""
-    keys: list[np.ndarray] = []
-    docs: list[np.ndarray] = []
-    held = 0
+def _unpack(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    out, at = [], 8
+    for _ in range(int(np.frombuffer(raw, "<i8", 1)[0])):
+        width, n = np.frombuffer(raw, "<i8", 2, at).tolist()
+        at += 16
+        planes = np.frombuffer(raw, np.uint8, width * n, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).reshape(-1).view(f"<u{width}"))
+        at += width * n
+    return out
 
-    def send() -> pa.RecordBatch:
-        k = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
-        d = np.concatenate(docs) if docs else np.zeros(0, np.int64)
+
+def _pack_pairs(keys: np.ndarray, docs: np.ndarray) -> bytes:
+    """(key, document) pairs, sorted by key."""
+    ids, which = np.unique(docs, return_inverse=True)
+    steps = keys.copy()
+    steps[1:] -= keys[:-1]
+    return _pack(ids.view(np.uint64), which.astype(np.uint32), steps)
+
+
+def _unpack_pairs(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids, which, steps = _unpack(blob)
+    return np.cumsum(steps, dtype=np.uint64), ids.view(np.int64)[which]
+
+
+def _key_kernel(bins: int):
+    """Probes by range of keys and proved pairs by document: ``bin, proved, pairs``."""
+    def send(keys: list[np.ndarray], docs: list[np.ndarray]) -> pa.RecordBatch:
+        k, d = np.concatenate(keys), np.concatenate(docs)
         o = np.lexsort((d, k))
         k, d = k[o], d[o]
         new_key = np.append(True, k[1:] != k[:-1])[:len(k)]
         new = new_key | np.append(True, d[1:] != d[:-1])[:len(k)]
-        k, d, new_key = k[new].view(np.int64), d[new], new_key[new]
+        k, d, new_key = k[new], d[new], new_key[new]
         at = np.flatnonzero(new_key)
-        shared = np.repeat(np.diff(np.append(at, len(k))) > 1, np.diff(np.append(at, len(k))))
-        pk, pd = k[shared], d[shared]
+        size = np.diff(np.append(at, len(k)))
+        shared = np.repeat(size > 1, size)
+        rows = []
+        for proved, kk, dd, route in ((0, k[at], d[at], k[at]),
+                                      (1, k[shared], d[shared], _spread(d[shared]))):
+            if not len(kk):
+                continue
+            b = _bin(route, bins)
+            o = np.argsort(b, kind="stable")
+            b, kk, dd = b[o], kk[o], dd[o]
+            cut = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+            for lo, hi in zip(cut, np.append(cut[1:], len(b)), strict=True):
+                rows.append((int(b[lo]), proved, _pack_pairs(kk[lo:hi], dd[lo:hi])))
+        cols = list(zip(*rows, strict=True)) or [()] * 3
         return pa.RecordBatch.from_pydict({
-            "route": pa.array(np.concatenate([k[at], _spread(pd)])),
-            "proved": pa.array(np.repeat([0, 1], [len(at), len(pk)]).astype(np.int32)),
-            "key": pa.array(np.concatenate([k[at], pk])),
-            "doc_id": pa.array(np.concatenate([d[at], pd]))})
+            "bin": pa.array(cols[0], pa.int32()), "proved": pa.array(cols[1], pa.int32()),
+            "pairs": pa.array(cols[2], pa.binary())})
 
-    for b in batches:
-        ids = b.column("doc_id").to_numpy()
-        for group in slices(list(enumerate(_texts(b)))):
-            key, piece, _, _ = fragments([p for _, _, p in group])
-            tags = np.array([t for t, _, _ in group])
-            keys.append(key)
-            docs.append(ids[tags[piece]])
-            held += sum(len(p) for _, _, p in group)
-            if held >= GATHER:
-                yield send()
-                keys, docs, held = [], [], 0
-    if keys:
-        yield send()
-
-
-def _whole_groups(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Table]:
-    """Tables that end where a value of the sorted column ends."""
-    for _, t in _groups(batches, column, None):
-        yield t
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys: list[np.ndarray] = []
+        docs: list[np.ndarray] = []
+        held = 0
+        for b in batches:
+            ids = b.column("doc_id").to_numpy()
+            for group in slices(list(enumerate(_texts(b)))):
+                key, piece, _, _ = fragments([p for _, _, p in group])
+                tags = np.array([t for t, _, _ in group])
+                keys.append(key)
+                docs.append(ids[tags[piece]])
+                held += sum(len(p) for _, _, p in group)
+                if held >= GATHER:
+                    yield send(keys, docs)
+                    keys, docs, held = [], [], 0
+        if keys:
+            yield send(keys, docs)
+    return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch], column: str,
@@ -304,53 +371,92 @@ def _groups(batches: Iterator[pa.RecordBatch], column: str,
 
 
 def _answer_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose key occurs in two documents: ``doc_id, key`` (rows sorted by proved, key)."""
-    def open_ones() -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = b.column("proved").to_numpy() == 1
-            if p.any():
-                done.append(b.filter(pa.array(p)))
-            if not p.all():
-                yield b.filter(pa.array(~p))
-
-    done: list[pa.RecordBatch] = []
-    for t in _whole_groups(open_ones(), "key"):
-        k, d = t.column("key").to_numpy(), t.column("doc_id").to_numpy()
-        at = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+    """Pairs whose key occurs in two documents: ``doc_id, key`` (rows sorted by proved, bin)."""
+    def answer(held: list[bytes]) -> pa.RecordBatch:
+        pairs = [_unpack_pairs(v) for v in held]
+        k, d = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
+        o = np.argsort(k, kind="stable")
+        k, d = k[o], d[o]
+        at = np.flatnonzero(np.append(True, k[1:] != k[:-1])[:len(k)])
         size = np.diff(np.append(at, len(k)))
-        two = np.repeat(np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at), size)
-        yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d[two]), "key": pa.array(k[two])})
-        while done:
-            yield done.pop().select(["doc_id", "key"])
-    while done:
-        yield done.pop().select(["doc_id", "key"])
+        two = np.repeat(np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at), size) \
+            if len(at) else np.zeros(0, bool)
+        return pa.RecordBatch.from_pydict({"doc_id": pa.array(d[two]),
+                                           "key": pa.array(k[two].view(np.int64))})
 
+    held: list[bytes] = []
+    now = None
+    for b in batches:
+        for bin_, proved, blob in zip(*(b.column(c).to_pylist() for c in ("bin", "proved", "pairs")),
+                                      strict=True):
+            if proved:
+                k, d = _unpack_pairs(blob)
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array(d),
+                                                  "key": pa.array(k.view(np.int64))})
+                continue
+            if bin_ != now and held:
+                yield answer(held)
+                held = []
+            now = bin_
+            held.append(blob)
+    if held:
+        yield answer(held)
 
-_FRAGMENT = pa.schema([("route", pa.int64()), ("marked", pa.int32()), ("key", pa.int64()),
-                       ("doc_id", pa.int64()), ("check", pa.int64()), ("places", pa.binary()),
-                       ("bytes", pa.binary())])
 
+_FRAGMENT = pa.schema([("marked", pa.int32()), ("key", pa.int64()), ("doc_id", pa.int64()),
+                       ("check", pa.int64()), ("places", pa.binary()), ("bytes", pa.binary())])
+_FRAGMENT_DDL = ("marked int, key long, doc_id long, check long, places binary, bytes binary")
 
-def _fragment_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fragments to compare (``places``: where they start), and marks that need no comparing."""
-    for b in batches:
-        ids = b.column("doc_id").to_numpy()
-        lists = b.column("keys")
-        offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
-        raw = _texts(b)
-        checks = [zlib.crc32(r) for r in raw]
-        found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
-        for group in slices(list(enumerate(raw))):
-            key, piece, first, last = fragments([p for _, _, p in group])
-            key = key.view(np.int64)
-            for g, (row, offset, part) in enumerate(group):
-                lo, hi = np.searchsorted(piece, [g, g + 1])
-                wanted = values[offsets[row]:offsets[row + 1]]
-                use = lo + np.flatnonzero(np.isin(key[lo:hi], wanted))
-                for k, s, e in zip(key[use].tolist(), first[use].tolist(), last[use].tolist(),
-                                   strict=True):
-                    found.setdefault((k, part[s:e + LENGTH]), []).append(
-                        (int(ids[row]), row, offset + s))
+
+def _fragment_kernel(bins: int):
+    """Fragments to compare (``places``: where they start), and marks that need no comparing.
+
+    Packed by range of keys (marks by document) as ``bin, marked, rows``.
+    """
+    def send(rows: list[tuple]) -> Iterator[tuple[int, int, bytes]]:
+        if not rows:
+            return
+        route, marked, key, doc, check, places, part = zip(*rows, strict=True)
+        b = _bin(np.array(route, np.int64).view(np.uint64), bins) * 2 + np.array(marked, np.int32)
+        order = np.lexsort((np.array(key), b))
+        b = b[order]
+        cut = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
+        for lo, hi in zip(cut, np.append(cut[1:], len(b)), strict=True):
+            o = order[lo:hi].tolist()
+            blob = _pack(
+                np.array([key[i] for i in o], "<i8"), np.array([doc[i] for i in o], "<i8"),
+                np.array([check[i] for i in o], "<u4"),
+                np.array([len(places[i]) for i in o], "<u4"),
+                np.array([len(part[i]) for i in o], "<u4"),
+                np.frombuffer(b"".join(places[i] for i in o), "<i8"),
+                np.frombuffer(b"".join(part[i] for i in o), np.uint8))
+            yield int(b[lo]) // 2, int(b[lo]) % 2, blob
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = b.column("doc_id").to_numpy()
+            lists = b.column("keys")
+            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            raw = _texts(b)
+            checks = [zlib.crc32(r) for r in raw]
+            found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
+            for group in slices(list(enumerate(raw))):
+                key, piece, first, last = fragments([p for _, _, p in group])
+                key = key.view(np.int64)
+                for g, (row, offset, part) in enumerate(group):
+                    lo, hi = np.searchsorted(piece, [g, g + 1])
+                    wanted = values[offsets[row]:offsets[row + 1]]
+                    use = lo + np.flatnonzero(np.isin(key[lo:hi], wanted))
+                    for k, s, e in zip(key[use].tolist(), first[use].tolist(), last[use].tolist(),
+                                       strict=True):
+                        found.setdefault((k, part[s:e + LENGTH]), []).append(
+                            (int(ids[row]), row, offset + s))
+                if len(found) >= FRAGMENTS:
+                    yield packed(found, ids, checks)
+                    found = {}
+            yield packed(found, ids, checks)
+
+    def packed(found: dict, ids: np.ndarray, checks: list[int]) -> pa.RecordBatch:
         rows, marks = [], {}
         for (k, part), where in found.items():
             least = min(w[0] for w in where)
@@ -364,11 +470,30 @@ def _fragment_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 rows.append((k, 0, k, least, checks[row], np.array(places, "<i8").tobytes(), part))
         for row, spans in marks.items():
             d = int(ids[row])
-            rows.append((int(_spread(np.array([d]))[0]), 1, 0, d, checks[row],
-                         np.array(merge(np.array(spans)), "<i8").tobytes(), b""))
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, f.type) for c, f in zip(cols, _FRAGMENT, strict=True)], schema=_FRAGMENT)
+            rows.append((int(_spread(np.array([d])).view(np.int64)[0]), 1, 0, d, checks[row],
+                         merge(np.array(spans)).astype("<i8").tobytes(), b""))
+        cols = list(zip(*send(rows), strict=True)) or [()] * 3
+        return pa.RecordBatch.from_pydict({
+            "bin": pa.array(cols[0], pa.int32()), "marked": pa.array(cols[1], pa.int32()),
+            "rows": pa.array(cols[2], pa.binary())})
+    return run
+
+
+def _unfold_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Packed fragments as rows."""
+    def binary(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+        offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        return pa.Array.from_buffers(pa.binary(), len(sizes), [
+            None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+    for b in batches:
+        for marked, blob in zip(b.column("marked").to_pylist(), b.column("rows").to_pylist(),
+                                strict=True):
+            key, doc, check, n_places, n_bytes, places, data = _unpack(blob)
+            yield pa.RecordBatch.from_arrays([
+                pa.array(np.full(len(key), marked, np.int32)), pa.array(key.view(np.int64)),
+                pa.array(doc.view(np.int64)), pa.array(check.astype(np.int64)),
+                binary(n_places, places), binary(n_bytes, data)], schema=_FRAGMENT)
 
 
 def merge(spans: np.ndarray) -> np.ndarray:
@@ -401,81 +526,122 @@ def _mark_rows(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
                                       schema=_MARKS)
 
 
-def _open_ones(batches: Iterator[pa.RecordBatch],
-               done: list[pa.RecordBatch] | None) -> Iterator[pa.RecordBatch]:
-    """Fragments to compare; rows that bring marks are put aside."""
-    for b in batches:
-        m = b.column("marked").to_numpy() == 1
-        if m.any() and done is not None:
-            done.append(b.filter(pa.array(m)))
-        if not m.all():
-            yield b.filter(pa.array(~m))
+_FOUND_DDL = ("route long, giant int, string binary, doc_id long, check long, place long, "
+              "marks binary")
+_FOUND = pa.schema([("route", pa.int64()), ("giant", pa.int32()), ("string", pa.binary()),
+                    ("doc_id", pa.int64()), ("check", pa.int64()), ("place", pa.int64()),
+                    ("marks", pa.binary())])
+
+
+def _found_marks(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
+    m = _mark_rows(rows)
+    n, ids = m.num_rows, m.column("doc_id")
+    return pa.RecordBatch.from_arrays([
+        pa.array(_spread(ids.to_numpy()).view(np.int64)), pa.array(np.zeros(n, np.int32)),
+        pa.nulls(n, pa.binary()), ids, pa.array(np.zeros(n, np.int64)),
+        pa.array(np.zeros(n, np.int64)), m.column("marks")], schema=_FOUND)
+
+
+def _found_strings(row: dict) -> pa.RecordBatch:
+    """Every string of a fragment, one row each."""
+    n = len(row["bytes"]) - LENGTH + 1
+    places = np.frombuffer(row["places"], "<i8")
+    strings = [row["bytes"][i:i + LENGTH] for i in range(n)]
+    route = np.array([zlib.crc32(x) for x in strings] * len(places), np.int64)
+    m = n * len(places)
+    return pa.RecordBatch.from_arrays([
+        pa.array(_spread(route).view(np.int64)), pa.array(np.ones(m, np.int32)),
+        pa.array(strings * len(places), pa.binary()),
+        pa.array(np.full(m, row["doc_id"], np.int64)), pa.array(np.full(m, row["check"], np.int64)),
+        pa.array((places[:, None] + np.arange(n)[None, :]).reshape(-1)),
+        pa.nulls(m, pa.binary())], schema=_FOUND)
+
+
+def compare(parts: list[dict]) -> list[tuple[int, int, np.ndarray]]:
+    """``(doc_id, check, spans)`` to mark among whole keys of fragments."""
+    rows = []
+    distinct: dict[bytes, list[tuple[int, int, bytes]]] = {}
+    for p in parts:
+        for part, d, check, places in zip(p["bytes"], p["doc_id"], p["check"], p["places"],
+                                          strict=True):
+            distinct.setdefault(part, []).append((d, check, places))
+    frags, docs, owners = [], [], []
+    for part, where in distinct.items():
+        least = min(w[0] for w in where)
+        for d, check, places in where:
+            if d > least:                       # all its strings stand in a smaller document
+                at = np.frombuffer(places, "<i8")
+                rows.append((d, check, np.column_stack([at, at + len(part)])))
+        frags.append(part)
+        docs.append(least)
+        owners.append([w for w in where if w[0] == least])
+    for f, lo, hi in runs(*repeated_places(frags, np.array(docs, np.int64))):
+        for d, check, places in owners[f]:
+            at = np.frombuffer(places, "<i8")
+            rows.append((d, check, np.column_stack([at + lo, at + hi + LENGTH])))
+    return rows
 
 
 def _suffix_kernel(limit: int):
-    """Marks from the suffix arrays of whole keys (rows sorted by marked, key)."""
-    def sort_out(parts: list[dict]) -> pa.RecordBatch:
-        frags = [f for p in parts for f in p["bytes"]]
-        docs = np.array([d for p in parts for d in p["doc_id"]], np.int64)
-        checks = [c for p in parts for c in p["check"]]
-        places = [v for p in parts for v in p["places"]]
-        rows = []
-        for f, lo, hi in runs(*repeated_places(frags, docs)):
-            at = np.frombuffer(places[f], "<i8")
-            rows.append((int(docs[f]), checks[f], np.column_stack([at + lo, at + hi + LENGTH])))
-        return _mark_rows(rows)
+    """Marks from the suffix arrays of whole keys (rows sorted by marked, key).
 
+    Keys with more than ``limit`` bytes give their strings instead.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: list[pa.RecordBatch] = []
 
+        def open_ones() -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                m = b.column("marked").to_numpy() == 1
+                if m.any():
+                    done.append(b.filter(pa.array(m)))
+                if not m.all():
+                    yield b.filter(pa.array(~m))
+
         def passed() -> Iterator[pa.RecordBatch]:
             while done:
                 t = done.pop().to_pydict()
-                yield _mark_rows([
+                yield _found_marks([
                     (d, c, np.frombuffer(p, "<i8").reshape(-1, 2))
                     for d, c, p in zip(t["doc_id"], t["check"], t["places"], strict=True)])
 
         held: list[dict] = []
         size = 0
-        for giant, t in _groups(_open_ones(batches, done), "key", limit):
-            if not giant:
+        for giant, t in _groups(open_ones(), "key", limit):
+            if giant:
+                for row in t.to_pylist():
+                    yield _found_strings(row)
+            else:
                 rows = t.to_pydict()
                 held.append(rows)
                 size += sum(map(len, rows["bytes"]))
             if size >= SORT_BYTES:
-                yield sort_out(held)
+                yield _found_marks(compare(held))
                 held, size = [], 0
             yield from passed()
         if held:
-            yield sort_out(held)
+            yield _found_marks(compare(held))
         yield from passed()
     return run
 
 
-def _giant_kernel(limit: int):
-    """The strings of keys over ``limit`` bytes, one row each."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for giant, t in _groups(_open_ones(batches, None), "key", limit):
-            if not giant:
-                continue
-            for row in t.to_pylist():
-                n = len(row["bytes"]) - LENGTH + 1
-                for at in np.frombuffer(row["places"], "<i8").tolist():
-                    yield pa.RecordBatch.from_pydict({
-                        "string": pa.array([row["bytes"][i:i + LENGTH] for i in range(n)],
-                                           pa.binary()),
-                        "doc_id": pa.array([row["doc_id"]] * n, pa.int64()),
-                        "check": pa.array([row["check"]] * n, pa.int64()),
-                        "place": pa.array(range(at, at + n), pa.int64())})
-    return run
-
-
-def _place_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks of single places."""
+def _string_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks as they are; of equal strings (rows sorted by them) those of larger documents."""
+    now, least = None, 0
     for b in batches:
-        t = b.to_pydict()
-        yield _mark_rows([(d, c, np.array([[p, p + LENGTH]])) for d, c, p in
-                          zip(t["doc_id"], t["check"], t["place"], strict=True)])
+        giant = b.column("giant").to_numpy() == 1
+        if not giant.all():
+            yield b.filter(pa.array(~giant)).select(["doc_id", "marks"])
+        if giant.any():
+            t = b.filter(pa.array(giant)).to_pydict()
+            rows = []
+            for x, d, check, place in zip(t["string"], t["doc_id"], t["check"], t["place"],
+                                          strict=True):
+                if x != now:
+                    now, least = x, d
+                elif d > least:
+                    rows.append((d, check, np.array([[place, place + LENGTH]])))
+            yield _mark_rows(rows)
 
 
 def _removal_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -507,22 +673,19 @@ def repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
                     text_of().alias("text"))
-    asked = (d.mapInArrow(_key_kernel, "route long, proved int, key long, doc_id long")
-              .repartition("route").sortWithinPartitions("proved", "key")
-              .select("proved", "key", "doc_id"))
-    keys = (asked.mapInArrow(_answer_kernel, "doc_id long, key long")
-                 .groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
-    sent = (d.join(keys, "doc_id")
-             .mapInArrow(_fragment_kernel, "route long, marked int, key long, doc_id long, "
-                                           "check long, places binary, bytes binary")
-             .repartition("route").sortWithinPartitions("marked", "key"))
-    sorted_out = sent.mapInArrow(_suffix_kernel(group_bytes), "doc_id long, marks binary")
-    least = F.min("doc_id").over(Window.partitionBy("string"))
-    by_bytes = (sent.mapInArrow(_giant_kernel(group_bytes),
-                                "string binary, doc_id long, check long, place long")
-                .withColumn("least", least).where("doc_id > least")
-                .mapInArrow(_place_kernel, "doc_id long, marks binary"))
-    marks = sorted_out.union(by_bytes).groupBy("doc_id").agg(F.collect_list("marks").alias("marks"))
+    bins = 4 * shuffle_partitions(docs.sparkSession)
+    keys = (d.mapInArrow(_key_kernel(bins), "bin int, proved int, pairs binary")
+             .repartition("bin").sortWithinPartitions("proved", "bin")
+             .mapInArrow(_answer_kernel, "doc_id long, key long")
+             .groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
+    found = (d.join(keys, "doc_id")
+              .mapInArrow(_fragment_kernel(bins), "bin int, marked int, rows binary")
+              .repartition("bin").mapInArrow(_unfold_kernel, _FRAGMENT_DDL)
+              .sortWithinPartitions("marked", "key")
+              .mapInArrow(_suffix_kernel(group_bytes), _FOUND_DDL))
+    marks = (found.repartition("route").sortWithinPartitions("giant", "string", "doc_id")
+                  .mapInArrow(_string_kernel, "doc_id long, marks binary")
+                  .groupBy("doc_id").agg(F.collect_list("marks").alias("marks")))
     return (d.join(marks, "doc_id", "left")
              .mapInArrow(_removal_kernel, "doc_id long, n_bytes long, n_removed long, "
                                           "n_spans long, kept_sha256 string")
