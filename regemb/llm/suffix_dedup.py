@@ -53,8 +53,9 @@ LENGTH = 50
 GRAM = 16
 SLICE = 1 << 18            # bytes worked on at once
 GATHER = 8 << 20           # bytes after which a task sends its keys
-FRAGMENTS = 30_000         # distinct fragments after which a task sends them
+FRAGMENTS = 60_000         # distinct fragments after which a task sends them
 SORT_BYTES = 1 << 19       # bytes of fragments in one suffix array, about
+MARKS = 100_000            # marks after which an owner sends them, by document
 GROUP_BYTES = 16 << 20     # of one key; beyond, its strings are grouped by a shuffle
 NO_ID = -(1 << 63)
 _MARK = np.dtype([("check", "<u4"), ("start", "<i8"), ("end", "<i8")])
@@ -561,9 +562,14 @@ def compare(parts: list[dict]) -> list[tuple[int, int, np.ndarray]]:
     """``(doc_id, check, spans)`` to mark among whole keys of fragments."""
     rows = []
     distinct: dict[bytes, list[tuple[int, int, bytes]]] = {}
+    kinds: dict[int, int] = {}                  # different fragments of a key
+    keys: dict[bytes, int] = {}
     for p in parts:
-        for part, d, check, places in zip(p["bytes"], p["doc_id"], p["check"], p["places"],
-                                          strict=True):
+        for key, part, d, check, places in zip(p["key"], p["bytes"], p["doc_id"], p["check"],
+                                               p["places"], strict=True):
+            if part not in distinct:
+                kinds[key] = kinds.get(key, 0) + 1
+                keys[part] = key
             distinct.setdefault(part, []).append((d, check, places))
     frags, docs, owners = [], [], []
     for part, where in distinct.items():
@@ -572,10 +578,11 @@ def compare(parts: list[dict]) -> list[tuple[int, int, np.ndarray]]:
             if d > least:                       # all its strings stand in a smaller document
                 at = np.frombuffer(places, "<i8")
                 rows.append((d, check, np.column_stack([at, at + len(part)])))
-        frags.append(part)
-        docs.append(least)
-        owners.append([w for w in where if w[0] == least])
-    for f, lo, hi in runs(*repeated_places(frags, np.array(docs, np.int64))):
+        if kinds[keys[part]] > 1:               # else its strings stand nowhere else
+            frags.append(part)
+            docs.append(least)
+            owners.append([w for w in where if w[0] == least])
+    for f, lo, hi in runs(*repeated_places(frags, np.array(docs, np.int64))) if frags else ():
         for d, check, places in owners[f]:
             at = np.frombuffer(places, "<i8")
             rows.append((d, check, np.column_stack([at + lo, at + hi + LENGTH])))
@@ -606,6 +613,7 @@ def _suffix_kernel(limit: int):
                     for d, c, p in zip(t["doc_id"], t["check"], t["places"], strict=True)])
 
         held: list[dict] = []
+        marks: list[tuple[int, int, np.ndarray]] = []
         size = 0
         for giant, t in _groups(open_ones(), "key", limit):
             if giant:
@@ -616,11 +624,13 @@ def _suffix_kernel(limit: int):
                 held.append(rows)
                 size += sum(map(len, rows["bytes"]))
             if size >= SORT_BYTES:
-                yield _found_marks(compare(held))
+                marks += compare(held)
                 held, size = [], 0
+            if len(marks) >= MARKS:
+                yield _found_marks(marks)
+                marks = []
             yield from passed()
-        if held:
-            yield _found_marks(compare(held))
+        yield _found_marks(marks + compare(held))
         yield from passed()
     return run
 
