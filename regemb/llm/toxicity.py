@@ -68,7 +68,8 @@ DEFAULT_COEFFICIENTS = (-3.0, 1.0, 0.5, 2.0)
 _FULLWIDTH = {c + 0xFEE0: chr(c) for c in range(0x21, 0x7F)}
 _TABLE = {**_FULLWIDTH, **{ord(k): v for k, v in HOMOGLYPHS.items()}}
 _SIGNS = "".join(map(re.escape, SUBSTITUTES))
-_INSIDE = re.compile(rf"(?<=[^\W\d_])[{_SIGNS}]+(?=[^\W\d_])|(?<![\w@$])[{_SIGNS}](?=[^\W\d_]{{2}})")
+_INSIDE = re.compile(rf"(?<=[^\W\d_])[{_SIGNS}]+(?=[^\W\d_])")
+_LEADING = re.compile(rf"(?<![\w@$])[{_SIGNS}](?=[^\W\d_]{{2}})")
 _HAS_SIGN = re.compile(f"[{_SIGNS}]")
 _WORD = re.compile(r"[^\W_]+")
 _SWAP = str.maketrans(SUBSTITUTES)
@@ -81,6 +82,7 @@ def fold(text: str) -> str:
         t = t.translate(_TABLE)
     if _HAS_SIGN.search(t):
         t = _INSIDE.sub(lambda m: m[0].translate(_SWAP), t)
+        t = _LEADING.sub(lambda m: m[0].translate(_SWAP), t)
     return t
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from regemb.llm import (exact_dedup, license_scan, mixing, ngram_join, packing, quality, shingles,
                         spotsigs, suffix_dedup, token_count, toxicity)
 from regemb.llm import queries as Q
-from regemb.llm.base import crc_of_id, table
+from regemb.llm.base import crc_of_id, id_and_text, table
 from tests.conftest import SF_MID, SF_SMALL
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, size long"
@@ -171,7 +171,7 @@ def test_spotsigs_chains(spark):
 
 
 def test_spotsigs_likeness_and_pairs(odd):
-    rows = spotsigs.with_signatures(odd, "text", "s").select("doc_id", "s").collect()
+    rows = spotsigs.with_signatures(id_and_text(odd), "text", "s").select("doc_id", "s").collect()
     by_set = {}
     for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0)):
         by_set.setdefault(tuple(r["s"]), r["doc_id"])
