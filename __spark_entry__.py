@@ -29,6 +29,7 @@ from regemb.operators import geo as GO
 from regemb.operators import regress as M
 from regemb.operators import votes as V
 from regemb.plans import sqltext as S
+from regemb.spec import skip_features
 from regemb.plans.standin import (STANDIN, household_rows, person, person_lines, region_lookup,
                                   superregion_lookup, table)
 
@@ -159,6 +160,12 @@ def q_weighted_sample(spark, sf_dir):
 
 # fixed test frequencies: 64 rows (positions) x 4 frequencies, bandwidth 2
 FREQS = rff.gaussian_freqs(64, 4, bandwidth=2.0, seed=7)
+
+
+def _freqs(s: st.Stats) -> np.ndarray:
+    """The rows of ``FREQS`` for the encoded columns of these stats."""
+    return FREQS[:len(encode.level_positions(s, skip_features(s.spec)))]
+
 ONE = rff.gaussian_freqs(1, 4, bandwidth=1.0, seed=11)
 PAIR = rff.orthogonal_freqs(2, 4, bandwidth=1.5, seed=13)
 
@@ -166,13 +173,13 @@ PAIR = rff.orthogonal_freqs(2, 4, bandwidth=1.5, seed=13)
 def q_rff_embedding(spark, sf_dir):
     """A10 (+M4 given frequencies): RFF mean embedding over all features."""
     p, s = _stats(spark, sf_dir)
-    return _r(rff.rff_embedding(p, s, freqs=FREQS).values, "value")
+    return _r(rff.rff_embedding(p, s, freqs=_freqs(s)).values, "value")
 
 
 def q_rff_thermometer(spark, sf_dir):
     """A10 + F3: RFF with thermometer-coded ordered features."""
     p, s = _stats(spark, sf_dir)
-    return _r(rff.rff_embedding(p, s, freqs=FREQS, ordered=THERMO).values, "value")
+    return _r(rff.rff_embedding(p, s, freqs=_freqs(s), ordered=THERMO).values, "value")
 
 
 def q_rff_one_real(spark, sf_dir):
@@ -258,7 +265,7 @@ def q_state_rollup(spark, sf_dir):
 def q_rollup_all(spark, sf_dir):
     """Linear and RFF embeddings rolled up together."""
     p, s, e = _lin(spark, sf_dir)
-    r = rff.rff_embedding(p, s, freqs=FREQS)
+    r = rff.rff_embedding(p, s, freqs=_freqs(s))
     out = rollup.rollup_all([e, r], mapping=superregion_lookup(spark, sf_dir))
     return _r(out[0].values.withColumn("kind", F.lit("lin")).unionByName(
         out[1].values.withColumn("kind", F.lit("rff"))), "value")

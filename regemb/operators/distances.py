@@ -62,7 +62,7 @@ def _pass(spark: SparkSession, bc, n: int, lo: float, hi: float, bins: int,
     """One distributed pass over all pairs, restricted to ``lo <= d < hi``.
 
     Returns rows ``bin=-1`` (count below ``lo``) and either histogram rows
-    ``(bin, cnt)`` or, with ``values``, the selected distances as ``bin=-2``.
+    ``(bin, cnt)`` or, with ``values``, the selected distances with their counts as ``bin=-2``.
     """
     nblocks = max(1, math.ceil(n / BLOCK))
 
@@ -76,8 +76,9 @@ def _pass(spark: SparkSession, bc, n: int, lo: float, hi: float, bins: int,
                 below = int((d < lo).sum())
                 inr = d[(d >= lo) & (d < hi)]
                 if values:
-                    yield pd.DataFrame({"bin": np.full(len(inr), -2, dtype=np.int64),
-                                        "cnt": np.ones(len(inr), dtype=np.int64), "v": inr})
+                    u, c = np.unique(inr, return_counts=True)
+                    yield pd.DataFrame({"bin": np.full(len(u), -2, dtype=np.int64),
+                                        "cnt": c.astype(np.int64), "v": u})
                 else:
                     k = np.clip(np.searchsorted(edges, inr, side="right") - 1, 0, bins - 1)
                     h = np.bincount(k, minlength=bins)
@@ -91,7 +92,8 @@ def _pass(spark: SparkSession, bc, n: int, lo: float, hi: float, bins: int,
     res = spark.range(nblocks).repartition(parts).mapInPandas(
         run, "bin long, cnt long, v double")
     if values:
-        return res.toPandas()   # bounded: at most FINAL_MAX values + one row per block
+        # at most FINAL_MAX pairs, or the few values of a tied interval, once per block
+        return res.toPandas()
     return res.groupBy("bin").agg(F.sum("cnt").alias("cnt")).toPandas()
 
 
@@ -115,7 +117,7 @@ def exact_pair_median(spark: SparkSession, Z: np.ndarray | None,
     lo, hi = 0.0, hi * (1 + 1e-9) + 1e-9
     found: dict[int, float] = {}
     try:
-        for _ in range(12):
+        while True:
             h = _pass(spark, bc, n, lo, hi, BINS, values=False)
             below = int(h.loc[h["bin"] == -1, "cnt"].sum())
             hist = np.zeros(BINS, dtype=np.int64)
@@ -126,13 +128,16 @@ def exact_pair_median(spark: SparkSession, Z: np.ndarray | None,
             b_hi = int(np.searchsorted(cum, ranks[-1], side="right"))
             edges = _edges(lo, hi, BINS)
             inside = int(cum[b_hi] - (cum[b_lo - 1] if b_lo > 0 else below))
+            before = (lo, hi)
             lo, hi = float(edges[b_lo]), float(edges[b_hi + 1])
-            if inside <= FINAL_MAX or not hi > lo:
+            # ties cannot be narrowed apart: an interval of rounding size holds few values
+            if inside <= FINAL_MAX or hi - lo <= 1e-12 * max(1.0, hi) or (lo, hi) == before:
                 res = _pass(spark, bc, n, lo, hi, BINS, values=True)
                 below2 = int(res.loc[res["bin"] == -1, "cnt"].sum())
-                v = np.sort(res.loc[res["bin"] == -2, "v"].to_numpy())
+                v = res[res["bin"] == -2].groupby("v")["cnt"].sum().sort_index()
+                upto = below2 + np.cumsum(v.to_numpy())
                 for r in ranks:
-                    found[r] = float(v[r - below2])
+                    found[r] = float(v.index[int(np.searchsorted(upto, r, side="right"))])
                 break
     finally:
         bc.unpersist()

@@ -8,7 +8,7 @@ AQE re-plans it at run time.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A lookup above this many rows is joined by shuffle instead of broadcast.
@@ -28,8 +28,26 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
 def assign_region(df: DataFrame, lookup: DataFrame, on: list[str],
                   region_col: str = "region", check_size: bool = True) -> DataFrame:
     """Left join a place-code lookup; unmapped rows keep a null region."""
+    if lookup.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        raise ValueError(f"lookup repeats a key of {on}: rows would be multiplied")
     lk = bounded_broadcast(lookup) if check_size else lookup
-    return df.join(lk, on, "left")
+
+    def same(c: str) -> Column:
+        # codes are compared as numbers where both are numbers, else as text
+        a, b = F.col(f"d.{c}").cast("string"), F.col(f"l.{c}").cast("string")
+        return _code(a) == _code(b)
+
+    cond = same(on[0])
+    for c in on[1:]:
+        cond = cond & same(c)
+    rest = [F.col(f"l.{c}") for c in lookup.columns if c not in on]
+    return (df.alias("d").join(lk.alias("l"), cond, "left")
+              .select(*[F.col(f"d.{c}") for c in df.columns], *rest))
+
+
+def _code(c: Column) -> Column:
+    """A place code without the leading zeros that only some files write."""
+    return F.coalesce(c.try_cast("long").cast("string"), c)
 
 
 def assign_state(df: DataFrame, state_to_stab: DataFrame, st: str = "ST",

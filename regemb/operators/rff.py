@@ -242,7 +242,10 @@ def rff_embedding(df: DataFrame, stats: Stats, freqs: np.ndarray | None = None,
             from regemb.operators.distances import median_heuristic_bandwidth
             bandwidth = median_heuristic_bandwidth(stats, skip)
         freqs = pick_freqs(n_freqs, bandwidth, n_feats, seed, orthogonal)
-    freqs = np.asarray(freqs)[:n_feats]
+    freqs = np.asarray(freqs)
+    if freqs.ndim != 2 or freqs.shape[0] != n_feats:
+        raise ValueError(f"frequencies need one row per encoded column: {n_feats}, "
+                         f"not shape {freqs.shape}")
     D = freqs.shape[1]
     params = stats.real_params()
     nn = stats.needs_nan()

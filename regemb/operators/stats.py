@@ -112,8 +112,16 @@ def sample_key(weight: Column, u: Column) -> Column:
     return F.when(w > 0, -F.log(u) / w).otherwise(F.lit(float("inf")))
 
 
+def _row_key(df: DataFrame, spec: MicrodataSpec) -> list[str] | None:
+    """Columns that tell persons apart: the household key and the member's number."""
+    if not spec.key:
+        return None
+    member = [c for c in ("SPORDER", "sporder") if c in df.columns and c != spec.key]
+    return [spec.key, *member[:1]]
+
+
 def weighted_sample(df: DataFrame, weight: str, n: int = 5000,
-                    key: str | None = None, seed: int = 0,
+                    key: str | list[str] | None = None, seed: int = 0,
                     total_weight: float | None = None, oversample: float = 3.0) -> DataFrame:
     """K1: ``n`` rows drawn without replacement with probability ~ weight.
 
@@ -125,10 +133,15 @@ def weighted_sample(df: DataFrame, weight: str, n: int = 5000,
     fewer than ``n`` pass, ``t`` grows and the count is repeated; the ``n``
     smallest keys are always below a threshold that passes ``n`` rows, so the
     result is exactly the unfiltered one.  ``key`` makes the draw
-    reproducible across partitionings; without it ``rand(seed)`` is used.
+    reproducible across partitionings; without it ``rand(seed)`` is used.  It
+    must name a row (several columns if need be): rows of one key are drawn
+    together.
     """
-    u = hash_uniform(F.col(key)) if key else (1.0 - F.rand(seed))
-    order = [F.col("_sample_key")] + ([F.col(key)] if key else [])
+    keys = [key] if isinstance(key, str) else list(key or [])
+    joined = F.col(keys[0]) if len(keys) == 1 else F.concat_ws(
+        "\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
+    u = hash_uniform(joined) if keys else (1.0 - F.rand(seed))
+    order = [F.col("_sample_key"), *map(F.col, keys)]
     keyed = df.withColumn("_sample_key", sample_key(F.col(weight), u))
     if total_weight is None:
         total_weight = df.agg(F.sum(F.when(F.col(weight) > 0, F.col(weight)))).first()[0]
@@ -270,7 +283,7 @@ def compute_stats(df: DataFrame, spec: MicrodataSpec, sample_size: int = 5000,
     samp = None
     if sample_size:
         samp = weighted_sample(df, spec.weight, sample_size,
-                               key=sample_key_col or spec.key, seed=seed,
+                               key=sample_key_col or _row_key(df, spec), seed=seed,
                                # any positive total keeps the draw exact (the
                                # threshold only widens when it is too tight)
                                total_weight=wt_total)

@@ -112,9 +112,20 @@ def precinct_rollup(precincts: DataFrame, state: str, fips: str, county: str,
 
 
 def read_state_files(spark, pattern: str) -> DataFrame:
-    """County result CSVs named ``<st>.csv``; state from the file name."""
-    df = spark.read.option("header", True).csv(pattern)
+    """County result CSVs named ``<st>.csv``; state from the file name.
+
+    Each file is read by its own header and the columns are matched by name,
+    so files may order them differently.
+    """
+    files = sorted(r["path"] for r in spark.read.format("binaryFile").load(pattern)
+                   .select("path").collect())      # one per state
+    parts = [spark.read.option("header", True).csv(f)
+             .select("fips", "county", "candidate", "votes") for f in files]
+    df = parts[0]
+    for p in parts[1:]:
+        df = df.unionByName(p)
+    df = df.withColumn("_file", F.input_file_name())
     return (df.withColumn("fips", F.col("fips").cast("string"))
               .withColumn("votes", F.col("votes").try_cast("long"))
-              .withColumn("state", F.regexp_extract(F.input_file_name(),
-                                                    r"([a-z]{2})\.csv$", 1)))
+              .withColumn("state", F.regexp_extract("_file", r"([a-z]{2})\.csv$", 1))
+              .drop("_file"))
