@@ -244,6 +244,25 @@ def _bin(keys: np.ndarray, bins: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).astype(np.int32)
 
 
+def _key_bin(keys: np.ndarray, bins: int) -> np.ndarray:
+    """Ranges of keys that hold about as many fragments each.
+
+    A key is the smallest hash of ``w`` pieces, so low keys are frequent.  With
+    ``q`` the chance that a hash is above a key, ``(w+1)/2 (1 - q^w) -
+    (w-1)/2 (1 - q^(w+1))`` of all fragments have a smaller key.  Powers are
+    taken by products, which give the same bits on every machine.
+    """
+    w = LENGTH - GRAM + 1
+    q = 1.0 - (keys >> np.uint64(11)).astype(np.float64) * 2.0 ** -53
+    power, square, left = np.ones_like(q), q, w
+    while left:
+        if left & 1:
+            power = power * square
+        square, left = square * square, left >> 1
+    share = (w + 1) / 2 * (1.0 - power) - (w - 1) / 2 * (1.0 - power * q)
+    return np.clip((share * bins).astype(np.int64), 0, bins - 1).astype(np.int32)
+
+
 def _pack(*columns: np.ndarray) -> bytes:
     """Columns as compressed byte planes."""
     out = [np.array([len(columns)], "<i8").tobytes()]
@@ -292,11 +311,11 @@ def _key_kernel(bins: int):
         size = np.diff(np.append(at, len(k)))
         shared = np.repeat(size > 1, size)
         rows = []
-        for proved, kk, dd, route in ((0, k[at], d[at], k[at]),
-                                      (1, k[shared], d[shared], _spread(d[shared]))):
+        for proved, kk, dd, b in (
+                (0, k[at], d[at], _key_bin(k[at], bins)),
+                (1, k[shared], d[shared], _bin(_spread(d[shared]), bins))):
             if not len(kk):
                 continue
-            b = _bin(route, bins)
             o = np.argsort(b, kind="stable")
             b, kk, dd = b[o], kk[o], dd[o]
             cut = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
@@ -418,7 +437,8 @@ def _fragment_kernel(bins: int):
         if not rows:
             return
         route, marked, key, doc, check, places, part = zip(*rows, strict=True)
-        b = _bin(np.array(route, np.int64).view(np.uint64), bins) * 2 + np.array(marked, np.int32)
+        r, m = np.array(route, np.int64).view(np.uint64), np.array(marked, np.int32)
+        b = np.where(m == 1, _bin(r, bins), _key_bin(r, bins)) * 2 + m
         order = np.lexsort((np.array(key), b))
         b = b[order]
         cut = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
