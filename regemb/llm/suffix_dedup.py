@@ -57,6 +57,8 @@ FRAGMENTS = 60_000         # distinct fragments after which a task sends them
 SORT_BYTES = 1 << 19       # bytes of fragments in one suffix array, about
 MARKS = 100_000            # marks after which an owner sends them, by document
 GROUP_BYTES = 16 << 20     # of one key; beyond, its strings are grouped by a shuffle
+STRING_SLICE = 2 << 20     # bytes of such a key's fragments worked on at once
+STRING_BINS = 8            # ranges of strings for each range of keys
 NO_ID = -(1 << 63)
 _MARK = np.dtype([("check", "<u4"), ("start", "<i8"), ("end", "<i8")])
 
@@ -547,11 +549,9 @@ def _mark_rows(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
                                       schema=_MARKS)
 
 
-_FOUND_DDL = ("route long, giant int, string binary, doc_id long, check long, place long, "
-              "marks binary")
-_FOUND = pa.schema([("route", pa.int64()), ("giant", pa.int32()), ("string", pa.binary()),
-                    ("doc_id", pa.int64()), ("check", pa.int64()), ("place", pa.int64()),
-                    ("marks", pa.binary())])
+_FOUND_DDL = "route long, giant int, strings binary, doc_id long, marks binary"
+_FOUND = pa.schema([("route", pa.int64()), ("giant", pa.int32()), ("strings", pa.binary()),
+                    ("doc_id", pa.int64()), ("marks", pa.binary())])
 
 
 def _found_marks(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
@@ -559,23 +559,71 @@ def _found_marks(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
     n, ids = m.num_rows, m.column("doc_id")
     return pa.RecordBatch.from_arrays([
         pa.array(_spread(ids.to_numpy()).view(np.int64)), pa.array(np.zeros(n, np.int32)),
-        pa.nulls(n, pa.binary()), ids, pa.array(np.zeros(n, np.int64)),
-        pa.array(np.zeros(n, np.int64)), m.column("marks")], schema=_FOUND)
-
-
-def _found_strings(row: dict) -> pa.RecordBatch:
-    """Every string of a fragment, one row each."""
-    n = len(row["bytes"]) - LENGTH + 1
-    places = np.frombuffer(row["places"], "<i8")
-    strings = [row["bytes"][i:i + LENGTH] for i in range(n)]
-    route = np.array([zlib.crc32(x) for x in strings] * len(places), np.int64)
-    m = n * len(places)
-    return pa.RecordBatch.from_arrays([
-        pa.array(_spread(route).view(np.int64)), pa.array(np.ones(m, np.int32)),
-        pa.array(strings * len(places), pa.binary()),
-        pa.array(np.full(m, row["doc_id"], np.int64)), pa.array(np.full(m, row["check"], np.int64)),
-        pa.array((places[:, None] + np.arange(n)[None, :]).reshape(-1)),
-        pa.nulls(m, pa.binary())], schema=_FOUND)
+        pa.nulls(n, pa.binary()), ids, m.column("marks")], schema=_FOUND)
+
+
+def _string_marks(strings: np.ndarray, doc: np.ndarray, check: np.ndarray, place: np.ndarray
+                  ) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+    """Of equal strings (rows of ``strings``): which are of the smallest document; marks of the rest."""
+    v = np.ascontiguousarray(strings).view(f"V{LENGTH}").reshape(-1)
+    order = np.argsort(v, kind="stable")
+    v = v[order]
+    at = np.flatnonzero(np.append(True, v[1:] != v[:-1])[:len(v)])
+    least = np.empty(len(v), np.int64)
+    least[order] = np.repeat(np.minimum.reduceat(doc[order], at),
+                             np.diff(np.append(at, len(v)))) if len(at) else 0
+    hit = np.flatnonzero(doc > least)
+    hit = hit[np.lexsort((place[hit], check[hit], doc[hit]))]
+    new = np.append(True, (doc[hit][1:] != doc[hit][:-1]) | (check[hit][1:] != check[hit][:-1]))
+    at = np.flatnonzero(new[:len(hit)])
+    marks = [(int(doc[x[0]]), int(check[x[0]]), np.column_stack([place[x], place[x] + LENGTH]))
+             for x in np.split(hit, at[1:])] if len(at) else []
+    return doc == least, marks
+
+
+def _found_strings(t: pa.Table, bins: int) -> Iterator[pa.RecordBatch]:
+    """The strings of a key's fragments, packed by ranges of their hashes.
+
+    Of equal strings only those of the smallest document go; the others are
+    marked at once.
+    """
+    held = np.cumsum(pc.binary_length(t.column("bytes")).to_numpy().astype(np.int64))
+    cuts = np.flatnonzero(np.diff(held // STRING_SLICE)) + 1
+    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), t.num_rows], strict=True):
+        part = t.slice(lo, hi - lo).to_pydict()
+        data = np.frombuffer(b"".join(part["bytes"]), np.uint8)
+        sizes = np.array([len(x) for x in part["bytes"]])
+        places = [np.frombuffer(x, "<i8") for x in part["places"]]
+        starts = np.cumsum(sizes) - sizes
+        # a row per string and place of its fragment
+        times = np.array([len(p) for p in places])
+        frag = np.repeat(np.arange(len(sizes)), times)
+        count = sizes[frag] - LENGTH + 1
+        which = np.repeat(np.arange(len(frag)), count)
+        inside = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        at = starts[frag[which]] + inside
+        place = np.concatenate(places)[which] + inside
+        doc = np.array(part["doc_id"], np.int64)[frag[which]]
+        check = np.array(part["check"], np.int64)[frag[which]]
+        strings = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]
+        first, marks = _string_marks(strings, doc, check, place)
+        yield _found_marks(marks)
+        strings, doc, check, place, at = (x[first] for x in (strings, doc, check, place, at))
+        w = _words(np.concatenate([data, np.zeros(8, np.uint8)]), len(data), "<")
+        h = np.zeros(len(at), np.uint64)
+        for o in [*range(0, LENGTH - 7, 8), LENGTH - 8]:
+            h = mix(h ^ w[at + o])
+        b = _bin(h, bins * STRING_BINS)
+        order = np.argsort(b, kind="stable")
+        b = b[order]
+        cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])[:len(b)])
+        blobs = [_pack(doc[o], check[o].astype(np.uint32), place[o], strings[o].reshape(-1))
+                 for o in np.split(order, cut[1:])] if len(cut) else []
+        n = len(blobs)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(b[cut].astype(np.int64)), pa.array(np.ones(n, np.int32)),
+            pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
+            schema=_FOUND)
 
 
 def compare(parts: list[dict]) -> list[tuple[int, int, np.ndarray]]:
@@ -609,7 +657,7 @@ def compare(parts: list[dict]) -> list[tuple[int, int, np.ndarray]]:
     return rows
 
 
-def _suffix_kernel(limit: int):
+def _suffix_kernel(limit: int, bins: int):
     """Marks from the suffix arrays of whole keys (rows sorted by marked, key).
 
     Keys with more than ``limit`` bytes give their strings instead.
@@ -637,8 +685,7 @@ def _suffix_kernel(limit: int):
         size = 0
         for giant, t in _groups(open_ones(), "key", limit):
             if giant:
-                for row in t.to_pylist():
-                    yield _found_strings(row)
+                yield from _found_strings(t, bins)
             else:
                 rows = t.to_pydict()
                 held.append(rows)
@@ -656,22 +703,28 @@ def _suffix_kernel(limit: int):
 
 
 def _string_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks as they are; of equal strings (rows sorted by them) those of larger documents."""
-    now, least = None, 0
+    """Marks as they are; of equal strings (rows sorted by their range) those of larger documents."""
+    def settle(held: list[bytes]) -> pa.RecordBatch:
+        doc, check, place, strings = (np.concatenate(x) for x in zip(*map(_unpack, held), strict=True))
+        return _mark_rows(_string_marks(strings.reshape(-1, LENGTH), doc.view(np.int64),
+                                        check.astype(np.int64), place.view(np.int64))[1])
+
+    held: list[bytes] = []
+    now = None
     for b in batches:
         giant = b.column("giant").to_numpy() == 1
         if not giant.all():
             yield b.filter(pa.array(~giant)).select(["doc_id", "marks"])
         if giant.any():
             t = b.filter(pa.array(giant)).to_pydict()
-            rows = []
-            for x, d, check, place in zip(t["string"], t["doc_id"], t["check"], t["place"],
-                                          strict=True):
-                if x != now:
-                    now, least = x, d
-                elif d > least:
-                    rows.append((d, check, np.array([[place, place + LENGTH]])))
-            yield _mark_rows(rows)
+            for route, blob in zip(t["route"], t["strings"], strict=True):
+                if route != now and held:
+                    yield settle(held)
+                    held = []
+                now = route
+                held.append(blob)
+    if held:
+        yield settle(held)
 
 
 def _removal_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -712,8 +765,8 @@ def repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
               .mapInArrow(_fragment_kernel(bins), "bin int, marked int, rows binary")
               .repartition("bin").mapInArrow(_unfold_kernel, _FRAGMENT_DDL)
               .sortWithinPartitions("marked", "key")
-              .mapInArrow(_suffix_kernel(group_bytes), _FOUND_DDL))
-    marks = (found.repartition("route").sortWithinPartitions("giant", "string", "doc_id")
+              .mapInArrow(_suffix_kernel(group_bytes, bins), _FOUND_DDL))
+    marks = (found.repartition("route").sortWithinPartitions("giant", "route")
                   .mapInArrow(_string_kernel, "doc_id long, marks binary")
                   .groupBy("doc_id").agg(F.collect_list("marks").alias("marks")))
     return (d.join(marks, "doc_id", "left")
