@@ -353,12 +353,16 @@ def q_puma_regions(spark, sf_dir):
 
 
 def q_coverage(spark, sf_dir):
-    """J10 + U5: customer keys without orders / order keys without customers."""
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k"))
-    cov = regions.coverage(c, o, "k")
-    return (cov["left_only"].withColumn("side", F.lit("customer_only"))
-            .unionByName(cov["right_only"].withColumn("side", F.lit("orders_only"))))
+    """J10 + U5: days with sales only / with returns only, and rows whose day is missing."""
+    li = table(spark, sf_dir, "lineitem")
+    day = F.datediff(F.col("l_shipdate").cast("date"), F.lit("1970-01-01").cast("date"))
+    sold = li.where("l_returnflag = 'N'").select(
+        F.when(F.col("l_linenumber") != 7, day).alias("k"))
+    back = li.where("l_returnflag <> 'N'").select(day.alias("k"))
+    cov = regions.coverage(sold, back, "k")
+    sides = [cov[c].groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("side", F.lit(c))
+             for c in ("left_only", "right_only", "left_null")]
+    return setops.union_all(sides)
 
 
 def q_set_ops(spark, sf_dir):
@@ -603,19 +607,34 @@ def _regression_frame(spark, sf_dir):
     # one row per region: cut the lineage before the iterative fits
     from regemb.session import ensure_checkpoint_dir
     ensure_checkpoint_dir(spark)
-    return X.join(tgt, "region").checkpoint(), names
+    return M.align(X, tgt).checkpoint(), names
 
 
 def q_regression(spark, sf_dir):
-    """M6 + M7 + M8 + K5 + A26: ridge (CV penalty) and probit GLM on embeddings."""
+    """M6 + M7 + M8 + K5 + A26: ridge (CV penalty) and probit GLM on embeddings.
+
+    Both are fitted on the training regions; each part is scored by itself.
+    """
     df, _ = _regression_frame(spark, sf_dir)
     train, test = M.split(df, test_fraction=0.2, seed=1)
-    ridge = M.ridge_cv(train, folds=3)
-    glm = M.probit_binomial(df)
-    ev_r = M.explained_variance(ridge.transform(df)).withColumn("model", F.lit("ridge"))
-    ev_g = M.explained_variance(glm.transform(df)).withColumn("model", F.lit("probit"))
-    n_test = test.count()
-    return ev_r.unionByName(ev_g).withColumn("n_test", F.lit(n_test))
+    out = []
+    for name, model in (("ridge", M.ridge_cv(train, folds=3)),
+                        ("probit", M.probit_binomial(train))):
+        for part, rows in (("train", train), ("test", test)):
+            scored = model.transform(rows)
+            out.append(M.explained_variance(scored).withColumn("model", F.lit(name))
+                       .withColumn("part", F.lit(part)))
+    return setops.union_all(out)
+
+
+def q_explained_variance(spark, sf_dir):
+    """Given predictions (a supplier's nation mean) scored against each supplier."""
+    s_ = (table(spark, sf_dir, "supplier")
+          .select(F.col("s_suppkey").cast("string").alias("region"), F.col("s_nationkey"),
+                  (F.col("s_acctbal") / 10000).alias("share")))
+    means = s_.groupBy("s_nationkey").agg(F.avg("share").alias("prediction"))
+    scored = s_.join(means, "s_nationkey")
+    return _r(M.explained_variance(scored), "explained_variance")
 
 
 def q_top_coefficients(spark, sf_dir):
@@ -755,6 +774,7 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "centroids": q_centroids,
         "spatial_features": q_spatial_features,
         "regression": q_regression,
+        "explained_variance": q_explained_variance,
         "top_coefficients": q_top_coefficients,
         "drop_collinear": q_drop_collinear,
         "only_features": q_only_features,
@@ -880,11 +900,22 @@ x AS (SELECT 1)
 SELECT 'N' || lpad(CAST(st AS VARCHAR), 2, '0') || '_' || l_linenumber AS region, 0 AS subset,
        round(sum(l_quantity), 6) AS weight FROM person GROUP BY 1"""),
         "coverage": """
-SELECT k, 'customer_only' AS side FROM (SELECT c_custkey AS k FROM customer
-  EXCEPT SELECT o_custkey FROM orders)
+WITH d AS (SELECT l_returnflag AS f, l_linenumber AS l,
+                  CAST(date_diff('day', DATE '1970-01-01', CAST(l_shipdate AS DATE)) AS INTEGER) AS k
+           FROM lineitem),
+a AS (SELECT CASE WHEN l <> 7 THEN k END AS k FROM d WHERE f = 'N'),
+b AS (SELECT k FROM d WHERE f <> 'N')
+SELECT k, CAST(1 AS BIGINT) AS n, 'left_only' AS side
+FROM (SELECT DISTINCT k FROM a WHERE k IS NULL OR k NOT IN (SELECT k FROM b WHERE k IS NOT NULL))
+UNION ALL
+SELECT k, 1, 'right_only'
+FROM (SELECT DISTINCT k FROM b WHERE k IS NULL OR k NOT IN (SELECT k FROM a WHERE k IS NOT NULL))
 UNION ALL
-SELECT k, 'orders_only' FROM (SELECT o_custkey AS k FROM orders
-  EXCEPT SELECT c_custkey FROM customer)""",
+SELECT NULL, count(*), 'left_null' FROM a WHERE k IS NULL HAVING count(*) > 0""",
+        "explained_variance": """
+WITH s AS (SELECT s_acctbal / 10000 AS y,
+                  avg(s_acctbal / 10000) OVER (PARTITION BY s_nationkey) AS p FROM supplier)
+SELECT round(1 - var_pop(y - p) / var_pop(y), 6) AS explained_variance FROM s""",
         "set_ops": """
 WITH u AS (SELECT c_nationkey AS k, 'c' AS src FROM customer
            UNION ALL SELECT s_nationkey, NULL FROM supplier),

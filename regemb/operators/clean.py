@@ -28,20 +28,10 @@ def check_schema(df: DataFrame, spec: MicrodataSpec) -> None:
     expected = spec.expected_columns()
     extra = cols - expected - spec.adjust_columns()
     if extra:
-        raise SchemaError("Saw unknown columns; wrong file version? "
-                          + ", ".join(sorted(extra)))
+        raise SchemaError(f"not in the spec {spec.name}: {', '.join(sorted(extra))}")
     missing = expected - cols
     if missing:
-        raise SchemaError("Didn't see expected columns; wrong file version? "
-                          + ", ".join(sorted(missing)))
-
-
-def check_same_columns(frames: list[DataFrame]) -> None:
-    """S2 helper: every file of a multi-file read must list the same columns."""
-    first = frames[0].columns
-    for i, f in enumerate(frames[1:], 1):
-        if f.columns != first:
-            raise SchemaError(f"file {i} has columns {f.columns}, expected {first}")
+        raise SchemaError(f"the spec {spec.name} asks for {', '.join(sorted(missing))}")
 
 
 def as_int(c: str | Column) -> Column:
@@ -101,8 +91,8 @@ def adjust(df: DataFrame, factor: str, cols: list[str],
         elif f"{factor}_orig" in df.columns:
             enabled = False
         else:
-            raise SchemaError(f"Unclear whether {factor} adjustment was applied; "
-                              "pass enabled=True or False")
+            raise SchemaError(f"neither {factor} nor {factor}_orig is there: say with enabled= "
+                              "whether the amounts still need the factor")
     if not enabled:
         return df
     f = F.col(factor).cast("double") / F.lit(1e6)

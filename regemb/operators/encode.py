@@ -67,48 +67,6 @@ def catalogue(stats: Stats, skip: set[str] | None = None) -> DataFrame:
     return spark.createDataFrame(catalogue_rows(stats, skip), CATALOGUE_SCHEMA)
 
 
-def catalogue_from_counts(stats: Stats, skip: set[str] | None = None) -> DataFrame:
-    """The same catalogue computed distributed from the value-count table.
-
-    Windows are partitioned by feature; only the per-feature offset table
-    (one row per feature) is ordered globally.
-    """
-    skip = skip or set()
-    spark = stats.totals.sparkSession
-    spec = stats.spec
-    reals = [r for r in spec.real if r not in skip]
-    disc = [d for d in spec.discrete_all if d not in skip]
-    nn = stats.needs_nan()
-    real_df = spark.createDataFrame([(i, r, r, r, None, True) for i, r in enumerate(reals)],
-                                    CATALOGUE_SCHEMA)
-    if not disc:
-        return real_df
-    ford = F.create_map(*[x for i, d in enumerate(disc) for x in (F.lit(d), F.lit(i))])
-    levels = (stats.value_counts.where(F.col("feature").isin(disc))
-              .select("feature", "level", F.lit(0).alias("is_nan")))
-    nan_feats = [d for d in disc if nn.get(d)]
-    if nan_feats:
-        nan_rows = spark.createDataFrame([(d, NAN_LEVEL, 1) for d in nan_feats],
-                                         "feature string, level string, is_nan int")
-        levels = levels.unionByName(nan_rows)
-    levels = levels.withColumn("ford", ford[F.col("feature")])
-    within = Window.partitionBy("feature").orderBy("is_nan", "level")
-    levels = levels.withColumn("rank", F.row_number().over(within))
-    per_feature = levels.groupBy("feature", "ford").agg(F.count(F.lit(1)).alias("n"))
-    offs = per_feature.withColumn(
-        "offset", F.sum("n").over(Window.orderBy("ford").rowsBetween(
-            Window.unboundedPreceding, -1)))
-    cat = (levels.join(offs.select("feature", "n", "offset"), "feature")
-           .select(
-               (F.lit(len(reals)) + F.coalesce(F.col("offset"), F.lit(0))
-                + F.col("rank") - 1).cast("int").alias("pos"),
-               F.concat_ws("_", F.col("feature"), F.col("level")).alias("feature_name"),
-               F.col("feature").alias("feature_id"),
-               "feature", "level",
-               (~((F.col("rank") == 1) & (F.col("n") > 1))).alias("keep")))
-    return real_df.unionByName(cat)
-
-
 def feature_count(stats: Stats, skip: set[str] | None = None) -> int:
     """number of encoded columns."""
     return len(catalogue_rows(stats, skip))

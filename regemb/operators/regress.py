@@ -42,14 +42,23 @@ def wide(values: DataFrame, positions: list[int], key: str = "region",
                            for p in positions])
 
 
+def align(df: DataFrame, side: DataFrame, key: str = "region") -> DataFrame:
+    """``df`` with the columns of ``side``; a key that ``side`` lacks raises in the plan."""
+    matched = F.when(F.col("_found"), F.col(key)).otherwise(F.raise_error(F.concat(
+        F.lit(f"no row for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
+    joined = df.join(side.withColumn("_found", F.lit(True)), key, "left")
+    return joined.withColumn(key, matched).drop("_found")
+
+
 def design_matrix(emb_wide: DataFrame, extra: DataFrame | None = None,
                   key: str = "region") -> DataFrame:
     """M6: embedding columns (++ extra columns such as centroid xyz) as ``features``.
 
     The result has one row per region; checkpoint it before iterative fits
-    (each optimiser step is a job over it).
+    (each optimiser step is a job over it).  A region without extra columns
+    is an error (J9), raised when the result is computed.
     """
-    df = emb_wide if extra is None else emb_wide.join(extra, key, "inner")
+    df = emb_wide if extra is None else align(emb_wide, extra, key)
     cols = [c for c in df.columns if c != key]
     return VectorAssembler(inputCols=cols, outputCol="features").transform(df) \
         .select(key, "features")

@@ -294,16 +294,6 @@ def compute_stats(df: DataFrame, spec: MicrodataSpec, sample_size: int = 5000,
     return st
 
 
-def compute_stats_lazy(df: DataFrame, spec: MicrodataSpec, sample_size: int = 0,
-                       key: str | None = None, seed: int = 0) -> Stats:
-    """The three stats tables as lazy DataFrames (three scans, nothing collected)."""
-    s = Stats(spec, totals(df, spec.weight), real_moments(df, list(spec.real)),
-              value_counts(df, list(spec.discrete_all)))
-    if sample_size:
-        s.sample = weighted_sample(df, spec.weight, sample_size, key=key or spec.key, seed=seed)
-    return s
-
-
 def merge_moments(batch_reals: DataFrame) -> DataFrame:
     """A3: recombine per-batch ``(feature, cnt, mean, std)`` tables.
 
@@ -319,8 +309,3 @@ def merge_moments(batch_reals: DataFrame) -> DataFrame:
     mean = F.col("s1") / F.col("cnt")
     var = F.greatest(F.col("s2") / F.col("cnt") - mean * mean, F.lit(0.0))
     return g.select("feature", "cnt", mean.alias("mean"), F.sqrt(var).alias("std"))
-
-
-def merge_value_counts(batch_vc: DataFrame) -> DataFrame:
-    """Value counts of several batches added up (levels missing in one count 0)."""
-    return batch_vc.groupBy("feature", "level").agg(F.sum("cnt").alias("cnt"))

@@ -39,7 +39,8 @@ def save_stats(stats: Stats, path: str, mode: str = "errorifexists") -> None:
     stats.reals.repartition(1).write.mode(mode).parquet(f"{path}/reals")
     stats.value_counts.repartition(1).write.mode(mode).parquet(f"{path}/value_counts")
     meta = stats.totals.sparkSession.createDataFrame(
-        [(stats.spec.name, stats.region_type)], "version string, region_type string")
+        [(stats.spec.name, stats.region_type, stats.sample is not None)],
+        "version string, region_type string, has_sample boolean")
     meta.repartition(1).write.mode(mode).parquet(f"{path}/meta")
     if stats.sample is not None:
         stats.sample.repartition(1).write.mode(mode).parquet(f"{path}/sample")
@@ -49,13 +50,10 @@ def load_stats(spark: SparkSession, path: str, spec: MicrodataSpec) -> Stats:
     """The stats bundle back; levels ordered by ``(feature, level)``."""
     def rd(name):
         return spark.read.parquet(f"{path}/{name}")
-    try:
-        sample = rd("sample")
-    except Exception:  # noqa: BLE001 - no sample was saved
-        sample = None
     meta = rd("meta").first()
+    sample = rd("sample") if meta["has_sample"] else None
     return Stats(spec, rd("totals"), rd("reals"), rd("value_counts").orderBy("feature", "level"),
-                 sample, meta["region_type"] if meta else None)
+                 sample, meta["region_type"])
 
 
 def save_embedding(emb: Embedding, path: str, overwrite: bool = False,

@@ -31,6 +31,9 @@ class MicrodataSpec:
     key: str | None = None
     # columns with extra missing-value tokens on read
     na_columns: tuple[str, ...] = ()
+    # of a spec made by with_housing: its person part and its housing part
+    alone: "MicrodataSpec | None" = None
+    partner: "MicrodataSpec | None" = None
 
     @property
     def discrete_all(self) -> tuple[str, ...]:
@@ -70,6 +73,8 @@ class MicrodataSpec:
             extra_weights=tuple(self.extra_weights) + (housing.weight,)
             + tuple(housing.extra_weights),
             adjust=adj,
+            alone=self,
+            partner=housing,
         )
 
     def restrict(self, keep: set[str]) -> "MicrodataSpec":

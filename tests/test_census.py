@@ -4,6 +4,7 @@ import pytest
 
 from regemb import census as C
 from regemb.operators import clean
+from regemb.plans.sort import sort_by_region
 
 # (weights, meta, discrete, alloc, real, drops, renames, geo) per version
 EXPECTED = {
@@ -41,3 +42,29 @@ def test_schema_check_on_a_version(spark):
     clean.check_schema(df, spec)
     with pytest.raises(clean.SchemaError, match="WKHP"):
         clean.check_schema(df.drop("WKHP"), spec)
+
+
+def _one_row(spark, spec, **values):
+    cols = sorted(spec.expected_columns() | set(spec.adjust) | set(spec.drops))
+    return spark.createDataFrame([tuple(values.get(c, "1") for c in cols)],
+                                 ", ".join(f"`{c}` string" for c in cols))
+
+
+def test_sort_job_adjusts_housing_amounts(spark):
+    spec = C.version("2014-18", with_housing=True)
+    persons = _one_row(spark, C.V2014_18, SERIALNO="h1", AGEP="30", WAGP="1000", ADJINC="1100000",
+                       ST="06", PUMA="00100")
+    housing = _one_row(spark, C.H2014_18, SERIALNO="h1", ELEP="100", FINCP="1000",
+                       ADJINC="1100000", ADJHSG="1200000")
+    lookup = spark.createDataFrame([("6", "100", "CA_1")], "ST string, PUMA string, region string")
+    res = sort_by_region(persons, spec, lookup, ["ST", "PUMA"], housing=housing, sample_size=5)
+    row = res.data.first()
+    assert (row["region"], row["WAGP"], row["ELEP"], row["FINCP"]) == \
+        ("CA_1", pytest.approx(1100), pytest.approx(120), pytest.approx(1100))
+    assert res.stats.sample.count() == 1
+    states = spark.createDataFrame([(6, "CA")], "state int, stab string")
+    by = [sort_by_region(persons, spec, states, ["ST"], housing=housing, sample_size=0,
+                         region_type=t).data.first()["region"] for t in ("state", "puma")]
+    assert by == ["CA", "CA_00100"]
+    with pytest.raises(ValueError):
+        sort_by_region(persons, spec, states, ["ST"], housing=housing, region_type="county")

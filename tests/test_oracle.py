@@ -25,7 +25,7 @@ def test_query_matches_oracle(spark, con, name):
     srows = [tuple(r[c] for c in cols) for r in sdf.collect()]
     sql = E.oracle_sql().get(name)
     if sql is None:
-        assert len(srows) >= 0
+        assert srows and all(len(r) == len(cols) for r in srows)
         return
     res = con.sql(sql)
     assert sorted(res.columns) == cols
