@@ -58,7 +58,7 @@ SORT_BYTES = 1 << 19       # bytes of fragments in one suffix array, about
 MARKS = 100_000            # marks after which an owner sends them, by document
 GROUP_BYTES = 16 << 20     # of one key; beyond, its strings are grouped by a shuffle
 STRING_SLICE = 2 << 20     # bytes of such a key's fragments worked on at once
-STRING_BINS = 8            # ranges of strings for each range of keys
+STRING_BINS = 32           # ranges of strings for each range of keys
 NO_ID = -(1 << 63)
 _MARK = np.dtype([("check", "<u4"), ("start", "<i8"), ("end", "<i8")])
 
@@ -756,7 +756,7 @@ def repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
                     text_of().alias("text"))
-    bins = 4 * shuffle_partitions(docs.sparkSession)
+    bins = shuffle_partitions(docs.sparkSession)
     keys = (d.mapInArrow(_key_kernel(bins), "bin int, proved int, pairs binary")
              .repartition("bin").sortWithinPartitions("proved", "bin")
              .mapInArrow(_answer_kernel, "doc_id long, key long")
