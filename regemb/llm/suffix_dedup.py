@@ -55,7 +55,7 @@ SLICE = 1 << 18            # bytes worked on at once
 GATHER = 8 << 20           # bytes after which a task sends its keys
 FRAGMENTS = 60_000         # distinct fragments after which a task sends them
 SORT_BYTES = 1 << 19       # bytes of fragments in one suffix array, about
-MARKS = 100_000            # marks after which an owner sends them, by document
+MARKS = 100_000            # marks after which an owner sends them, by range of documents
 GROUP_BYTES = 16 << 20     # of one key; beyond, its strings are grouped by a shuffle
 STRING_SLICE = 2 << 20     # bytes of such a key's fragments worked on at once
 STRING_BINS = 32           # ranges of strings for each range of keys
@@ -549,17 +549,29 @@ def _mark_rows(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
                                       schema=_MARKS)
 
 
-_FOUND_DDL = "route long, giant int, strings binary, doc_id long, marks binary"
-_FOUND = pa.schema([("route", pa.int64()), ("giant", pa.int32()), ("strings", pa.binary()),
-                    ("doc_id", pa.int64()), ("marks", pa.binary())])
+_FOUND_DDL = "route long, giant int, packed binary"
+_FOUND = pa.schema([("route", pa.int64()), ("giant", pa.int32()), ("packed", pa.binary())])
 
 
-def _found_marks(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-    m = _mark_rows(rows)
-    n, ids = m.num_rows, m.column("doc_id")
+def _found_marks(rows: list[tuple[int, int, np.ndarray]], bins: int) -> pa.RecordBatch:
+    """Merged spans, packed by range of documents."""
+    by: dict[tuple[int, int], list[np.ndarray]] = {}
+    for d, check, spans in rows:
+        by.setdefault((d, check), []).append(spans)
+    merged = [merge(np.concatenate(spans)) for spans in by.values()]
+    times = [len(m) for m in merged]
+    spans = np.concatenate([np.zeros((0, 2), np.int64), *merged])
+    doc = np.repeat(np.array([d for d, _ in by], np.int64), times)
+    check = np.repeat(np.array([c for _, c in by], np.uint32), times)
+    b = _bin(_spread(doc), bins)
+    order = np.argsort(b, kind="stable")
+    b = b[order]
+    cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])[:len(b)])
+    blobs = [_pack(doc[o], check[o], spans[o, 0], spans[o, 1])
+             for o in np.split(order, cut[1:])] if len(cut) else []
     return pa.RecordBatch.from_arrays([
-        pa.array(_spread(ids.to_numpy()).view(np.int64)), pa.array(np.zeros(n, np.int32)),
-        pa.nulls(n, pa.binary()), ids, m.column("marks")], schema=_FOUND)
+        pa.array(b[cut].astype(np.int64)), pa.array(np.zeros(len(blobs), np.int32)),
+        pa.array(blobs, pa.binary())], schema=_FOUND)
 
 
 def _string_marks(strings: np.ndarray, doc: np.ndarray, check: np.ndarray, place: np.ndarray
@@ -607,7 +619,7 @@ def _found_strings(t: pa.Table, bins: int) -> Iterator[pa.RecordBatch]:
         check = np.array(part["check"], np.int64)[frag[which]]
         strings = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at]
         first, marks = _string_marks(strings, doc, check, place)
-        yield _found_marks(marks)
+        yield _found_marks(marks, bins)
         strings, doc, check, place, at = (x[first] for x in (strings, doc, check, place, at))
         w = _words(np.concatenate([data, np.zeros(8, np.uint8)]), len(data), "<")
         h = np.zeros(len(at), np.uint64)
@@ -622,8 +634,7 @@ def _found_strings(t: pa.Table, bins: int) -> Iterator[pa.RecordBatch]:
         n = len(blobs)
         yield pa.RecordBatch.from_arrays([
             pa.array(b[cut].astype(np.int64)), pa.array(np.ones(n, np.int32)),
-            pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.binary())],
-            schema=_FOUND)
+            pa.array(blobs, pa.binary())], schema=_FOUND)
 
 
 def compare(parts: list[dict]) -> list[tuple[int, int, np.ndarray]]:
@@ -678,7 +689,7 @@ def _suffix_kernel(limit: int, bins: int):
                 t = done.pop().to_pydict()
                 yield _found_marks([
                     (d, c, np.frombuffer(p, "<i8").reshape(-1, 2))
-                    for d, c, p in zip(t["doc_id"], t["check"], t["places"], strict=True)])
+                    for d, c, p in zip(t["doc_id"], t["check"], t["places"], strict=True)], bins)
 
         held: list[dict] = []
         marks: list[tuple[int, int, np.ndarray]] = []
@@ -694,37 +705,42 @@ def _suffix_kernel(limit: int, bins: int):
                 marks += compare(held)
                 held, size = [], 0
             if len(marks) >= MARKS:
-                yield _found_marks(marks)
+                yield _found_marks(marks, bins)
                 marks = []
             yield from passed()
-        yield _found_marks(marks + compare(held))
+        yield _found_marks(marks + compare(held), bins)
         yield from passed()
     return run
 
 
 def _string_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Marks as they are; of equal strings (rows sorted by their range) those of larger documents."""
-    def settle(held: list[bytes]) -> pa.RecordBatch:
-        doc, check, place, strings = (np.concatenate(x) for x in zip(*map(_unpack, held), strict=True))
-        return _mark_rows(_string_marks(strings.reshape(-1, LENGTH), doc.view(np.int64),
-                                        check.astype(np.int64), place.view(np.int64))[1])
+    """One row per document of a range (rows sorted by giant, route): its marks merged.
+
+    Of a very large key's strings: marks of equal strings of larger documents.
+    """
+    def settle(giant: int, held: list[bytes]) -> pa.RecordBatch:
+        doc, check, *rest = (np.concatenate(x) for x in zip(*map(_unpack, held), strict=True))
+        doc, check, first = doc.view(np.int64), check.astype(np.int64), rest[0].view(np.int64)
+        if giant:
+            return _mark_rows(_string_marks(rest[1].reshape(-1, LENGTH), doc, check, first)[1])
+        spans = np.column_stack([first, rest[1].view(np.int64)])
+        order = np.lexsort((check, doc))
+        cut = np.flatnonzero((np.diff(doc[order]) != 0) | (np.diff(check[order]) != 0)) + 1
+        return _mark_rows([(int(doc[o[0]]), int(check[o[0]]), spans[o])
+                           for o in np.split(order, cut)])
 
     held: list[bytes] = []
     now = None
     for b in batches:
-        giant = b.column("giant").to_numpy() == 1
-        if not giant.all():
-            yield b.filter(pa.array(~giant)).select(["doc_id", "marks"])
-        if giant.any():
-            t = b.filter(pa.array(giant)).to_pydict()
-            for route, blob in zip(t["route"], t["strings"], strict=True):
-                if route != now and held:
-                    yield settle(held)
-                    held = []
-                now = route
-                held.append(blob)
+        for giant, route, blob in zip(*(b.column(c).to_pylist() for c in ("giant", "route", "packed")),
+                                      strict=True):
+            if (giant, route) != now and held:
+                yield settle(now[0], held)
+                held = []
+            now = (giant, route)
+            held.append(blob)
     if held:
-        yield settle(held)
+        yield settle(now[0], held)
 
 
 def _removal_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
