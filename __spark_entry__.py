@@ -221,6 +221,45 @@ def q_median_heuristic(spark, sf_dir):
               "median_sq_dist", "bandwidth")
 
 
+def q_median_ties(spark, sf_dir):
+    """A19 where most distances tie: one integer real of a 5,000-row sample."""
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.lit(1.0).alias("w"),
+        F.array(F.substring("o_orderpriority", 1, 1).cast("double")).alias("v"))
+    samp = st.weighted_sample(o, "w", 5000, key="o_orderkey")
+    return _r(distances.median_sq_distance_df(spark, samp, "v"), "median_sq_dist", "bandwidth")
+
+
+# whole-row key of a person, in whole cents so that every engine writes the same text
+PERSON_KEY = ["l_orderkey", "l_linenumber", "cents", "qty", "disc", "tax", "l_returnflag",
+              "l_linestatus"]
+
+
+def _keyed_person(spark, sf_dir):
+    cents = lambda c: F.round(F.col(c) * 100).cast("long")
+    return person(spark, sf_dir).withColumns({
+        "cents": cents("l_extendedprice"), "qty": F.col("l_quantity").cast("long"),
+        "disc": cents("l_discount"), "tax": cents("l_tax")})
+
+
+KEYED_PERSON_SQL = """
+kp AS (SELECT *, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents,
+              CAST(l_quantity AS BIGINT) AS qty, CAST(round(l_discount * 100) AS BIGINT) AS disc,
+              CAST(round(l_tax * 100) AS BIGINT) AS tax FROM person),
+ku AS (SELECT *, concat_ws(chr(31), """ + ", ".join(
+    f"coalesce(CAST({k} AS VARCHAR), '')" for k in PERSON_KEY) + """) AS k FROM kp),
+samp AS (SELECT * FROM ku
+         ORDER BY CASE WHEN l_quantity > 0 THEN -ln(""" + S.hash_uniform_sql("k") + """) / l_quantity
+                       ELSE 'inf'::DOUBLE END, """ + ", ".join(PERSON_KEY) + """
+         LIMIT {n})"""
+
+
+def q_person_sample(spark, sf_dir):
+    """K1 over persons, several to a household, each drawn by itself."""
+    s = st.weighted_sample(_keyed_person(spark, sf_dir), STANDIN.weight, 500, key=PERSON_KEY)
+    return s.select(*PERSON_KEY)
+
+
 def q_batch_merge_embedding(spark, sf_dir):
     """Embeddings of yearly batches recombined by weight share."""
     p, s = _stats(spark, sf_dir)
@@ -684,12 +723,10 @@ def q_two_party_share(spark, sf_dir):
 
 def q_bandwidth_heuristic(spark, sf_dir):
     """K1 + F6 + M3: median-heuristic bandwidth of the encoded person sample."""
-    p = person(spark, sf_dir).withColumn(
-        "_row", F.concat_ws("|", "l_orderkey", "l_linenumber", "l_extendedprice",
-                            "l_discount", "l_tax", "l_returnflag", "l_linestatus"))
-    s = st.compute_stats(p, STANDIN, sample_size=2000, sample_key_col="_row")
+    s = st.compute_stats(_keyed_person(spark, sf_dir), STANDIN, sample_size=2000,
+                         sample_key_col=PERSON_KEY)
     bw = distances.median_heuristic_bandwidth(s)
-    return spark.createDataFrame([(float(bw),)], "bandwidth double")
+    return _r(spark.createDataFrame([(float(bw),)], "bandwidth double"), "bandwidth")
 
 
 def q_superregions(spark, sf_dir):
@@ -739,6 +776,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "thermometer": q_thermometer,
         "interactions": q_interactions,
         "weighted_sample": q_weighted_sample,
+        "person_sample": q_person_sample,
+        "median_ties": q_median_ties,
         "rff_embedding": q_rff_embedding,
         "rff_one_real": q_rff_one_real,
         "rff_real_pair": q_rff_real_pair,
@@ -823,7 +862,7 @@ def oracle_sql() -> dict[str, str]:
 
 def _oracle_sql() -> dict[str, str]:
     stats_only = S.with_person(S.stats_ctes())
-    hu = ("(CASE WHEN h = 0 THEN pow(2.0, -33) ELSE h / 4294967296.0 END)")
+    hu = S.hash_uniform_sql("o_orderkey")
     return {
         "linear_embedding": S.linear_sql(),
         "region_weights": S.linear_sql(weight_out=True),
@@ -840,9 +879,7 @@ def _oracle_sql() -> dict[str, str]:
         "thermometer": S.linear_sql(ordered=THERMO, only_features=list(THERMO)),
         "interactions": S.linear_sql(subsets=SUBSETS_SQL, pairs=PAIRS),
         "weighted_sample": f"""
-WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice / 1000) + 1 AS BIGINT) AS w,
-                  CAST(('0x' || substr(md5(CAST(o_orderkey AS VARCHAR)), 1, 8)) AS UBIGINT) AS h
-           FROM orders)
+WITH o AS (SELECT o_orderkey, CAST(floor(o_totalprice / 1000) + 1 AS BIGINT) AS w FROM orders)
 SELECT o_orderkey, w FROM o
 ORDER BY CASE WHEN w > 0 THEN -ln({hu}) / w ELSE 'inf'::DOUBLE END, o_orderkey
 LIMIT 500""",
@@ -858,6 +895,26 @@ p AS (SELECT list_distance(a.v, b.v) AS d FROM s a JOIN s b ON a.vec_id < b.vec_
 SELECT (SELECT count(*) FROM s) AS n_points, count(*) AS n_pairs,
        round(median(d * d), 6) AS median_sq_dist, round(sqrt(median(d * d)), 6) AS bandwidth
 FROM p""",
+        "median_ties": f"""
+WITH s AS (SELECT o_orderkey AS k, CAST(substr(o_orderpriority, 1, 1) AS DOUBLE) AS v FROM orders
+           ORDER BY -ln({hu}), o_orderkey LIMIT 5000),
+p AS (SELECT (a.v - b.v) * (a.v - b.v) AS d FROM s a JOIN s b ON a.k < b.k)
+SELECT (SELECT count(*) FROM s) AS n_points, count(*) AS n_pairs,
+       round(median(d), 6) AS median_sq_dist, round(sqrt(median(d)), 6) AS bandwidth FROM p""",
+        "person_sample": S.with_person(KEYED_PERSON_SQL.format(n=500)
+                                       + "\nSELECT " + ", ".join(PERSON_KEY) + " FROM samp"),
+        "bandwidth_heuristic": S.with_person(
+            S.stats_ctes() + "," + KEYED_PERSON_SQL.format(n=2000) + f""",
+x AS (SELECT row_number() OVER () AS i, {S.z_expr('l_extendedprice')} AS z0,
+             {S.z_expr('l_discount')} AS z1, {S.z_expr('l_tax')} AS z2,
+             l_returnflag AS a, l_linestatus AS b, l_linenumber AS c FROM samp),
+d AS (SELECT (s.z0 - t.z0) * (s.z0 - t.z0) + (s.z1 - t.z1) * (s.z1 - t.z1)
+             + (s.z2 - t.z2) * (s.z2 - t.z2)
+             + 2 * (CAST(s.a IS DISTINCT FROM t.a AS INTEGER)
+                    + CAST(s.b IS DISTINCT FROM t.b AS INTEGER)
+                    + CAST(s.c IS DISTINCT FROM t.c AS INTEGER)) AS d
+      FROM x s JOIN x t ON s.i < t.i)
+SELECT round(sqrt(median(d)), 6) AS bandwidth FROM d"""),
         "batch_merge_embedding": S.linear_sql(),
         "batch_merge_moments": stats_only + "\nSELECT feature, cnt, round(mean, 6) AS mean, "
                                             "round(std, 6) AS std FROM rstats",

@@ -118,7 +118,7 @@ def bipartite_components(pairs: DataFrame, left: str, right: str,
     return (cc.where(~F.col("node").startswith(HUB))
               .select(F.when(F.col("node").startswith(LEFT), F.lit("left"))
                       .otherwise(F.lit("right")).alias("side"),
-                      F.substring(F.col("node"), 3, 1 << 20).alias("key"),
+                      F.substr(F.col("node"), F.lit(3)).alias("key"),
                       "component"))
 
 

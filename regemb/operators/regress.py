@@ -14,6 +14,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
@@ -82,9 +83,10 @@ def ridge_cv(train: DataFrame, label: str = "share", reg_params: list[float] | N
              folds: int = 3, weight: str | None = None, seed: int = 0):
     """M7: ridge regression, penalty chosen by k-fold cross validation."""
     reg_params = reg_params or [1e-4, 1e-3, 1e-2, 1e-1, 1.0, 10.0]
-    # L2 only: the normal-equation solver is exact and needs one pass per fit
+    # L2 only: "auto" takes the exact normal equations where they are allowed (up to
+    # 4,096 columns) and L-BFGS on the same objective beyond
     lr = LinearRegression(featuresCol="features", labelCol=label, elasticNetParam=0.0,
-                          solver="normal", standardization=False)
+                          solver="auto", maxIter=500, tol=1e-9, standardization=False)
     if weight:
         lr.setWeightCol(weight)
     grid = ParamGridBuilder().addGrid(lr.regParam, reg_params).build()
@@ -103,6 +105,24 @@ def probit_binomial(train: DataFrame, label: str = "share", trials: str = "n",
     return glr.fit(train)
 
 
+def logit_binomial(train: DataFrame, successes: str = "y", trials: str = "n",
+                   reg: float = 1e-3, max_iter: int = 200):
+    """M8 for any number of columns: binomial regression with logit link.
+
+    The probit fit solves normal equations and so stops at 4,096 columns.  Here
+    a region is two weighted rows, its successes and its failures, and the fit
+    is L-BFGS, whose state grows linearly with the columns.  ``transform`` gives
+    the share in ``probability[1]``.
+    """
+    two = F.array(F.struct(F.lit(1.0).alias("_label"), F.col(successes).cast("double").alias("_w")),
+                  F.struct(F.lit(0.0).alias("_label"),
+                           (F.col(trials) - F.col(successes)).cast("double").alias("_w")))
+    rows = train.select("features", F.inline(two)).where(F.col("_w") > 0)
+    return LogisticRegression(featuresCol="features", labelCol="_label", weightCol="_w",
+                              regParam=reg, elasticNetParam=0.0, standardization=False,
+                              maxIter=max_iter).fit(rows)
+
+
 def explained_variance(pred: DataFrame, label: str = "share",
                        prediction: str = "prediction") -> DataFrame:
     """``1 - Var(y - yhat) / Var(y)`` (population variances)."""
@@ -152,5 +172,5 @@ def predict(model, df: DataFrame) -> DataFrame:
 
 
 __all__ = ["prefix_filter", "wide", "design_matrix", "two_party_target", "split", "ridge_cv",
-           "probit_binomial", "explained_variance", "top_coefficients", "matern32_features",
+           "probit_binomial", "logit_binomial", "explained_variance", "top_coefficients", "matern32_features",
            "coefficient_table", "predict", "Column"]

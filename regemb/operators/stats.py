@@ -94,12 +94,13 @@ def needs_nan(vc: DataFrame, n_total: int) -> DataFrame:
 def hash_uniform(key: Column) -> Column:
     """A uniform (0, 1] number from a hash of ``key``; reproducible anywhere.
 
-    ``md5`` of the key's text, first 32 bits, divided by 2^32; zero is moved
-    to 2^-33 so the logarithm below stays finite.
+    ``md5`` of the key's text, first 60 bits, divided by 2^60 (so that ties stay
+    rare at 10^12 rows); zero is moved to 2^-61 so the logarithm below stays
+    finite.
     """
-    h = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("double")
-    u = h / F.lit(4294967296.0)
-    return F.when(u <= 0, F.lit(2.0 ** -33)).otherwise(u)
+    h = F.conv(F.substring(F.md5(key.cast("string")), 1, 15), 16, 10).cast("long").cast("double")
+    u = h / F.lit(2.0 ** 60)
+    return F.when(u <= 0, F.lit(2.0 ** -61)).otherwise(u)
 
 
 def sample_key(weight: Column, u: Column) -> Column:
@@ -234,7 +235,7 @@ TOTAL_KEY = "__n__"
 
 
 def compute_stats(df: DataFrame, spec: MicrodataSpec, sample_size: int = 5000,
-                  sample_key_col: str | None = None, seed: int = 0,
+                  sample_key_col: str | list[str] | None = None, seed: int = 0,
                   region_type: str | None = None) -> Stats:
     """A1 + A2 + A4 in one scan (+ K1 when ``sample_size``).
 

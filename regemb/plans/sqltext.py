@@ -215,5 +215,5 @@ def _thermo_feat(d: str, levels: list[str]) -> str:
 
 
 def hash_uniform_sql(key: str) -> str:
-    h = f"CAST(('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 8)) AS UBIGINT)"
-    return f"(CASE WHEN {h} = 0 THEN pow(2.0, -33) ELSE {h} / 4294967296.0 END)"
+    h = f"CAST(('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 15)) AS UBIGINT)"
+    return f"(CASE WHEN {h} = 0 THEN pow(2.0, -61) ELSE CAST({h} AS DOUBLE) / pow(2.0, 60) END)"

@@ -46,3 +46,15 @@ def test_hub_component(spark):
                                   + [("p", "q")], "a string, b string")
     got = graph.connected_components(edges).groupBy("component").count().collect()
     assert {(r["component"], r["count"]) for r in got} == {("hub", 2001), ("p", 2)}
+
+
+def test_logit_binomial_recovers_shares_beyond_4096_columns(spark):
+    from pyspark.ml.linalg import SparseVector
+
+    from regemb.operators import regress
+    rows = [(f"r{i}", SparseVector(5000, [i % 2], [1.0]), 30 if i % 2 else 80, 100)
+            for i in range(20)]
+    df = spark.createDataFrame(rows, ["region", "features", "y", "n"])
+    model = regress.logit_binomial(df, reg=1e-6)
+    got = {r["region"]: r["probability"][1] for r in model.transform(df).collect()}
+    assert abs(got["r0"] - 0.8) < 0.01 and abs(got["r1"] - 0.3) < 0.01
