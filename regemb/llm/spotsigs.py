@@ -3,7 +3,14 @@
 A *spot* is a common word (an anchor); its signature is the anchor plus the
 chain of up to ``CHAIN`` content words that follow it, anchors in between
 skipped (a run of more than ``SKIP`` anchors ends the chain).  The start of a
-text counts as a spot too, so short texts have a signature.  The fingerprint
+text counts as a spot too, so short texts have a signature.
+
+Content words that follow more than ``CHAIN`` content words without an anchor
+lie in no chain (tables, code, other languages).  They are cut into pieces
+after the words whose hash is a multiple of ``CHAIN``, at the latest after
+``PIECE`` words; each piece together with the one before it (the first: with
+the ``CHAIN`` words before it) is a signature.  So every content word is in a
+signature, and an edit changes only those around it.  The fingerprint
 is the set of 64-bit hashes of a text's signatures; written as a string it is
 the sorted hashes in hex, so equal texts have equal fingerprints.
 
@@ -31,6 +38,7 @@ from regemb.llm.base import id_and_text, stored
 
 CHAIN = 3
 SKIP = 12
+PIECE = 12
 NEAR = 0.8
 BUCKET_ROWS = 500       # neighbours by id that one window partition holds, about
 MAX_BUCKETS = 4096
@@ -68,6 +76,13 @@ def _trie_pattern(words: list[str]) -> str:
 _ANCHOR = f" ({_trie_pattern(ANCHORS)})(?= )"
 _SPOT = (rf"{_MARK}(?=([^ ]++(?: {_MARK}[^ ]++){{0,{SKIP}}}+"
          rf"(?: [^ {_MARK}][^ ]*+(?: {_MARK}[^ ]++){{0,{SKIP}}}+){{1,{CHAIN}}}))")
+# A run of more than CHAIN content words; its first CHAIN words, then its pieces
+# (in a run the mark follows the words after which a piece ends).
+_WORD = rf"[^ {_MARK}]++"
+_RUN = rf" ({_WORD}(?: {_WORD}){{{CHAIN - 1}}} [^ {_MARK}][^{_MARK}]*+)"
+_PIECES = (rf"^{_WORD}{_MARK}?(?: {_WORD}{_MARK}?){{{CHAIN - 1}}}"
+           rf"|(?: {_WORD}(?!{_MARK})){{0,{PIECE - 1}}}+ {_WORD}{_MARK}"
+           rf"|(?: {_WORD}(?!{_MARK})){{1,{PIECE}}}+")
 
 
 def marked(text: Column) -> Column:
@@ -76,14 +91,29 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), _ANCHOR, f" {_MARK}$1")
 
 
+def _run_pieces(run: Column) -> Column:
+    """The first ``CHAIN`` words of a run and the pieces of the others."""
+    ends = F.transform(F.split(F.rtrim(run), " "), lambda w: F.when(
+        F.pmod(F.xxhash64(w), F.lit(CHAIN)) == 0, F.concat(w, F.lit(_MARK))).otherwise(w))
+    return F.regexp_extract_all(F.array_join(ends, " "), F.lit(_PIECES), F.lit(0))
+
+
+def _piece_hashes(pieces: Column) -> Column:
+    """Each piece but the first hashed with the one before it."""
+    return F.transform(F.slice(pieces, F.lit(2), F.size(pieces)),
+                       lambda p, i: F.xxhash64(F.concat(pieces[i], p)))
+
+
 def with_signatures(df: DataFrame, text: str, name: str) -> DataFrame:
     """Add ``name``: the sorted distinct hashes of the signatures of column ``text``."""
     m = f"__{name}_marked"
     spots = F.regexp_extract_all(F.concat(F.lit(f" {_MARK}^"), F.col(m)), F.lit(_SPOT), 1)
     chains = F.transform(spots, lambda s: F.xxhash64(
         F.regexp_replace(s, f" {_MARK}[^ ]+", "")))
+    runs = F.transform(F.regexp_extract_all(F.col(m), F.lit(_RUN), F.lit(1)), _run_pieces)
+    between = F.flatten(F.transform(runs, _piece_hashes))
     out = (df.withColumn(m, marked(F.col(text)))
-             .withColumn(name, F.sort_array(F.array_distinct(chains)))
+             .withColumn(name, F.sort_array(F.array_distinct(F.concat(chains, between))))
              .withColumn(name, F.when(F.size(name) > 0, F.col(name))
                          .when(F.length(F.trim(m)) > 0, F.array(F.xxhash64(m)))
                          .when(F.length(text) > 0, F.array(F.xxhash64(text)))
@@ -112,33 +142,39 @@ def similar(docs: DataFrame, threshold: float = NEAR) -> tuple[DataFrame, DataFr
     ``pairs``: ``class_a, class_b, likeness``, each pair once.
     """
     marked_docs = with_signatures(id_and_text(docs), "text", "signatures")
-    keyed = marked_docs.select("doc_id", "signatures", F.xxhash64("signatures").alias("h"))
-    sets = stored(keyed.groupBy("h", "signatures").agg(F.min("doc_id").alias("class_id")),
+    # a set is named by two hashes: ids may repeat or be null
+    keyed = marked_docs.select("doc_id", "signatures", F.struct(
+        F.xxhash64("signatures").alias("h"),
+        F.xxhash64(F.lit(1), "signatures").alias("g")).alias("set"))
+    sets = stored(keyed.groupBy("set", "signatures").agg(F.min("doc_id").alias("class_id")),
                   "spots-sets")
-    members = keyed.join(sets.select("h", "signatures", "class_id"), ["h", "signatures"]) \
+    members = keyed.join(sets.select("set", "signatures", "class_id"), ["set", "signatures"]) \
                    .select("doc_id", "class_id")
     n = F.size("signatures")
     step = math.log(1.0 / threshold)
     level = F.floor(F.log(n.cast("double")) / step).cast("int")
     prefix = F.slice("signatures", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int"))
     lean = (sets.where(n > 0)
-            .select("class_id", n.alias("n"), level.alias("level"), prefix.alias("prefix")))
-    short = lean.select("class_id", "n", F.explode("prefix").alias("s"), "level")
-    long = (lean.select(F.col("class_id").alias("class_b"), F.col("n").alias("n_b"), "prefix",
+            .select("set", n.alias("n"), level.alias("level"), prefix.alias("prefix")))
+    short = lean.select("set", "n", F.explode("prefix").alias("s"), "level")
+    long = (lean.select(F.col("set").alias("set_b"), F.col("n").alias("n_b"), "prefix",
                         F.explode(F.array(F.col("level"), F.col("level") - 1)).alias("level"))
-            .select("class_b", "n_b", "level", F.explode("prefix").alias("s")))
+            .select("set_b", "n_b", "level", F.explode("prefix").alias("s")))
     near = (short.join(long, ["level", "s"])
             .where((F.col("n") >= F.col("n_b") * threshold - 1e-9) & (
                 (F.col("n") < F.col("n_b"))
-                | ((F.col("n") == F.col("n_b")) & (F.col("class_id") < F.col("class_b")))))
-            .select("class_id", "class_b").distinct())
-    a = sets.select("class_id", F.col("signatures").alias("sa"))
-    b = sets.select(F.col("class_id").alias("class_b"), F.col("signatures").alias("sb"))
-    pairs = (near.join(a, "class_id").join(b, "class_b")
+                | ((F.col("n") == F.col("n_b")) & (F.col("set") < F.col("set_b")))))
+            .select("set", "set_b").distinct())
+    a = sets.select("set", F.col("class_id").alias("ia"), F.col("signatures").alias("sa"))
+    b = sets.select(F.col("set").alias("set_b"), F.col("class_id").alias("ib"),
+                    F.col("signatures").alias("sb"))
+    swap = F.col("ib").isNotNull() & (F.col("ia").isNull() | (F.col("ib") < F.col("ia")))
+    pairs = (near.join(a, "set").join(b, "set_b")
              .withColumn("likeness", likeness("sa", "sb"))
              .where(F.col("likeness") >= threshold)
-             .select(F.least("class_id", "class_b").alias("class_a"),
-                     F.greatest("class_id", "class_b").alias("class_b"), "likeness"))
+             .select(F.when(swap, F.col("ib")).otherwise(F.col("ia")).alias("class_a"),
+                     F.when(swap, F.col("ia")).otherwise(F.col("ib")).alias("class_b"),
+                     "likeness"))
     return members, pairs
 
 

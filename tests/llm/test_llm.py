@@ -170,6 +170,37 @@ def test_spotsigs_chains(spark):
     assert set(got) == hashes
 
 
+def test_spotsigs_span_texts_without_anchors(spark):
+    """A change anywhere in a text without anchors shows; half a change leaves about half."""
+    plain = [f"слово{i}" for i in range(100)]
+    mixed = ["The", *plain[:40], "and", *plain[40:], "of"]
+    zeros = ["0"] * 100
+    half = [*plain[:50], *(f"иное{i}" for i in range(50))]
+    moved = ["ново", *plain[:30], "ещё", *plain[30:]]
+    rows = [(0, "plain", plain), (1, "half", half), (2, "moved", moved), (3, "mixed", mixed),
+            (4, "zeros", zeros)]
+    for name, words in (("plain", plain), ("mixed", mixed), ("zeros", zeros)):
+        rows += [(10 + i, f"{name}-{i}", [*words[:i], "x" * 9, *words[i + 1:]])
+                 for i, w in enumerate(words) if w not in ("The", "and", "of")]
+    df = spark.createDataFrame([(d, n, " ".join(w)) for d, n, w in rows],
+                               "doc_id long, name string, text string")
+    sets = {r["name"]: set(r["s"]) for r in spotsigs.with_signatures(df, "text", "s").collect()}
+    for name, s in sets.items():
+        if "-" in name:
+            assert s != sets[name.split("-")[0]], name
+    def like(a, b):
+        return len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert 0.2 < like("plain", "half") < 0.6
+    assert like("plain", "moved") > 0.6
+    assert all(like("plain", f"plain-{i}") > 0.7 for i in range(3, 100))
+
+
+def test_spotsigs_long_run(spark):
+    text = " ".join(f"w{i % 5003}" for i in range(300_000))
+    one = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert len(spotsigs.with_signatures(one, "text", "s").first()["s"]) > 500
+
+
 def test_spotsigs_likeness_and_pairs(odd):
     rows = spotsigs.with_signatures(id_and_text(odd), "text", "s").select("doc_id", "s").collect()
     by_set = {}
