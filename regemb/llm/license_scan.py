@@ -1,8 +1,12 @@
 """License scan by a trained paragraph classifier (operator 5), DataFrame functions only.
 
-* **Paragraphs** are lines with words.  Words are runs of letters and digits in
-  lower case; the features of a paragraph are its one-, two- and three-word
-  n-grams, hashed to ``SLOTS`` slots.
+* **Paragraphs** are stretches of words that hold at least ``MIN_TEMPLATE`` of
+  the two-word n-grams of a template, in whatever lines they lie (a wrapped
+  notice is one paragraph, from ``line_no`` to ``last_line``; of stretches that
+  share a word the one closest to its template stays), and the lines that no
+  such stretch touches.  Words are runs of letters and digits in lower case;
+  the features of a paragraph are its one-, two- and three-word n-grams, hashed
+  to ``SLOTS`` slots.
 * **Training.**  Multinomial logistic regression (``pyspark.ml``, elastic net, so
   the weights are sparse) on the family templates, on paragraphs made from
   them (each template with leading and trailing words cut off and with plain
@@ -243,10 +247,88 @@ def template_share(two: Column, family: str) -> Column:
     return F.greatest(*shares) if len(shares) > 1 else shares[0]
 
 
+def _templates() -> Column:
+    """Two-word n-grams of every template, and how many words a notice made from it may span."""
+    out = []
+    for texts in TEMPLATES.values():
+        for text in texts:
+            w = words_of(text)
+            own = sorted({" ".join(w[i:i + 2]) for i in range(len(w) - 1)})
+            out.append(F.struct(F.array(*map(F.lit, own)).alias("own"),
+                                F.lit(len(own)).alias("n"),
+                                F.lit(len(w) + len(w) // 2).alias("reach")))
+    return F.array(*out)
+
+
+def _stretch(o: Column, h: Column, j: Column) -> Column:
+    """The words from hit ``j`` on that hold most of a template, as few as possible.
+
+    Fields sort better stretches first.
+    """
+    near = F.transform(F.filter(F.slice(o["hits"], j + 1, o["reach"]),
+                                lambda x: x["p"] < h["p"] + o["reach"]), lambda x: x["g"])
+    found = F.array_distinct(near)
+    last = F.get(o["hits"], j + F.array_position(near, F.element_at(found, -1)).cast("int") - 1)
+    return F.struct((-F.size(found) / o["n"]).alias("minus_share"),
+                    (-F.size(found)).alias("minus_found"),
+                    (last["p"] - h["p"]).alias("length"), h["p"].alias("first"),
+                    (last["p"] + 1).alias("last"), h["line"].alias("line_no"),
+                    last["next_line"].alias("last_line"))
+
+
+def _apart(found: Column) -> Column:
+    """The best stretches of which no two share a word."""
+    def meets(a: Column, b: Column) -> Column:
+        return (a["first"] <= b["last"]) & (b["first"] <= a["last"])
+    return F.aggregate(F.array_sort(found), F.slice(found, 1, 0), lambda kept, x: F.when(
+        F.exists(kept, lambda k: meets(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
+
+
+def units(docs: DataFrame) -> DataFrame:
+    """``(doc_id, line_no, last_line, w)``: possible notices, then the other lines with a cue word.
+
+    Notices are looked for in the words of the whole text, whatever lines they
+    lie in, all inside the row.
+    """
+    pairs = sorted({" ".join(words_of(t)[i:i + 2]) for texts in TEMPLATES.values()
+                    for t in texts for i in range(len(words_of(t)) - 1)})
+    rows = (id_and_text(docs).where(F.col("text").rlike(cue_pattern()))
+            .select("doc_id", F.split("text", r"\r\n|\n|\r").alias("lines"))
+            .withColumn("tokens", F.flatten(F.transform("lines", lambda line, i: F.transform(
+                words(line), lambda w: F.struct(w.alias("w"), i.alias("line")))))))
+
+    def pair(t: Column, i: Column) -> Column:
+        follow = F.get("tokens", i + 1)
+        return F.struct(i.alias("p"), t["line"].alias("line"), follow["line"].alias("next_line"),
+                        F.concat(t["w"], F.lit(" "), follow["w"]).alias("g"))
+    hits = F.filter(F.transform("tokens", pair), lambda h: F.coalesce(
+        h["g"].isin(pairs), F.lit(False)))
+    rows = rows.withColumn("hits", hits)
+    per_template = F.filter(F.transform(_templates(), lambda t: F.struct(
+        F.filter("hits", lambda h: F.array_contains(t["own"], h["g"])).alias("hits"),
+        t["n"].alias("n"), t["reach"].alias("reach"))),
+        lambda o: F.size(F.array_distinct(F.transform(o["hits"], lambda h: h["g"])))
+        >= MIN_TEMPLATE * o["n"])
+    found = F.flatten(F.transform(per_template, lambda o: F.filter(
+        F.transform(o["hits"], lambda h, j: _stretch(o, h, j)),
+        lambda x: x["minus_share"] <= -MIN_TEMPLATE)))
+    rows = rows.withColumn("found", found).withColumn("notices", _apart(F.col("found")))
+    notices = F.transform("notices", lambda x: F.struct(
+        x["line_no"].alias("line_no"), x["last_line"].alias("last_line"),
+        F.transform(F.slice("tokens", x["first"] + 1, x["last"] - x["first"] + 1),
+                    lambda t: t["w"]).alias("w")))
+    others = F.transform(F.filter(
+        F.transform("lines", lambda line, i: F.struct(i.alias("i"), line.alias("line"))),
+        lambda x: x["line"].rlike(cue_pattern()) & ~F.exists("notices", lambda k: (
+            k["line_no"] <= x["i"]) & (x["i"] <= k["last_line"]))),
+        lambda x: F.struct(x["i"].alias("line_no"), x["i"].alias("last_line"),
+                           words(x["line"]).alias("w")))
+    return rows.select("doc_id", F.inline(F.concat(notices, others)))
+
+
 def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
-    """``doc_id, line_no, family, probability, template_share, confirmed`` of every scored line."""
-    rows = (lines(docs).where(F.col("line").rlike(cue_pattern()))
-            .withColumn("w", words(F.col("line"))).withColumn("s", slots("w"))
+    """``doc_id, line_no, family, probability, template_share, confirmed, last_line`` of every unit."""
+    rows = (units(docs).withColumn("s", slots("w"))
             .withColumn("z", classifier.margins("s"))
             .withColumn("e", F.transform("z", lambda v: F.exp(
                 (v - F.array_max("z")) / classifier.temperature)))
@@ -264,4 +346,4 @@ def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
                      .otherwise(UNKNOWN_CLASS).alias("family"),
                     F.col("p").alias("probability"), F.col("share").alias("template_share"),
                     ((F.col("p") >= MIN_PROBABILITY) & (F.col("best") != UNKNOWN_CLASS)
-                     & (F.col("share") >= MIN_TEMPLATE)).alias("confirmed")))
+                     & (F.col("share") >= MIN_TEMPLATE)).alias("confirmed"), "last_line"))

@@ -367,6 +367,24 @@ def test_license_scan(spark, empty):
     assert none.collect() == []
 
 
+def test_license_scan_wrapped_notices(spark):
+    """Notices wrapped in comments, two in a row too, count once each, with their lines."""
+    import textwrap
+    rows, want = [], []
+    for d, (family, width, lead) in enumerate([
+            (f, w, p) for f in ("mit", "gpl", "lgpl", "bsd") for w in (40, 70, 80)
+            for p in ("", " * ", "# ")]):
+        notice = max(license_scan.TEMPLATES[family], key=len)
+        body = textwrap.wrap(notice + ".", width, initial_indent=lead, subsequent_indent=lead)
+        rows.append((d, "\n".join(["/* some file of the project", *body, *body, lead, "code"])))
+        n = len(body)
+        want += [(d, 1, n, family), (d, 1 + n, 2 * n, family)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.scan(docs, license_scan.Classifier(spark, docs)).where("confirmed").collect()
+    assert multiset((r["doc_id"], r["line_no"], r["last_line"], r["family"]) for r in got) == \
+        multiset(want)
+
+
 def test_license_cues_cover_templates():
     cues = license_scan.cue_words()
     for texts in license_scan.TEMPLATES.values():
