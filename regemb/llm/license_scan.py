@@ -22,6 +22,10 @@
 Lines without any cue word (:func:`cue_words`) hold too few n-grams of every
 template to be confirmed; they are not scored and give no row.
 
+A line of more than ``WINDOW`` words without a possible notice is scored by
+that one of its windows (every ``STEP`` words) that holds most two-word
+n-grams of templates.  Every possible notice of a line has its own row.
+
 Null or empty texts have no paragraphs.  Null ids stay null.  Repeated rows
 give repeated results.  An empty table gives an empty result (the model then
 has only the built-in unknown paragraphs).  Extra columns are ignored.
@@ -41,6 +45,8 @@ from regemb.llm.base import id_and_text, stored
 
 SLOTS = 4096
 SAMPLE_LINES = 2000
+WINDOW = 64             # words scored at once; the longest template has 29
+STEP = 32
 MIN_PROBABILITY = 0.5
 MIN_TEMPLATE = 0.6
 TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)
@@ -156,6 +162,22 @@ def lines(docs: DataFrame) -> DataFrame:
             .select("doc_id", F.posexplode(F.split("text", r"\r\n|\n|\r")).alias("line_no", "line")))
 
 
+def windows(w: Column) -> Column:
+    """Word windows that overlap by half; the words themselves where they fit into one."""
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil((F.size(w) - WINDOW) / STEP), F.lit(0))
+                        .cast("int"))
+    return F.transform(starts, lambda i: F.slice(w, i * STEP + 1, F.lit(WINDOW)))
+
+
+def one_window(line: str) -> Column:
+    """The line, or one of its windows if it is longer than that."""
+    return F.when(F.length(line) < 2 * WINDOW, F.col(line)).otherwise(F.element_at(F.transform(
+        F.array(words(F.col(line))), lambda w: F.when(
+            F.size(w) <= WINDOW, F.col(line)).otherwise(F.array_join(F.slice(
+                w, (F.pmod(F.xxhash64(F.col(line)), F.ceil((F.size(w) - WINDOW) / STEP) + 1)
+                    * STEP + 1).cast("int"), F.lit(WINDOW)), " "))), 1))
+
+
 def cue_words() -> set[str]:
     """Words without any of which no template can be confirmed.
 
@@ -191,9 +213,10 @@ class Classifier:
     def __init__(self, spark: SparkSession, docs: DataFrame):
         made = spark.createDataFrame(training_paragraphs(),
                                      "family string, line string, held boolean")
-        own = (lines(docs).where(F.length("line") > 0).where(~F.col("line").rlike(cue_pattern()))
-               .select("line").orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES)
-               .select(F.lit(UNKNOWN_CLASS).alias("family"), F.substring("line", 1, 400).alias("line"),
+        own = (lines(docs).where(F.length("line") > 0).select(one_window("line").alias("line"))
+               .where(~F.col("line").rlike(cue_pattern()))
+               .orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES)
+               .select(F.lit(UNKNOWN_CLASS).alias("family"), "line",
                        (F.pmod(F.xxhash64("line"), F.lit(4)) == 3).alias("held")))
         index = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1
         rows = (made.union(own).withColumn("w", words(F.col("line")))
@@ -317,12 +340,19 @@ def units(docs: DataFrame) -> DataFrame:
         x["line_no"].alias("line_no"), x["last_line"].alias("last_line"),
         F.transform(F.slice("tokens", x["first"] + 1, x["last"] - x["first"] + 1),
                     lambda t: t["w"]).alias("w")))
+    def fullest(w: Column) -> Column:
+        best = F.array_max(F.transform(windows(w), lambda v, i: F.struct(
+            F.size(F.filter(F.transform(v, lambda x, k: F.concat_ws(" ", x, F.get(v, k + 1))),
+                            lambda g: g.isin(pairs))).alias("n"),
+            (-i).alias("minus_at"), v.alias("v"))))
+        return F.when(F.size(w) <= WINDOW, w).otherwise(best["v"])
     others = F.transform(F.filter(
         F.transform("lines", lambda line, i: F.struct(i.alias("i"), line.alias("line"))),
         lambda x: x["line"].rlike(cue_pattern()) & ~F.exists("notices", lambda k: (
             k["line_no"] <= x["i"]) & (x["i"] <= k["last_line"]))),
         lambda x: F.struct(x["i"].alias("line_no"), x["i"].alias("last_line"),
-                           words(x["line"]).alias("w")))
+                           F.element_at(F.transform(F.array(words(x["line"])), fullest), 1)
+                           .alias("w")))
     return rows.select("doc_id", F.inline(F.concat(notices, others)))
 
 

@@ -385,6 +385,35 @@ def test_license_scan_wrapped_notices(spark):
         multiset(want)
 
 
+def test_license_scan_long_lines(spark):
+    """Every notice of a line has its row, however long the line is."""
+    rng = np.random.default_rng(5)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgk" for b in "aeiou" for c in "lmnrst"] + ["version"]
+
+    def prose(n):
+        return " ".join(rng.choice(vocabulary, n))
+    parts = [license_scan.TEMPLATES[f][-2] + "." for f in ("apache-2.0", "mit", "bsd", "lgpl")]
+    rows = [(1, f"{parts[0]} {parts[1]}"), (2, f"{prose(90)} {parts[2]}"),
+            (3, " ".join(prose(1500) + " " + x for x in parts) + " " + prose(900)),
+            (4, "version " + prose(5000)), (5, prose(5000) + "\n" + prose(30))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    rows = license_scan.scan(docs, license_scan.Classifier(spark, docs)).collect()
+    assert multiset((r["doc_id"], r["line_no"], r["family"]) for r in rows if r["confirmed"]) == \
+        multiset([(1, 0, "apache-2.0"), (1, 0, "mit"), (2, 0, "bsd"), (3, 0, "apache-2.0"),
+                  (3, 0, "mit"), (3, 0, "bsd"), (3, 0, "lgpl")])
+    assert [r["family"] for r in rows if r["doc_id"] == 4] == ["unknown"]
+
+
+def test_license_sample_takes_any_part_of_a_line(spark):
+    lines = [(i, " ".join(f"w{k}" for k in range(1000))+ f" end{i}") for i in range(40)]
+    df = spark.createDataFrame([*lines, (99, "short, line")], "doc_id long, line string")
+    got = {r["doc_id"]: r["x"] for r in
+           df.select("doc_id", license_scan.one_window("line").alias("x")).collect()}
+    assert got.pop(99) == "short, line"
+    assert all(32 < len(x.split()) <= 64 for x in got.values())
+    assert len({x.split()[0] for x in got.values()}) > 10
+
+
 def test_license_cues_cover_templates():
     cues = license_scan.cue_words()
     for texts in license_scan.TEMPLATES.values():
