@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regemb.llm import (exact_dedup, license_scan, mixing, ngram_join, packing, quality,
-                        spotsigs, suffix_dedup, token_count, toxicity)
+from regemb.llm import (conversation_repair, exact_dedup, license_scan, mixing, ngram_join,
+                        packing, quality, spotsigs, suffix_dedup, token_count, toxicity)
 from regemb.llm.base import crc_of_id, table
 
 
@@ -83,10 +83,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest audit and repaired digest of every damaged conversation."""
+    rows = conversation_repair.damage(table(spark, sf_dir, "conversations"))
+    return conversation_repair.digests(rows)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ngram_jaccard, op2_spotsigs, op3_packing, op4_mixing, op5_license_scan,
-        op6_exact_dedup, op7_token_count, op8_quality, op9_suffix_dedup, op10_toxicity)}
+        op6_exact_dedup, op7_token_count, op8_quality, op9_suffix_dedup, op10_toxicity,
+        op11_conversation_repair)}
 
 
 def oracle_sql() -> dict[str, str]:
