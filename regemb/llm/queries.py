@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regemb.llm import (conversation_repair, exact_dedup, license_scan, mixing, ngram_join,
-                        packing, quality, spotsigs, suffix_dedup, token_count, toxicity)
+from regemb.llm import (conversation_repair, exact_dedup, language_id, license_scan, mixing,
+                        ngram_join, packing, quality, spotsigs, suffix_dedup, token_alignment,
+                        token_count, toxicity)
 from regemb.llm.base import crc_of_id, table
 
 
@@ -89,11 +90,26 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.digests(rows)
 
 
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned outside the held-out fold."""
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs, modulus=3, held_out=1)
+    return language_id.identify(docs, model).select(
+        "doc_id", (F.pmod(crc_of_id(), F.lit(3)) == 1).alias("held_out"), "lang_pred", "score")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of every text under two tokenizers."""
+    return token_alignment.documents(table(spark, sf_dir, "documents"),
+                                     public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                                     public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_ngram_jaccard, op2_spotsigs, op3_packing, op4_mixing, op5_license_scan,
         op6_exact_dedup, op7_token_count, op8_quality, op9_suffix_dedup, op10_toxicity,
-        op11_conversation_repair)}
+        op11_conversation_repair, op12_language_id, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
