@@ -5,16 +5,18 @@
   candidates for the word (if none uses it, all stay).
 * **Per-word scores.**  A word scores, for each language, the log probabilities
   of its letter n-grams (:data:`ORDERS`, with word ends) and of the word itself.
+  N-grams are hashed into a table of fixed size, so all distinct words of a
+  batch are scored by a few array operations.
 * **Viterbi with a switching penalty.**  The path of languages over a text's
   words maximises the summed scores minus :data:`SWITCH` per change, which
   labels spans.  The language whose spans hold most letters is the text's; the
   score is its share of the letters.
 
-The n-gram table is learned from at most :data:`SAMPLE` texts per language
-(smallest hash of the row; a documented bound), cut first by a threshold from
-exact counts so that no task receives more than a few times the rows wanted.
-The table has at most :data:`CELLS` cells (n-grams times languages).  Scoring
-reads every word of every text.
+The table is learned from about :data:`SAMPLE` texts per language (smallest
+hash of the row; a documented bound), cut first by a threshold from exact
+counts so that no task receives more than a few times the rows wanted.  It has
+at most :data:`CELLS` cells (slots times languages).  Scoring reads every word
+of every text.
 
 Null text and text without a letter are ``und`` with score 0, as is everything
 when there was nothing to learn from.  Letter runs longer than
@@ -39,14 +41,14 @@ from pyspark.sql import functions as F
 from regemb.llm.base import crc_of_id, stored, text_of
 
 SAMPLE = 2_000           # texts per language that the table is learned from
-CELLS = 2_000_000        # n-grams times languages in the table
+CELLS = 2_000_000        # slots times languages in the table
 ORDERS = (1, 2, 3, 4)
-MIN_COUNT = 2            # times that an n-gram occurs in the sample
+MIN_COUNT = 2            # times that a slot occurs in the sample
 SMOOTH = 0.5
 RUN = 24
 SWITCH = 10.0            # nats that a change of language costs
 BEHIND = 12.0            # nats that a language without the word's script is behind the candidates
-MIN_SCRIPT = 0.01        # share of a language's letters that makes a script its own
+MIN_SCRIPT = 0.01        # share of a language's words that makes a script its own
 MEMORY = 2_000_000       # words times languages whose scores a task remembers
 BATCH_CELLS = 8_000_000  # words times languages that are labelled at a time
 UNKNOWN = "und"
@@ -88,29 +90,72 @@ def words_of(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
-def grams_of(word: str) -> list[str]:
-    marked = f"^{word}$"
-    return [marked[i:i + n] for n in ORDERS for i in range(len(marked) - n + 1)
-            if n > 1 or 0 < i <= len(word)] + [f"={word}"]
+def slots_of(words: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the n-grams of words, and where each word begins.
+
+    The words lie end to end with a mark on either side; row i of the slots
+    belongs to place i and has a column per order, and one for the word itself
+    at its first place.  ``1 << bits`` means that no n-gram is there.
+    """
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    starts = np.cumsum(sizes) - sizes
+    text = "".join(f"^{w}$" for w in words)
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    n = len(codes)
+    place = np.arange(n) - np.repeat(starts, sizes)
+    left = np.repeat(sizes, sizes) - place
+    slots = np.full((n, len(ORDERS) + 1), 1 << bits, np.int64)
+    prime, mix = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+
+    def slot(h: np.ndarray) -> np.ndarray:
+        h = (h ^ (h >> np.uint64(29))) * mix
+        return ((h ^ (h >> np.uint64(32))) * mix >> np.uint64(64 - bits)).astype(np.int64)
+
+    for column, order in enumerate(ORDERS):
+        h = np.full(n, order, np.uint64)
+        for j in range(order):
+            h[:n - j] = h[:n - j] * prime + codes[j:]
+        there = left >= order
+        if order == 1:
+            there &= (place > 0) & (left > 1)
+        slots[there, column] = slot(h[there])
+    powers = np.array([pow(0x100000001B3, i, 1 << 64) for i in range(RUN + 2)], np.uint64)
+    whole = np.add.reduceat(codes * powers[place], starts) + np.uint64(0xABCD)
+    slots[starts, len(ORDERS)] = slot(whole)
+    return slots, starts
 
 
 # ----------------------------------------------------------------- learning
 
 def training_rows(docs: DataFrame, modulus: int, held_out: int, sample: int = SAMPLE) -> DataFrame:
-    """``(lang, text)`` of at most ``sample`` rows of each language outside the fold."""
+    """``(lang, text)`` of about ``sample`` rows of each language outside the fold.
+
+    A row's draw is a hash in [0, 1).  The counts of the languages (the driver
+    knows every language, as the model does) give a cut that about three
+    times the rows wanted pass; of those the draw of rank ``sample`` is the
+    language's last.  Only ids and draws are sorted, texts are not moved.
+    Rows that tie with the last one are all learned from.
+    """
+    draw: Column = F.shiftrightunsigned(F.xxhash64("doc_id", "lang", "text", F.lit(12)), 11) \
+        / float(1 << 53)
     rows = (docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"),
                         F.col("lang").cast("string").alias("lang"))
                 .where(F.col("lang").isNotNull()
-                       & (F.pmod(crc_of_id(), F.lit(modulus)) != held_out)))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-    # a hash in [0, 1) per row; three times the rows wanted pass the cut, and if a
-    # language has fewer, all of them
-    draw: Column = F.shiftrightunsigned(F.xxhash64("doc_id", "lang", F.lit(12)), 11) / float(1 << 53)
-    cut = rows.withColumn("draw", draw).join(counts, "lang").where(
-        F.col("draw") * F.col("n") <= 3.0 * sample)
-    order = Window.partitionBy("lang").orderBy("draw", "doc_id", F.xxhash64("text"))
-    return cut.withColumn("rank", F.row_number().over(order)).where(
-        F.col("rank") <= sample).select("lang", "text")
+                       & (F.pmod(crc_of_id(), F.lit(modulus)) != held_out))
+                .withColumn("draw", draw))
+    spark = docs.sparkSession
+
+    def by_lang(values: dict[str, float], name: str) -> DataFrame:
+        # one row per language the model will hold: small enough to broadcast
+        return F.broadcast(spark.createDataFrame(list(values.items()), f"lang string, {name} double"))
+
+    counts = {r["lang"]: 3.0 * sample / r["count"] for r in rows.groupBy("lang").count().collect()}
+    order = Window.partitionBy("lang").orderBy("draw")
+    last = (rows.select("lang", "draw").join(by_lang(counts, "cut"), "lang").where("draw <= cut")
+                .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample)
+                .groupBy("lang").agg(F.max("draw").alias("last")).collect())
+    lasts = by_lang({r["lang"]: r["last"] for r in last}, "last")
+    return rows.join(lasts, "lang").where("draw <= last").select("lang", "text")
 
 
 def _words_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,25 +169,39 @@ def _words_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             "n": pa.array(list(n.values()), pa.int64())})
 
 
-def _grams_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n: Counter = Counter()
-        for lang, word, times in zip(b.column("lang").to_pylist(), b.column("word").to_pylist(),
-                                     b.column("n").to_pylist(), strict=True):
-            for g in grams_of(word):
-                n[lang, g] += times
-        yield pa.RecordBatch.from_pydict({
-            "lang": pa.array([k[0] for k in n], pa.string()),
-            "gram": pa.array([k[1] for k in n], pa.string()),
-            "n": pa.array(list(n.values()), pa.int64())})
+def _slots_kernel(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Per batch and language: how often each slot of each order occurs."""
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lang = b.column("lang").dictionary_encode()
+            of = lang.indices.to_numpy()
+            slots, starts = slots_of(b.column("word").to_pylist(), bits)
+            word = np.repeat(np.arange(b.num_rows), np.diff(np.append(starts, len(slots))))
+            n = b.column("n").to_numpy()[word]
+            for column in range(slots.shape[1]):
+                on = slots[:, column] < 1 << bits
+                key = of[word[on]].astype(np.int64) << bits | slots[on, column]
+                distinct, where = np.unique(key, return_inverse=True)
+                yield pa.RecordBatch.from_pydict({
+                    "kind": pa.array(np.full(len(distinct), column), pa.int32()),
+                    "slot": pa.array(distinct & ((1 << bits) - 1), pa.int32()),
+                    "lang": lang.dictionary.take(pa.array(distinct >> bits)),
+                    "n": pa.array(np.bincount(where, weights=n[on]).astype(np.int64))})
+    return run
 
 
 @dataclass
 class Model:
-    """Languages, log probabilities of n-grams and the scripts of each language."""
+    """Languages, log probabilities by order and slot, and the languages of each script.
+
+    ``table`` has ``(orders + 1) << bits`` rows: the slots of each order, then
+    those of whole words.
+    """
 
     langs: list[str]
-    grams: list[str] = field(default_factory=list)
+    bits: int = 0
     table: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.float32))
     scripts: dict[str, list[int]] = field(default_factory=dict)
     switch: float = SWITCH
@@ -156,45 +215,56 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.n = model, len(model.langs)
-        self.at = {g: i for i, g in enumerate(model.grams)}
+        # a row of zeros after the slots of each order stands for no n-gram
+        slots, langs = 1 << model.bits, max(self.n, 1)
+        self.tables = [np.vstack([model.table[k * slots:(k + 1) * slots], np.zeros((1, langs))])
+                       for k in range(len(ORDERS) + 1)] if self.n else []
+        self.candidates = np.ones((len(model.scripts) + 1, max(self.n, 1)), bool)
+        self.script = {}
+        for i, (script, langs) in enumerate(model.scripts.items()):
+            self.script[script] = i
+            self.candidates[i] = False
+            self.candidates[i, langs] = True
+        self.forget()
+
+    def forget(self) -> None:
         self.ids: dict[str, int] = {}
-        self.rows: list[np.ndarray] = []
-        self.lengths: list[int] = []
-        self.everyone = list(range(self.n))
+        self.scores = np.zeros((1024, max(self.n, 1)))
+        self.lengths = np.zeros(1024, np.int64)
+        self.held = 0
+
+    def learn(self, words: list[str]) -> None:
+        """Score words that were not met before, all at once."""
+        slots, starts = slots_of(words, self.model.bits)
+        places = sum(t[slots[:, k]] for k, t in enumerate(self.tables))
+        scores = np.add.reduceat(places, starts, axis=0) / len(ORDERS)
+        allowed = self.candidates[[self.script.get(script_of(w[0]), -1) for w in words]]
+        floor = np.where(allowed, scores, np.inf).min(axis=1) - BEHIND
+        scores = np.where(allowed, scores, floor[:, None])
+        scores -= scores.max(axis=1, keepdims=True)
+        end = self.held + len(words)
+        if end > len(self.scores):
+            grown = max(end, 2 * len(self.scores))
+            self.scores = np.resize(self.scores, (grown, self.scores.shape[1]))
+            self.lengths = np.resize(self.lengths, grown)
+        self.scores[self.held:end] = scores
+        self.lengths[self.held:end] = [len(w) for w in words]
+        self.ids.update(zip(words, range(self.held, end), strict=True))
+        self.held = end
 
     def score(self, word: str) -> np.ndarray:
         """Score of a word for every language."""
-        known = [i for i in map(self.at.get, grams_of(word)) if i is not None]
-        s = (self.model.table[known].sum(axis=0, dtype=np.float64) / len(ORDERS) if known
-             else np.zeros(self.n))
-        candidates = self.model.scripts.get(script_of(word[0])) or self.everyone
-        if len(candidates) < self.n:
-            floor = s[candidates].min() - BEHIND
-            narrowed = np.full(self.n, floor)
-            narrowed[candidates] = s[candidates]
-            s = narrowed
-        return s - s.max()
-
-    def word_ids(self, words: Iterable[str]) -> list[int]:
-        """Numbers of words; what has a sign that is no letter is -1."""
-        ids = self.ids
-        out = []
-        for w in words:
-            i = ids.get(w)
-            if i is None:
-                if w.isalpha():
-                    i = len(self.rows)
-                    self.rows.append(self.score(w))
-                    self.lengths.append(len(w))
-                else:
-                    i = -1
-                ids[w] = i
-            out.append(i)
-        return out
+        return self.scores[self.word_ids([[word]])[0][0]]
 
-    def forget(self) -> None:
-        if len(self.ids) * self.n > MEMORY:
-            self.ids, self.rows, self.lengths = {}, [], []
+    def word_ids(self, texts: list[list[str]]) -> list[list[int]]:
+        """Numbers of the words of texts; what has a sign that is no letter is -1."""
+        ids = self.ids
+        new = {w for words in texts for w in words if w not in ids}
+        ids.update((w, -1) for w in new if not w.isalpha())
+        letters = [w for w in new if w.isalpha()]
+        if letters:
+            self.learn(letters)
+        return [list(map(ids.__getitem__, words)) for words in texts]
 
 
 def words_with_letters(text: str) -> list[str]:
@@ -246,36 +316,36 @@ def label_texts(scorer: Scorer, texts: list[str]) -> list[tuple[np.ndarray, np.n
     """For every text: language number and letters of each of its words."""
     out: list = [None] * len(texts)
     none = np.zeros(0, np.int16)
-    held: list[tuple[int, np.ndarray]] = []
-    cells = 0
-
-    def flush():
-        nonlocal cells, held
-        if held:
-            ids = np.concatenate([w for _, w in held])
-            sizes = np.array([len(w) for _, w in held])
-            starts = np.cumsum(sizes) - sizes
-            distinct, where = np.unique(ids, return_inverse=True)
-            scores = np.array([scorer.rows[i] for i in distinct])
-            letters = np.array([scorer.lengths[i] for i in distinct])[where]
-            labels = viterbi(scores[where], starts, sizes, scorer.model.switch)
-            for (i, _), s, k in zip(held, starts, sizes, strict=True):
-                out[i] = labels[s:s + k], letters[s:s + k]
-        held, cells = [], 0
-        scorer.forget()
 
+    def label(first: int, words: list[list[str]]) -> None:
+        if len(scorer.ids) * scorer.n > MEMORY:
+            scorer.forget()
+        numbers = scorer.word_ids(words)
+        for i, x in enumerate(numbers):
+            if -1 in x:
+                numbers[i] = scorer.word_ids([words_with_letters(texts[first + i])])[0]
+        with_words = [i for i, x in enumerate(numbers) if x]
+        for i, x in enumerate(numbers):
+            if not x:
+                out[first + i] = none, none
+        if not with_words:
+            return
+        ids = np.concatenate([np.array(numbers[i]) for i in with_words])
+        sizes = np.array([len(numbers[i]) for i in with_words])
+        starts = np.cumsum(sizes) - sizes
+        labels = viterbi(scorer.scores[ids], starts, sizes, scorer.model.switch)
+        letters = scorer.lengths[ids]
+        for i, s, k in zip(with_words, starts, sizes, strict=True):
+            out[first + i] = labels[s:s + k], letters[s:s + k]
+
+    first, held, cells = 0, [], 0
     for i, text in enumerate(texts):
-        ids = scorer.word_ids(words_of(text))
-        if -1 in ids:
-            ids = scorer.word_ids(words_with_letters(text))
-        if not ids:
-            out[i] = none, none
-            continue
-        held.append((i, np.array(ids)))
-        cells += len(ids) * scorer.n
-        if cells >= BATCH_CELLS:
-            flush()
-    flush()
+        words = words_of(text)
+        held.append(words)
+        cells += (len(words) + 1) * scorer.n
+        if cells >= BATCH_CELLS or i + 1 == len(texts):
+            label(first, held)
+            first, held, cells = i + 1, [], 0
     return out
 
 
@@ -295,20 +365,6 @@ def predict(scorer: Scorer, texts: list[str]) -> list[tuple[str, float]]:
     return out
 
 
-def _least_total(grams: DataFrame, wanted: int) -> float:
-    """Least total that at most ``wanted`` n-grams reach, from a histogram of the totals."""
-    step = 16.0
-    bins = (grams.groupBy(F.floor(F.log2("total") * step).alias("bin")).count()
-                 .orderBy(F.desc("bin")).collect())
-    least, held = float("inf"), 0
-    for r in bins:
-        held += r["count"]
-        if held > wanted:
-            break
-        least = 2.0 ** (r["bin"] / step) - 1e-6
-    return least
-
-
 def fit(docs: DataFrame, modulus: int = 3, held_out: int = 1, sample: int = SAMPLE) -> Model:
     """Learn the languages of ``docs`` from the rows outside the held-out fold."""
     words = (training_rows(docs, modulus, held_out, sample)
@@ -318,34 +374,31 @@ def fit(docs: DataFrame, modulus: int = 3, held_out: int = 1, sample: int = SAMP
     langs = [r["lang"] for r in words.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return Model([])
-    grams = stored(
-        words.mapInArrow(_grams_kernel, "lang string, gram string, n long").groupBy("gram")
-             .agg(F.sum("n").alias("total"),
-                  *[F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{i}")
-                    for i, lang in enumerate(langs)])
-             .where(F.col("total") >= MIN_COUNT), "grams")
-    least = _least_total(grams, max(CELLS // len(langs), 1))
-    rows = grams.where(F.col("total") >= least).toArrow().sort_by("gram")
-    names = rows.column("gram").to_pylist()
-    counts = np.column_stack([rows.column(f"n{i}").to_numpy() for i in range(len(langs))]).astype(float)
-    # one distribution per language and kind of n-gram; whole words are a kind of their own
-    kinds = np.array([0 if g[0] == "=" else len(g) for g in names])
+    bits = max(10, int(np.log2(CELLS / (len(langs) * (len(ORDERS) + 1)))))
+    # as many rows as the table has cells at most
+    rows = (words.mapInArrow(_slots_kernel(bits), "kind int, slot int, lang string, n long")
+            .groupBy("kind", "slot", "lang").agg(F.sum("n").alias("n")).toArrow())
+    counts = np.zeros(((len(ORDERS) + 1) << bits, len(langs)))
+    number = {lang: i for i, lang in enumerate(langs)}
+    at = rows.column("kind").to_numpy().astype(np.int64) << bits | rows.column("slot").to_numpy()
+    counts[at, [number[x] for x in rows.column("lang").to_pylist()]] = rows.column("n").to_numpy()
     table = np.zeros(counts.shape, np.float32)
-    for k in np.unique(kinds):
-        c = counts[kinds == k] + SMOOTH
-        table[kinds == k] = np.log(c / c.sum(axis=0))
+    for k in range(len(ORDERS) + 1):
+        part = slice(k << bits, (k + 1) << bits)
+        c = counts[part] + SMOOTH
+        table[part] = np.log(c / c.sum(axis=0))
+    table[counts.sum(axis=1) < MIN_COUNT] = 0
     letters: dict[str, Counter] = defaultdict(Counter)
-    for g, c in zip(names, counts, strict=True):
-        if len(g) == 1:
-            for lang, n in zip(langs, c, strict=True):
-                letters[lang][script_of(g)] += n
+    for r in (words.groupBy("lang", F.substring("word", 1, 1).alias("letter"))
+                   .agg(F.sum("n").alias("n")).collect()):
+        letters[r["lang"]][script_of(r["letter"])] += r["n"]
     scripts: dict[str, list[int]] = {}
     for i, lang in enumerate(langs):
         total = sum(letters[lang].values())
         for script, n in letters[lang].items():
-            if n and n >= MIN_SCRIPT * total:
+            if n >= MIN_SCRIPT * total:
                 scripts.setdefault(script, []).append(i)
-    return Model(langs, names, table, scripts)
+    return Model(langs, bits, table, scripts)
 
 
 # ----------------------------------------------------------------- scoring

@@ -100,6 +100,18 @@ def test_mixed_text_has_spans(spark, model):
     assert [r["first_word"] for r in rows] == [0, 2 * len(EN.split()), 2 * len((EN + " " + RU).split())]
 
 
+def test_slots_depend_on_the_word_alone():
+    words = ["haus", "x", "hausboot", "кот", "haus"]
+    slots, starts = L.slots_of(words, 12)
+    bounds = [*starts.tolist(), len(slots)]
+    for i, w in enumerate(words):
+        alone, _ = L.slots_of([w], 12)
+        assert (slots[bounds[i]:bounds[i + 1]] == alone).all()
+        there = (alone < 1 << 12).sum(axis=0)
+        n = len(w)
+        assert there.tolist() == [n, n + 1, n, max(n - 1, 0), 1]
+
+
 def test_batches_do_not_change_results(model, monkeypatch):
     texts = [EN, "", f"{RU} {DE} {DE}", UK * 30, "!", DE]
     whole = L.predict(model.scorer(), texts)
