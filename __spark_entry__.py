@@ -164,7 +164,7 @@ FREQS = rff.gaussian_freqs(64, 4, bandwidth=2.0, seed=7)
 
 def _freqs(s: st.Stats) -> np.ndarray:
     """The rows of ``FREQS`` for the encoded columns of these stats."""
-    return FREQS[:len(encode.level_positions(s, skip_features(s.spec)))]
+    return FREQS[:encode.feature_count(s, skip_features(s.spec))]
 
 ONE = rff.gaussian_freqs(1, 4, bandwidth=1.0, seed=11)
 PAIR = rff.orthogonal_freqs(2, 4, bandwidth=1.5, seed=13)

@@ -13,7 +13,7 @@ strings and ``nan`` last (only when the feature has missing values).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regemb.operators.stats import NAN_LEVEL, Stats
@@ -33,28 +33,19 @@ def level_of(col: str, with_nan: bool) -> Column:
     return F.coalesce(lv, F.lit(NAN_LEVEL)) if with_nan else lv
 
 
-def catalogue_rows(stats: Stats, skip: set[str] | None = None) -> list[tuple]:
-    """F4/W4/W3 on the driver: ``(pos, feature_name, feature_id, feature, level, keep)``.
-
-    Reals first in spec order, then each discrete feature in spec order with
-    its levels sorted and ``nan`` last; ``keep`` is false on the first level
-    of every feature with more than one column (F7).  The level list is
-    metadata collected once by ``Stats.materialize``.
-    """
+def _encoded(stats: Stats, skip: set[str] | None) -> tuple[list[str], list[str]]:
     skip = skip or set()
-    spec = stats.spec
-    reals = [r for r in spec.real if r not in skip]
-    disc = [d for d in spec.discrete_all if d not in skip]
-    nn = stats.needs_nan()
-    levels = stats.levels()
-    rows = [(i, r, r, r, None, True) for i, r in enumerate(reals)]
-    pos = len(reals)
+    return ([r for r in stats.spec.real if r not in skip],
+            [d for d in stats.spec.discrete_all if d not in skip])
+
+
+def offsets(stats: Stats, skip: set[str] | None = None) -> dict[str, int]:
+    """First position of every discrete feature (as many entries as the spec has columns)."""
+    reals, disc = _encoded(stats, skip)
+    sizes, out, at = stats.sizes(), {}, len(reals)
     for d in disc:
-        lv = list(levels.get(d, [])) + ([NAN_LEVEL] if nn.get(d) else [])
-        for k, v in enumerate(lv):
-            rows.append((pos, f"{d}_{v}", d, d, v, not (k == 0 and len(lv) > 1)))
-            pos += 1
-    return rows
+        out[d], at = at, at + sizes[d]
+    return out
 
 
 CATALOGUE_SCHEMA = ("pos int, feature_name string, feature_id string, feature string, "
@@ -62,19 +53,57 @@ CATALOGUE_SCHEMA = ("pos int, feature_name string, feature_id string, feature st
 
 
 def catalogue(stats: Stats, skip: set[str] | None = None) -> DataFrame:
-    """The feature catalogue as a (small) DataFrame."""
+    """``(pos, feature_name, feature_id, feature, level, keep)``.
+
+    Reals first in spec order, then each discrete feature in spec order with
+    its levels sorted and ``nan`` last; ``keep`` is false on the first level
+    of every feature with more than one column (F7).  Ranks come from the
+    stored dictionary; only a feature's offset and size are constants.
+    """
     spark = stats.totals.sparkSession
-    return spark.createDataFrame(catalogue_rows(stats, skip), CATALOGUE_SCHEMA)
+    reals, disc = _encoded(stats, skip)
+    sizes, first = stats.sizes(), offsets(stats, skip)
+    out = spark.createDataFrame([(i, r, r, r, None, True) for i, r in enumerate(reals)],
+                                CATALOGUE_SCHEMA)
+    if not disc:
+        return out
+    spans = spark.createDataFrame([(d, first[d], sizes[d]) for d in disc],
+                                  "feature string, first int, size int")
+    rank = F.col("rank")
+    levels = stats.dictionary().join(spans, "feature").select(
+        (F.col("first") + rank).cast("int").alias("pos"),
+        F.concat_ws("_", "feature", "level").alias("feature_name"),
+        F.col("feature").alias("feature_id"), "feature", "level",
+        ((rank > 0) | (F.col("size") == 1)).alias("keep"))
+    return out.unionByName(levels)
+
+
+def catalogue_rows(stats: Stats, skip: set[str] | None = None) -> list[tuple]:
+    """The catalogue as a listing on the driver, for callers that need column names."""
+    return [tuple(r) for r in catalogue(stats, skip).orderBy("pos").collect()]
 
 
 def feature_count(stats: Stats, skip: set[str] | None = None) -> int:
     """number of encoded columns."""
-    return len(catalogue_rows(stats, skip))
+    reals, disc = _encoded(stats, skip)
+    sizes = stats.sizes()
+    return len(reals) + sum(sizes[d] for d in disc)
 
 
-def level_positions(stats: Stats, skip: set[str] | None = None) -> dict[tuple[str, str | None], int]:
-    """Driver-side ``{(feature, level): pos}``; the catalogue is metadata-sized."""
-    return {(r[3], r[4]): r[0] for r in catalogue_rows(stats, skip)}
+def with_ranks(df: DataFrame, stats: Stats, columns: dict[str, str]) -> DataFrame:
+    """Add the rank of each discrete column's active level, null for none.
+
+    ``columns`` maps a feature to the name of its new column.  The stored
+    dictionary is joined once per feature; its size on disk decides whether
+    Spark broadcasts it or shuffles.
+    """
+    nn = stats.needs_nan()
+    for d, out in columns.items():
+        ranks = stats.dictionary().where(F.col("feature") == d).select(
+            F.col("level").alias(f"__level_{out}"), F.col("rank").cast("int").alias(out))
+        df = df.join(ranks, level_of(d, nn.get(d, False)) == F.col(f"__level_{out}"),
+                     "left").drop(f"__level_{out}")
+    return df
 
 
 def encode_sparse(df: DataFrame, stats: Stats, skip: set[str] | None = None,
@@ -83,26 +112,13 @@ def encode_sparse(df: DataFrame, stats: Stats, skip: set[str] | None = None,
 
     ``idx`` holds one catalogue position per discrete feature (null where
     the level is missing and the feature has no ``nan`` column, or the level
-    was not seen by the stats).  The level -> position lookup is a map literal
-    built from the catalogue; its size is the number of levels, which the
-    catalogue check bounds.
+    was not seen by the stats).
     """
-    skip = skip or set()
-    spec = stats.spec
-    reals = [r for r in spec.real if r not in skip]
-    disc = [d for d in spec.discrete_all if d not in skip]
-    params = stats.real_params()
-    nn = stats.needs_nan()
+    reals, disc = _encoded(stats, skip)
+    params, first = stats.real_params(), offsets(stats, skip)
+    ranked = with_ranks(df, stats, {d: f"__rank_{k}" for k, d in enumerate(disc)})
     z = F.array(*[standardize(F.col(r), *params.get(r, (None, None))) for r in reals]) \
         if reals else F.array().cast("array<double>")
-    idx_cols = []
-    if disc:
-        pos = level_positions(stats, skip)
-        for d in disc:
-            m = {lv: p for (f, lv), p in pos.items() if f == d}
-            lookup = F.create_map(*[x for lv, p in sorted(m.items())
-                                    for x in (F.lit(lv), F.lit(p))])
-            idx_cols.append(lookup[level_of(d, nn.get(d, False))])
-    idx = F.array(*idx_cols) if idx_cols else F.array().cast("array<int>")
-    keep_cols = keep_cols or []
-    return df.select(*keep_cols, z.alias("z"), idx.alias("idx"))
+    idx = F.array(*[F.col(f"__rank_{k}") + first[d] for k, d in enumerate(disc)]) \
+        if disc else F.array().cast("array<int>")
+    return ranked.select(*(keep_cols or []), z.alias("z"), idx.alias("idx"))

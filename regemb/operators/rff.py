@@ -6,32 +6,24 @@ encoded row: standardised reals plus one-hot levels, so ``xW`` is the real
 part ``z @ W[:R]`` plus one row of ``W`` per active level -- a gather, never
 a dense one-hot product.
 
-Execution: ``mapInPandas`` turns each Arrow batch into *partial sums* per
-``(region, subset, group)`` -- one row per output position -- and Spark's
-``groupBy(...).sum`` (combined map-side) finishes them.  The frequency matrix
-is a broadcast parameter whose size (features x D doubles) is fixed by the
-spec and ``n_freqs``, not by the data; it is checked before shipping.
+The sums are blocks of :mod:`regemb.operators.onepass`: one scan, one array
+per task and region in the shuffle.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regemb.operators.embed import Embedding, weight_col, with_subsets
-from regemb.operators.encode import level_of, level_positions, standardize
+from regemb.operators import onepass
+from regemb.operators.embed import Embedding
+from regemb.operators.encode import feature_count, offsets
 from regemb.operators.stats import Stats
-from regemb.session import ship_package
 from regemb.spec import skip_features
 
-MAX_FREQ_BYTES = 512 * 1024 * 1024
-ROWS_PER_CHUNK = 2048
-
 
 # ---------------------------------------------------------------------------
 # M1, M2, M4: frequencies
@@ -74,137 +66,7 @@ def pick_freqs(n_freqs: int, bandwidth: float, n_feats: int, seed: int | None =
 
 
 # ---------------------------------------------------------------------------
-# A10 core
-
-
-def _partials(n_real: int, n_idx: int, features, out_size: int, chunk: int, max_groups: int):
-    """Per task: accumulate weighted feature sums per group over all batches.
-
-    ``features(Z, idx)`` maps a chunk of encoded rows (reals ``Z`` n x R,
-    catalogue positions ``idx`` n x K with -1 for none) to an n x
-    ``out_size`` matrix.  Emits one row per (group, position) when the task
-    ends, or earlier when more than ``max_groups`` groups are held (bounding
-    task memory at ``max_groups * (out_size + 1)`` doubles).
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc: dict[tuple, np.ndarray] = {}
-        width = out_size + 1
-
-        def flush():
-            if not acc:
-                return None
-            keys = list(acc)
-            g = len(keys)
-            vals = np.stack([acc[k] for k in keys])
-            acc.clear()
-            return pd.DataFrame({
-                "region": np.repeat(np.array([k[0] for k in keys], dtype=object), width),
-                "subset": np.repeat(np.array([k[1] for k in keys], dtype=np.int32), width),
-                "g": np.repeat(np.array([k[2] for k in keys], dtype=object), width),
-                "pos": np.tile(np.arange(-1, out_size, dtype=np.int32), g),
-                "s": vals.reshape(-1)})
-
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            codes = (pdf.groupby(["region", "subset", "g"], dropna=False, sort=False)
-                        .ngroup().to_numpy())
-            _, first = np.unique(codes, return_index=True)
-            uniq = [tuple(None if (isinstance(v, float) and v != v) else v for v in t)
-                    for t in pdf[["region", "subset", "g"]].iloc[first].itertuples(index=False)]
-            order = np.argsort(codes, kind="stable")
-            codes = codes[order]
-            w = pdf["_w"].to_numpy(dtype=np.float64)[order]
-            Z = (pdf[[f"z{i}" for i in range(n_real)]].to_numpy(dtype=np.float64)[order]
-                 if n_real else np.zeros((len(w), 0)))
-            idx = (pdf[[f"i{k}" for k in range(n_idx)]].fillna(-1).to_numpy(dtype=np.int64)[order]
-                   if n_idx else np.zeros((len(w), 0), dtype=np.int64))
-            part = np.zeros((len(uniq), width))
-            part[:, 0] = np.bincount(codes, weights=w, minlength=len(uniq))
-            for s in range(0, len(w), chunk):
-                e = min(s + chunk, len(w))
-                fx = features(Z[s:e], idx[s:e]) * w[s:e, None]
-                c = codes[s:e]
-                starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                part[c[starts], 1:] += np.add.reduceat(fx, starts, axis=0)
-            for i, key in enumerate(uniq):
-                if key in acc:
-                    acc[key] += part[i]
-                else:
-                    acc[key] = part[i].copy()
-            if len(acc) > max_groups:
-                yield flush()
-        out = flush()
-        if out is not None:
-            yield out
-    return run
-
-
-def featurizer_sums(rows: DataFrame, n_real: int, n_idx: int, features, out_size: int,
-                    chunk: int = ROWS_PER_CHUNK, max_groups: int | None = None) -> DataFrame:
-    """Weighted sums of a user featurizer -> ``(region, subset, g, pos, s)``.
-
-    ``pos = -1`` carries the weight.  ``rows`` has ``region, subset, g, _w,
-    z0.., i0..`` (see ``_rows``).  Partial sums are combined map-side by the
-    final ``groupBy``.
-    """
-    if max_groups is None:
-        # hold at most ~64 MB of partial sums per task
-        max_groups = max(16, (64 << 20) // (8 * (out_size + 1)))
-    schema = "region string, subset int, g string, pos int, s double"
-    ship_package(rows.sparkSession)
-    part = rows.mapInPandas(_partials(n_real, n_idx, features, out_size, chunk, max_groups),
-                            schema)
-    return part.groupBy("region", "subset", "g", "pos").agg(F.sum("s").alias("s"))
-
-
-def rff_sums(rows: DataFrame, n_real: int, n_idx: int, freqs: np.ndarray,
-             chunk: int = ROWS_PER_CHUNK, max_groups: int | None = None) -> DataFrame:
-    """RFF as a featurizer: ``[sin(xW), cos(xW)]`` with the gather for levels."""
-    freqs = np.ascontiguousarray(freqs, dtype=np.float64)
-    if freqs.nbytes > MAX_FREQ_BYTES:
-        raise ValueError(f"frequency matrix is {freqs.nbytes} bytes; over the broadcast bound")
-    bc = rows.sparkSession.sparkContext.broadcast(freqs)
-    D = freqs.shape[1]
-
-    def features(Z, idx):
-        W = bc.value
-        ang = Z @ W[:n_real] if n_real else np.zeros((len(Z), D))
-        for k in range(idx.shape[1]):
-            col = idx[:, k]
-            ok = col >= 0
-            if ok.any():
-                ang[ok] += W[col[ok]]
-        return np.concatenate([np.sin(ang), np.cos(ang)], axis=1)
-
-    return featurizer_sums(rows, n_real, n_idx, features, 2 * D, chunk, max_groups)
-
-
-def finish(sums: DataFrame, scale: float = 1.0) -> tuple[DataFrame, DataFrame]:
-    """Divide by ``weight * scale`` per ``(region, subset, g)``; zero weight gives 0.
-
-    RFF uses ``scale = sqrt(D)``; a plain featurizer mean uses 1.
-    """
-    wnd = Window.partitionBy("region", "subset", "g")
-    g = sums.withColumn("weight", F.max(F.when(F.col("pos") == -1, F.col("s"))).over(wnd))
-    weights = g.where(F.col("pos") == -1).select("region", "subset", "g", "weight")
-    denom = F.col("weight") * F.lit(float(scale))
-    vals = (g.where(F.col("pos") >= 0)
-             .select("region", "subset", "g", "pos",
-                     F.coalesce(F.try_divide(F.col("s"), denom), F.lit(0.0)).alias("value")))
-    return vals, weights
-
-
-def _rows(df: DataFrame, region_col: str, weight: str, subsets,
-          z_cols: list[Column], idx_cols: list[Column], group: Column | None) -> DataFrame:
-    base = with_subsets(df, subsets)
-    return base.select(
-        F.col(region_col).cast("string").alias("region"),
-        F.col("subset").cast("int").alias("subset"),
-        (group if group is not None else F.lit(None).cast("string")).alias("g"),
-        weight_col(weight).alias("_w"),
-        *[c.alias(f"z{i}") for i, c in enumerate(z_cols)],
-        *[c.cast("int").alias(f"i{k}") for k, c in enumerate(idx_cols)])
+# Embeddings from block sums
 
 
 def _names(vals: DataFrame, n_freqs: int, prefix: Column) -> DataFrame:
@@ -213,67 +75,68 @@ def _names(vals: DataFrame, n_freqs: int, prefix: Column) -> DataFrame:
     return vals.withColumn("feature_name", F.concat(prefix, F.lit("_"), sc, i))
 
 
+def full_freqs(stats: Stats, skip: set[str], freqs: np.ndarray | None = None,
+               n_freqs: int = 2048, bandwidth: float | None = None, orthogonal: bool = True,
+               seed: int | None = None) -> np.ndarray:
+    """M4: given frequencies win; else the bandwidth (median heuristic when None,
+    M3) and a seeded draw make them.  One row per encoded column."""
+    height = feature_count(stats, skip)
+    if freqs is None:
+        if bandwidth is None:
+            from regemb.operators.distances import median_heuristic_bandwidth
+            bandwidth = median_heuristic_bandwidth(stats, skip)
+        freqs = pick_freqs(n_freqs, bandwidth, height, seed, orthogonal)
+    freqs = np.asarray(freqs)
+    if freqs.ndim != 2 or freqs.shape[0] != height:
+        raise ValueError(f"frequencies need one row per encoded column: {height}, "
+                         f"not shape {freqs.shape}")
+    return freqs
+
+
+def full_from_sums(sums: onepass.Sums, block: int, n_freqs: int) -> Embedding:
+    """A10 from block sums: positions are sines ``0..D-1``, then cosines ``D..2D-1``."""
+    vals = _names(sums.values(block, math.sqrt(n_freqs)), n_freqs, F.lit("rff")).select(
+        "region", "subset", "pos", "feature_name", F.lit("rff").alias("feature_id"), "value")
+    return Embedding(vals, sums.weights(block), "rff")
+
+
 def rff_embedding(df: DataFrame, stats: Stats, freqs: np.ndarray | None = None,
                   n_freqs: int = 2048, bandwidth: float | None = None,
                   orthogonal: bool = True, seed: int | None = None,
                   region_col: str = "region", subsets: list[str | Column] | None = None,
                   skip: set[str] | None = None, weight: str | None = None,
                   ordered: dict[str, list[str]] | None = None) -> Embedding:
-    """A10: RFF mean embedding over every encoded feature.
-
-    Given ``freqs`` win; else the bandwidth (median heuristic when None,
-    M3) and a seeded draw (M4) make them.  Output positions: sines
-    ``0..D-1`` then cosines ``D..2D-1``.
+    """A10: RFF mean embedding over every encoded feature (see :func:`full_freqs`).
 
-    ``ordered`` features use thermometer coding (F3): level k switches on
-    the columns of levels 1..k, so its angle contribution is the prefix sum
-    of those frequency rows.  The prefix sums are appended to the frequency
-    matrix and gathered like one-hot rows.
+    ``ordered`` features use thermometer coding (F3).
     """
-    spec = stats.spec
-    skip = skip_features(spec) if skip is None else skip
-    weight = weight or spec.weight
-    reals = [r for r in spec.real if r not in skip]
-    disc = [d for d in spec.discrete_all if d not in skip]
-    pos = level_positions(stats, skip)
-    n_feats = len(pos)
-    if freqs is None:
-        if bandwidth is None:
-            from regemb.operators.distances import median_heuristic_bandwidth
-            bandwidth = median_heuristic_bandwidth(stats, skip)
-        freqs = pick_freqs(n_freqs, bandwidth, n_feats, seed, orthogonal)
-    freqs = np.asarray(freqs)
-    if freqs.ndim != 2 or freqs.shape[0] != n_feats:
-        raise ValueError(f"frequencies need one row per encoded column: {n_feats}, "
-                         f"not shape {freqs.shape}")
-    D = freqs.shape[1]
-    params = stats.real_params()
-    nn = stats.needs_nan()
-    z = [standardize(F.col(r), *params.get(r, (None, None))) for r in reals]
-    idx = []
-    extra_rows = []
-    for d in disc:
-        m = {lv: p for (f, lv), p in pos.items() if f == d}
-        if ordered and d in ordered:
-            # thermometer: level k -> row holding the sum of rows of levels 1..k
-            levels = [lv for lv in ordered[d] if lv in m]
-            cum = np.cumsum(freqs[[m[lv] for lv in levels]], axis=0) if levels else []
-            m = {}
-            for k, lv in enumerate(levels):
-                m[lv] = n_feats + len(extra_rows)
-                extra_rows.append(cum[k])
-            lookup = F.create_map(*[x for lv, p in m.items() for x in (F.lit(lv), F.lit(p))])
-            idx.append(lookup[F.col(d).cast("string")] if m else F.lit(None).cast("int"))
-            continue
-        lookup = F.create_map(*[x for lv, p in sorted(m.items()) for x in (F.lit(lv), F.lit(p))])
-        idx.append(lookup[level_of(d, nn.get(d, False))])
-    if extra_rows:
-        freqs = np.vstack([freqs, np.array(extra_rows)])
-    rows = _rows(df, region_col, weight, subsets, z, idx, None)
-    vals, weights = finish(rff_sums(rows, len(reals), len(disc), freqs), math.sqrt(D))
-    vals = _names(vals, D, F.lit("rff")).select(
-        "region", "subset", "pos", "feature_name", F.lit("rff").alias("feature_id"), "value")
-    return Embedding(vals, weights.drop("g"), "rff")
+    skip = skip_features(stats.spec) if skip is None else skip
+    freqs = full_freqs(stats, skip, freqs, n_freqs, bandwidth, orthogonal, seed)
+    sums = onepass.block_sums(df, stats, [onepass.fourier_block(stats, freqs, skip, ordered)],
+                              region_col, subsets, weight)
+    return full_from_sums(sums, 0, freqs.shape[1])
+
+
+def _real_from_sums(sums: onepass.Sums, block: int, stats: Stats, reals: list[str], n_freqs: int,
+                    condition: str | None) -> Embedding:
+    ident, scale = "_".join(reals), math.sqrt(n_freqs)
+    if not condition:
+        vals = _names(sums.values(block, scale), n_freqs, F.lit(ident)).select(
+            "region", "subset", "pos", "feature_name", F.lit(f"{ident}_rff").alias("feature_id"),
+            "value")
+        return Embedding(vals, sums.weights(block), "extra")
+    n = stats.sizes()[condition]
+    levels = stats.dictionary().where(F.col("feature") == condition).select(
+        F.col("rank").cast("int").alias("rank"), "level")
+    vals = sums.values(block, scale).select(
+        "region", "subset", F.floor(F.col("pos") / n).cast("int").alias("pos"),
+        (F.col("pos") % n).alias("rank"), "value").join(levels, "rank")
+    vals = _names(vals, n_freqs, F.concat(F.lit(f"{condition}_{ident}_"), F.col("level"))).select(
+        "region", "subset", "pos", "feature_name",
+        F.lit(f"{condition}_{ident}_rff").alias("feature_id"), "value", "level")
+    weights = sums.level_weights(block).join(levels, "rank").select(
+        "region", "subset", "level", "weight")
+    return Embedding(vals, weights, "extra")
 
 
 def real_rff_embedding(df: DataFrame, stats: Stats, reals: list[str], freqs: np.ndarray,
@@ -282,33 +145,23 @@ def real_rff_embedding(df: DataFrame, stats: Stats, reals: list[str], freqs: np.
     """A11/A12 (and A13 with ``condition``): RFF of one real or a real pair.
 
     ``condition`` names a discrete feature: each of its levels gets its own
-    embedding normalised by that level's weight (A13); names are
+    embedding normalised by that level's weight (A13), zeros where a region
+    or subset has no such row; names are
     ``<d>_<reals>_<level>_<sin|cos><i>``.
     """
-    weight = weight or stats.spec.weight
-    params = stats.real_params()
-    z = [standardize(F.col(r), *params.get(r, (None, None))) for r in reals]
-    group = None
-    if condition:
-        group = level_of(condition, stats.needs_nan().get(condition, False))
-    rows = _rows(df, region_col, weight, subsets, z, [], group)
-    if condition:
-        rows = rows.where(F.col("g").isNotNull())
-    D = np.asarray(freqs).shape[1]
-    vals, weights = finish(rff_sums(rows, len(reals), 0, np.asarray(freqs)), math.sqrt(D))
-    ident = "_".join(reals)
-    if condition:
-        prefix = F.concat(F.lit(f"{condition}_{ident}_"), F.col("g"))
-        fid = f"{condition}_{ident}_rff"
-    else:
-        prefix = F.lit(ident)
-        fid = f"{ident}_rff"
-    vals = _names(vals, D, prefix).select(
-        "region", "subset", "pos", "feature_name", F.lit(fid).alias("feature_id"),
-        "value", F.col("g").alias("level"))
-    if not condition:
-        return Embedding(vals.drop("level"), weights.drop("g"), "extra")
-    return Embedding(vals, weights.withColumnRenamed("g", "level"), "extra")
+    return multi_real_rff(df, stats, [(reals, freqs, condition)], region_col, subsets, weight)[0]
+
+
+def multi_real_rff(df: DataFrame, stats: Stats,
+                   blocks: list[tuple[list[str], np.ndarray, str | None]],
+                   region_col: str = "region", subsets: list[str | Column] | None = None,
+                   weight: str | None = None) -> list[Embedding]:
+    """A11-A13 for many blocks ``(reals, freqs, condition)`` in one scan."""
+    made = [onepass.conditional_block(stats, rs, f, c) if c else onepass.real_block(rs, f)
+            for rs, f, c in blocks]
+    sums = onepass.block_sums(df, stats, made, region_col, subsets, weight)
+    return [_real_from_sums(sums, i, stats, rs, np.asarray(f).shape[1], c)
+            for i, (rs, f, c) in enumerate(blocks)]
 
 
 def custom_embedding(df: DataFrame, stats: Stats, features, out_size: int, name: str,
@@ -322,155 +175,14 @@ def custom_embedding(df: DataFrame, stats: Stats, features, out_size: int, name:
     ``out_size`` matrix.  It runs inside Arrow batches; Spark partitions the
     rows and sums the partial results.
     """
-    spec = stats.spec
-    skip = skip_features(spec) if skip is None else skip
-    weight = weight or spec.weight
-    reals = [r for r in spec.real if r not in skip]
-    disc = [d for d in spec.discrete_all if d not in skip]
-    pos = level_positions(stats, skip)
-    params = stats.real_params()
-    nn = stats.needs_nan()
-    z = [standardize(F.col(r), *params.get(r, (None, None))) for r in reals]
-    idx = []
-    for d in disc:
-        m = {lv: p for (f, lv), p in pos.items() if f == d}
-        lookup = F.create_map(*[x for lv, p in sorted(m.items()) for x in (F.lit(lv), F.lit(p))])
-        idx.append(lookup[level_of(d, nn.get(d, False))])
-    rows = _rows(df, region_col, weight, subsets, z, idx, None)
-    vals, weights = finish(featurizer_sums(rows, len(reals), len(disc), features, out_size))
-    vals = vals.select("region", "subset", "pos",
-                       F.concat(F.lit(name + "_"), F.col("pos").cast("string")).alias("feature_name"),
-                       F.lit(name).alias("feature_id"), "value")
-    return Embedding(vals, weights.drop("g"), name)
-
-
-def _multi_partials(blocks: list[tuple[list[int], int | None, int]], bc, chunk: int,
-                    max_groups: int):
-    """Kernel for several RFF blocks in one pass.
-
-    ``blocks[b] = (real column indices, condition index or None, D)``.  Each
-    block's partial sums are keyed by ``(block, region, subset, level)``.
-    """
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        freqs = bc.value
-        acc: dict[tuple, np.ndarray] = {}
-
-        def flush():
-            if not acc:
-                return None
-            parts = []
-            for (b, reg, sub, g), v in acc.items():
-                width = len(v)
-                parts.append(pd.DataFrame({
-                    "block": np.full(width, b, dtype=np.int32), "region": [reg] * width,
-                    "subset": np.full(width, sub, dtype=np.int32), "g": [g] * width,
-                    "pos": np.arange(-1, width - 1, dtype=np.int32), "s": v}))
-            acc.clear()
-            return pd.concat(parts, ignore_index=True)
-
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            w_all = pdf["_w"].to_numpy(dtype=np.float64)
-            Z_all = pdf[[c for c in pdf.columns if c.startswith("z")]].to_numpy(dtype=np.float64)
-            for b, (cols, cond, D) in enumerate(blocks):
-                gcol = f"g{cond}" if cond is not None else None
-                keys = ["region", "subset"] + ([gcol] if gcol else [])
-                sub_pdf = pdf if gcol is None else pdf[pdf[gcol].notna()]
-                if sub_pdf.empty:
-                    continue
-                sel = sub_pdf.index.to_numpy() if gcol else np.arange(len(pdf))
-                codes = (sub_pdf.groupby(keys, dropna=False, sort=False).ngroup().to_numpy())
-                _, first = np.unique(codes, return_index=True)
-                firsts = sub_pdf[keys].iloc[first]
-                uniq = [(r[0], int(r[1]), (r[2] if gcol else None))
-                        for r in firsts.itertuples(index=False)]
-                order = np.argsort(codes, kind="stable")
-                codes = codes[order]
-                rows = sel[order]
-                w = w_all[rows]
-                Z = Z_all[rows][:, cols]
-                W = freqs[b]
-                part = np.zeros((len(uniq), 2 * D + 1))
-                part[:, 0] = np.bincount(codes, weights=w, minlength=len(uniq))
-                for s in range(0, len(w), chunk):
-                    e = min(s + chunk, len(w))
-                    ang = Z[s:e] @ W
-                    fx = np.concatenate([np.sin(ang), np.cos(ang)], axis=1) * w[s:e, None]
-                    c = codes[s:e]
-                    starts = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
-                    part[c[starts], 1:] += np.add.reduceat(fx, starts, axis=0)
-                for i, (reg, sub, g) in enumerate(uniq):
-                    key = (b, reg, sub, g)
-                    if key in acc:
-                        acc[key] += part[i]
-                    else:
-                        acc[key] = part[i].copy()
-            if len(acc) > max_groups:
-                yield flush()
-        out = flush()
-        if out is not None:
-            yield out
-    return run
-
-
-def multi_real_rff(df: DataFrame, stats: Stats,
-                   blocks: list[tuple[list[str], np.ndarray, str | None]],
-                   region_col: str = "region", subsets: list[str | Column] | None = None,
-                   weight: str | None = None, chunk: int = ROWS_PER_CHUNK) -> list[Embedding]:
-    """A11-A13 for many blocks in one scan (X3 for the RFF extras).
-
-    ``blocks`` are ``(reals, freqs, condition)``.  One ``mapInPandas`` pass
-    computes every block's partial sums, one ``groupBy`` combines them, and
-    the summed table (blocks x regions x levels x 2D rows, independent of the
-    row count) is written as a reliable checkpoint so each block's result is
-    read from it instead of rescanning the data.  Results equal
-    ``real_rff_embedding`` block by block.
-    """
-    spark = df.sparkSession
-    weight = weight or stats.spec.weight
-    params = stats.real_params()
-    nn = stats.needs_nan()
-    reals = list(dict.fromkeys(r for b in blocks for r in b[0]))
-    conds = list(dict.fromkeys(b[2] for b in blocks if b[2]))
-    base = with_subsets(df, subsets)
-    rows = base.select(
-        F.col(region_col).cast("string").alias("region"),
-        F.col("subset").cast("int").alias("subset"),
-        weight_col(weight).alias("_w"),
-        *[standardize(F.col(r), *params.get(r, (None, None))).alias(f"z{i}")
-          for i, r in enumerate(reals)],
-        *[level_of(d, nn.get(d, False)).alias(f"g{j}") for j, d in enumerate(conds)])
-    spec_blocks = [([reals.index(r) for r in rs], conds.index(c) if c else None,
-                    np.asarray(f).shape[1]) for rs, f, c in blocks]
-    freqs = [np.ascontiguousarray(f, dtype=np.float64) for _, f, _ in blocks]
-    if sum(f.nbytes for f in freqs) > MAX_FREQ_BYTES:
-        raise ValueError("frequency matrices exceed the broadcast bound")
-    bc = spark.sparkContext.broadcast(freqs)
-    width = max(2 * sb[2] + 1 for sb in spec_blocks)
-    max_groups = max(16, (64 << 20) // (8 * width))
-    schema = "block int, region string, subset int, g string, pos int, s double"
-    ship_package(spark)
-    part = rows.mapInPandas(_multi_partials(spec_blocks, bc, chunk, max_groups), schema)
-    from regemb.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
-    sums = (part.groupBy("block", "region", "subset", "g", "pos")
-                .agg(F.sum("s").alias("s")).checkpoint())
-    out = []
-    for b, (rs, f, cond) in enumerate(blocks):
-        D = np.asarray(f).shape[1]
-        vals, weights = finish(sums.where(F.col("block") == b).drop("block"), math.sqrt(D))
-        ident = "_".join(rs)
-        if cond:
-            prefix = F.concat(F.lit(f"{cond}_{ident}_"), F.col("g"))
-            fid = f"{cond}_{ident}_rff"
-        else:
-            prefix, fid = F.lit(ident), f"{ident}_rff"
-        v = _names(vals, D, prefix).select(
-            "region", "subset", "pos", "feature_name", F.lit(fid).alias("feature_id"),
-            "value", F.col("g").alias("level"))
-        if cond:
-            out.append(Embedding(v, weights.withColumnRenamed("g", "level"), "extra"))
-        else:
-            out.append(Embedding(v.drop("level"), weights.drop("g"), "extra"))
-    return out
+    skip = skip_features(stats.spec) if skip is None else skip
+    first = offsets(stats, skip)
+    reals = [r for r in stats.spec.real if r not in skip]
+    block = onepass.Custom(reals, list(first), size=out_size, function=features,
+                           offsets=list(first.values()))
+    sums = onepass.block_sums(df, stats, [block], region_col, subsets, weight)
+    vals = sums.values(0).select(
+        "region", "subset", "pos",
+        F.concat(F.lit(name + "_"), F.col("pos").cast("string")).alias("feature_name"),
+        F.lit(name).alias("feature_id"), "value")
+    return Embedding(vals, sums.weights(0), name)

@@ -16,9 +16,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from regemb.session import stored
 from regemb.spec import MicrodataSpec
 
 NAN_LEVEL = "nan"
@@ -161,18 +162,15 @@ def weighted_sample(df: DataFrame, weight: str, n: int = 5000,
 # ---------------------------------------------------------------------------
 
 
-# Above this many distinct (feature, level) pairs the level catalogue is not
-# metadata any more; such a "discrete" feature should be recoded first.
-MAX_LEVELS = 5_000_000
-
-
 @dataclass
 class Stats:
-    """The stats bundle (D5) as small DataFrames plus driver-side constants.
+    """The stats bundle.
 
-    ``materialize()`` runs two jobs -- one global aggregate (A1 + A2) and the
-    value counts (A4) -- and keeps their small results; everything the
-    encoders need (means, stds, levels, nan flags) is then a constant.
+    Counts of levels stay tables, however many levels there are; the driver
+    only holds what grows with the *columns* of the spec: the totals, a mean
+    and a deviation per real, and per discrete feature the number of its
+    levels and values.  ``dictionary()`` is the stored table that gives every
+    level its rank; encoders join it.
     """
 
     spec: MicrodataSpec
@@ -183,8 +181,8 @@ class Stats:
     region_type: str | None = None
     _tot: dict | None = field(default=None, repr=False)
     _real_params: dict | None = field(default=None, repr=False)
-    _vc_rows: list | None = field(default=None, repr=False)
-    _needs_nan: dict | None = field(default=None, repr=False)
+    _features: dict | None = field(default=None, repr=False)
+    _dictionary: DataFrame | None = field(default=None, repr=False)
 
     def materialize(self) -> "Stats":
         if self._tot is None:
@@ -193,11 +191,9 @@ class Stats:
         if self._real_params is None:
             self._real_params = {r["feature"]: (r["mean"], r["std"])
                                  for r in self.reals.collect()}
-        if self._vc_rows is None:
-            rows = self.value_counts.limit(MAX_LEVELS + 1).collect()
-            if len(rows) > MAX_LEVELS:
-                raise ValueError("too many discrete levels for a level catalogue")
-            self._vc_rows = [(r["feature"], r["level"], int(r["cnt"])) for r in rows]
+        if self._features is None:
+            self._features = {r["feature"]: (int(r["levels"]), int(r["n"]), bool(r["has_nan"]))
+                              for r in feature_counts(self.value_counts).collect()}
         return self
 
     def n_total(self) -> int:
@@ -210,26 +206,79 @@ class Stats:
         """``{feature: (mean, std)}``; one row per real feature of the spec."""
         return self.materialize()._real_params
 
-    def levels(self) -> dict[str, list[str]]:
-        """``{feature: sorted levels}`` of every discrete feature with values."""
-        out: dict[str, list[str]] = {}
-        for f, lv, _ in self.materialize()._vc_rows:
-            out.setdefault(f, []).append(lv)
-        return {f: sorted(v) for f, v in out.items()}
-
     def needs_nan(self) -> dict[str, bool]:
         """``{feature: bool}`` for every discrete feature (and flag) of the spec."""
-        if self._needs_nan is None:
-            seen: dict[str, int] = {}
-            for f, _, c in self.materialize()._vc_rows:
-                seen[f] = seen.get(f, 0) + c
-            n = self.n_total()
-            self._needs_nan = {f: seen.get(f, 0) < n for f in self.spec.discrete_all}
-        return self._needs_nan
+        counts, n = self.materialize()._features, self.n_total()
+        return {f: counts.get(f, (0, 0, False))[1] < n for f in self.spec.discrete_all}
 
     def needs_nan_df(self) -> DataFrame:
         return needs_nan(self.value_counts, self.n_total())
 
+    def sizes(self) -> dict[str, int]:
+        """Encoded columns of every discrete feature: its levels, and ``nan`` where needed."""
+        counts, nn = self.materialize()._features, self.needs_nan()
+        return {f: counts.get(f, (0, 0, False))[0]
+                + (nn[f] and not counts.get(f, (0, 0, False))[2]) for f in nn}
+
+    def dictionary(self) -> DataFrame:
+        """``feature, level, rank``: levels by text, ``nan`` last, stored once.
+
+        The rank comes from a sort by ranges: rows are numbered inside each
+        range and the ranges' sizes are summed up, so no task holds all
+        levels of a feature.
+        """
+        if self._dictionary is None:
+            self._dictionary = _ranked_levels(self)
+        return self._dictionary
+
+    def levels(self) -> dict[str, list[str]]:
+        """``{feature: sorted levels}`` as a listing on the driver (reports, ordered coding)."""
+        out: dict[str, list[str]] = {}
+        for r in self.value_counts.select("feature", "level").collect():
+            out.setdefault(r["feature"], []).append(r["level"])
+        return {f: sorted(v) for f, v in out.items()}
+
+
+def feature_counts(vc: DataFrame) -> DataFrame:
+    """``feature, levels, n, has_nan``: one row per discrete feature with values."""
+    return vc.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("levels"), F.sum("cnt").alias("n"),
+        F.max(F.col("level") == NAN_LEVEL).alias("has_nan"))
+
+
+def _ranked_levels(stats: Stats) -> DataFrame:
+    spark = stats.totals.sparkSession
+    features = list(stats.spec.discrete_all)
+    schema = "feature string, level string, rank long"
+    if not features:
+        return spark.createDataFrame([], schema)
+    nn = stats.needs_nan()
+    number = spark.createDataFrame(list(enumerate(features)), "f int, feature string")
+    nans = spark.createDataFrame([(f, NAN_LEVEL) for f in features if nn[f]],
+                                 "feature string, level string")
+    level_of_nan = F.when(F.col("feature").isin([f for f in features if nn[f]]),
+                          F.col("level") == NAN_LEVEL).otherwise(F.lit(False))
+    rows = (stats.value_counts.select("feature", "level")
+            .where(~level_of_nan).unionByName(nans)
+            .join(number, "feature")
+            .withColumn("last", level_of_nan)
+            .repartitionByRange("f", "last", "level").sortWithinPartitions("f", "last", "level")
+            # task number in the high bits, row number inside the task in the low 33
+            .withColumn("at", F.monotonically_increasing_id()))
+    placed = stored(rows, "levels")
+    part, row = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = (placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
+              # one row per range, so one task can sum them up
+              .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
+    sizes, first, at = stats.sizes(), {}, 0
+    for f in features:
+        first[f], at = at, at + sizes[f]
+    starts = spark.createDataFrame(list(first.items()), "feature string, start long")
+    return stored(placed.withColumn("part", part).join(ranges, "part").join(starts, "feature")
+                   .select("feature", "level", (F.col("offset") + row - F.col("start"))
+                           .alias("rank")), "dictionary")
+
 
 TOTAL_KEY = "__n__"
 
@@ -243,9 +292,9 @@ def compute_stats(df: DataFrame, spec: MicrodataSpec, sample_size: int = 5000,
     entry carrying the weight, one per real carrying its value, one per
     discrete column carrying its level -- and a single
     ``groupBy(feature, level)`` computes row counts, non-null counts, weight
-    sums, means and population stds.  The result has one row per real and per
-    level, so it is collected once (bounded by ``MAX_LEVELS``) and the three
-    stats tables are small local DataFrames afterwards.
+    sums, means and population stds.  The aggregate is stored once.  Totals
+    and moments (a row per real) are read back to the driver; the counts of
+    levels stay a table.
     """
     spark = df.sparkSession
     reals = list(spec.real)
@@ -257,30 +306,32 @@ def compute_stats(df: DataFrame, spec: MicrodataSpec, sample_size: int = 5000,
                      F.col(r).cast("double").alias("x")) for r in reals]
     ent += [F.struct(F.lit(d).alias("feature"), F.col(d).cast("string").alias("level"),
                      F.lit(None).cast("double").alias("x")) for d in disc]
-    agg = (df.select(F.inline(F.array(*ent)))
-             .where(F.col("level").isNotNull() | F.col("x").isNotNull()
-                    | F.col("feature").isin([TOTAL_KEY] + reals))
-             .groupBy("feature", "level")
-             .agg(F.count(F.lit(1)).alias("rows"), F.count("x").alias("cnt"),
-                  F.sum("x").alias("sx"), F.avg("x").alias("mean"),
-                  F.stddev_pop("x").alias("std")))
-    rows = agg.limit(MAX_LEVELS + len(reals) + 2).collect()
-    if len(rows) > MAX_LEVELS + len(reals) + 1:
-        raise ValueError("too many discrete levels for a level catalogue")
-    by = {(r["feature"], r["level"]): r for r in rows}
-    tot_row = by.get((TOTAL_KEY, None))
+    agg = stored(df.select(F.inline(F.array(*ent)))
+                    .where(F.col("level").isNotNull() | F.col("x").isNotNull()
+                           | F.col("feature").isin([TOTAL_KEY] + reals))
+                    .groupBy("feature", "level")
+                    .agg(F.count(F.lit(1)).alias("rows"), F.count("x").alias("cnt"),
+                         F.sum("x").alias("sx"), F.avg("x").alias("mean"),
+                         F.stddev_pop("x").alias("std")), "stats")
+    value_counts = agg.where(F.col("level").isNotNull()).select(
+        "feature", "level", F.col("rows").alias("cnt"))
+    # one row per column of the spec: the totals and moments, or a feature's levels
+    rows = (agg.groupBy("feature", F.col("level").isNull().alias("plain"))
+               .agg(F.sum("rows").alias("rows"), F.sum("cnt").alias("cnt"), F.sum("sx").alias("sx"),
+                    F.max("mean").alias("mean"), F.max("std").alias("std"),
+                    F.count("level").alias("levels"),
+                    F.max(F.col("level") == NAN_LEVEL).alias("has_nan")).collect())
+    plain = {r["feature"]: r for r in rows if r["plain"]}
+    tot_row = plain.get(TOTAL_KEY)
     n_total = int(tot_row["rows"]) if tot_row else 0
     wt_total = tot_row["sx"] if tot_row else None
     real_rows = []
     for r in reals:
-        x = by.get((r, None))
+        x = plain.get(r)
         real_rows.append((r, int(x["cnt"]) if x else 0, x["mean"] if x else None,
                           x["std"] if x else None))
-    vc_rows = sorted(((r["feature"], r["level"], int(r["rows"])) for r in rows
-                      if r["feature"] in set(disc) and r["level"] is not None))
     tot = spark.createDataFrame([(n_total, wt_total)], "n_total long, wt_total double")
     real_df = spark.createDataFrame(real_rows, "feature string, cnt long, mean double, std double")
-    vc = spark.createDataFrame(vc_rows, "feature string, level string, cnt long")
     samp = None
     if sample_size:
         samp = weighted_sample(df, spec.weight, sample_size,
@@ -288,10 +339,11 @@ def compute_stats(df: DataFrame, spec: MicrodataSpec, sample_size: int = 5000,
                                # any positive total keeps the draw exact (the
                                # threshold only widens when it is too tight)
                                total_weight=wt_total)
-    st = Stats(spec, tot, real_df, vc, samp, region_type)
+    st = Stats(spec, tot, real_df, value_counts, samp, region_type)
     st._tot = {"n_total": n_total, "wt_total": wt_total}
     st._real_params = {r: (m, s_) for r, _, m, s_ in real_rows}
-    st._vc_rows = vc_rows
+    st._features = {r["feature"]: (int(r["levels"]), int(r["rows"]), bool(r["has_nan"]))
+                    for r in rows if not r["plain"]}
     return st
 
 

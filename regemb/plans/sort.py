@@ -19,7 +19,7 @@ from regemb.operators.clean import check_schema, clean, join_housing
 from regemb.operators.regions import (assign_puma_region, assign_region, assign_state,
                                       mapped_only, unmapped_report)
 from regemb.operators.stats import Stats, compute_stats
-from regemb.session import scratch_path
+from regemb.session import stored
 from regemb.sources.sinks import save_stats, write_partitioned
 from regemb.spec import MicrodataSpec
 
@@ -49,12 +49,6 @@ def with_regions(df: DataFrame, region_type: str, lookup: DataFrame,
     raise ValueError(f"region_type {region_type!r} is none of {REGION_TYPES}")
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def sort_by_region(raw: DataFrame, spec: MicrodataSpec, region_lookup: DataFrame,
                    lookup_keys: list[str], out_path: str | None = None,
                    stats_path: str | None = None, voters_only: bool = True,
@@ -81,13 +75,13 @@ def sort_by_region(raw: DataFrame, spec: MicrodataSpec, region_lookup: DataFrame
         df = join_housing(df, housing, key=spec.key or "SERIALNO", drop=housing_drop)
     if check:
         check_schema(df, full_spec)
-    df = _stored(with_regions(df, region_type, region_lookup, lookup_keys), "sorted")
+    df = stored(with_regions(df, region_type, region_lookup, lookup_keys), "sorted")
     unmapped = unmapped_report(df, lookup_keys)
     if out_path and not stats_only:
         write_partitioned(mapped_only(df), out_path, mode=mode)
     stats = compute_stats(df, full_spec, sample_size=sample_size, region_type=region_type)
     if stats.sample is not None:
-        stats.sample = _stored(stats.sample, "sample")
+        stats.sample = stored(stats.sample, "sample")
     if stats_path:
         save_stats(stats, stats_path, mode=mode)
     return SortResult(stats, unmapped, df)

@@ -110,17 +110,26 @@ def linear_sql(spec: MicrodataSpec = STANDIN, subsets: list[str] | None = None,
                      f"{level_expr(d1)} || '_' || {level_expr(d2)}, {w} FROM ps")
     valueless = ", ".join(q(x) for x in ["__w__"] + reals)
     entries = " UNION ALL ".join(parts)
-    tail_cat = "" if pairs else catalogue_cte(spec, skip) + ","
-    final_pairs = """
-SELECT region, subset, feature || '_' || level AS feature_name, feature AS feature_id,
-       round(CASE WHEN weight = 0 THEN 0.0 ELSE s / weight END, 6) AS value
-FROM vals"""
+    tail_cat = catalogue_cte(spec, set() if pairs else skip) + ","
+    allw = " UNION ALL ".join(
+        f"SELECT region, {i} AS subset, sum(CASE WHEN coalesce({p}, FALSE) THEN {w} ELSE 0.0 END) "
+        f"AS weight FROM person GROUP BY region" for i, p in enumerate(subsets))
+    grid = " UNION ALL ".join(
+        f"SELECT {q(a + '_' + b)} AS feature, x.level || '_' || y.level AS level "
+        f"FROM lv x, lv y WHERE x.feature = {q(a)} AND y.feature = {q(b)}" for a, b in pairs or [])
+    # every level pair of every region and subset, zero where it does not occur
+    final_pairs = f"""
+SELECT a.region, a.subset, g.feature || '_' || g.level AS feature_name, g.feature AS feature_id,
+       round(CASE WHEN a.weight = 0 THEN 0.0 ELSE coalesce(v.s, 0.0) / a.weight END, 6) AS value
+FROM ({allw}) a CROSS JOIN ({grid}) g
+LEFT JOIN vals v ON a.region IS NOT DISTINCT FROM v.region AND a.subset = v.subset
+  AND g.feature = v.feature AND g.level = v.level"""
     final_lin = """
 SELECT region, subset, pos, feature_name, feature_id,
        round(CASE WHEN weight = 0 THEN 0.0 ELSE s / weight END, 6) AS value
 FROM vals v JOIN cat c ON v.feature = c.feature AND v.level IS NOT DISTINCT FROM c.level"""
-    final_w = """
-SELECT region, subset, round(weight, 6) AS weight FROM wts"""
+    final_w = f"""
+SELECT region, subset, round(weight, 6) AS weight FROM ({allw}) a"""
     if only_features:
         final_lin += " WHERE v.feature IN (" + ", ".join(q(f) for f in only_features) + ")"
     final = final_w if weight_out else (final_pairs if pairs else final_lin)
@@ -142,7 +151,7 @@ vals AS (SELECT s.*, coalesce(w.weight, 0.0) AS weight FROM sums s
 def rff_sql(freqs, reals: list[str] | None = None, full: bool = False,
             condition: str | None = None, spec: MicrodataSpec = STANDIN,
             region_expr: str = "n.n_name", kind: str | None = None,
-            ordered: dict[str, list[str]] | None = None) -> str:
+            ordered: dict[str, list[str]] | None = None, subsets: list[str] | None = None) -> str:
     """RFF mean embedding as SQL with literal frequencies.
 
     ``full``: all encoded features (frequency rows by catalogue position);
@@ -169,7 +178,7 @@ def rff_sql(freqs, reals: list[str] | None = None, full: bool = False,
     else:
         feat = " UNION ALL ".join(f"SELECT rid, {i} AS pos, {z_expr(r)} AS x FROM pr"
                                   for i, r in enumerate(reals))
-        cat = ""
+        cat = catalogue_cte(spec, set()) + ","
     angles = ", ".join(f"sum(x * f{j}) AS a{j}" for j in range(D))
     aco = ", ".join(f"coalesce(a{j}, 0.0) AS a{j}" for j in range(D))
     sums = ", ".join([f"sum(w * sin(a{j})) AS s{j}" for j in range(D)]
@@ -190,9 +199,14 @@ def rff_sql(freqs, reals: list[str] | None = None, full: bool = False,
     for j in range(2 * D):
         col = f"s{j}" if j < D else f"c{j - D}"
         nm = f"sin{j}" if j < D else f"cos{j - D}"
-        outs.append(f"SELECT region, 0 AS subset, {j} AS pos, {prefix} || '_{nm}' AS feature_name, "
-                    f"{fid} AS feature_id, round(CASE WHEN wt = 0 THEN 0.0 ELSE {col} / "
-                    f"(wt * sqrt({D}.0)) END, 6) AS value{lvl} FROM agg")
+        outs.append(f"SELECT region, subset, {j} AS pos, {prefix} || '_{nm}' AS feature_name, "
+                    f"{fid} AS feature_id, round(CASE WHEN coalesce(wt, 0) = 0 THEN 0.0 ELSE {col} / "
+                    f"(wt * sqrt({D}.0)) END, 6) AS value{lvl} FROM dense")
+    subs = " UNION ALL ".join(f"SELECT *, {i} AS subset FROM rowsx WHERE coalesce({p}, FALSE)"
+                              for i, p in enumerate(subsets or ["TRUE"]))
+    n_subsets = len(subsets or [0])
+    groups = (f"SELECT level AS g FROM lv WHERE feature = {q(condition)}" if condition
+              else "SELECT CAST(NULL AS VARCHAR) AS g")
     return with_person(f"""
 {stats_ctes(spec)},
 {cat}
@@ -201,8 +215,13 @@ pr AS (SELECT row_number() OVER () AS rid, region, {w} AS w, {g} AS g, * EXCLUDE
 fr AS (SELECT * FROM (VALUES {fr_rows}) t(pos, {fcols})),
 feat AS ({feat}),
 ang AS (SELECT rid, {angles} FROM feat JOIN fr USING (pos) GROUP BY rid),
-rowsx AS (SELECT pr.region, pr.g, pr.w, {aco} FROM pr LEFT JOIN ang USING (rid) {where}),
-agg AS (SELECT region, g, sum(w) AS wt, {sums} FROM rowsx GROUP BY region, g)
+rowsx AS (SELECT pr.*, {aco} FROM pr LEFT JOIN ang USING (rid) {where}),
+agg AS (SELECT region, subset, g, sum(w) AS wt, {sums} FROM ({subs}) s GROUP BY region, subset, g),
+dense AS (SELECT d.region, d.subset, d.g, agg.* EXCLUDE (region, subset, g)
+          FROM (SELECT * FROM (SELECT DISTINCT region FROM person) r
+                CROSS JOIN range({n_subsets}) t(subset) CROSS JOIN ({groups}) gs) d
+          LEFT JOIN agg ON d.region IS NOT DISTINCT FROM agg.region AND d.subset = agg.subset
+            AND d.g IS NOT DISTINCT FROM agg.g)
 {' UNION ALL '.join(outs)}""", region_expr)
 
 

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from regemb.operators import embed
-from regemb.operators.encode import catalogue, feature_count
-from regemb.operators.regions import BROADCAST_MAX_ROWS
 from regemb.operators.stats import Stats
 from regemb.session import scratch_path
 from regemb.spec import skip_features
@@ -41,12 +39,7 @@ def finish_batch(sums: DataFrame, stats: Stats, skip: set[str] | None = None) ->
     """Static: state table -> embedding (divide by weight, name columns)."""
     skip = skip_features(stats.spec) if skip is None else skip
     vals, weights = embed._normalise(sums)
-    cat = catalogue(stats, skip)
-    if feature_count(stats, skip) <= BROADCAST_MAX_ROWS:
-        cat = F.broadcast(cat)
-    out = (vals.join(cat, (vals.feature == cat.feature) & vals.level.eqNullSafe(cat.level))
-               .select("region", "subset", "pos", "feature_name", "feature_id", "value"))
-    return embed.Embedding(out, weights)
+    return embed.Embedding(embed.placed(vals, stats, skip), weights)
 
 
 def start(stream: DataFrame, stats: Stats, out_path: str, checkpoint_location: str | None = None,

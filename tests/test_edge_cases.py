@@ -266,7 +266,8 @@ def test_interactions_roll_up(spark):
     df = df.withColumn("e", F.lit("z"))
     s = st.compute_stats(df, spec, sample_size=0)
     inter = embed.interaction_embedding(df, s, [("d", "e")])
-    names = embed.interaction_names(s, [("d", "e")])
+    names = [r["feature_name"] for r in
+             embed.pair_catalogue(s, [("d", "e")]).orderBy("pos").collect()]
     assert names == ["d_e_a_z", "d_e_b_z", "d_e_nan_z"]
     got = {(r["region"], r["pos"], r["feature_name"]): r["value"]
            for r in rollup.state_rollup(inter).values.collect()}
@@ -356,12 +357,14 @@ def test_rff_inner_products_approach_kernel_mean(spark):
     assert float(emb["a"] @ emb["b"]) == pytest.approx(num / den, abs=0.03)
 
 
-def test_empty_subset_is_absent_and_others_unaffected(spark):
+def test_empty_subset_weighs_nothing_and_others_unaffected(spark):
     df = _df(spark, [("a", 1.0, 1.0, "p"), ("a", 3.0, 2.0, "q")])
     s = st.compute_stats(df, SPEC, sample_size=0)
     e = embed.linear_embedding(df, s, subsets=["x > 100", "TRUE"])
-    subs = {r["subset"] for r in e.weights.collect()}
-    assert subs == {1}  # subset 0 matched nothing: no rows, i.e. all zeros
+    subs = {r["subset"]: r["weight"] for r in e.weights.collect()}
+    assert subs == {0: 0.0, 1: 4.0}
+    assert subs == {r["subset"]: r["weight"] for r in embed.region_weights(
+        df, "w", subsets=["x > 100", "TRUE"]).collect()}
     alone = embed.linear_embedding(df, s, subsets=["TRUE"])
     a = {(r["feature_name"]): r["value"] for r in e.values.collect()}
     b = {(r["feature_name"]): r["value"] for r in alone.values.collect()}
