@@ -49,8 +49,9 @@ RUN = 24
 SWITCH = 10.0            # nats that a change of language costs
 BEHIND = 12.0            # nats that a language without the word's script is behind the candidates
 MIN_SCRIPT = 0.01        # share of a language's words that makes a script its own
-MEMORY = 2_000_000       # words times languages whose scores a task remembers
-BATCH_CELLS = 8_000_000  # words times languages that are labelled at a time
+MEMORY = 1_200_000       # words times languages whose scores a task remembers
+BATCH_CELLS = 2_000_000  # words times languages that are labelled at a time
+NEW_WORDS = 16_000       # words that are scored at a time
 UNKNOWN = "und"
 
 _LETTERS = re.compile(r"[^\W\d_]{1,%d}" % RUN)
@@ -217,7 +218,7 @@ class Scorer:
         self.model, self.n = model, len(model.langs)
         # a row of zeros after the slots of each order stands for no n-gram
         slots, langs = 1 << model.bits, max(self.n, 1)
-        self.tables = [np.vstack([model.table[k * slots:(k + 1) * slots], np.zeros((1, langs))])
+        self.tables = [np.vstack([model.table[k * slots:(k + 1) * slots], np.zeros((1, langs), np.float32)])
                        for k in range(len(ORDERS) + 1)] if self.n else []
         self.candidates = np.ones((len(model.scripts) + 1, max(self.n, 1)), bool)
         self.script = {}
@@ -229,7 +230,7 @@ class Scorer:
 
     def forget(self) -> None:
         self.ids: dict[str, int] = {}
-        self.scores = np.zeros((1024, max(self.n, 1)))
+        self.scores = np.zeros((1024, max(self.n, 1)), np.float32)
         self.lengths = np.zeros(1024, np.int64)
         self.held = 0
 
@@ -262,8 +263,8 @@ class Scorer:
         new = {w for words in texts for w in words if w not in ids}
         ids.update((w, -1) for w in new if not w.isalpha())
         letters = [w for w in new if w.isalpha()]
-        if letters:
-            self.learn(letters)
+        for i in range(0, len(letters), NEW_WORDS):
+            self.learn(letters[i:i + NEW_WORDS])
         return [list(map(ids.__getitem__, words)) for words in texts]
 
 
