@@ -11,6 +11,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from dataclasses import replace
 
 _HERE = os.path.dirname(os.path.abspath(__file__))
 if _HERE not in sys.path:
@@ -23,15 +24,20 @@ import numpy as np
 
 from regemb.operators import clean, distances, embed, encode, graph, regions, rff, rollup, setops
 from regemb.operators import stats as st
+from regemb.functions import census_profile as CP
 from regemb.functions import geo as G
 from regemb.functions import recode as R
 from regemb.operators import geo as GO
 from regemb.operators import regress as M
 from regemb.operators import votes as V
+from regemb.plans import featurize as FZ
 from regemb.plans import sqltext as S
+from regemb.plans.sort import sort_by_region
+from regemb.session import scratch_path
+from regemb.sources import microdata, sinks
 from regemb.spec import skip_features
-from regemb.plans.standin import (STANDIN, household_rows, person, person_lines, region_lookup,
-                                  superregion_lookup, table)
+from regemb.plans.standin import (STANDIN, census_rows, census_rows_sql, household_rows, person,
+                                  person_lines, region_lookup, superregion_lookup, table)
 
 try:  # the training-data operators are an optional part
     import corpus_pipeline as _pipeline
@@ -746,7 +752,6 @@ def q_superregions(spark, sf_dir):
 def q_stream_embedding(spark, sf_dir):
     """A8 on a stream: yearly files of persons arrive; the embedding is kept as
     streaming sums and equals the batch embedding when all have arrived."""
-    from regemb.session import scratch_path
     from regemb.streaming import incremental
     p, s = _stats(spark, sf_dir)
     src = scratch_path(spark, "stream-src")
@@ -757,6 +762,243 @@ def q_stream_embedding(spark, sf_dir):
     return _r(e.values, "value")
 
 
+# --- one pass, additive extras, dense results --------------------------------
+
+ONE_TAX = rff.gaussian_freqs(1, 4, bandwidth=0.7, seed=12)
+EXTRAS = FZ.ExtrasConfig(reals=["l_extendedprice", "l_tax"],
+                         discretes=["l_returnflag", "l_linestatus"],
+                         freqs={("l_extendedprice",): ONE, ("l_tax",): ONE_TAX,
+                                ("l_extendedprice", "l_tax"): PAIR})
+
+
+def q_extra_catalogue(spark, sf_dir):
+    """F8 + X4: names, ids, offsets and keep flags of the additive vector."""
+    _, s = _stats(spark, sf_dir)
+    blocks = FZ.extra_blocks(s, EXTRAS, FZ.extra_freqs(s, EXTRAS))
+    return FZ.extra_catalogue(s, blocks).select("pos", "feature_name", "feature_id", "level", "keep")
+
+
+def q_additive_extras(spark, sf_dir):
+    """X4 + A11-A14: the additive extras as one vector."""
+    p, s = _stats(spark, sf_dir)
+    return _r(FZ.additive_extras(p, s, EXTRAS).values, "value")
+
+
+def q_featurize_all(spark, sf_dir):
+    """Linear means, RFF and extras of every region from one scan."""
+    p, s = _stats(spark, sf_dir)
+    out = FZ.featurize(p, s, rff_config=FZ.RFFConfig(freqs=_freqs(s)), extras_config=EXTRAS)
+    cols = ["region", "subset", "pos", "feature_name", "feature_id", "value"]
+    return _r(setops.union_all([e.values.select(*cols, F.lit(k).alias("kind"))
+                                for k, e in out.items()]), "value")
+
+
+def q_rff_conditional_subsets(spark, sf_dir):
+    """A13 by subset: levels that a subset leaves out have zeros."""
+    p, s = _stats(spark, sf_dir)
+    e = rff.real_rff_embedding(p, s, ["l_extendedprice"], ONE, condition="l_returnflag",
+                               subsets=SUBSETS)
+    return _r(e.values, "value")
+
+
+EMPTY_SUBSETS = [*SUBSETS, "l_quantity < 0"]
+
+
+def q_subset_weights_empty(spark, sf_dir):
+    """A subset without rows weighs 0 in every region."""
+    p = person(spark, sf_dir)
+    return _r(embed.region_weights(p, STANDIN.weight, subsets=EMPTY_SUBSETS), "weight")
+
+
+def q_block_bandwidths(spark, sf_dir):
+    """M5: a bandwidth for each real and each real pair, from one read of the sample."""
+    s = st.compute_stats(_keyed_person(spark, sf_dir), STANDIN, sample_size=1000,
+                         sample_key_col=PERSON_KEY)
+    reals = ["l_extendedprice", "l_tax"]
+    groups = [["l_extendedprice"], ["l_tax"], reals]
+    widths = distances.block_bandwidths(s, reals, groups)
+    return _r(spark.createDataFrame([("_".join(g), float(w)) for g, w in zip(groups, widths)],
+                                    "block string, bandwidth double"), "bandwidth")
+
+
+def q_keyless_sample(spark, sf_dir):
+    """K1 without a key: equal rows are told apart by their number."""
+    li = table(spark, sf_dir, "lineitem").select(
+        "l_returnflag", "l_linestatus", F.col("l_quantity").cast("long").alias("qty"))
+    return st.weighted_sample(li, "qty", 500)
+
+
+# --- sources and sinks over files written from the tables ----------------------
+
+
+def _csv_parts(spark, sf_dir):
+    """Orders as two CSV files whose columns come in another order."""
+    base = scratch_path(spark, "csv")
+    o = table(spark, sf_dir, "orders")
+    cols = ["o_orderkey", "o_totalprice", "o_orderstatus", "o_orderpriority"]
+    text = o.select(*[F.col(c).cast("string").alias(c) for c in cols])
+    even = F.col("o_orderkey").cast("long") % 2 == 0
+    text.where(even).select(*cols).write.option("header", True).csv(f"{base}/a")
+    text.where(~even).select(*reversed(cols)).write.option("header", True).csv(f"{base}/b")
+    return base
+
+
+CSV_SPEC = STANDIN.__class__(name="orders-csv", weight="o_totalprice",
+                             discrete=("o_orderstatus", "o_orderpriority"), meta=("o_orderkey",))
+
+
+def q_csv_by_name(spark, sf_dir):
+    """S1 + S2: a folder of CSV files with shuffled headers, bound by name."""
+    df = microdata.read_csv(spark, _csv_parts(spark, sf_dir), CSV_SPEC)
+    return _r(df.groupBy("o_orderstatus", "o_orderpriority").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("o_totalprice").alias("price")), "price", digits=2)
+
+
+def q_csv_bad_values(spark, sf_dir):
+    """Texts that should be weights and are none, listed."""
+    raw = microdata.read_text(spark, _csv_parts(spark, sf_dir)).withColumn(
+        "o_totalprice", F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("n/a "),
+                                                                      F.col("o_orderpriority")))
+        .otherwise(F.col("o_totalprice")))
+    return microdata.bad_values(raw, CSV_SPEC)
+
+
+def q_housing_partitions(spark, sf_dir):
+    """U2 + J1: housing rows in three parts, one of them CSV, joined to persons."""
+    base = scratch_path(spark, "housing")
+    h = household_rows(spark, sf_dir).select("l_orderkey", "st", "o_orderstatus")
+    part = F.pmod(F.col("l_orderkey"), F.lit(3))
+    h.where(part == 0).write.parquet(f"{base}/0")
+    h.where(part == 1).select("o_orderstatus", "l_orderkey", "st").write.parquet(f"{base}/1")
+    (h.where(part == 2).select(*[F.col(c).cast("string") for c in ("st", "o_orderstatus", "l_orderkey")])
+      .write.option("header", True).csv(f"{base}/2.csv"))
+    spec = STANDIN.__class__(name="housing-parts", weight="st", discrete=("o_orderstatus",),
+                             meta=("l_orderkey",))
+    rows = microdata.read_partitions(spark, [f"{base}/{i}" for i in ("0", "1", "2.csv")], spec)
+    j = clean.join_housing(person_lines(spark, sf_dir),
+                           rows.withColumn("l_orderkey", F.col("l_orderkey").cast("long")),
+                           key="l_orderkey")
+    return _r(j.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"),
+                                             F.sum("l_quantity").alias("wt")), "wt")
+
+
+SORT_SPEC = replace(STANDIN, adjust={"adjinc": ("l_tax",)})
+
+
+def _sorted(spark, sf_dir, **kw):
+    raw = person(spark, sf_dir, with_region=False).drop("batch")
+    base = scratch_path(spark, "sort-job")
+    res = sort_by_region(raw, SORT_SPEC, region_lookup(spark, sf_dir), ["st"],
+                         out_path=f"{base}/regions", stats_path=f"{base}/stats",
+                         voters_only=False, sample_size=0, **kw)
+    return base, res
+
+
+def q_sort_job(spark, sf_dir):
+    """S3 + S4 + P1 + P6: the sort job's partitions, read back with a column list."""
+    base, _ = _sorted(spark, sf_dir)
+    df = microdata.read_parquet(spark, f"{base}/regions",
+                                ["region", "l_quantity", "l_tax", "adjinc_orig"])
+    return _r(df.groupBy("region").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("wt"),
+        F.sum("l_tax").alias("tax_adj"), F.max("adjinc_orig").alias("max_factor")),
+        "wt", "tax_adj")
+
+
+def q_stats_roundtrip(spark, sf_dir):
+    """S5 + S6: the stored stats bundle, read back."""
+    base, _ = _sorted(spark, sf_dir, stats_only=True)
+    s = sinks.load_stats(spark, f"{base}/stats", SORT_SPEC)
+    counts = s.value_counts.select("feature", "level", "cnt", F.lit(None).cast("double").alias("mean"))
+    reals = s.reals.select("feature", F.lit(None).cast("string").alias("level"), "cnt", "mean")
+    return _r(counts.unionByName(reals), "mean")
+
+
+def q_embedding_roundtrip(spark, sf_dir):
+    """S7 + S8 + X1: a preprocessed embedding, saved, loaded and rolled up."""
+    p = person(spark, sf_dir)
+    big = replace(STANDIN, discrete=("l_returnflag", "big"))
+    out = FZ.featurize(p, st.compute_stats(p, STANDIN, sample_size=0), spec=big,
+                       preprocessor=lambda d: d.withColumn(
+                           "big", (F.col("l_extendedprice") > 50000).cast("string")))
+    path = scratch_path(spark, "embedding")
+    sinks.save_embedding(out["lin"], path)
+    back = sinks.load_embedding(spark, path)
+    return _r(back.values.where(F.col("feature_id") == "big").join(
+        back.weights, ["region", "subset"]).select(
+        "region", "feature_name", "value", "weight"), "value", "weight")
+
+
+def q_export_wide(spark, sf_dir):
+    """S9 + S10: the wide CSV of an embedding and the CSV of region weights, read back."""
+    _, s, e = _lin(spark, sf_dir)
+    names = [r[1] for r in encode.catalogue_rows(s, skip_features(STANDIN))]
+    path = scratch_path(spark, "export")
+    sinks.export_wide(e, names, f"{path}/wide.csv")
+    sinks.write_region_weights(e, f"{path}/weights.csv")
+    wide = spark.read.option("header", True).csv(f"{path}/wide.csv")
+    w = spark.read.option("header", True).csv(f"{path}/weights.csv")
+    cells = F.array(*[F.struct(F.lit(n).alias("feature_name"),
+                               F.col(n).cast("double").alias("value")) for n in names])
+    return _r(wide.select("region", F.inline(cells)).join(w, "region").withColumn(
+        "total_wt", F.col("total_wt").cast("double")), "value", "total_wt")
+
+
+# --- census profiles -------------------------------------------------------------
+
+CENSUS_COUNTED = ["ANYHISP", "ETHNICITY", "HASDEGREE", "NAICSP", "OCCP", "MIL", "LANP", "ANC1P",
+                  "ANC2P", "RAC2P", "SCHL", "SCHG", "FER"]
+
+
+def _census(spark, sf_dir, version, common, columns, also_keep=("ANC2P",)):
+    lookup = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code"),
+                                                   F.col("n_regionkey").alias("cat_code"))
+    profile = CP.census_profile(version, common, also_keep, degree_lookup=lookup)
+    return CP.code_counts(profile.apply(census_rows(spark, sf_dir, version)), columns)
+
+
+def q_census_old(spark, sf_dir):
+    """O24 of an old file: O2, O3, old language and ancestry (O13, O14), service, race."""
+    return _census(spark, sf_dir, "2006-10", True, CENSUS_COUNTED)
+
+
+def q_census_common(spark, sf_dir):
+    """O24 of a new file in the old files' codes."""
+    return _census(spark, sf_dir, "2014-18", True, CENSUS_COUNTED)
+
+
+def q_census_full(spark, sf_dir):
+    """O24 of a new file as it is, field of degree by category."""
+    return _census(spark, sf_dir, "2014-18", False, [*CENSUS_COUNTED, "FOD1P"])
+
+
+def _census_sql(old: bool, common: bool) -> str:
+    schl = _sql_map("SCHL", R.SCHL_NEW_TO_OLD) if common and not old else "SCHL"
+    anc = R.ANCP_OLD_TO_COMMON if old else R.ANCP_NEW_TO_OLD
+    lan = R.LANP_OLD_TO_COMMON if old else R.LANP_NEW_TO_OLD
+    changed = common or old
+    cols = {
+        "ANYHISP": "CAST(CAST(coalesce(TRY_CAST(HISP AS INTEGER) > 1, FALSE) AS INTEGER) AS VARCHAR)",
+        "ETHNICITY": _sql_eth("HISP", "RAC1P"),
+        "HASDEGREE": "CAST(" + _sql_deg(schl, 12 if changed else 20) + " AS VARCHAR)",
+        "NAICSP": _sql_sector("coalesce(naicsp07, naicsp02)" if old else "NAICSP"),
+        "OCCP": _sql_occ("coalesce(occp10, occp02)" if old else "OCCP"),
+        "MIL": _sql_map("MIL", R.MIL_OLD_TO_NEW) if old else "MIL",
+        "LANP": _sql_remap_identity("LANP", lan) if changed else "LANP",
+        "ANC1P": _sql_remap_identity("ANC1P", anc) if changed else "ANC1P",
+        "ANC2P": _sql_remap_identity("ANC2P", anc) if changed else "ANC2P",
+        "RAC2P": (_sql_map("RAC2P", R.RAC2P_OLD if old else R.RAC2P_NEW) if changed else "RAC2P"),
+        "SCHL": schl,
+        "SCHG": _sql_map("SCHG", R.SCHG_NEW_TO_OLD) if common and not old else "SCHG",
+        "FER": _sql_map("FER", R.FER_NEW_TO_OLD) if common and not old else "FER"}
+    if not changed:
+        cols["FOD1P"] = ("(SELECT CAST(n_regionkey AS VARCHAR) FROM nation "
+                         "WHERE n_nationkey = CAST(FOD1P AS INTEGER))")
+    return "WITH " + census_rows_sql() + ",\nx AS (" + " UNION ALL ".join(
+        f"SELECT {S.q(c)} AS feature, {e} AS level FROM census" for c, e in cols.items()
+    ) + ")\nSELECT feature, level, count(*) AS n FROM x GROUP BY feature, level"
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     extra = {**_llm.queries(), "pipeline": _pipeline.run} if _llm else {}
     return {**_queries(), **extra}
@@ -826,6 +1068,23 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "custom_featurizer": q_custom_featurizer,
         "extras_one_pass": q_extras_one_pass,
         "rff_thermometer": q_rff_thermometer,
+        "extra_catalogue": q_extra_catalogue,
+        "additive_extras": q_additive_extras,
+        "featurize_all": q_featurize_all,
+        "rff_conditional_subsets": q_rff_conditional_subsets,
+        "subset_weights_empty": q_subset_weights_empty,
+        "block_bandwidths": q_block_bandwidths,
+        "keyless_sample": q_keyless_sample,
+        "csv_by_name": q_csv_by_name,
+        "csv_bad_values": q_csv_bad_values,
+        "housing_partitions": q_housing_partitions,
+        "sort_job": q_sort_job,
+        "stats_roundtrip": q_stats_roundtrip,
+        "embedding_roundtrip": q_embedding_roundtrip,
+        "export_wide": q_export_wide,
+        "census_old": q_census_old,
+        "census_common": q_census_common,
+        "census_full": q_census_full,
     }
 
 
@@ -1062,6 +1321,66 @@ UNION ALL SELECT region, 0, 1, 'custom_1', 'custom',
        round(CASE WHEN wt = 0 THEN 0.0 ELSE a1 / wt END, 6) FROM agg
 UNION ALL SELECT region, 0, 2, 'custom_2', 'custom',
        round(CASE WHEN wt = 0 THEN 0.0 ELSE a2 / wt END, 6) FROM agg"""),
+        "extra_catalogue": _extras_sql(names_only=True),
+        "additive_extras": _extras_sql(),
+        "featurize_all": ("SELECT *, 'lin' AS kind FROM (" + S.linear_sql() + ") UNION ALL "
+                          "SELECT *, 'rff' FROM (" + S.rff_sql(FREQS.tolist(), full=True)
+                          + ") UNION ALL SELECT * EXCLUDE (level), 'extra' FROM ("
+                          + _extras_sql() + ")"),
+        "rff_conditional_subsets": S.rff_sql(ONE.tolist(), ["l_extendedprice"],
+                                             condition="l_returnflag", subsets=SUBSETS_SQL),
+        "subset_weights_empty": S.linear_sql(subsets=[*SUBSETS_SQL, "l_quantity < 0"],
+                                             weight_out=True),
+        "block_bandwidths": S.with_person(
+            S.stats_ctes() + "," + KEYED_PERSON_SQL.format(n=1000) + f""",
+x AS (SELECT row_number() OVER () AS i, {S.z_expr('l_extendedprice')} AS a,
+             {S.z_expr('l_tax')} AS b FROM samp),
+d AS (SELECT (s.a - t.a) * (s.a - t.a) AS a, (s.b - t.b) * (s.b - t.b) AS b
+      FROM x s JOIN x t ON s.i < t.i)
+SELECT 'l_extendedprice' AS block, round(sqrt(median(a)), 6) AS bandwidth FROM d
+UNION ALL SELECT 'l_tax', round(sqrt(median(b)), 6) FROM d
+UNION ALL SELECT 'l_extendedprice_l_tax', round(sqrt(median(a + b)), 6) FROM d"""),
+        "keyless_sample": """
+WITH li AS (SELECT l_returnflag, l_linestatus, CAST(l_quantity AS BIGINT) AS qty FROM lineitem),
+t AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag, l_linestatus, qty) AS copy,
+             sha256('0' || chr(31) || coalesce('=' || l_returnflag, 'null') || chr(31)
+                    || coalesce('=' || l_linestatus, 'null') || chr(31)
+                    || coalesce('=' || CAST(qty AS VARCHAR), 'null')) AS content FROM li),
+k AS (SELECT *, content || chr(31) || CAST(copy AS VARCHAR) AS k FROM t)
+SELECT l_returnflag, l_linestatus, qty FROM k
+ORDER BY -ln(""" + S.hash_uniform_sql("k") + """) / qty, content, copy LIMIT 500""",
+        "csv_by_name": """
+SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS price
+FROM orders GROUP BY 1, 2""",
+        "csv_bad_values": """
+SELECT 'o_totalprice' AS "column", 'n/a ' || o_orderpriority AS value, count(*) AS count
+FROM orders WHERE o_orderstatus = 'P' GROUP BY 2""",
+        "housing_partitions": S.with_person("""
+x AS (SELECT 1)
+SELECT o_orderstatus, count(*) AS n, round(sum(l_quantity), 6) AS wt FROM person GROUP BY 1"""),
+        "sort_job": S.with_person("""
+x AS (SELECT 1)
+SELECT region, count(*) AS n, round(sum(l_quantity), 6) AS wt,
+       round(sum(l_tax * adjinc / 1e6), 6) AS tax_adj, CAST(max(adjinc) AS INTEGER) AS max_factor
+FROM person GROUP BY 1"""),
+        "stats_roundtrip": S.with_person("""
+adjusted AS (SELECT * REPLACE (l_tax * adjinc / 1e6 AS l_tax) FROM person),
+""" + S.stats_ctes(source="adjusted") + """
+SELECT feature, level, cnt, CAST(NULL AS DOUBLE) AS mean FROM vc
+UNION ALL SELECT feature, NULL, cnt, round(mean, 6) FROM rstats"""),
+        "embedding_roundtrip": S.with_person("""
+b AS (SELECT region, l_quantity AS w,
+             CASE WHEN l_extendedprice > 50000 THEN 'true' ELSE 'false' END AS big FROM person),
+t AS (SELECT region, sum(w) AS weight FROM b GROUP BY region)
+SELECT region, 'big_' || big AS feature_name, round(sum(w) / max(weight), 6) AS value,
+       round(max(weight), 6) AS weight
+FROM b JOIN t USING (region) GROUP BY region, big"""),
+        "export_wide": "SELECT l.region, feature_name, value, weight AS total_wt FROM ("
+                       + S.linear_sql() + ") l JOIN (" + S.linear_sql(weight_out=True)
+                       + ") w ON l.region = w.region",
+        "census_old": _census_sql(old=True, common=True),
+        "census_common": _census_sql(old=False, common=True),
+        "census_full": _census_sql(old=False, common=False),
         "shared_pass": "SELECT region, subset, feature_name, feature_id, value FROM ("
                        + S.linear_sql(subsets=SUBSETS_SQL) + ") UNION ALL SELECT * FROM ("
                        + S.linear_sql(subsets=SUBSETS_SQL, pairs=PAIRS) + ")",
@@ -1119,6 +1438,37 @@ WHERE side <> 'right' OR key NOT LIKE '02' GROUP BY 1""".replace(
     }
 
 
+def _extras_sql(names_only: bool = False) -> str:
+    """The additive vector (or its catalogue): blocks at offsets, levels by rank."""
+    price, tax, flag, status = "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus"
+    n = {d: f"(SELECT max(n) FROM ranked WHERE feature = {S.q(d)})" for d in (flag, status)}
+    size = 2 * ONE.shape[1]
+    parts, at = [], "0"
+    real = "SELECT region, subset, CAST({at} + pos AS INTEGER) AS pos, feature_name, feature_id, " \
+           "value, CAST(NULL AS VARCHAR) AS level, TRUE AS keep FROM ({sql})"
+    for reals, f in (([price], ONE), ([tax], ONE_TAX), ([price, tax], PAIR)):
+        parts.append(real.format(at=at, sql=S.rff_sql(f.tolist(), reals)))
+        at += f" + {size}"
+    for r, f in ((price, ONE), (tax, ONE_TAX)):
+        for d in (flag, status):
+            parts.append(
+                f"SELECT region, subset, CAST({at} + pos * r.n + r.rk - 1 AS INTEGER), feature_name, "
+                f"feature_id, value, {S.q(d + '=')} || c.level, TRUE FROM ("
+                f"{S.rff_sql(f.tolist(), [r], condition=d)}) c "
+                f"JOIN ranked r ON r.feature = {S.q(d)} AND r.level = c.level")
+            at += f" + {size} * {n[d]}"
+    parts.append(
+        f"SELECT region, subset, CAST({at} + (x.rk - 1) * y.n + y.rk - 1 AS INTEGER), feature_name, "
+        f"feature_id, value, CAST(NULL AS VARCHAR), x.rk > 1 OR y.rk > 1 FROM ("
+        f"{S.linear_sql(pairs=[(flag, status)])}) c "
+        f"JOIN ranked x ON x.feature = {S.q(flag)} JOIN ranked y ON y.feature = {S.q(status)} "
+        f"AND c.feature_name = {S.q(flag + '_' + status + '_')} || x.level || '_' || y.level")
+    wanted = ("DISTINCT pos, feature_name, feature_id, level, keep" if names_only
+              else "region, subset, pos, feature_name, feature_id, value, level")
+    return S.with_person(S.stats_ctes() + ",\n" + S.catalogue_cte(STANDIN, set())
+                         + f"\nSELECT {wanted} FROM (" + " UNION ALL ".join(parts) + ") v")
+
+
 def _sql_map(x: str, d: dict) -> str:
     whens = " ".join(f"WHEN {k} THEN " + ("NULL" if v is None else S.q(str(v)))
                      for k, v in d.items())

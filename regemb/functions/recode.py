@@ -273,26 +273,14 @@ def first_present(new: str | Column, old: str | Column) -> Column:
     return F.coalesce(_c(new), _c(old))
 
 
-def degree_category(c: str | Column, lookup: DataFrame | dict) -> Column | DataFrame:
-    """Field-of-degree code -> category code.
-
-    ``lookup`` is the ``(code, cat_code)`` table read by ``sources.lookups``;
-    as a dict it becomes a map literal.
-    """
-    if isinstance(lookup, dict):
-        return map_literal({int(k): v for k, v in lookup.items()})[code(c)]
-    raise TypeError("pass a dict, or join the lookup table with degree_category_join")
-
-
 def degree_category_join(df: DataFrame, col: str, lookup: DataFrame, out: str | None = None,
                          code_col: str = "code", cat_col: str = "cat_code") -> DataFrame:
-    """O4 as a join with the (173-row) code table, broadcast after a size check."""
-    from regemb.operators.regions import bounded_broadcast
-    out = out or col
-    lk = bounded_broadcast(lookup.select(F.col(code_col).try_cast("int").alias("_code"),
-                                         F.col(cat_col).cast("string").alias("_cat")))
-    return (df.withColumn("_code", code(col)).join(lk, "_code", "left")
-              .withColumn(out, F.col("_cat")).drop("_code", "_cat"))
+    """Field-of-degree code -> category code, by a join with the code table
+    that ``sources.lookups`` reads; unknown codes have no category."""
+    from regemb.operators.lookup import code as normal, lookup_join
+    lk = lookup.select(F.col(code_col), F.col(cat_col).cast("string").alias("__cat"))
+    return lookup_join(df, lk, [(normal(col), normal(code_col))], {"__cat": out or col},
+                       what="the code table")
 
 
 def ethnicity(hisp: str | Column, rac1p: str | Column) -> Column:

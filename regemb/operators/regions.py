@@ -1,53 +1,27 @@
-"""Region assignment and lookup joins (J3-J10), and the broadcast guard.
+"""Region assignment and lookup joins.
 
 Lookups (place -> region, state -> postal code, region -> super-region) are
-small dimension tables.  They are broadcast only after a bounded count shows
-they fit (``bounded_broadcast``); otherwise the join stays a shuffle join and
-AQE re-plans it at run time.
+joined many to one by :mod:`regemb.operators.lookup`: keys are normalised,
+then proved unique in the plan.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A lookup above this many rows is joined by shuffle instead of broadcast.
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """``broadcast(df)`` if it has at most ``max_rows`` rows, else ``df``.
-
-    The check reads at most ``max_rows + 1`` rows, so its cost is bounded
-    by the limit, not by the table.
-    """
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+from regemb.operators.lookup import code, lookup_join, text, two_digits
 
 
 def assign_region(df: DataFrame, lookup: DataFrame, on: list[str],
-                  region_col: str = "region", check_size: bool = True) -> DataFrame:
-    """Left join a place-code lookup; unmapped rows keep a null region."""
-    if lookup.groupBy(*on).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
-        raise ValueError(f"lookup repeats a key of {on}: rows would be multiplied")
-    lk = bounded_broadcast(lookup) if check_size else lookup
-
-    def same(c: str) -> Column:
-        # codes are compared as numbers where both are numbers, else as text
-        a, b = F.col(f"d.{c}").cast("string"), F.col(f"l.{c}").cast("string")
-        return _code(a) == _code(b)
-
-    cond = same(on[0])
-    for c in on[1:]:
-        cond = cond & same(c)
-    rest = [F.col(f"l.{c}") for c in lookup.columns if c not in on]
-    return (df.alias("d").join(lk.alias("l"), cond, "left")
-              .select(*[F.col(f"d.{c}") for c in df.columns], *rest))
+                  region_col: str = "region") -> DataFrame:
+    """Left join a place-code lookup; unmapped rows keep a null region.
 
-
-def _code(c: Column) -> Column:
-    """A place code without the leading zeros that only some files write."""
-    return F.coalesce(c.try_cast("long").cast("string"), c)
+    Codes are compared as numbers where both are numbers, else as text.
+    """
+    values = [c for c in lookup.columns if c not in on]
+    return lookup_join(df, lookup, [(code(c), code(c)) for c in on], values,
+                       what="the place lookup")
 
 
 def assign_state(df: DataFrame, state_to_stab: DataFrame, st: str = "ST",
@@ -57,12 +31,8 @@ def assign_state(df: DataFrame, state_to_stab: DataFrame, st: str = "ST",
     ``state_to_stab`` has ``state`` (int) and ``stab``; both sides are keyed
     by the two-digit zero-padded code.
     """
-    lk = state_to_stab.select(
-        F.lpad(F.col("state").cast("int").cast("string"), 2, "0").alias("_st2"),
-        F.col("stab").alias(out))
-    key = F.lpad(F.col(st).try_cast("int").cast("string"), 2, "0")
-    return (df.withColumn("_st2", key)
-              .join(bounded_broadcast(lk), "_st2", "left").drop("_st2"))
+    return lookup_join(df, state_to_stab, [(two_digits(st), two_digits("state"))],
+                       {"stab": out}, what="the state lookup")
 
 
 def assign_puma_region(df: DataFrame, state_to_stab: DataFrame, st: str = "ST",
@@ -87,20 +57,10 @@ def mapped_only(df: DataFrame, region_col: str = "region") -> DataFrame:
     return df.where(F.col(region_col).isNotNull())
 
 
-class LookupError_(KeyError):
-    pass
-
-
 def strict_map(df: DataFrame, mapping: DataFrame, key: str, value: str) -> DataFrame:
-    """Inner join that fails when a key of ``df`` has no mapping.
-
-    The emptiness check is a ``left_anti`` join with ``limit(1)``.
-    """
-    mp = bounded_broadcast(mapping.select(key, value))
-    missing = df.select(key).join(mp, key, "left_anti").limit(1).collect()
-    if missing:
-        raise LookupError_(f"no mapping for {key}={missing[0][0]!r}")
-    return df.join(mp, key, "inner")
+    """The mapped value of every row; a key without a mapping raises in the plan."""
+    return lookup_join(df, mapping, [(text(key), text(key))], [value], how="strict",
+                       what=f"the mapping of {key}")
 
 
 def coverage(left: DataFrame, right: DataFrame, key: str) -> dict[str, DataFrame]:

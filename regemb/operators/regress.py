@@ -22,6 +22,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regemb.operators.lookup import lookup_join, text
+
 # FIXED VALUES: feature-name prefixes left out of the regression (place codes)
 SKIP_PREFIXES = ["POBP_", "RELP_", "POWPUMA_", "POWSP", "MIGSP_", "MIGPUMA_"]
 
@@ -44,11 +46,10 @@ def wide(values: DataFrame, positions: list[int], key: str = "region",
 
 
 def align(df: DataFrame, side: DataFrame, key: str = "region") -> DataFrame:
-    """``df`` with the columns of ``side``; a key that ``side`` lacks raises in the plan."""
-    matched = F.when(F.col("_found"), F.col(key)).otherwise(F.raise_error(F.concat(
-        F.lit(f"no row for {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))))
-    joined = df.join(side.withColumn("_found", F.lit(True)), key, "left")
-    return joined.withColumn(key, matched).drop("_found")
+    """``df`` with the columns of ``side``, one row each; a key that ``side`` lacks
+    or repeats raises in the plan."""
+    return lookup_join(df, side, [(text(key), text(key))], [c for c in side.columns if c != key],
+                       how="strict", what="the side table")
 
 
 def design_matrix(emb_wide: DataFrame, extra: DataFrame | None = None,

@@ -134,15 +134,19 @@ def weighted_sample(df: DataFrame, weight: str, n: int = 5000,
     ``t = oversample * n / sum(w)`` keeps about ``oversample * n`` rows.  If
     fewer than ``n`` pass, ``t`` grows and the count is repeated; the ``n``
     smallest keys are always below a threshold that passes ``n`` rows, so the
-    result is exactly the unfiltered one.  ``key`` makes the draw
-    reproducible across partitionings; without it ``rand(seed)`` is used.  It
-    must name a row (several columns if need be): rows of one key are drawn
-    together.
+    result is exactly the unfiltered one.  ``key`` must name a row (several
+    columns if need be): rows of one key are drawn together.  Without a key
+    a row is named by its contents and its number among equal rows, so the
+    draw does not depend on the partitioning either; that costs a shuffle of
+    the distinct rows.
     """
     keys = [key] if isinstance(key, str) else list(key or [])
+    columns = df.columns
+    if not keys:
+        df, keys = _numbered_copies(df, seed), ["_content", "_copy"]
     joined = F.col(keys[0]) if len(keys) == 1 else F.concat_ws(
         "\x1f", *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys])
-    u = hash_uniform(joined) if keys else (1.0 - F.rand(seed))
+    u = hash_uniform(joined)
     order = [F.col("_sample_key"), *map(F.col, keys)]
     keyed = df.withColumn("_sample_key", sample_key(F.col(weight), u))
     if total_weight is None:
@@ -156,7 +160,21 @@ def weighted_sample(df: DataFrame, weight: str, n: int = 5000,
                 cut = keyed.where(F.col("_sample_key") <= t)
                 break
             t *= 8.0
-    return cut.orderBy(*order).limit(n).drop("_sample_key")
+    return cut.orderBy(*order).limit(n).select(*columns)
+
+
+def _numbered_copies(df: DataFrame, seed: int) -> DataFrame:
+    """Rows named by a digest of their contents (``_content``) and a number among equals.
+
+    Equal rows are counted (combined before the shuffle, so a row that a third
+    of the table repeats is no hot group) and laid out again by number.
+    """
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    told = F.concat_ws("\x1f", F.lit(str(seed)), *[
+        F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("null"))
+        for c in df.columns])
+    return counted.select(*df.columns, F.sha2(told, 256).alias("_content"),
+                          F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"))
 
 
 # ---------------------------------------------------------------------------

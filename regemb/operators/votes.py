@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regemb.operators.regions import bounded_broadcast
+from regemb.operators.lookup import lookup_join, text
 
 # ---------------------------------------------------------------------------
 # FIXED VALUES: name separators, aliases and party assignments of the 2012
@@ -97,7 +97,8 @@ def region_party_table(df: DataFrame, county_region: DataFrame, fips: str = "fip
     join).  The pivot values are given, so no extra pass finds them.
     """
     parties = parties or PARTY_ORDER
-    j = df.join(bounded_broadcast(county_region.select(fips, "region")), fips, "inner")
+    j = lookup_join(df, county_region, [(text(fips), text(fips))], ["region"], how="inner",
+                    what="the county lookup")
     wide = j.groupBy("region").pivot("party", parties).agg(F.sum("votes"))
     return wide.select("region", *[F.coalesce(F.col(p), F.lit(0)).cast("long")
                                    .alias(f"votes_{p}") for p in parties])

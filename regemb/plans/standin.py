@@ -19,7 +19,7 @@ income factor       ``adjinc = 1000000 + 10000 * (2001 - year(o_orderdate))``
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regemb.operators.clean import join_housing
@@ -93,6 +93,61 @@ def person(spark: SparkSession, sf_dir: str, with_region: bool = True) -> DataFr
     return df
 
 
+#: Stand-in census codes of an order: ``(o_orderkey * k + day of month) mod m``, plus ``low``.
+CENSUS_CODES = {
+    "LANP": (7, 1000, 0), "ANC1P": (11, 1000, 0), "ANC2P": (13, 1000, 0), "MIL": (3, 6, 0),
+    "SCHL": (5, 25, 1), "SCHG": (17, 17, 0), "FER": (19, 9, 0), "HISP": (23, 24, 1),
+    "RAC1P": (29, 9, 1), "RAC2P": (31, 69, 1), "FOD1P": (37, 25, 0), "OCCP": (41, 9921, 0),
+    "occp10": (43, 9921, 0), "occp02": (47, 9921, 0),
+}
+#: Industry codes: a sector prefix picked the same way, null where every third order lacks it.
+CENSUS_INDUSTRY = {"NAICSP": (53, 1), "naicsp07": (59, 3), "naicsp02": (61, 1)}
+CENSUS_OTHER = 5
+
+
+def census_rows(spark: SparkSession, sf_dir: str, version: str) -> DataFrame:
+    """One stand-in person per order with every feature of a census file version."""
+    from regemb import census
+    from regemb.functions.recode import NAICS_SECTORS
+    spec = census.version(version)
+    key, day = F.col("o_orderkey"), F.dayofmonth("o_orderdate")
+    prefixes = F.array(*[F.lit(p) for p in NAICS_SECTORS])
+
+    def column(c: str, i: int) -> Column:
+        if c in CENSUS_CODES:
+            k, m, low = CENSUS_CODES[c]
+            x = (F.pmod(key * k + day, F.lit(m)) + low).cast("string")
+            # the newer of two occupation codes is missing now and then
+            return F.when(key % 3 > 0, x) if c == "occp10" else x
+        if c in CENSUS_INDUSTRY:
+            k, every = CENSUS_INDUSTRY[c]
+            at = F.pmod(key * k + day, F.lit(len(NAICS_SECTORS))).cast("int")
+            x = F.concat(F.element_at(prefixes, at + 1), F.lit("1"))
+            return F.when(key % 3 > 0, x) if every > 1 else x
+        x = F.pmod(key * (i + 3) + day, F.lit(CENSUS_OTHER))
+        return x.cast("double") if c in spec.real else x.cast("string")
+
+    return table(spark, sf_dir, "orders").select(
+        F.lit(1.0).alias(spec.weight), key.alias("SPORDER"),
+        *[column(c, i).alias(c) for i, c in enumerate(spec.features)])
+
+
+def census_rows_sql() -> str:
+    """``census``: the same codes in SQL, all columns of :data:`CENSUS_CODES` at once."""
+    from regemb.functions.recode import NAICS_SECTORS
+    day, cols = "CAST(day(o_orderdate) AS BIGINT)", []
+    for c, (k, m, low) in CENSUS_CODES.items():
+        x = f"CAST((o_orderkey * {k} + {day}) % {m} + {low} AS VARCHAR)"
+        cols.append(f"CASE WHEN o_orderkey % 3 > 0 THEN {x} END AS {c}" if c == "occp10"
+                    else f"{x} AS {c}")
+    listed = "[" + ", ".join(f"'{p}'" for p in NAICS_SECTORS) + "]"
+    for c, (k, every) in CENSUS_INDUSTRY.items():
+        x = f"{listed}[(o_orderkey * {k} + {day}) % {len(NAICS_SECTORS)} + 1] || '1'"
+        cols.append(f"CASE WHEN o_orderkey % 3 > 0 THEN {x} END AS {c}" if every > 1
+                    else f"{x} AS {c}")
+    return "census AS (SELECT " + ", ".join(cols) + " FROM orders)"
+
+
 def price_tax_features(Z, idx):
     """A stand-in user featurizer (X2) over encoded rows: standardised price,
     price x discount and tax squared.  It lives in the package so Python

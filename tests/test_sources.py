@@ -32,11 +32,48 @@ def test_csv_typed_by_name_with_na_tokens(spark, scratch):
 
 def test_csv_files_must_share_columns(spark, scratch):
     _write(f"{scratch}/a.csv", "SERIALNO,PWGTP,AGEP,SEX\n1,3,40,1\n")
-    _write(f"{scratch}/b.csv", "SERIALNO,AGEP,PWGTP,SEX\n1,3,40,1\n")
-    with pytest.raises(SchemaError):
+    _write(f"{scratch}/b.csv", "SERIALNO,PWGTP,AGEP,RACE\n1,3,40,1\n")
+    with pytest.raises(SchemaError, match="RACE"):
         microdata.read_csv(spark, [f"{scratch}/a.csv", f"{scratch}/b.csv"], SPEC)
 
 
+@pytest.mark.parametrize("how", ["list", "glob", "folder"])
+def test_shuffled_headers_bind_by_name(spark, scratch, how):
+    _write(f"{scratch}/in/a.csv", "SERIALNO,PWGTP,AGEP,SEX\n1,3,40,1\n")
+    _write(f"{scratch}/in/b.csv", "SEX,AGEP,SERIALNO,PWGTP\n2,50,2,4\n")
+    _write(f"{scratch}/in/c.csv", "SERIALNO,PWGTP,AGEP,SEX\n3,5,60,1\n")
+    paths = {"list": [f"{scratch}/in/{x}.csv" for x in "abc"], "glob": f"{scratch}/in/*.csv",
+             "folder": f"{scratch}/in"}[how]
+    got = {(r["SERIALNO"], r["PWGTP"], r["AGEP"], r["SEX"])
+           for r in microdata.read_csv(spark, paths, SPEC).collect()}
+    assert got == {("1", 3.0, 40.0, "1"), ("2", 4.0, 50.0, "2"), ("3", 5.0, 60.0, "1")}
+
+
+def test_bad_weight_raises_or_is_listed(spark, scratch):
+    _write(f"{scratch}/a.csv", "SERIALNO,PWGTP,AGEP,SEX,ADJINC\n1,3x,40,1,5\n2,,41,1,5\n3,3x,4,1,\n")
+    with pytest.raises(Exception, match="PWGTP is not a number: 3x"):
+        microdata.read_csv(spark, f"{scratch}/a.csv", SPEC).collect()
+    kept = microdata.read_csv(spark, f"{scratch}/a.csv", SPEC, on_bad="null").collect()
+    assert [r["PWGTP"] for r in kept] == [None, None, None]
+    bad = microdata.bad_values(microdata.read_text(spark, f"{scratch}/a.csv"), SPEC).collect()
+    assert [tuple(r) for r in bad] == [("PWGTP", "3x", 2)]
+
+
+def test_no_file_is_an_error(spark, scratch):
+    with pytest.raises(Exception):
+        microdata.read_csv(spark, f"{scratch}/none", SPEC)
+
+
+def test_partitions_must_share_columns(spark, scratch):
+    a = spark.createDataFrame([("1", 2.0)], "SERIALNO string, PWGTP double")
+    a.write.parquet(f"{scratch}/a")
+    a.select("PWGTP", "SERIALNO").write.parquet(f"{scratch}/b")
+    assert microdata.read_partitions(spark, [f"{scratch}/a", f"{scratch}/b"], SPEC).count() == 2
+    a.withColumn("X", F.lit(1)).write.parquet(f"{scratch}/c")
+    with pytest.raises(SchemaError, match="X"):
+        microdata.read_partitions(spark, [f"{scratch}/a", f"{scratch}/c"], SPEC)
+
+
 def test_code_table_with_quoted_commas(spark, scratch):
     _write(f"{scratch}/codes.csv",
            'code,name,subcat,cat,cat_code\n1100,"Agriculture, General",x,Ag,1\n2100,Computing,y,CS,2\n')
