@@ -27,15 +27,18 @@ fragments at its owner (a common phrase in very many surroundings) is not
 sorted there: its strings are grouped by their bytes in a step of their own,
 spread over all tasks.
 
-Null text counts as empty.  Null ids count as one id below all others.  Rows
-that repeat an id never count as smaller than each other and are told apart by
-a checksum of their text.  Texts under 50 bytes keep all.  An empty table gives
+Null text counts as empty.  Null ids count as one id below all others; such
+rows travel under a hash of their text (one of the 2^40 lowest numbers, which
+no id may be), so they do not share one list of keys.  Rows that repeat an id
+never count as smaller than each other and are told apart by a checksum of
+their text.  Texts under 50 bytes keep all.  An empty table gives
 an empty result.  Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -60,6 +63,7 @@ GROUP_BYTES = 16 << 20     # of one key; beyond, its strings are grouped by a sh
 STRING_SLICE = 2 << 20     # bytes of such a key's fragments worked on at once
 STRING_BINS = 32           # ranges of strings for each range of keys
 NO_ID = -(1 << 63)
+ANON = 1 << 40             # rows without an id have one of the lowest, by a hash of their text
 _MARK = np.dtype([("check", "<u4"), ("start", "<i8"), ("end", "<i8")])
 
 
@@ -441,18 +445,18 @@ def _fragment_kernel(bins: int):
         route, marked, key, doc, check, places, part = zip(*rows, strict=True)
         r, m = np.array(route, np.int64).view(np.uint64), np.array(marked, np.int32)
         b = np.where(m == 1, _bin(r, bins), _key_bin(r, bins)) * 2 + m
-        order = np.lexsort((np.array(key), b))
+        keys, docs, crcs = np.array(key, "<i8"), np.array(doc, "<i8"), np.array(check, "<u4")
+        n_places = np.fromiter(map(len, places), "<u4", len(places))
+        n_bytes = np.fromiter(map(len, part), "<u4", len(part))
+        order = np.lexsort((keys, b))
         b = b[order]
         cut = np.flatnonzero(np.append(True, b[1:] != b[:-1]))
         for lo, hi in zip(cut, np.append(cut[1:], len(b)), strict=True):
             o = order[lo:hi].tolist()
             blob = _pack(
-                np.array([key[i] for i in o], "<i8"), np.array([doc[i] for i in o], "<i8"),
-                np.array([check[i] for i in o], "<u4"),
-                np.array([len(places[i]) for i in o], "<u4"),
-                np.array([len(part[i]) for i in o], "<u4"),
-                np.frombuffer(b"".join(places[i] for i in o), "<i8"),
-                np.frombuffer(b"".join(part[i] for i in o), np.uint8))
+                keys[o], docs[o], crcs[o], n_places[o], n_bytes[o],
+                np.frombuffer(b"".join(map(places.__getitem__, o)), "<i8"),
+                np.frombuffer(b"".join(map(part.__getitem__, o)), np.uint8))
             yield int(b[lo]) // 2, int(b[lo]) % 2, blob
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -481,16 +485,22 @@ def _fragment_kernel(bins: int):
 
     def packed(found: dict, ids: np.ndarray, checks: list[int]) -> pa.RecordBatch:
         rows, marks = [], {}
+        one = struct.Struct("<q").pack
         for (k, part), where in found.items():
-            least = min(w[0] for w in where)
+            if len(where) == 1:
+                d, row, place = where[0]
+                rows.append((k, 0, k, d, checks[row], one(place), part))
+                continue
+            least = min(_rank_of(w[0]) for w in where)
             own: dict[int, list[int]] = {}
             for d, row, place in where:
-                if d == least:
+                if _rank_of(d) == least:
                     own.setdefault(row, []).append(place)
                 else:
                     marks.setdefault(row, []).append((place, place + len(part)))
             for row, places in own.items():
-                rows.append((k, 0, k, least, checks[row], np.array(places, "<i8").tobytes(), part))
+                rows.append((k, 0, k, int(ids[row]), checks[row],
+                             np.array(places, "<i8").tobytes(), part))
         for row, spans in marks.items():
             d = int(ids[row])
             rows.append((int(_spread(np.array([d])).view(np.int64)[0]), 1, 0, d, checks[row],
@@ -519,6 +529,31 @@ def _unfold_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 binary(n_places, places), binary(n_bytes, data)], schema=_FRAGMENT)
 
 
+def _rank(docs: np.ndarray) -> np.ndarray:
+    """Documents as they compare: those without an id are one, below all others."""
+    return np.where(docs < NO_ID + ANON, NO_ID, docs)
+
+
+def _rank_of(doc: int) -> int:
+    return NO_ID if doc < NO_ID + ANON else doc
+
+
+def merge_marks(doc: np.ndarray, check: np.ndarray, start: np.ndarray, end: np.ndarray
+                ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of (document, checksum) as disjoint, not touching, sorted spans."""
+    if not len(doc):
+        return doc, check, start, end
+    o = np.lexsort((start, check, doc))
+    doc, check, start, end = doc[o], check[o], start[o], end[o]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (check[1:] != check[:-1]))
+    # ends run on from one text to the next when every text has a range of its own
+    base = (np.cumsum(new) - 1) * (int(end.max()) + 2)
+    reach = np.maximum.accumulate(end + base)
+    at = np.flatnonzero(np.append(True, (start + base)[1:] > reach[:-1]))
+    last = np.append(at[1:], len(doc)) - 1
+    return doc[at], check[at], start[at], reach[last] - base[last]
+
+
 def merge(spans: np.ndarray) -> np.ndarray:
     """Spans ``[start, end)`` as disjoint, not touching, sorted spans."""
     if not len(spans):
@@ -533,64 +568,56 @@ def merge(spans: np.ndarray) -> np.ndarray:
 _MARKS = pa.schema([("doc_id", pa.int64()), ("marks", pa.binary())])
 
 
-def _mark_rows(rows: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
-    """One row per (document, checksum): its merged spans."""
-    by: dict[tuple[int, int], list[np.ndarray]] = {}
-    for d, check, spans in rows:
-        by.setdefault((d, check), []).append(spans)
-    ids, blobs = [], []
-    for (d, check), spans in by.items():
-        m = merge(np.concatenate(spans))
-        out = np.empty(len(m), _MARK)
-        out["check"], out["start"], out["end"] = check, m[:, 0], m[:, 1]
-        ids.append(d)
-        blobs.append(out.tobytes())
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blobs, pa.binary())],
-                                      schema=_MARKS)
+def _mark_rows(*marks: np.ndarray) -> pa.RecordBatch:
+    """One row per (document, checksum): its merged spans (columns doc, check, start, end)."""
+    doc, check, start, end = merge_marks(*marks)
+    out = np.empty(len(doc), _MARK)
+    out["check"], out["start"], out["end"] = check, start, end
+    at = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (check[1:] != check[:-1]))[:len(doc)])
+    cuts = np.append(at, len(doc)).tolist()
+    return pa.RecordBatch.from_arrays([
+        pa.array(doc[at], pa.int64()),
+        pa.array([out[lo:hi].tobytes() for lo, hi in zip(cuts, cuts[1:], strict=False)],
+                 pa.binary())], schema=_MARKS)
 
 
 _FOUND_DDL = "route long, giant int, packed binary"
 _FOUND = pa.schema([("route", pa.int64()), ("giant", pa.int32()), ("packed", pa.binary())])
 
 
-def _found_marks(rows: list[tuple[int, int, np.ndarray]], bins: int) -> pa.RecordBatch:
+def _found_marks(marks: tuple[np.ndarray, ...], bins: int) -> pa.RecordBatch:
     """Merged spans, packed by range of documents."""
-    by: dict[tuple[int, int], list[np.ndarray]] = {}
-    for d, check, spans in rows:
-        by.setdefault((d, check), []).append(spans)
-    merged = [merge(np.concatenate(spans)) for spans in by.values()]
-    times = [len(m) for m in merged]
-    spans = np.concatenate([np.zeros((0, 2), np.int64), *merged])
-    doc = np.repeat(np.array([d for d, _ in by], np.int64), times)
-    check = np.repeat(np.array([c for _, c in by], np.uint32), times)
+    doc, check, start, end = merge_marks(*marks)
     b = _bin(_spread(doc), bins)
     order = np.argsort(b, kind="stable")
     b = b[order]
     cut = np.flatnonzero(np.append(True, b[1:] != b[:-1])[:len(b)])
-    blobs = [_pack(doc[o], check[o], spans[o, 0], spans[o, 1])
+    blobs = [_pack(doc[o], check[o].astype(np.uint32), start[o], end[o])
              for o in np.split(order, cut[1:])] if len(cut) else []
     return pa.RecordBatch.from_arrays([
         pa.array(b[cut].astype(np.int64)), pa.array(np.zeros(len(blobs), np.int32)),
         pa.array(blobs, pa.binary())], schema=_FOUND)
 
 
+def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    if not parts:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def _string_marks(strings: np.ndarray, doc: np.ndarray, check: np.ndarray, place: np.ndarray
-                  ) -> tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]:
+                  ) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
     """Of equal strings (rows of ``strings``): which are of the smallest document; marks of the rest."""
     v = np.ascontiguousarray(strings).view(f"V{LENGTH}").reshape(-1)
     order = np.argsort(v, kind="stable")
     v = v[order]
     at = np.flatnonzero(np.append(True, v[1:] != v[:-1])[:len(v)])
+    rank = _rank(doc)
     least = np.empty(len(v), np.int64)
-    least[order] = np.repeat(np.minimum.reduceat(doc[order], at),
+    least[order] = np.repeat(np.minimum.reduceat(rank[order], at),
                              np.diff(np.append(at, len(v)))) if len(at) else 0
-    hit = np.flatnonzero(doc > least)
-    hit = hit[np.lexsort((place[hit], check[hit], doc[hit]))]
-    new = np.append(True, (doc[hit][1:] != doc[hit][:-1]) | (check[hit][1:] != check[hit][:-1]))
-    at = np.flatnonzero(new[:len(hit)])
-    marks = [(int(doc[x[0]]), int(check[x[0]]), np.column_stack([place[x], place[x] + LENGTH]))
-             for x in np.split(hit, at[1:])] if len(at) else []
-    return doc == least, marks
+    hit = rank > least
+    return ~hit, (doc[hit], check[hit], place[hit], place[hit] + LENGTH)
 
 
 def _found_strings(t: pa.Table, bins: int) -> Iterator[pa.RecordBatch]:
@@ -637,35 +664,51 @@ def _found_strings(t: pa.Table, bins: int) -> Iterator[pa.RecordBatch]:
             pa.array(blobs, pa.binary())], schema=_FOUND)
 
 
-def compare(parts: list[dict]) -> list[tuple[int, int, np.ndarray]]:
-    """``(doc_id, check, spans)`` to mark among whole keys of fragments."""
-    rows = []
+def compare(parts: list[dict]) -> tuple[np.ndarray, ...]:
+    """Marks (columns doc, check, start, end) among whole keys of fragments."""
     distinct: dict[bytes, list[tuple[int, int, bytes]]] = {}
     kinds: dict[int, int] = {}                  # different fragments of a key
     keys: dict[bytes, int] = {}
     for p in parts:
         for key, part, d, check, places in zip(p["key"], p["bytes"], p["doc_id"], p["check"],
                                                p["places"], strict=True):
-            if part not in distinct:
+            held = distinct.get(part)
+            if held is None:
                 kinds[key] = kinds.get(key, 0) + 1
                 keys[part] = key
-            distinct.setdefault(part, []).append((d, check, places))
-    frags, docs, owners = [], [], []
-    for part, where in distinct.items():
-        least = min(w[0] for w in where)
-        for d, check, places in where:
-            if d > least:                       # all its strings stand in a smaller document
-                at = np.frombuffer(places, "<i8")
-                rows.append((d, check, np.column_stack([at, at + len(part)])))
+                distinct[part] = [(d, check, places)]
+            else:
+                held.append((d, check, places))
+    # marks as (document, checksum, places as bytes, first and last byte from a place on)
+    docs, checks, where, lows, highs = [], [], [], [], []
+    frags, least_of, owners = [], [], []
+    for part, held in distinct.items():
+        alone = len(held) == 1
+        least = _rank_of(held[0][0]) if alone else min(_rank_of(w[0]) for w in held)
+        if not alone:
+            for d, check, places in held:
+                if _rank_of(d) > least:         # all its strings stand in a smaller document
+                    docs.append(d)
+                    checks.append(check)
+                    where.append(places)
+                    lows.append(0)
+                    highs.append(len(part))
         if kinds[keys[part]] > 1:               # else its strings stand nowhere else
             frags.append(part)
-            docs.append(least)
-            owners.append([w for w in where if w[0] == least])
-    for f, lo, hi in runs(*repeated_places(frags, np.array(docs, np.int64))) if frags else ():
+            least_of.append(least)
+            owners.append(held if alone else [w for w in held if _rank_of(w[0]) == least])
+    for f, lo, hi in runs(*repeated_places(frags, np.array(least_of, np.int64))) if frags else ():
         for d, check, places in owners[f]:
-            at = np.frombuffer(places, "<i8")
-            rows.append((d, check, np.column_stack([at + lo, at + hi + LENGTH])))
-    return rows
+            docs.append(d)
+            checks.append(check)
+            where.append(places)
+            lows.append(lo)
+            highs.append(hi + LENGTH)
+    times = np.array([len(w) // 8 for w in where], np.int64)
+    at = np.frombuffer(b"".join(where), "<i8")
+    return (np.repeat(np.array(docs, np.int64), times), np.repeat(np.array(checks, np.int64), times),
+            at + np.repeat(np.array(lows, np.int64), times),
+            at + np.repeat(np.array(highs, np.int64), times))
 
 
 def _suffix_kernel(limit: int, bins: int):
@@ -686,13 +729,16 @@ def _suffix_kernel(limit: int, bins: int):
 
         def passed() -> Iterator[pa.RecordBatch]:
             while done:
-                t = done.pop().to_pydict()
-                yield _found_marks([
-                    (d, c, np.frombuffer(p, "<i8").reshape(-1, 2))
-                    for d, c, p in zip(t["doc_id"], t["check"], t["places"], strict=True)], bins)
+                t = done.pop()
+                places = t.column("places")
+                times = pc.binary_length(places).to_numpy() // 16
+                spans = np.frombuffer(b"".join(places.to_pylist()), "<i8").reshape(-1, 2)
+                yield _found_marks((np.repeat(t.column("doc_id").to_numpy(), times),
+                                    np.repeat(t.column("check").to_numpy(), times),
+                                    spans[:, 0], spans[:, 1]), bins)
 
         held: list[dict] = []
-        marks: list[tuple[int, int, np.ndarray]] = []
+        marks: list[tuple[np.ndarray, ...]] = []
         size = 0
         for giant, t in _groups(open_ones(), "key", limit):
             if giant:
@@ -702,13 +748,13 @@ def _suffix_kernel(limit: int, bins: int):
                 held.append(rows)
                 size += sum(map(len, rows["bytes"]))
             if size >= SORT_BYTES:
-                marks += compare(held)
+                marks.append(compare(held))
                 held, size = [], 0
-            if len(marks) >= MARKS:
-                yield _found_marks(marks, bins)
+            if sum(len(m[0]) for m in marks) >= MARKS:
+                yield _found_marks(_joined(marks), bins)
                 marks = []
             yield from passed()
-        yield _found_marks(marks + compare(held), bins)
+        yield _found_marks(_joined([*marks, compare(held)]), bins)
         yield from passed()
     return run
 
@@ -722,12 +768,8 @@ def _string_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         doc, check, *rest = (np.concatenate(x) for x in zip(*map(_unpack, held), strict=True))
         doc, check, first = doc.view(np.int64), check.astype(np.int64), rest[0].view(np.int64)
         if giant:
-            return _mark_rows(_string_marks(rest[1].reshape(-1, LENGTH), doc, check, first)[1])
-        spans = np.column_stack([first, rest[1].view(np.int64)])
-        order = np.lexsort((check, doc))
-        cut = np.flatnonzero((np.diff(doc[order]) != 0) | (np.diff(check[order]) != 0)) + 1
-        return _mark_rows([(int(doc[o[0]]), int(check[o[0]]), spans[o])
-                           for o in np.split(order, cut)])
+            return _mark_rows(*_string_marks(rest[1].reshape(-1, LENGTH), doc, check, first)[1])
+        return _mark_rows(doc, check, first, rest[1].view(np.int64))
 
     held: list[bytes] = []
     now = None
@@ -768,18 +810,35 @@ def _removal_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                for c, v in out.items()}})
 
 
+def _dealt(df: DataFrame, column: str, bins: int) -> DataFrame:
+    """Rows of one bin in one task, and one bin in each task.
+
+    ``repartition`` deals by a hash, which would put four bins into some tasks
+    and none into others.  For each task the least number that the hash sends
+    there is looked up; a bin goes under that number.
+    """
+    spark = df.sparkSession
+    place = F.pmod(F.hash(F.col("id").cast("int")), F.lit(bins)).cast("int")
+    least = {r["place"]: r["id"] for r in spark.range(24 * bins).groupBy(place.alias("place"))
+             .agg(F.min("id").alias("id")).collect()}
+    routes = F.array(*[F.lit(least.get(i, i)).cast("int") for i in range(bins)])
+    return df.withColumn("dealt", F.get(routes, F.pmod(F.col(column), F.lit(bins)).cast("int"))) \
+             .repartition(bins, "dealt").drop("dealt")
+
+
 def repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every document."""
-    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
+    anonymous = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text_of()), 24)
+    d = docs.select(F.coalesce(F.col("doc_id").cast("long"), anonymous).alias("doc_id"),
                     text_of().alias("text"))
     bins = shuffle_partitions(docs.sparkSession)
-    keys = (d.mapInArrow(_key_kernel(bins), "bin int, proved int, pairs binary")
-             .repartition("bin").sortWithinPartitions("proved", "bin")
+    keys = (_dealt(d.mapInArrow(_key_kernel(bins), "bin int, proved int, pairs binary"), "bin", bins)
+             .sortWithinPartitions("proved", "bin")
              .mapInArrow(_answer_kernel, "doc_id long, key long")
              .groupBy("doc_id").agg(F.collect_set("key").alias("keys")))
-    found = (d.join(keys, "doc_id")
-              .mapInArrow(_fragment_kernel(bins), "bin int, marked int, rows binary")
-              .repartition("bin").mapInArrow(_unfold_kernel, _FRAGMENT_DDL)
+    fragments_found = d.join(keys, "doc_id").mapInArrow(_fragment_kernel(bins),
+                                                        "bin int, marked int, rows binary")
+    found = (_dealt(fragments_found, "bin", bins).mapInArrow(_unfold_kernel, _FRAGMENT_DDL)
               .sortWithinPartitions("marked", "key")
               .mapInArrow(_suffix_kernel(group_bytes, bins), _FOUND_DDL))
     marks = (found.repartition("route").sortWithinPartitions("giant", "route")
@@ -788,4 +847,4 @@ def repeats(docs: DataFrame, group_bytes: int = GROUP_BYTES) -> DataFrame:
     return (d.join(marks, "doc_id", "left")
              .mapInArrow(_removal_kernel, "doc_id long, n_bytes long, n_removed long, "
                                           "n_spans long, kept_sha256 string")
-             .withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id"))))
+             .withColumn("doc_id", F.when(F.col("doc_id") >= NO_ID + ANON, F.col("doc_id"))))

@@ -646,3 +646,29 @@ def test_every_operator_is_registered():
     assert {"pipeline"} | {q for q in names if q.startswith("op")} >= {"pipeline"}
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in names if re.match(r"op\d+_", q)} == \
         set(range(1, 11))
+
+
+def test_suffix_dedup_rows_without_ids_do_not_share_keys(spark):
+    """Rows without an id are one document, below all others, but join each by itself."""
+    rows = [(None, PASSAGE + "first"), (None, PASSAGE + "second"), (5, "x " + PASSAGE), (6, PASSAGE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = collections.Counter((r["doc_id"], r["n_removed"]) for r in suffix_dedup.repeats(df).collect())
+    n = len(PASSAGE)
+    assert got == collections.Counter([(None, 0), (None, 0), (5, n), (6, n)])
+
+
+def test_merge_marks_equals_merge_text_by_text():
+    rng = np.random.default_rng(2)
+    doc, check = rng.integers(0, 4, 200), rng.integers(0, 2, 200)
+    start = rng.integers(0, 100, 200)
+    end = start + rng.integers(1, 9, 200)
+    d, c, s, e = suffix_dedup.merge_marks(doc, check, start, end)
+    got = [tuple(map(int, x)) for x in zip(d, c, s, e)]
+    want = []
+    for key in sorted(set(zip(doc.tolist(), check.tolist()))):
+        on = (doc == key[0]) & (check == key[1])
+        want += [(*key, *map(int, x)) for x in
+                 suffix_dedup.merge(np.column_stack([start[on], end[on]]))]
+    assert got == want
+    none = np.zeros(0, np.int64)
+    assert len(suffix_dedup.merge_marks(none, none, none, none)[0]) == 0
