@@ -145,11 +145,14 @@ def classes(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def dedup(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The rows that stay, with all their columns; of repeated rows one."""
     norm = normalised(text_of())
-    mine = docs.withColumns({
-        "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
-        "__sha": F.sha2(norm.cast("binary"), 256)})
+    low = F.lit(-(1 << 63))
+    # the columns of docs travel in one, so that none can clash with the key
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+                       F.coalesce(F.col("doc_id").cast("long"), low).alias("__id"),
+                       F.sha2(norm.cast("binary"), 256).alias("__sha"))
     kept = (classes(docs, capacity).where("kept")
-            .select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__id"),
+            .select(F.coalesce("doc_id", low).alias("__id"),
                     F.col("text_sha256").alias("__sha")).distinct())
     return (mine.join(kept, ["__id", "__sha"], "left_semi")
-                .dropDuplicates(["__id", "__sha"]).select(*docs.columns))
+                .dropDuplicates(["__id", "__sha"])
+                .select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))

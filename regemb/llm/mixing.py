@@ -4,7 +4,8 @@
   on in turn and share all words.  A target stops at ``MOST`` times the
   source's own size; what is over is shared again by weight until no target is
   above.  That is a water level, found in closed form.
-* **Blocks.**  The mix is made of blocks of ``BLOCK`` words.  Sources get whole
+* **Blocks.**  The mix is made of blocks of ``BLOCK`` words, or of fewer where a
+  source's target is under ``FINE`` such blocks.  Sources get whole
   numbers of blocks by highest quotients (target / 1, 3, 5, ..), and each
   source's blocks go to its shards the same way.  The award is computed from
   the quotient at which the last block falls, not block by block.
@@ -20,7 +21,8 @@ stream.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``; null text has none.  Documents
 without words are taken zero times.  Null sources form one source, the last.
-Repeated rows are separate documents.  The same table and seed give the same
+Repeated rows are separate documents; rows of one id and size are told apart
+by their text.  The same table and seed give the same
 mix in any layout.  An empty table gives an empty mix.  Extra columns are
 carried by :func:`mix`, whatever their names.
 """
@@ -39,6 +41,7 @@ from regemb.llm.base import stored, text_of
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST = 3
 BLOCK = 16
+FINE = 64                # blocks that the smallest target has at least, if it has the words
 SHARD_DOCS = 1_000
 MAX_SHARDS = 65_536
 SEED = 20240229
@@ -99,16 +102,19 @@ def _plan_sources(pdf: pd.DataFrame) -> pd.DataFrame:
     sizes = pdf["source_size"].to_numpy(np.int64)
     weights = np.array([WEIGHTS[i % len(WEIGHTS)] for i in range(len(pdf))])
     target = targets(sizes, weights)
-    quota = sainte_lague(target, round(int(sizes.sum()) / BLOCK), MOST * -(-sizes // BLOCK))
+    # one size of block for all sources, a word at least
+    least = target[target > 0].min() if (target > 0).any() else 1.0
+    block = int(np.clip(least // FINE, 1, BLOCK))
+    quota = sainte_lague(target, round(int(sizes.sum()) / block), MOST * -(-sizes // block))
     shards = np.clip(-(-pdf["docs"].to_numpy(np.int64) // SHARD_DOCS), 1, MAX_SHARDS)
     return pd.DataFrame({"__source": pdf["__source"], "source_size": sizes, "target": target,
-                         "quota": quota, "shards": shards})
+                         "quota": quota, "shards": shards, "block": block})
 
 
 def _plan_shards(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("shard").reset_index(drop=True)
     sizes = pdf["shard_size"].to_numpy(np.int64)
-    blocks = -(-sizes // BLOCK)
+    blocks = -(-sizes // int(pdf["block"].iloc[0]))
     quota = sainte_lague(sizes, int(pdf["quota"].iloc[0]), MOST * blocks)
     safe = np.maximum(blocks, 1)
     return pd.DataFrame({
@@ -121,7 +127,7 @@ def _in_shard(rows: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     """Rows with their source's plan and their shard."""
     s = sources.withColumnRenamed("__source", "__planned")
     return (rows.join(s, rows["__source"].eqNullSafe(s["__planned"])).drop("__planned")
-            .withColumn("__draw", F.xxhash64("doc_id", "__size", F.lit(seed)))
+            .withColumn("__draw", F.xxhash64("doc_id", "__size", "__content", F.lit(seed)))
             .withColumn("shard", F.pmod(F.xxhash64("__draw", F.lit(seed)), F.col("shards"))))
 
 
@@ -132,15 +138,15 @@ def _spans(rows: DataFrame, lean: DataFrame, seed: int) -> DataFrame:
     sources = stored(
         totals.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(
             _plan_sources, "__source string, source_size long, target double, quota long, "
-                           "shards long"), "mix-sources")
-    sizes = (_in_shard(lean, sources, seed).groupBy("__source", "quota", "shard")
+                           "shards long, block long"), "mix-sources")
+    sizes = (_in_shard(lean, sources, seed).groupBy("__source", "quota", "block", "shard")
              .agg(F.sum("__size").alias("shard_size"))
              .withColumn("draw", F.abs(F.xxhash64("__source", "shard", F.lit(seed)) % (1 << 40))))
     shards = stored(
         sizes.groupBy("__source").applyInPandas(
             _plan_shards, "__source string, shard long, shard_size long, blocks long, each long, "
                           "once_more long, run_start long"), "mix-shards")
-    stream = (Window.partitionBy("__source", "shard").orderBy("__draw", "doc_id")
+    stream = (Window.partitionBy("__source", "shard").orderBy("__draw", "doc_id", "__content")
               .rowsBetween(Window.unboundedPreceding, 0))
     placed = (_in_shard(rows, sources, seed)
               .withColumn("__end", F.sum("__size").over(stream))
@@ -162,8 +168,9 @@ def _spans(rows: DataFrame, lean: DataFrame, seed: int) -> DataFrame:
                      F.col("each").alias("times"))
     parts = F.array(
         whole,
-        overlap(F.col("run_start") * BLOCK, F.least(run_end * BLOCK, F.col("shard_size"))),
-        overlap(zero, F.greatest(zero, (run_end - F.col("blocks")) * BLOCK)))
+        overlap(F.col("run_start") * F.col("block"),
+                F.least(run_end * F.col("block"), F.col("shard_size"))),
+        overlap(zero, F.greatest(zero, (run_end - F.col("blocks")) * F.col("block"))))
     return planned.withColumn(
         "spans", F.filter(parts, lambda s: (s["words"] > 0) & (s["times"] > 0)).cast(SPANS))
 
@@ -177,7 +184,8 @@ def plan(docs: DataFrame, seed: int = SEED) -> DataFrame:
     """``doc_id, source, size, source_size, target, spans`` of every document."""
     lean = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                               F.col("source").cast("string").alias("__source"),
-                              F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("__size")),
+                              F.regexp_count(text_of(), F.lit(WORD)).cast("long").alias("__size"),
+                              F.xxhash64(text_of()).alias("__content")),
                   "mix-sizes")
     return _spans(lean, lean, seed).select(
         "doc_id", F.col("__source").alias("source"), F.col("__size").alias("size"),
@@ -193,8 +201,9 @@ def mix(docs: DataFrame, seed: int = SEED) -> DataFrame:
     size = F.regexp_count(text_of(), F.lit(WORD)).cast("long")
     packed = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                          F.col("source").cast("string").alias("__source"), size.alias("__size"),
+                         F.xxhash64(text_of()).alias("__content"),
                          F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    lean = stored(packed.select("doc_id", "__source", "__size"), "mix-sizes")
+    lean = stored(packed.select("doc_id", "__source", "__size", "__content"), "mix-sizes")
     times = F.flatten(F.transform("spans", lambda s: F.array_repeat(s, s["times"].cast("int"))))
     rows = _spans(packed, lean, seed).select("__row", "__size", F.explode(times).alias("__span"))
     words = F.filter(F.split(F.col("__row.text"), r"[\x20\x09-\x0D]+"), lambda w: w != "")

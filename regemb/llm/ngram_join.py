@@ -41,10 +41,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from regemb.llm.base import id_and_text, stored
+from regemb.llm.base import id_and_text, stored, text_of
 from regemb.llm.shingles import SIZE, MinHasher, shingle_sets
 from regemb.operators.graph import connected_components
 
@@ -103,7 +103,8 @@ def _sets_kernel(batches: Iterator[pa.RecordBatch], with_sets: bool) -> Iterator
             else:
                 sig = hasher.signatures(sets)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": part.column("doc_id"), "node": pa.array(node),
+                    "doc_id": part.column("doc_id"), "sha": part.column("sha"),
+                    "node": pa.array(node),
                     "n": pa.array([len(v) for v in sets], pa.int64()),
                     "sig": pa.array([r.tobytes() for r in sig], pa.binary())})
 
@@ -246,9 +247,19 @@ def _verify_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def classes(docs: DataFrame) -> DataFrame:
     """``doc_id, class_id, n_links``: one row per document."""
+    members, by_node = _joined(docs)
+    return members.join(by_node, "node").select("doc_id", "class_id", "n_links")
+
+
+def _text_sha() -> Column:
+    return F.unhex(F.sha2(F.col("text").cast("binary"), 256))
+
+
+def _joined(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(members, nodes)``: the node of every row, and the component, class and links of nodes."""
     texts = id_and_text(docs)
-    members = stored(texts.mapInArrow(_signatures, "doc_id long, node long, n long, sig binary"),
-                     "ngram-members")
+    members = stored(texts.withColumn("sha", _text_sha()).mapInArrow(
+        _signatures, "doc_id long, sha binary, node long, n long, sig binary"), "ngram-members")
     nodes = stored(members.groupBy("node").agg(
         F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("first_id"),
         F.max("n").alias("n"), F.max("sig").alias("sig")), "ngram-nodes")
@@ -294,22 +305,27 @@ def classes(docs: DataFrame) -> DataFrame:
              .withColumn("component", F.coalesce("component", "node")))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("class_id"))
     by_node = stored(named.join(smallest, "component").select(
-        "node", "class_id",
+        "node", "component", "class_id",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "ngram-classes")
-    return members.select("doc_id", "node").join(by_node, "node") \
-                  .select("doc_id", "class_id", "n_links")
+    return members.select("doc_id", "sha", "node"), by_node
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One document of each class stays, the one that names it, with all its columns.
+    """One row of each class stays, with all its columns.
 
-    An id stays if one of its rows names a class; rows without an id stay only
-    if their class has no id.
+    The row with the smallest id stays (null ids last), then the one whose
+    text has the smallest SHA-256; of rows equal in both, one.
     """
-    low = F.lit(-(1 << 63))
-    found = classes(docs).select(F.coalesce("doc_id", low).alias("__id"),
-                                 F.coalesce("class_id", low).alias("__class"))
-    gone = (found.groupBy("__id").agg(F.max(F.col("__id") == F.col("__class")).alias("stays"))
-            .where(~F.col("stays")).select("__id"))
-    return (docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), low))
-                .join(gone, "__id", "left_anti").select(*docs.columns))
+    members, by_node = _joined(docs)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sha")
+    kept = (members.join(by_node.select("node", "component"), "node")
+            .groupBy("component").agg(F.min(order).alias("first"))
+            .select(F.col("first.doc_id").alias("__kept_id"), F.col("first.sha").alias("__kept_sha")))
+    # the columns of docs travel in one, so that none can clash with the key
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
+                       F.col("doc_id").cast("long").alias("__id"),
+                       text_of().alias("text")).withColumn("__sha", _text_sha()).drop("text")
+    return (rows.join(kept, F.col("__id").eqNullSafe(F.col("__kept_id"))
+                      & (F.col("__sha") == F.col("__kept_sha")), "left_semi")
+                .dropDuplicates(["__id", "__sha"])
+                .select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns]))

@@ -41,7 +41,7 @@ SKIP = 12
 PIECE = 12
 NEAR = 0.8
 BUCKET_ROWS = 500       # neighbours by id that one window partition holds, about
-MAX_BUCKETS = 4096
+MAX_BUCKETS = 1 << 16  # beyond 32 million rows a bucket has more of them
 
 # Common words of four languages.
 COMMON = {
@@ -209,7 +209,14 @@ def with_next(docs: DataFrame, carry: str = "text") -> DataFrame:
                                 lambda c: c < F.col("__id")))
         rows = rows.withColumn("__bucket", F.when(outer == 0, F.lit(0)).otherwise(start + inner))
     else:
-        rows = rows.withColumn("__bucket", F.lit(0))
+        # one bucket: its largest row also goes in front, nothing to join
+        top = ids.agg(F.max("__id")).first()[0]
+        own = F.struct(F.lit(0).alias("b"), F.lit(1).alias("own"))
+        front = F.struct(F.lit(0).alias("b"), F.lit(0).alias("own"))
+        put = F.when(F.col("__id") == F.lit(top), F.array(own, front)).otherwise(F.array(own))
+        return (rows.withColumn("__put", F.explode(put))
+                    .withColumns({"__bucket": F.col("__put.b"), "__own": F.col("__put.own")})
+                    .drop("__put").repartition("__bucket"))
     # at most MAX_BUCKETS rows of 24 bytes: the bound makes the broadcast safe
     edges = rows.groupBy("__bucket").agg(F.max("__id").alias("__top"))
     edges = stored(edges, "spots-edges")

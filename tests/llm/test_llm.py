@@ -69,7 +69,8 @@ def shingle_set(text):
     return frozenset([tuple(w)]) if w else frozenset()
 
 
-def brute_links(rows):
+def brute_classes(rows):
+    """``(class of each row, links of each row)``."""
     sets = [shingle_set(t) for _, t in rows]
     root = list(range(len(rows)))
     links = [0] * len(rows)
@@ -86,11 +87,16 @@ def brute_links(rows):
                 links[a] += 1
                 links[b] += 1
                 root[max(find(a), find(b))] = min(find(a), find(b))
+    return [find(i) for i in range(len(rows))], links
+
+
+def brute_links(rows):
+    of, links = brute_classes(rows)
     names = collections.defaultdict(list)
     for i, (d, _) in enumerate(rows):
-        names[find(i)].append(d)
+        names[of[i]].append(d)
     name = {k: min((d for d in v if d is not None), default=None) for k, v in names.items()}
-    return multiset((rows[i][0], name[find(i)], links[i]) for i in range(len(rows)))
+    return multiset((rows[i][0], name[of[i]], links[i]) for i in range(len(rows)))
 
 
 def test_ngram_join_odd_rows(odd):
@@ -128,6 +134,22 @@ def test_ngram_dedup_keeps_columns(odd):
     assert 1 in ids and 2 not in ids and 9 not in ids and 8 in ids
 
 
+def test_ngram_dedup_decides_by_row(spark):
+    """Null ids, shared ids and a user's own __id do not keep copies."""
+    words = " ".join(f"w{i}" for i in range(40))
+    other = " ".join(f"v{i}" for i in range(40))
+    rows = [(None, words, 77), (None, words, 78), (3, other, 79), (3, other + " more", 80),
+            (3, "quite another text of some words", 81), (None, other, 82)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id int")
+    got = sorted((r["doc_id"] or 0, r["text"], r["__id"]) for r in ngram_join.dedup(df).collect())
+    assert [(d, t[:2]) for d, t, _ in got] == [(0, "w0"), (3, "qu"), (3, "v0")]
+    assert {x for _, _, x in got} <= {77, 78, 79, 80, 81}
+    kept = exact_dedup.dedup(df.withColumn("__sha", F.lit("mine")))
+    assert kept.columns == ["doc_id", "text", "__id", "__sha"]
+    assert {r["__sha"] for r in kept.collect()} == {"mine"}
+    assert sorted(r["__id"] for r in kept.where("doc_id = 3").collect()) == [79, 80, 81]
+
+
 def test_pruning_limits_follow_the_posterior():
     from math import comb
     for n, m in ngram_join.fewest_matches(0.8, 1e-4, 80, 16):
@@ -323,7 +345,7 @@ def check_mix(docs):
     by = by.loc[keys]
     weights = np.array([mixing.WEIGHTS[i % 3] for i in range(len(by))])
     assert np.allclose(by.target, brute_targets(by["size"].to_numpy(float), weights))
-    assert (abs(by.taken - by.target) <= np.maximum(0.02 * by.target, 2 * mixing.BLOCK)).all()
+    assert (abs(by.taken - by.target) <= np.maximum(0.03 * by.target, 1.0)).all()
     again = mixing.plan(docs.repartition(5)).withColumn(
         "taken", mixing.taken_words(F.col("spans"))).toPandas()
     assert multiset(zip(plan.doc_id.fillna(-1), plan.taken, strict=True)) == \
@@ -331,6 +353,25 @@ def check_mix(docs):
     return plan
 
 
+def test_mixing_small_sources(spark):
+    """A table of a few words has a mix, and every small source comes near its target."""
+    two = spark.createDataFrame([(1, "one two", "a"), (2, "three four", "b")],
+                                "doc_id long, text string, source string")
+    assert check_mix(two).taken.sum() == 4
+    many = spark.createDataFrame([(i, "w " * (1 + i % 7), f"s{i:02d}") for i in range(40)],
+                                 "doc_id long, text string, source string")
+    check_mix(many)
+
+
+def test_mixing_ties_by_text(spark):
+    """Rows of one id and size but other texts are streamed in one order."""
+    rows = [(1, f"{a} x y z", "a") for a in "abcdefghij"] + [(2, "p q", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    def mixed(d):
+        return multiset(r["text"] for r in mixing.mix(d).collect())
+    assert mixed(df.repartition(1)) == mixed(df.repartition(7)) == mixed(df.orderBy(F.desc("text")))
+
+
 def test_mixing_odd_rows(odd):
     check_mix(odd)
 
@@ -615,22 +656,76 @@ def test_two_stage_order(letters):
 # --- pipeline --------------------------------------------------------------------
 
 
+def rows_of(df):
+    return [tuple(r) for r in df.select("doc_id", "text", "source").collect()]
+
+
 def test_pipeline_stages(spark):
+    """Every stage against plain Python on its own input."""
     import corpus_pipeline as P
     assert [n for n, _ in P.STAGES] == ["toxicity", "exact_dedup", "ngram_jaccard", "mixing",
                                         "packing"]
-    docs = table(spark, SF_SMALL, "documents")
-    columns = docs.columns
     from regemb.llm.base import stored
-    before = {r["doc_id"] for r in docs.collect()}
+    docs = table(spark, SF_SMALL, "documents")
+    columns, inputs, outputs = docs.columns, {}, {}
     for name, stage in P.STAGES:
+        inputs[name] = docs
         docs = stored(stage(spark, docs, SF_SMALL), f"test-{name}")
+        outputs[name] = docs
         if name != "packing":
             assert docs.columns == columns
-        now = {r["doc_id"] for r in docs.collect()}
-        assert now <= before
-        before = now
-    assert len(before) > 100
+
+    lexicon = toxicity.fit(inputs["toxicity"], table(spark, SF_SMALL, "labels"))
+    b0, *b = lexicon.coefficients
+    automaton = lexicon.automaton()
+
+    def rejected(text):
+        f = toxicity.features(toxicity.folded_words(text or ""), automaton)
+        z = b0 + sum(u * v for u, v in zip(b, f, strict=True))
+        return 1 / (1 + np.exp(-z)) >= toxicity.THRESHOLD
+    rows = rows_of(inputs["toxicity"])
+    assert multiset(rows_of(outputs["toxicity"])) == multiset(r for r in rows if not rejected(r[1]))
+
+    best = {}
+    for r in rows_of(inputs["exact_dedup"]):
+        norm = re.sub(r"[\x20\x09-\x0d]", "", r[1] or "")
+        rank = (-len(r[1] or ""), r[0])
+        if norm not in best or rank < best[norm][0]:
+            best[norm] = rank, r
+    assert multiset(rows_of(outputs["exact_dedup"])) == multiset(r for _, r in best.values())
+
+    rows = rows_of(inputs["ngram_jaccard"])
+    of, _ = brute_classes([(r[0], r[1] or "") for r in rows])
+    first = {}
+    for c, r in zip(of, rows, strict=True):
+        if c not in first or r[0] < first[c][0]:
+            first[c] = r
+    assert multiset(rows_of(outputs["ngram_jaccard"])) == multiset(first.values())
+
+    check_mix(inputs["mixing"])
+    texts = {r[0]: re.findall(r"[^\x20\x09-\x0d]+", r[1] or "") for r in rows_of(inputs["mixing"])}
+    for d, t, _ in rows_of(outputs["mixing"]):
+        words, part = texts[d], re.findall(r"[^\x20\x09-\x0d]+", t)
+        assert part and any(words[i:i + len(part)] == part
+                            for i in range(len(words) - len(part) + 1))
+
+    fast = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"),
+                           public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    want = collections.Counter()
+    for d, t, _ in rows_of(inputs["packing"]):
+        want[d] += len(fast.encode(t or ""))
+    packed = outputs["packing"].collect()
+    got, ends = collections.Counter(), collections.defaultdict(list)
+    for r in packed:
+        got[r["doc_id"]] += r["length"]
+        ends[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert got == want
+    for pieces in ends.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= packing.WINDOW
 
 
 def test_pipeline_empty(spark, tmp_path):
@@ -643,9 +738,9 @@ def test_pipeline_empty(spark, tmp_path):
 def test_every_operator_is_registered():
     import __spark_entry__ as E
     names = set(E.queries())
-    assert {"pipeline"} | {q for q in names if q.startswith("op")} >= {"pipeline"}
+    assert "pipeline" in names
     assert {int(re.match(r"op(\d+)_", q)[1]) for q in names if re.match(r"op\d+_", q)} == \
-        set(range(1, 11))
+        set(range(1, 14))
 
 
 def test_suffix_dedup_rows_without_ids_do_not_share_keys(spark):
