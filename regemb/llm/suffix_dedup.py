@@ -466,18 +466,26 @@ def _fragment_kernel(bins: int):
             offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy()
             raw = _texts(b)
             checks = [zlib.crc32(r) for r in raw]
+            id_list = ids.tolist()
             found: dict[tuple[int, bytes], list[tuple[int, int, int]]] = {}
             for group in slices(list(enumerate(raw))):
                 key, piece, first, last = fragments([p for _, _, p in group])
                 key = key.view(np.int64)
-                for g, (row, offset, part) in enumerate(group):
-                    lo, hi = np.searchsorted(piece, [g, g + 1])
-                    wanted = values[offsets[row]:offsets[row + 1]]
-                    use = lo + np.flatnonzero(np.isin(key[lo:hi], wanted))
-                    for k, s, e in zip(key[use].tolist(), first[use].tolist(), last[use].tolist(),
-                                       strict=True):
-                        found.setdefault((k, part[s:e + LENGTH]), []).append(
-                            (int(ids[row]), row, offset + s))
+                # which fragments' keys their row asked for: (row, key) by one number,
+                # and a chance match only means one more fragment to compare
+                rows = np.array([row for row, _, _ in group])
+                asked = np.unique(rows)
+                wanted = np.concatenate([values[offsets[r]:offsets[r + 1]] ^ _salt(r) for r in asked])
+                use = np.flatnonzero(np.isin(key ^ _salt(rows[piece]), wanted))
+                for k, g, s, e in zip(key[use].tolist(), piece[use].tolist(), first[use].tolist(),
+                                      last[use].tolist(), strict=True):
+                    row, offset, part = group[g]
+                    where = (id_list[row], row, offset + s)
+                    held = found.get((k, part[s:e + LENGTH]))
+                    if held is None:
+                        found[k, part[s:e + LENGTH]] = [where]
+                    else:
+                        held.append(where)
                 if len(found) >= FRAGMENTS:
                     yield packed(found, ids, checks)
                     found = {}
@@ -529,6 +537,10 @@ def _unfold_kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 binary(n_places, places), binary(n_bytes, data)], schema=_FRAGMENT)
 
 
+def _salt(rows) -> np.ndarray:
+    return mix(np.asarray(rows, np.int64).view(np.uint64) + np.uint64(1)).view(np.int64)
+
+
 def _rank(docs: np.ndarray) -> np.ndarray:
     """Documents as they compare: those without an id are one, below all others."""
     return np.where(docs < NO_ID + ANON, NO_ID, docs)
