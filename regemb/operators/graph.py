@@ -8,33 +8,32 @@ list and the number of rounds grows like log^2 of the component size, so a
 long chain needs a handful of rounds, not one per hop.  After convergence
 every component is a star around its smallest node, which is the label.
 
-Every step's edge list and minima are written to the folder that
-``spark.checkpoint.dir`` names, which cuts the lineage and lets a lost
-executor's work be re-read rather than recomputed from the first round.
-High-degree nodes (a hub holding a third of the edges) only meet partial
-aggregation in ``groupBy(u).min`` and a join of two stored tables, whose
-skewed partitions AQE splits.
+Nodes are numbered first, in their own order, so every round shuffles pairs
+of 64-bit numbers whatever the keys look like.
+
+Every step's edge list is written to the folder that ``spark.checkpoint.dir``
+names, which cuts the lineage and lets a lost executor's work be re-read
+rather than recomputed from the first round; count and checksum of the edges
+are observed by the same write.  High-degree nodes (a hub holding a third of
+the edges) only meet partial aggregation in ``groupBy(u).min`` and, in the
+large star, a join of two stored tables, whose skewed partitions AQE splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from regemb.session import scratch_path
+from regemb.session import stored
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: a plain scan, no lineage.
-
-    Joins of two such scans shuffle both sides, which is what lets AQE split
-    the partition of a hub (it cannot split below an aggregate).
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, f"graph-{name}")
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def _observed(df: DataFrame, name: str) -> tuple[DataFrame, tuple[int, int]]:
+    """``df`` stored, with the number of its edges and the sum of their hashes."""
+    seen = Observation()
+    told = df.observe(seen, F.count(F.lit(1)).alias("n"),
+                      F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h"))
+    kept = stored(told, f"graph-{name}")
+    return kept, (int(seen.get["n"]), int(seen.get["h"] or 0))
 
 
 def _both(e: DataFrame) -> DataFrame:
@@ -43,19 +42,28 @@ def _both(e: DataFrame) -> DataFrame:
 
 
 def _smallest(b: DataFrame) -> DataFrame:
-    return _kept(b.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "minima")
+    return b.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
 
 
 def large_star(e: DataFrame) -> DataFrame:
-    """Connect every strictly larger neighbour of u to u's smallest neighbourhood node."""
+    """Connect every strictly larger neighbour of u to u's smallest neighbourhood node.
+
+    The minima are stored: a join of two plain scans shuffles both sides,
+    which is what lets AQE split a hub's partition (it cannot split below an
+    aggregate).
+    """
     b = _both(e)
-    return (b.join(_smallest(b), "u").where(F.col("v") > F.col("u"))
+    return (b.join(stored(_smallest(b), "graph-minima"), "u").where(F.col("v") > F.col("u"))
              .select(F.col("v").alias("a"), F.col("m").alias("b"))
              .where(F.col("a") != F.col("b")).distinct())
 
 
 def small_star(e: DataFrame) -> DataFrame:
-    """Connect u and its smaller neighbours to the smallest of them."""
+    """Connect u and its smaller neighbours to the smallest of them.
+
+    After a large star a node's smaller neighbours are few (minima of its
+    neighbours), so this join has no hub.
+    """
     b = _both(e).where(F.col("v") <= F.col("u"))
     m = _smallest(b)
     moved = b.join(m, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -63,35 +71,49 @@ def small_star(e: DataFrame) -> DataFrame:
     return moved.unionByName(own).where(F.col("a") != F.col("b")).distinct()
 
 
-def _signature(e: DataFrame) -> tuple[int, int]:
-    r = e.agg(F.count(F.lit(1)).alias("n"),
-              F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-    return int(r["n"]), int(r["h"] or 0)
+def _components(e0: DataFrame) -> DataFrame:
+    """``(node, component)`` of stored edges ``a <= b`` between numbers; a self-loop keeps its node."""
+    e = e0.where(F.col("a") != F.col("b"))
+    sig = (-1, 0)
+    while True:
+        large = stored(large_star(e), "graph-large")
+        e, new = _observed(small_star(large), "small")
+        if new == sig or not new[0]:
+            break
+        sig = new
+    # at the end every edge leads from a node to its component's smallest one
+    parent = e.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component"))
+    alone = (e0.select(F.col("a").alias("node")).union(e0.select("b")).distinct()
+               .join(parent, "node", "left"))
+    return alone.select("node", F.coalesce("component", "node").alias("component"))
 
 
 def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> DataFrame:
     """``(node, component)`` for every node of an undirected edge list.
 
-    Node ids may be any orderable type (strings here); the component label
-    is the smallest node of the component.  Rounds go on until nothing moves.
+    Node ids may be any orderable type; the component label is the smallest
+    node of the component.  Rounds go on until nothing moves.  Edges with a
+    null end are left out.
     """
-    e0 = _kept(edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"))
-                    .where(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct(), "edges")
-    # self-loops only keep their node alive
-    loops = e0.where(F.col("a") == F.col("b")).select(F.col("a").alias("node"))
-    e = e0.where(F.col("a") != F.col("b"))
-    nodes = _both(e).select(F.col("u").alias("node")).union(loops).distinct()
-    sig = _signature(e)
-    while sig[0]:
-        e = _kept(small_star(_kept(large_star(e), "large")), "small")
-        new = _signature(e)
-        if new == sig:
-            break
-        sig = new
-    parent = (_both(e).groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("component"))
-              .withColumnRenamed("u", "node"))
-    return (nodes.join(parent, "node", "left")
-                 .select("node", F.coalesce("component", "node").alias("component")))
+    pairs = (edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"))
+                  .where(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct())
+    if dict(pairs.dtypes)["a"] == "bigint":
+        return _components(stored(pairs, "graph-edges"))
+    pairs = stored(pairs, "graph-pairs")
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    # the numbers rise with the ranges and inside them, so they order as the nodes do
+    number = stored(nodes.repartitionByRange("node").sortWithinPartitions("node")
+                         .withColumn("id", F.monotonically_increasing_id()), "graph-nodes")
+    first = number.select(F.col("node").alias("a"), F.col("id").alias("ia"))
+    second = number.select(F.col("node").alias("b"), F.col("id").alias("ib"))
+    edges0 = stored(pairs.join(first, "a").join(second, "b")
+                         .select(F.col("ia").alias("a"), F.col("ib").alias("b")), "graph-edges")
+    found = _components(edges0)
+    named = number.select("id", F.col("node").alias("name"))
+    return (found.join(number, found["node"] == number["id"])
+                 .select(number["node"].alias("node"), "component")
+                 .join(named, F.col("component") == named["id"])
+                 .select("node", F.col("name").alias("component")))
 
 
 LEFT, RIGHT, HUB = "L:", "R:", "H:"
