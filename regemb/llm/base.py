@@ -49,5 +49,10 @@ def crc_of_id(col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))
 
 
+def drawn(*cols: str | Column) -> Column:
+    """A number in [0, 1) from a hash of the columns."""
+    return F.shiftrightunsigned(F.xxhash64(*cols), 11) / float(1 << 53)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))

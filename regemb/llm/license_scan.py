@@ -10,14 +10,18 @@
 * **Training.**  Multinomial logistic regression (``pyspark.ml``, elastic net, so
   the weights are sparse) on the family templates, on paragraphs made from
   them (each template with leading and trailing words cut off and with plain
-  text around it) and, as the class *unknown*, on licence talk of no family
-  and on a bounded sample of the corpus' own lines (``SAMPLE_LINES``, the
-  smallest by hash).
-* **Calibration.**  The temperature of the softmax is chosen on held-out
-  paragraphs by log-likelihood over a fixed grid; a paragraph whose best
-  family stays below ``MIN_PROBABILITY`` is unknown.
+  text around it) and, as the class *unknown*, on notices of licences outside
+  the families, on licence talk of no family and on a bounded sample of the
+  corpus' own lines (``SAMPLE_LINES``, the smallest by hash).
+* **Calibration.**  The temperature of the softmax is chosen by log-likelihood
+  over a fixed grid on paragraphs whose templates are not trained on: the last
+  template of each family with three, every fourth notice of the unknown
+  class.  A paragraph whose best family stays below ``MIN_PROBABILITY`` is
+  unknown.
 * **Confirmation.**  A predicted family counts only if the paragraph holds at
-  least ``MIN_TEMPLATE`` of the two-word n-grams of one of its templates.
+  least ``MIN_TEMPLATE`` of the two-word n-grams of one of its templates, that
+  template's naming words (:data:`NAMES`), and no word that names another
+  licence: a notice that differs by such a word is another licence's.
 
 Lines without any cue word (:func:`cue_words`) hold too few n-grams of every
 template to be confirmed; they are not scored and give no row.
@@ -41,7 +45,7 @@ from pyspark.ml.feature import CountVectorizer
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regemb.llm.base import id_and_text, stored
+from regemb.llm.base import drawn, id_and_text, stored
 
 SLOTS = 4096
 SAMPLE_LINES = 2000
@@ -112,6 +116,37 @@ UNKNOWN = [
     "The Mozilla foundation opened a new office", "Creative work is common at school",
     "The author has written two books", "Source code and binary files are kept apart",
 ]
+# Short notices of licences outside the families.
+OTHERS = {
+    "epl": ["This program is made available under the terms of the Eclipse Public License 2.0",
+            "Licensed under the Eclipse Public License, version 2.0"],
+    "zlib": ["Released under the zlib license",
+             "This project is licensed under the terms of the Zlib license"],
+    "ecl": ["Licensed under the Educational Community License, Version 2.0"],
+    "agpl": ["This program is licensed under the GNU Affero General Public License, version 3"],
+    "cc-by-nd": ["Licensed under CC BY-ND 4.0",
+                 "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 "
+                 "International License"],
+    "cc-by-nc-sa": ["Licensed under CC BY-NC-SA 4.0",
+                    "This work is licensed under a Creative Commons "
+                    "Attribution-NonCommercial-ShareAlike 4.0 International License"],
+    "cc-by-nc-nd": ["Licensed under CC BY-NC-ND 4.0"],
+    "isc": ["Released under the ISC License"],
+    "boost": ["Distributed under the Boost Software License, Version 1.0"],
+    "artistic": ["Licensed under the terms of the Artistic License 2.0"],
+    "cddl": ["Subject to the terms of the Common Development and Distribution License"],
+    "eupl": ["Licensed under the European Union Public Licence, version 1.2"],
+    "ofl": ["This Font Software is licensed under the SIL Open Font License, Version 1.1"],
+    "unlicense": ["Released under the Unlicense into the public domain"],
+}
+# Words that name a licence.
+NAMES = {
+    "apache-2.0": "apache", "mit": "mit", "gpl": "general gpl", "lgpl": "lesser lgpl", "bsd": "bsd",
+    "mpl": "mozilla mpl", "cc-by-nc": "nc noncommercial", "cc-by-sa": "sa sharealike",
+    "cc-by": "by attribution", "cc0": "cc0", "all-rights-reserved": "reserved",
+}
+OTHER_NAMES = ("eclipse epl zlib educational affero agpl nd noderivatives isc boost artistic cddl "
+               "union eupl sil font unlicense")
 UNKNOWN_CLASS = "unknown"
 FAMILIES = [UNKNOWN_CLASS, *TEMPLATES]
 _FILL = ["the", "and", "of", "see", "also", "note", "file", "page", "readme", "text"]
@@ -145,17 +180,32 @@ def slots(w: str) -> Column:
 
 
 def training_paragraphs() -> list[tuple[str, str, bool]]:
-    """``(family, paragraph, held out)`` made from the fixed templates."""
+    """``(family, paragraph, held out)`` made from the fixed templates; held-out ones by template."""
     out = []
-    for family, texts in [*TEMPLATES.items(), (UNKNOWN_CLASS, UNKNOWN)]:
-        for text in texts:
+    none = [t for texts in OTHERS.values() for t in texts] + UNKNOWN
+    for family, texts in [*TEMPLATES.items(), (UNKNOWN_CLASS, none)]:
+        for at, text in enumerate(texts):
+            held = (at % 4 == 3 if family == UNKNOWN_CLASS
+                    else len(texts) > 2 and at == len(texts) - 1)
             w = words_of(text)
             shapes = [w, w, w[1:], w[:-1], w[: max(3, len(w) * 3 // 4)], w[len(w) // 4:]]
             shapes += [[*_FILL[i:i + 3], *w, *_FILL[i + 2:i + 5]] for i in range(0, 6, 2)]
-            out += [(family, " ".join(s), k % 4 == 3) for k, s in enumerate(shapes)]
+            out += [(family, " ".join(s), held) for s in shapes]
     return out
 
 
+def named(family: str, template: str) -> list[str]:
+    """Words of a template that name its family."""
+    return [w for w in NAMES[family].split() if w in words_of(template)]
+
+
+def foreign(family: str) -> list[str]:
+    """Words that name another licence and stand in no template of the family."""
+    own = {w for t in TEMPLATES[family] for w in words_of(t)} | set(NAMES[family].split())
+    every = {w for names in [*NAMES.values(), OTHER_NAMES] for w in names.split()}
+    return sorted(every - own - {"by"})
+
+
 def lines(docs: DataFrame) -> DataFrame:
     """``(doc_id, line_no, line)`` of every line of every text."""
     return (id_and_text(docs)
@@ -213,9 +263,13 @@ class Classifier:
     def __init__(self, spark: SparkSession, docs: DataFrame):
         made = spark.createDataFrame(training_paragraphs(),
                                      "family string, line string, held boolean")
-        own = (lines(docs).where(F.length("line") > 0).select(one_window("line").alias("line"))
-               .where(~F.col("line").rlike(cue_pattern()))
-               .orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES)
+        # distinct lines of the smallest hashes; the cut keeps what one task sorts from
+        # growing with the number of tasks (a document has a line or more)
+        cut = 3.0 * SAMPLE_LINES / max(1, docs.count())
+        own = (lines(docs).where((F.length("line") > 0) & (drawn("line") <= cut))
+               .select(one_window("line").alias("line"))
+               .where(~F.col("line").rlike(cue_pattern())).distinct()
+               .orderBy(drawn("line"), "line").limit(SAMPLE_LINES)
                .select(F.lit(UNKNOWN_CLASS).alias("family"), "line",
                        (F.pmod(F.xxhash64("line"), F.lit(4)) == 3).alias("held")))
         index = F.array_position(F.array(*map(F.lit, FAMILIES)), F.col("family")) - 1
@@ -262,12 +316,27 @@ class Classifier:
 
 def template_share(two: Column, family: str) -> Column:
     """Largest share of a template's two-word n-grams that the paragraph holds."""
-    shares = []
+    return F.greatest(*_shares(two, family), F.lit(0.0))
+
+
+def _shares(two: Column, family: str) -> list[Column]:
+    out = []
     for text in TEMPLATES[family]:
         w = words_of(text)
         own = sorted({" ".join(w[i:i + 2]) for i in range(len(w) - 1)})
-        shares.append(F.size(F.array_intersect(two, F.array(*map(F.lit, own)))) / len(own))
-    return F.greatest(*shares) if len(shares) > 1 else shares[0]
+        out.append(F.size(F.array_intersect(two, F.array(*map(F.lit, own)))) / len(own))
+    return out
+
+
+def agrees(w: Column, two: Column, family: str) -> Column:
+    """Whether a template of the family confirms a paragraph of these words."""
+    ok = F.lit(False)
+    for text, share in zip(TEMPLATES[family], _shares(two, family), strict=True):
+        holds = share >= MIN_TEMPLATE
+        for name in named(family, text):
+            holds = holds & F.array_contains(w, name)
+        ok = ok | holds
+    return ok & ~F.arrays_overlap(w, F.array(*map(F.lit, foreign(family))))
 
 
 def _templates() -> Column:
@@ -367,13 +436,15 @@ def scan(docs: DataFrame, classifier: Classifier) -> DataFrame:
                 F.array(*map(F.lit, FAMILIES)),
                 F.array_position("z", F.array_max("z")).cast("int")))
             .withColumn("two", grams("w", 2)))
-    share = F.lit(0.0)
+    share, agreed = F.lit(0.0), F.lit(False)
     for family in TEMPLATES:
-        share = F.when(F.col("best") == family, template_share(F.col("two"), family)).otherwise(share)
-    return (rows.withColumn("share", share)
+        mine = F.col("best") == family
+        share = F.when(mine, template_share(F.col("two"), family)).otherwise(share)
+        agreed = F.when(mine, agrees(F.col("w"), F.col("two"), family)).otherwise(agreed)
+    return (rows.withColumn("share", share).withColumn("agreed", agreed)
             .select("doc_id", "line_no",
                     F.when(F.col("p") >= MIN_PROBABILITY, F.col("best"))
                      .otherwise(UNKNOWN_CLASS).alias("family"),
                     F.col("p").alias("probability"), F.col("share").alias("template_share"),
                     ((F.col("p") >= MIN_PROBABILITY) & (F.col("best") != UNKNOWN_CLASS)
-                     & (F.col("share") >= MIN_TEMPLATE)).alias("confirmed"), "last_line"))
+                     & F.col("agreed")).alias("confirmed"), "last_line"))

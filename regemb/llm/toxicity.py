@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regemb.llm.base import crc_of_id, id_and_text
+from regemb.llm.base import crc_of_id, drawn, id_and_text
 
 MAX_ROWS = 20_000      # labelled rows of the fit
 MAX_TERMS = 256        # size of the lexicon
@@ -134,12 +134,18 @@ def features(words: list[str], automaton) -> tuple[float, float, float]:
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held_out: int,
                     max_rows: int) -> DataFrame:
-    """``(doc_id, text, y)`` of at most ``max_rows`` labelled rows outside the held-out fold."""
+    """``(doc_id, text, y)`` of at most ``max_rows`` labelled rows outside the held-out fold.
+
+    Those of the smallest hashes; a cut that three times as many labels pass
+    comes first, so that the last task of the sort gets no more than that.
+    """
+    draw = drawn("doc_id", F.lit(17))
+    cut = 3.0 * max_rows / max(1, labels.count())
     picked = (labels.select(F.col("doc_id").cast("long").alias("doc_id"),
                             F.col(label).cast("int").alias("y"))
               .where(F.col("y").isNotNull() & F.col("doc_id").isNotNull()
                      & (F.pmod(crc_of_id(), F.lit(modulus)) != held_out))
-              .orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id", "y").limit(max_rows)
+              .where(draw <= cut).orderBy(draw, "doc_id", "y").limit(max_rows)
               .groupBy("doc_id").agg(F.max("y").alias("y")))
     # at most max_rows rows of 12 bytes: the bound makes the broadcast safe
     return id_and_text(docs).join(F.broadcast(picked), "doc_id")

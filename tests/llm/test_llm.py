@@ -445,6 +445,38 @@ def test_license_scan_long_lines(spark):
     assert [r["family"] for r in rows if r["doc_id"] == 4] == ["unknown"]
 
 
+def test_license_scan_rejects_other_licences(spark):
+    """Notices that differ from a template by the words that name a licence are not confirmed."""
+    wrong = ["licensed under the Eclipse Public License, version 2.0", "Licensed under CC BY-ND 4.0",
+             "Licensed under CC BY-NC-SA 4.0", "licensed under the terms of the Zlib license",
+             "Licensed under the Educational Community License, Version 2.0",
+             "This work is licensed under the GNU Affero General Public License, version 3",
+             "Licensed under the Frobnicate License, Version 2.0"]
+    right = [("apache-2.0", "Licensed under the Apache License, Version 2.0"),
+             ("cc-by", "Licensed under CC BY 4.0"), ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+             ("lgpl", "Licensed under the GNU Lesser General Public License, version 2.1"),
+             ("gpl", "This work is licensed under the GNU General Public License, version 3"),
+             ("mit", "This software is licensed under the terms of the MIT license")]
+    rows = [(i, f"Some words before.\n{t}\nand after.") for i, t in enumerate(wrong)]
+    rows += [(100 + i, f"Some words before.\n{t}\nand after.") for i, (_, t) in enumerate(right)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.scan(docs, license_scan.Classifier(spark, docs)).where("confirmed").collect()
+    assert {(r["doc_id"], r["family"]) for r in got} == {
+        (100 + i, f) for i, (f, _) in enumerate(right)}
+
+
+def test_license_calibration_uses_unseen_templates():
+    rows = license_scan.training_paragraphs()
+    held = {(f, t) for f, t, h in rows if h}
+    seen = {(f, t) for f, t, h in rows if not h}
+    whole = {" ".join(license_scan.words_of(t)) for texts in license_scan.TEMPLATES.values()
+             for t in texts}
+    kept_back = {t for _, t in held} & whole
+    assert len(kept_back) >= 4 and not kept_back & {t for _, t in seen}
+    assert {f for f, _ in held} >= {"unknown", "mit", "gpl", "apache-2.0", "bsd"}
+    assert {f for f, _ in seen} == set(license_scan.FAMILIES)
+
+
 def test_license_sample_takes_any_part_of_a_line(spark):
     lines = [(i, " ".join(f"w{k}" for k in range(1000))+ f" end{i}") for i in range(40)]
     df = spark.createDataFrame([*lines, (99, "short, line")], "doc_id long, line string")
