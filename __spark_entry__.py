@@ -28,6 +28,7 @@ from regemb.functions import census_profile as CP
 from regemb.functions import geo as G
 from regemb.functions import recode as R
 from regemb.operators import geo as GO
+from regemb.operators import gram as GR
 from regemb.operators import regress as M
 from regemb.operators import votes as V
 from regemb.plans import featurize as FZ
@@ -672,6 +673,44 @@ def q_regression(spark, sf_dir):
     return setops.union_all(out)
 
 
+RIDGE_PENALTY = 0.5
+
+
+def _centroid_design(spark, sf_dir):
+    """M6: mean tax of a nation and its centroid's latitude, with the share as label."""
+    p, s = _stats(spark, sf_dir)
+    e = embed.linear_embedding(p, s)
+    wide = M.wide(e.values.where(F.col("feature_name") == "l_tax"), [2])
+    cen = GO.region_centroids(_county_polygons(spark, sf_dir)).select("region", "lat")
+    tgt = p.groupBy("region").agg(
+        F.avg(F.when(F.col("l_returnflag") == "R", 1.0)
+              .when(F.col("l_returnflag") == "A", 0.0)).alias("share"))
+    return M.align(M.design_matrix(wide, cen), tgt).checkpoint()
+
+
+def q_ridge_fixed(spark, sf_dir):
+    """M6 + M7 + J9: ridge with a given penalty on embedding and centroid, in closed form."""
+    df = _centroid_design(spark, sf_dir)
+    fit = GR.ridge(GR.product_sums(df), RIDGE_PENALTY)
+    return _r(GR.coefficients(fit, ["l_tax", "lat"], df), "coef")
+
+
+def q_ridge_scores(spark, sf_dir):
+    """M7 + A26 + K5: the fit on the training nations, scored on every part."""
+    df = GR.split(_centroid_design(spark, sf_dir), test_fraction=0.3, seed=4)
+    fit = GR.ridge(GR.product_sums(df.where("part = 'train'")), RIDGE_PENALTY)
+    scored = fit.transform(df)
+    return _r(scored.select("region", "part", "share", "prediction"), "share", "prediction")
+
+
+def q_ridge_top(spark, sf_dir):
+    """P12 + K4: the largest coefficient once a prefix is left out."""
+    df = _centroid_design(spark, sf_dir)
+    fit = GR.ridge(GR.product_sums(df), RIDGE_PENALTY)
+    kept = M.prefix_filter(GR.coefficients(fit, ["l_tax", "lat"], df), ["("])
+    return _r(M.top_coefficients(kept, 1), "coef")
+
+
 def q_explained_variance(spark, sf_dir):
     """Given predictions (a supplier's nation mean) scored against each supplier."""
     s_ = (table(spark, sf_dir, "supplier")
@@ -1068,6 +1107,9 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "custom_featurizer": q_custom_featurizer,
         "extras_one_pass": q_extras_one_pass,
         "rff_thermometer": q_rff_thermometer,
+        "ridge_fixed": q_ridge_fixed,
+        "ridge_scores": q_ridge_scores,
+        "ridge_top": q_ridge_top,
         "extra_catalogue": q_extra_catalogue,
         "additive_extras": q_additive_extras,
         "featurize_all": q_featurize_all,
@@ -1321,6 +1363,16 @@ UNION ALL SELECT region, 0, 1, 'custom_1', 'custom',
        round(CASE WHEN wt = 0 THEN 0.0 ELSE a1 / wt END, 6) FROM agg
 UNION ALL SELECT region, 0, 2, 'custom_2', 'custom',
        round(CASE WHEN wt = 0 THEN 0.0 ELSE a2 / wt END, 6) FROM agg"""),
+        "ridge_fixed": _ridge_sql("design") + """
+SELECT '(intercept)' AS feature_name, round(b0, 6) AS coef FROM fit
+UNION ALL SELECT 'l_tax', round(b1, 6) FROM fit UNION ALL SELECT 'lat', round(b2, 6) FROM fit""",
+        "ridge_scores": _ridge_sql("(SELECT * FROM design WHERE part = 'train')") + """
+SELECT region, part, round(y, 6) AS share, round(b0 + b1 * x1 + b2 * x2, 6) AS prediction
+FROM design, fit""",
+        "ridge_top": _ridge_sql("design") + """
+SELECT * FROM (SELECT 'l_tax' AS feature_name, round(b1, 6) AS coef FROM fit
+               UNION ALL SELECT 'lat', round(b2, 6) FROM fit) c
+ORDER BY abs(coef) DESC LIMIT 1""",
         "extra_catalogue": _extras_sql(names_only=True),
         "additive_extras": _extras_sql(),
         "featurize_all": ("SELECT *, 'lin' AS kind FROM (" + S.linear_sql() + ") UNION ALL "
@@ -1438,6 +1490,25 @@ WHERE side <> 'right' OR key NOT LIKE '02' GROUP BY 1""".replace(
     }
 
 
+def _ridge_sql(rows: str) -> str:
+    """``design(region, x1, x2, y, part)`` and the closed-form fit of two columns on ``rows``."""
+    u = S.hash_uniform_sql("'4' || chr(31) || t.region")
+    return S.with_person(S.stats_ctes() + "," + CENTROID_SQL + f""",
+design AS (SELECT t.region, t.x1, cen.lat AS x2, t.y,
+                  CASE WHEN {u} < 0.3 THEN 'test' ELSE 'train' END AS part
+           FROM (SELECT region, sum(l_quantity * {S.z_expr('l_tax')}) / sum(l_quantity) AS x1,
+                        avg(CASE l_returnflag WHEN 'R' THEN 1.0 WHEN 'A' THEN 0.0 END) AS y
+                 FROM person GROUP BY region) t JOIN cen ON cen.region = t.region),
+m AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, count(*) AS n FROM {rows} r),
+c AS (SELECT sum((x1 - m1) * (x1 - m1)) + {RIDGE_PENALTY} AS a, sum((x1 - m1) * (x2 - m2)) AS b,
+             sum((x2 - m2) * (x2 - m2)) + {RIDGE_PENALTY} AS d, sum((x1 - m1) * (y - my)) AS p,
+             sum((x2 - m2) * (y - my)) AS q, max(m1) AS m1, max(m2) AS m2, max(my) AS my
+      FROM {rows} r, m),
+b AS (SELECT (d * p - b * q) / (a * d - b * b) AS b1, (a * q - b * p) / (a * d - b * b) AS b2,
+             m1, m2, my FROM c),
+fit AS (SELECT b1, b2, my - b1 * m1 - b2 * m2 AS b0 FROM b)""")
+
+
 def _extras_sql(names_only: bool = False) -> str:
     """The additive vector (or its catalogue): blocks at offsets, levels by rank."""
     price, tax, flag, status = "l_extendedprice", "l_tax", "l_returnflag", "l_linestatus"

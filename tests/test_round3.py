@@ -268,3 +268,82 @@ def test_profile_feeds_the_featurizers(spark):
                        preprocessor=p.apply)
     ids = {r["feature_id"] for r in out["lin"].values.select("feature_id").distinct().collect()}
     assert ids == set(p.spec.real) | set(p.spec.discrete)
+
+
+def _design(spark, n=60, p=5, seed=3):
+    from pyspark.ml.linalg import Vectors
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, p))
+    trials = rng.integers(5, 40, n)
+    eta = x @ np.linspace(-0.5, 0.5, p) + 0.2
+    share = np.array([rng.binomial(t, 0.5 * (1 + np.tanh(e))) / t for t, e in zip(trials, eta)])
+    rows = [(f"r{i}", Vectors.dense(x[i]), float(share[i]), int(trials[i])) for i in range(n)]
+    df = spark.createDataFrame(rows, ["region", "features", "share", "n"])
+    return x, share, trials.astype(float), df.repartition(4)
+
+
+@pytest.mark.parametrize("tile", [256, 3])
+def test_ridge_matches_closed_form_and_leave_one_out(spark, monkeypatch, tile):
+    from regemb.operators import gram
+    monkeypatch.setattr(gram, "TILE", tile)
+    x, y, w, df = _design(spark)
+    errors = []
+    penalties = [0.01, 1.0, 30.0]
+
+    def closed(x, y, w, a):
+        m, my = (w[:, None] * x).sum(0) / w.sum(), (w * y).sum() / w.sum()
+        c = x - m
+        b = np.linalg.solve(c.T @ (c * w[:, None]) + a * np.eye(x.shape[1]), c.T @ (w * (y - my)))
+        return my - m @ b, b
+    sums = gram.product_sums(df, weight="n")
+    assert sums.rows == len(y) and sums.columns == 5
+    for a in penalties:
+        fit = gram.ridge(sums, a)
+        b0, b = closed(x, y, w, a)
+        assert np.allclose(fit.coef, b) and abs(fit.intercept - b0) < 1e-12
+        e = 0.0
+        for i in range(len(y)):
+            rest = np.arange(len(y)) != i
+            c0, c = closed(x[rest], y[rest], w[rest], a)
+            e += w[i] * (y[i] - c0 - x[i] @ c) ** 2
+        errors.append(e)
+    chosen = gram.ridge_loo(df, penalties, weight="n")
+    assert chosen.penalty == penalties[int(np.argmin(errors))]
+    got = {r["region"]: r["prediction"] for r in chosen.transform(df).collect()}
+    assert all(abs(got[f"r{i}"] - (chosen.intercept + x[i] @ chosen.coef)) < 1e-12 for i in range(len(y)))
+
+
+def test_probit_is_stationary(spark):
+    """At the fit, the penalised score equations hold."""
+    from regemb.operators import gram
+    x, y, w, df = _design(spark)
+    fit = gram.probit(df, penalty=0.1)
+    eta = fit.intercept + x @ fit.coef
+    mu = gram.normal_cdf(eta)
+    slope = np.exp(-eta ** 2 / 2) / np.sqrt(2 * np.pi)
+    score = w * (y - mu) * slope / (mu * (1 - mu))
+    assert abs(score.sum()) < 1e-6
+    assert np.abs(x.T @ score - 0.1 * fit.coef).max() < 1e-6
+    assert all(0 < r["prediction"] < 1 for r in fit.transform(df).collect())
+
+
+def test_products_reject_wide_designs_and_take_empty_ones(spark, monkeypatch):
+    from regemb.operators import gram
+    _, _, _, df = _design(spark)
+    empty = gram.product_sums(df.where("share > 5"))
+    assert empty.rows == 0 and gram.ridge(empty, 1.0).intercept == 0.0
+    monkeypatch.setattr(gram, "MAX_COLUMNS", 4)
+    with pytest.raises(ValueError, match="5 columns"):
+        gram.product_sums(df)
+
+
+def test_sorted_outputs_are_sorted(spark):
+    """K2 and K6: reports and lookup tables come in their order."""
+    import __spark_entry__ as E
+    rows = E.queries()["unmapped_report"](spark, SF_SMALL).collect()
+    assert [(-r["count"], r["st"], r["l_linenumber"]) for r in rows] == sorted(
+        (-r["count"], r["st"], r["l_linenumber"]) for r in rows) and len(rows) > 1
+    keys = [r["key"] for r in E.queries()["region_names"](spark, SF_SMALL).collect()]
+    assert keys == sorted(keys) and len(keys) > 1
+    votes_ = [r["votes"] for r in E.queries()["top_candidates"](spark, SF_SMALL).collect()]
+    assert votes_ == sorted(votes_, reverse=True)
