@@ -35,7 +35,7 @@ from regemb.plans import featurize as FZ
 from regemb.plans import sqltext as S
 from regemb.plans.sort import sort_by_region
 from regemb.session import scratch_path
-from regemb.sources import microdata, sinks
+from regemb.sources import lookups, microdata, sinks
 from regemb.spec import skip_features
 from regemb.plans.standin import (STANDIN, census_rows, census_rows_sql, household_rows, person,
                                   person_lines, region_lookup, superregion_lookup, table)
@@ -745,18 +745,13 @@ def q_only_features(spark, sf_dir):
     return _r(embed.linear_embedding(p, s, skip=skip).values, "value")
 
 
-# stand-in category table for part types (the degree-code table's role)
-TYPE_CATEGORIES = [("ECONOMY", "1"), ("SMALL", "2"), ("MEDIUM", "2"), ("LARGE", "2"),
-                   ("PROMO", "3"), ("STANDARD", "4")]
-
-
 def q_category_join(spark, sf_dir):
-    """Code -> category by a broadcast join with the code table."""
-    part = table(spark, sf_dir, "part")
-    lk = spark.createDataFrame(TYPE_CATEGORIES, "name string, cat_code string")
-    lk = lk.withColumn("code", F.xxhash64("name") % 1000)
-    codes = part.withColumn("type_code", (F.xxhash64("p_type") % 1000).cast("string"))
-    j = R.degree_category_join(codes, "type_code", lk, out="cat")
+    """Code -> category by a join with the code table (nations and their regions)."""
+    lk = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code"),
+                                               F.col("n_regionkey").alias("cat_code"))
+    codes = table(spark, sf_dir, "part").withColumn(
+        "size_code", F.lpad(F.col("p_size").cast("string"), 4, "0"))
+    j = R.degree_category_join(codes, "size_code", lk, out="cat")
     return j.groupBy("cat").agg(F.count(F.lit(1)).alias("n"),
                                 F.sum("p_size").alias("size_sum"))
 
@@ -902,6 +897,37 @@ def q_csv_bad_values(spark, sf_dir):
     return microdata.bad_values(raw, CSV_SPEC)
 
 
+def q_lookup_files(spark, sf_dir):
+    """S12 + J3: a geography lookup read from CSV, its super-regions from Parquet."""
+    base = scratch_path(spark, "lookups")
+    region_lookup(spark, sf_dir).write.option("header", True).csv(f"{base}/places.csv")
+    superregion_lookup(spark, sf_dir).write.parquet(f"{base}/super")
+    places = lookups.read_lookup(spark, f"{base}/places.csv")
+    known = lookups.read_lookup(spark, f"{base}/super").select("region")
+    p = regions.assign_region(person(spark, sf_dir, with_region=False), places, on=["st"])
+    return _r(embed.region_weights(p.join(known, "region", "left_semi"), STANDIN.weight), "weight")
+
+
+HOUSING_SPEC = STANDIN.__class__(
+    name="housing-costs", weight="w", real=("cost", "income"), discrete=("TYPE",), meta=("st",),
+    adjust={"ADJHSG": ("cost",), "ADJINC": ("income",)}, renames={"c_mktsegment": "TYPE"})
+
+
+def q_housing_costs(spark, sf_dir):
+    """P5 + P6 + P7: housing costs and incomes by their own factors."""
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    raw = o.join(c, o.o_custkey == c.c_custkey).select(
+        F.lit(1.0).alias("w"), F.col("c_nationkey").alias("st"), "c_mktsegment",
+        F.col("o_totalprice").alias("cost"), F.col("c_acctbal").alias("income"),
+        (1000000 + 10000 * (2001 - F.year("o_orderdate"))).alias("ADJHSG"),
+        (1000000 + 5000 * F.month("o_orderdate")).alias("ADJINC"))
+    out = clean.clean(raw, HOUSING_SPEC)
+    clean.check_schema(out, HOUSING_SPEC)
+    return _r(out.groupBy("st", "TYPE").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"), F.sum("income").alias("income"),
+        F.max("ADJINC_orig").alias("max_factor")), "cost", "income", digits=2)
+
+
 def q_housing_partitions(spark, sf_dir):
     """U2 + J1: housing rows in three parts, one of them CSV, joined to persons."""
     base = scratch_path(spark, "housing")
@@ -1120,6 +1146,8 @@ def _queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "csv_by_name": q_csv_by_name,
         "csv_bad_values": q_csv_bad_values,
         "housing_partitions": q_housing_partitions,
+        "housing_costs": q_housing_costs,
+        "lookup_files": q_lookup_files,
         "sort_job": q_sort_job,
         "stats_roundtrip": q_stats_roundtrip,
         "embedding_roundtrip": q_embedding_roundtrip,
@@ -1442,10 +1470,17 @@ FROM b JOIN t USING (region) GROUP BY region, big"""),
         "only_features": S.linear_sql(skip={"l_extendedprice", "l_discount", "l_returnflag",
                                             "l_linestatus", "l_linenumber"}),
         "category_join": """
-WITH lk AS (SELECT * FROM (VALUES """ + ", ".join(f"('{a}', '{b}')" for a, b in TYPE_CATEGORIES)
-        + """) t(name, cat_code))
-SELECT lk.cat_code AS cat, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size_sum
-FROM part LEFT JOIN lk ON p_type = lk.name GROUP BY 1""",
+SELECT CAST(n_regionkey AS VARCHAR) AS cat, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS size_sum
+FROM part LEFT JOIN nation ON p_size = n_nationkey GROUP BY 1""",
+        "housing_costs": """
+SELECT c_nationkey AS st, c_mktsegment AS TYPE, count(*) AS n,
+       round(sum(o_totalprice * (1000000 + 10000 * (2001 - year(o_orderdate))) / 1e6), 2) AS cost,
+       round(sum(c_acctbal * (1000000 + 5000 * month(o_orderdate)) / 1e6), 2) AS income,
+       CAST(max(1000000 + 5000 * month(o_orderdate)) AS INTEGER) AS max_factor
+FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2""",
+        "lookup_files": S.with_person("""
+x AS (SELECT 1)
+SELECT region, 0 AS subset, round(sum(l_quantity), 6) AS weight FROM person GROUP BY 1"""),
         "two_party_share": "WITH " + _votes_sql() + """,
 vr AS (SELECT n_name AS region,
               CAST(coalesce(sum(CASE WHEN party = 'D' THEN votes END), 0) AS BIGINT) AS d,

@@ -31,18 +31,32 @@ def polygon_terms(ring: Column) -> tuple[Column, Column, Column]:
 
 
 def county_centroids(df: DataFrame, ring: str = "polygon") -> DataFrame:
-    """Per row: ``area`` (absolute) and centroid ``cx``, ``cy``."""
+    """Per row: ``area`` (absolute) and centroid ``cx``, ``cy``.
+
+    A ring without area (a point, a line) has the mean of its vertices.
+    """
     a, cx6, cy6 = polygon_terms(F.col(ring))
+    size = F.size(F.col(ring))
+
+    def mean(axis: str) -> Column:
+        total = F.aggregate(F.col(ring), F.lit(0.0), lambda acc, p: acc + p[axis])
+        return F.try_divide(total, size)
     return (df.withColumn("_a", a)
-              .withColumn("cx", cx6 / (F.lit(6.0) * F.col("_a")))
-              .withColumn("cy", cy6 / (F.lit(6.0) * F.col("_a")))
+              .withColumn("cx", F.coalesce(F.try_divide(cx6, F.lit(6.0) * F.col("_a")), mean("x")))
+              .withColumn("cy", F.coalesce(F.try_divide(cy6, F.lit(6.0) * F.col("_a")), mean("y")))
               .withColumn("area", F.abs("_a")).drop("_a"))
 
 
 def region_centroids(df: DataFrame, region: str = "region", ring: str = "polygon") -> DataFrame:
-    """``(region, lon, lat, area)``: area-weighted centroid per region."""
+    """``(region, lon, lat, area)``: area-weighted centroid per region.
+
+    A region whose rings all lack area has the plain mean of their centroids.
+    """
     c = county_centroids(df, ring)
+
+    def weighted(axis: str) -> Column:
+        return F.coalesce(F.try_divide(F.sum(F.col("area") * F.col(axis)), F.sum("area")),
+                          F.avg(axis))
     return (c.groupBy(region)
-             .agg((F.sum(F.col("area") * F.col("cx")) / F.sum("area")).alias("lon"),
-                  (F.sum(F.col("area") * F.col("cy")) / F.sum("area")).alias("lat"),
+             .agg(weighted("cx").alias("lon"), weighted("cy").alias("lat"),
                   F.sum("area").alias("area")))

@@ -24,6 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from regemb.functions.geo import region_name
 from regemb.session import stored
 
 
@@ -149,7 +150,7 @@ class ComponentStateError(ValueError):
 
 
 def name_regions(members: DataFrame, state: str, yy: str, stab: DataFrame | None = None,
-                 fmt: str = "%s_%s_%02d") -> DataFrame:
+                 ) -> DataFrame:
     """W1 + G3: name components ``<stab>_<yy>_<nn>`` per state.
 
     ``members`` has ``(side, key, component, <state>)`` (state may be null on
@@ -168,8 +169,7 @@ def name_regions(members: DataFrame, state: str, yy: str, stab: DataFrame | None
     if stab is not None:
         named = named.join(stab, state, "left")
         label = F.coalesce(F.col("stab"), label)
-    return named.select("component", state,
-                        F.format_string(fmt, label, F.lit(yy), F.col("nn")).alias("region"))
+    return named.select("component", state, region_name(label, yy, "nn").alias("region"))
 
 
 def membership(members: DataFrame, names: DataFrame) -> dict[str, DataFrame]:
@@ -186,7 +186,7 @@ def superregions(edges_by_era: list[DataFrame], left: str = "county",
     """Components over the union of several eras' county -> region edges.
 
     Returns ``(side, key, component)``; name them with ``name_regions`` and
-    ``fmt='%s_merged_%02d'``-style formats.
+    ``yy="merged"``.
     """
     u = edges_by_era[0].select(left, region)
     for e in edges_by_era[1:]:

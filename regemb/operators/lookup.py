@@ -27,12 +27,6 @@ def code(c: str | Column) -> Column:
     return F.coalesce(x.try_cast("long").cast("string"), x)
 
 
-def two_digits(c: str | Column) -> Column:
-    """A state code as two digits, from a number or text."""
-    x = F.col(c) if isinstance(c, str) else c
-    return F.lpad(x.cast("string").try_cast("int").cast("string"), 2, "0")
-
-
 def text(c: str | Column) -> Column:
     """A key that is compared as it is."""
     return (F.col(c) if isinstance(c, str) else c).cast("string")

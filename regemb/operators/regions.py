@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regemb.operators.lookup import code, lookup_join, text, two_digits
+from regemb.functions.geo import state_code
+from regemb.operators.lookup import code, lookup_join, text
+from regemb.operators.setops import difference
 
 
 def assign_region(df: DataFrame, lookup: DataFrame, on: list[str],
@@ -31,7 +33,7 @@ def assign_state(df: DataFrame, state_to_stab: DataFrame, st: str = "ST",
     ``state_to_stab`` has ``state`` (int) and ``stab``; both sides are keyed
     by the two-digit zero-padded code.
     """
-    return lookup_join(df, state_to_stab, [(two_digits(st), two_digits("state"))],
+    return lookup_join(df, state_to_stab, [(state_code(st), state_code("state"))],
                        {"stab": out}, what="the state lookup")
 
 
@@ -65,10 +67,9 @@ def strict_map(df: DataFrame, mapping: DataFrame, key: str, value: str) -> DataF
 
 def coverage(left: DataFrame, right: DataFrame, key: str) -> dict[str, DataFrame]:
     """Keys only on the left, keys only on the right, null-key rows."""
-    lk = left.select(key).distinct()
-    rk = right.select(key).distinct()
+    lk, rk = left.select(key), right.select(key)
     return {
-        "left_only": lk.join(rk, key, "left_anti"),
-        "right_only": rk.join(lk, key, "left_anti"),
+        "left_only": difference(lk, rk),
+        "right_only": difference(rk, lk),
         "left_null": left.where(F.col(key).isNull()),
     }

@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regemb.functions.geo import state_of_region
 from regemb.operators.embed import Embedding
 from regemb.operators.regions import strict_map
 
@@ -58,7 +59,7 @@ def rollup(emb: Embedding, target: Column | None = None,
 
 def state_rollup(emb: Embedding) -> Embedding:
     """target = first two characters of the region name."""
-    return rollup(emb, target=F.substring(F.col("region"), 1, 2))
+    return rollup(emb, target=state_of_region("region"))
 
 
 def superregion_rollup(emb: Embedding, mapping: DataFrame,

@@ -357,6 +357,16 @@ def test_rff_inner_products_approach_kernel_mean(spark):
     assert float(emb["a"] @ emb["b"]) == pytest.approx(num / den, abs=0.03)
 
 
+def test_rings_without_area(spark):
+    from regemb.operators import geo
+    ring = "array<struct<x:double,y:double>>"
+    df = spark.createDataFrame(
+        [("a", [(0.0, 0.0), (2.0, 0.0), (2.0, 2.0), (0.0, 2.0)]), ("a", [(5.0, 5.0)]),
+         ("b", [(1.0, 1.0), (3.0, 5.0)])], f"region string, polygon {ring}")
+    got = {r["region"]: (r["lon"], r["lat"], r["area"]) for r in geo.region_centroids(df).collect()}
+    assert got == {"a": (1.0, 1.0, 4.0), "b": (2.0, 3.0, 0.0)}
+
+
 def test_empty_subset_weighs_nothing_and_others_unaffected(spark):
     df = _df(spark, [("a", 1.0, 1.0, "p"), ("a", 3.0, 2.0, "q")])
     s = st.compute_stats(df, SPEC, sample_size=0)
