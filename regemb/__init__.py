@@ -31,7 +31,10 @@ _LAZY = {
     "compute_stats": ("regemb.operators.stats", "compute_stats"),
     "linear_embedding": ("regemb.operators.embed", "linear_embedding"),
     "rff_embedding": ("regemb.operators.rff", "rff_embedding"),
+    "census_profile": ("regemb.functions.census_profile", "census_profile"),
+    "additive_extras": ("regemb.plans.featurize", "additive_extras"),
     "get_spark": ("regemb.session", "get_spark"),
+    "drop_scratch": ("regemb.session", "drop_scratch"),
     "census_version": ("regemb.census", "version"),
 }
 

@@ -53,7 +53,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder for an intermediate table."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _scratch.append(path)
+    return path
+
+
+_scratch: list[str] = []
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this process has written so far.
+
+    Results that still read them (DataFrames are lazy) must have been written
+    or collected before.  Returns the number of paths that were there.
+    """
+    conf = spark._jsc.hadoopConfiguration()
+    dropped = 0
+    while _scratch:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_scratch.pop())
+        dropped += bool(path.getFileSystem(conf).delete(path, True))
+    return dropped
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

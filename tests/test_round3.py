@@ -337,6 +337,17 @@ def test_products_reject_wide_designs_and_take_empty_ones(spark, monkeypatch):
         gram.product_sums(df)
 
 
+def test_scratch_tables_can_be_dropped(spark, monkeypatch):
+    from regemb import session
+    monkeypatch.setattr(session, "_scratch", [])
+    kept = session.stored(spark.range(5), "mine")
+    assert kept.count() == 5 and len(session._scratch) == 1
+    path = session._scratch[0]
+    assert session.drop_scratch(spark) == 1 and session._scratch == []
+    with pytest.raises(Exception):
+        spark.read.parquet(path)
+
+
 def test_sorted_outputs_are_sorted(spark):
     """K2 and K6: reports and lookup tables come in their order."""
     import __spark_entry__ as E
