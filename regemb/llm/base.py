@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regemb.session import ensure_checkpoint_dir
+from regemb.session import scratch_path
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder that ``spark.checkpoint.dir`` names."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    return scratch_path(spark, f"llm-{name}")
 
 
 def stored(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
