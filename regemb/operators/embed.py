@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from regemb.operators.encode import catalogue, level_of, standardize
+from regemb.operators.encode import catalogue, level_of, small_catalogue, standardize
 from regemb.operators.stats import NAN_LEVEL, Stats
 from regemb.session import stored
 from regemb.spec import skip_features
@@ -156,7 +156,7 @@ def linear_embedding(df: DataFrame, stats: Stats, region_col: str = "region",
 
 def placed(vals: DataFrame, stats: Stats, skip: set[str]) -> DataFrame:
     """Values by feature and level to positions and names of the catalogue."""
-    cat = catalogue(stats, skip)
+    cat = small_catalogue(stats, skip)
     return (vals.join(cat, (vals.feature == cat.feature) & vals.level.eqNullSafe(cat.level))
                 .select("region", "subset", "pos", "feature_name", "feature_id", "value"))
 

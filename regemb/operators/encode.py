@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from regemb.operators.lookup import BROADCAST_MAX_BYTES
 from regemb.operators.stats import NAN_LEVEL, Stats
 
 
@@ -78,6 +79,13 @@ def catalogue(stats: Stats, skip: set[str] | None = None) -> DataFrame:
     return out.unionByName(levels)
 
 
+def small_catalogue(stats: Stats, skip: set[str] | None = None) -> DataFrame:
+    """The catalogue, broadcast where its counted bytes allow (each level is there three times)."""
+    cat = catalogue(stats, skip)
+    held = 3 * stats.level_bytes(_encoded(stats, skip)[1])
+    return F.broadcast(cat) if held <= BROADCAST_MAX_BYTES else cat
+
+
 def catalogue_rows(stats: Stats, skip: set[str] | None = None) -> list[tuple]:
     """The catalogue as a listing on the driver, for callers that need column names."""
     return [tuple(r) for r in catalogue(stats, skip).orderBy("pos").collect()]
@@ -94,13 +102,15 @@ def with_ranks(df: DataFrame, stats: Stats, columns: dict[str, str]) -> DataFram
     """Add the rank of each discrete column's active level, null for none.
 
     ``columns`` maps a feature to the name of its new column.  The stored
-    dictionary is joined once per feature; its size on disk decides whether
-    Spark broadcasts it or shuffles.
+    dictionary is joined once per feature, broadcast where its counted bytes
+    allow.
     """
     nn = stats.needs_nan()
     for d, out in columns.items():
         ranks = stats.dictionary().where(F.col("feature") == d).select(
             F.col("level").alias(f"__level_{out}"), F.col("rank").cast("int").alias(out))
+        if stats.level_bytes([d]) <= BROADCAST_MAX_BYTES:
+            ranks = F.broadcast(ranks)
         df = df.join(ranks, level_of(d, nn.get(d, False)) == F.col(f"__level_{out}"),
                      "left").drop(f"__level_{out}")
     return df

@@ -210,7 +210,8 @@ class Stats:
             self._real_params = {r["feature"]: (r["mean"], r["std"])
                                  for r in self.reals.collect()}
         if self._features is None:
-            self._features = {r["feature"]: (int(r["levels"]), int(r["n"]), bool(r["has_nan"]))
+            self._features = {r["feature"]: (int(r["levels"]), int(r["n"]), bool(r["has_nan"]),
+                                             int(r["bytes"]))
                               for r in feature_counts(self.value_counts).collect()}
         return self
 
@@ -227,7 +228,7 @@ class Stats:
     def needs_nan(self) -> dict[str, bool]:
         """``{feature: bool}`` for every discrete feature (and flag) of the spec."""
         counts, n = self.materialize()._features, self.n_total()
-        return {f: counts.get(f, (0, 0, False))[1] < n for f in self.spec.discrete_all}
+        return {f: counts.get(f, NO_LEVELS)[1] < n for f in self.spec.discrete_all}
 
     def needs_nan_df(self) -> DataFrame:
         return needs_nan(self.value_counts, self.n_total())
@@ -235,8 +236,13 @@ class Stats:
     def sizes(self) -> dict[str, int]:
         """Encoded columns of every discrete feature: its levels, and ``nan`` where needed."""
         counts, nn = self.materialize()._features, self.needs_nan()
-        return {f: counts.get(f, (0, 0, False))[0]
-                + (nn[f] and not counts.get(f, (0, 0, False))[2]) for f in nn}
+        return {f: counts.get(f, NO_LEVELS)[0]
+                + (nn[f] and not counts.get(f, NO_LEVELS)[2]) for f in nn}
+
+    def level_bytes(self, features: list[str]) -> int:
+        """Bytes that the dictionary of these features takes, about: texts and 64 a row."""
+        counts, sizes = self.materialize()._features, self.sizes()
+        return sum(counts.get(f, NO_LEVELS)[3] + 64 * sizes[f] for f in features)
 
     def dictionary(self) -> DataFrame:
         """``feature, level, rank``: levels by text, ``nan`` last, stored once.
@@ -261,7 +267,12 @@ def feature_counts(vc: DataFrame) -> DataFrame:
     """``feature, levels, n, has_nan``: one row per discrete feature with values."""
     return vc.groupBy("feature").agg(
         F.count(F.lit(1)).alias("levels"), F.sum("cnt").alias("n"),
-        F.max(F.col("level") == NAN_LEVEL).alias("has_nan"))
+        F.max(F.col("level") == NAN_LEVEL).alias("has_nan"),
+        F.sum(F.octet_length("level").cast("long")).alias("bytes"))
+
+
+#: Levels, values, whether one is spelled ``nan``, bytes of a feature without values.
+NO_LEVELS = (0, 0, False, 0)
 
 
 def _ranked_levels(stats: Stats) -> DataFrame:
@@ -338,6 +349,7 @@ def compute_stats(df: DataFrame, spec: MicrodataSpec, sample_size: int = 5000,
                .agg(F.sum("rows").alias("rows"), F.sum("cnt").alias("cnt"), F.sum("sx").alias("sx"),
                     F.max("mean").alias("mean"), F.max("std").alias("std"),
                     F.count("level").alias("levels"),
+                    F.sum(F.octet_length("level").cast("long")).alias("bytes"),
                     F.max(F.col("level") == NAN_LEVEL).alias("has_nan")).collect())
     plain = {r["feature"]: r for r in rows if r["plain"]}
     tot_row = plain.get(TOTAL_KEY)
@@ -360,7 +372,8 @@ def compute_stats(df: DataFrame, spec: MicrodataSpec, sample_size: int = 5000,
     st = Stats(spec, tot, real_df, value_counts, samp, region_type)
     st._tot = {"n_total": n_total, "wt_total": wt_total}
     st._real_params = {r: (m, s_) for r, _, m, s_ in real_rows}
-    st._features = {r["feature"]: (int(r["levels"]), int(r["rows"]), bool(r["has_nan"]))
+    st._features = {r["feature"]: (int(r["levels"]), int(r["rows"]), bool(r["has_nan"]),
+                                   int(r["bytes"]))
                     for r in rows if not r["plain"]}
     return st
 

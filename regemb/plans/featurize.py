@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from regemb.operators import distances, embed, onepass, rff
 from regemb.operators.embed import Embedding
-from regemb.operators.encode import catalogue
+from regemb.operators.encode import small_catalogue
 from regemb.operators.stats import Stats, compute_stats
 from regemb.spec import MicrodataSpec, skip_features
 
@@ -245,7 +245,7 @@ def featurize(df: DataFrame, stats: Stats | None = None, spec: MicrodataSpec | N
         return out
     sums = onepass.block_sums(df, stats, blocks, region_col, subsets)
     if "lin" in at:
-        cat = catalogue(stats, skip).select("pos", "feature_name", "feature_id")
+        cat = small_catalogue(stats, skip).select("pos", "feature_name", "feature_id")
         out["lin"] = Embedding(
             sums.values(at["lin"]).join(cat, "pos").select(
                 "region", "subset", "pos", "feature_name", "feature_id", "value"),

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL restatement in DuckDB (sf0.001)."""
+"""Every registered query against its SQL restatement in DuckDB (sf0.001), and its plan."""
 
 import duckdb
 import pytest
@@ -21,6 +21,9 @@ def con():
 @pytest.mark.parametrize("name", [n for n in E.queries() if n not in SLOW])
 def test_query_matches_oracle(spark, con, name):
     sdf = E.queries()[name](spark, SF_SMALL)
+    plan = sdf._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan
+    assert "BroadcastNestedLoopJoin" not in plan
     cols = sorted(sdf.columns)
     srows = [tuple(r[c] for c in cols) for r in sdf.collect()]
     sql = E.oracle_sql().get(name)
