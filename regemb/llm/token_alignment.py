@@ -118,7 +118,9 @@ def align(a_ids: np.ndarray, b_ids: np.ndarray, a_sizes: np.ndarray, b_sizes: np
     group = np.cumsum(opens) - 1
     by_side = np.lexsort((side[order], group))
     # stretches between neighbouring ends are the links
-    ends = np.union1d(a_ends, b_ends)
+    ends = np.concatenate([a_ends, b_ends])
+    ends.sort(kind="stable")                 # two rising runs: one merge
+    ends = ends[np.append(True, ends[1:] != ends[:-1])[:len(ends)]]
     links = (a_ids[np.searchsorted(a_ends, ends)] * B_IDS + b_ids[np.searchsorted(b_ends, ends)])
     return Aligned(side[order][by_side], ids[order][by_side], group[by_side],
                    np.searchsorted(text_ends, start[order][opens], side="right"),
