@@ -96,8 +96,8 @@ def connected_components(edges: DataFrame, src: str = "a", dst: str = "b") -> Da
     node of the component.  Rounds go on until nothing moves.  Edges with a
     null end are left out.
     """
-    pairs = (edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b"))
-                  .where(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct())
+    pairs = (edges.where(F.col(src).isNotNull() & F.col(dst).isNotNull())
+                  .select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).distinct())
     if dict(pairs.dtypes)["a"] == "bigint":
         return _components(stored(pairs, "graph-edges"))
     pairs = stored(pairs, "graph-pairs")

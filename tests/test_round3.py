@@ -348,6 +348,19 @@ def test_scratch_tables_can_be_dropped(spark, monkeypatch):
         spark.read.parquet(path)
 
 
+def test_components_of_odd_edges(spark):
+    from regemb.operators import graph
+
+    def found(rows, schema):
+        return {tuple(r) for r in graph.connected_components(
+            spark.createDataFrame(rows, schema)).collect()}
+    text, number = "a string, b string", "a long, b long"
+    assert found([], text) == found([], number) == set()
+    assert found([("x", "x"), ("y", None), ("p", "q"), ("q", "r"), ("z", "p")], text) == {
+        ("x", "x"), ("p", "p"), ("q", "p"), ("r", "p"), ("z", "p")}
+    assert found([(5, 5), (1, 2), (2, 3), (None, 7)], number) == {(5, 5), (1, 1), (2, 1), (3, 1)}
+
+
 def test_sorted_outputs_are_sorted(spark):
     """K2 and K6: reports and lookup tables come in their order."""
     import __spark_entry__ as E
