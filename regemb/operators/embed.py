@@ -22,6 +22,7 @@ the hot region's rows.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,6 +55,14 @@ def subset_flags(subsets: list[str | Column] | None) -> list[Column]:
     return [F.coalesce(predicate(p), F.lit(False)) for p in subsets] if subsets else [F.lit(True)]
 
 
+def members_only(df: DataFrame, subsets: list[str | Column] | None) -> DataFrame:
+    """Rows of any subset: the plain ``OR`` of the predicates, which Catalyst can push
+    into the scan.  Regions without such a row are then absent instead of 0."""
+    if not subsets:
+        return df
+    return df.where(functools.reduce(lambda a, b: a | b, map(predicate, subsets)))
+
+
 def weight_col(weight: str) -> Column:
     return F.coalesce(F.col(weight).cast("double"), F.lit(0.0))
 
@@ -135,12 +144,14 @@ def linear_embedding(df: DataFrame, stats: Stats, region_col: str = "region",
                      subsets: list[str | Column] | None = None,
                      skip: set[str] | None = None,
                      ordered: dict[str, list[str] | None] | None = None,
-                     weight: str | None = None) -> Embedding:
+                     weight: str | None = None, prefilter: bool = False) -> Embedding:
     """A6 (+A7, A9, F3): weighted mean of the encoded rows per region/subset.
 
     ``ordered`` maps a discrete feature to its ordered level list (``None``:
     the stats' sorted levels); such features use thermometer coding.
+    ``prefilter`` reads the rows of the subsets only (:func:`members_only`).
     """
+    df = members_only(df, subsets) if prefilter else df
     spec = stats.spec
     skip = skip_features(spec) if skip is None else skip
     weight = weight or spec.weight

@@ -206,9 +206,14 @@ def featurize(df: DataFrame, stats: Stats | None = None, spec: MicrodataSpec | N
               extras_config: ExtrasConfig | None = None,
               preprocessor: Callable[[DataFrame], DataFrame] | None = None,
               skip: set[str] | None = None,
-              ordered: dict[str, list[str] | None] | None = None) -> dict[str, Embedding]:
+              ordered: dict[str, list[str] | None] | None = None,
+              prefilter: bool = False) -> dict[str, Embedding]:
     """Embeddings of every region: ``{"lin": ..., "rff": ..., "extra": ...}``.
 
+    Every region has a value for every subset, 0 where it has no such row; with
+    ``prefilter`` only the rows of the subsets are read, and regions without any
+    are absent.
+
     Linear, RFF and extras come from one scan.  Thermometer coding of the
     linear means (``ordered``) has a column for every level up to a row's own
     and is summed in SQL, which is a second scan.
@@ -221,6 +226,7 @@ def featurize(df: DataFrame, stats: Stats | None = None, spec: MicrodataSpec | N
     if stats is None:
         stats = compute_stats(df, spec, sample_size=5000)
     skip = skip_features(stats.spec) if skip is None else skip
+    df = embed.members_only(df, subsets) if prefilter else df
     blocks: list[onepass.Block] = []
     at: dict[str, int] = {}
     if linear and not ordered:

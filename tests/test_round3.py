@@ -132,6 +132,22 @@ def test_featurizers_share_one_scan(spark):
     assert all(v == 0 for k, v in lin.items() if k not in alone)
 
 
+def test_prefilter_reads_members_only(spark, tmp_path):
+    """The OR of the subsets reaches the scan; values of the regions that stay are the same."""
+    rows = [("a", 1.0, 0.5, 0.0, "p", "u"), ("a", 2.0, 9.5, 1.0, "q", "v"), ("b", 1.0, 9.0, 2.0, "p", "u")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    s = st.compute_stats(df, SPEC, sample_size=0)
+    whole = embed.linear_embedding(df, s, subsets=["x < 5"])
+    few = embed.linear_embedding(df, s, subsets=["x < 5"], prefilter=True)
+    assert {r["region"]: r["weight"] for r in whole.weights.collect()} == {"a": 1.0, "b": 0.0}
+    assert {r["region"]: r["weight"] for r in few.weights.collect()} == {"a": 1.0}
+    assert values(few) == {k: v for k, v in values(whole).items() if k[0] == "a"}
+    assert "LessThan(x,5.0)" in few.values._jdf.queryExecution().executedPlan().toString()
+    out = FZ.featurize(df, s, subsets=["x < 5"], prefilter=True)["lin"]
+    assert {r["region"] for r in out.weights.collect()} == {"a"}
+
+
 def test_tiles_of_frequencies_give_the_same_embedding(spark, monkeypatch):
     _, df = frame(spark)
     s = st.compute_stats(df, SPEC, sample_size=0)
