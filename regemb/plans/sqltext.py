@@ -219,7 +219,7 @@ rowsx AS (SELECT pr.*, {aco} FROM pr LEFT JOIN ang USING (rid) {where}),
 agg AS (SELECT region, subset, g, sum(w) AS wt, {sums} FROM ({subs}) s GROUP BY region, subset, g),
 dense AS (SELECT d.region, d.subset, d.g, agg.* EXCLUDE (region, subset, g)
           FROM (SELECT * FROM (SELECT DISTINCT region FROM person) r
-                CROSS JOIN range({n_subsets}) t(subset) CROSS JOIN ({groups}) gs) d
+                CROSS JOIN (SELECT CAST(range AS INTEGER) AS subset FROM range({n_subsets})) t CROSS JOIN ({groups}) gs) d
           LEFT JOIN agg ON d.region IS NOT DISTINCT FROM agg.region AND d.subset = agg.subset
             AND d.g IS NOT DISTINCT FROM agg.g)
 {' UNION ALL '.join(outs)}""", region_expr)

@@ -49,11 +49,15 @@ def compare(spark, con, name, sf_dir):
     drows_raw = res.fetchall()
     if sorted(dcols) != cols:
         return f"{name}: COLUMN MISMATCH spark={cols} duck={sorted(dcols)}"
+    kinds = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+             "boolean": "BOOLEAN"}
+    odd = {c: (k, str(t)) for (c, k), t in
+           ((x, dict(zip(dcols, res.types))[x[0]]) for x in sdf.dtypes) if kinds.get(k) != str(t)}
     idx = [dcols.index(c) for c in cols]
     drows = [tuple(r[i] for i in idx) for r in drows_raw]
     a, b = rows_key(srows), rows_key(drows)
     if a == b:
-        return f"{name}: OK {len(a)} rows ({ts:.1f}s)"
+        return f"{name}: OK {len(a)} rows ({ts:.1f}s)" + (f" TYPES {odd}" if odd else "")
     sa, sb = set(a), set(b)
     return (f"{name}: MISMATCH spark={len(a)} duck={len(b)}\n  only spark: {sorted(sa - sb, key=repr)[:5]}"
             f"\n  only duck: {sorted(sb - sa, key=repr)[:5]}")
