@@ -5,8 +5,8 @@ after that, so ``("01", "00100")`` and ``("1", "100")`` are the same key; a key
 that comes twice raises when the plan runs, and can never multiply rows.  With
 ``strict`` a row whose key the lookup lacks raises too.
 
-Lookups are dimension tables.  One small job measures the normalised lookup's
-bytes: up to :data:`BROADCAST_MAX_BYTES` it is broadcast, beyond that the join
+Lookups are dimension tables.  One small job measures the bytes of the lookup's
+columns: up to :data:`BROADCAST_MAX_BYTES` it is broadcast, beyond that the join
 shuffles both sides (and AQE splits skewed keys).
 """
 
@@ -32,13 +32,12 @@ def text(c: str | Column) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("string")
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
-    """``broadcast(df)`` if its values take at most ``max_bytes``, else ``df``."""
+def is_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
+    """Whether the values of ``df`` take at most ``max_bytes``."""
     size = F.lit(ROW_BYTES)
     for c in df.columns:
         size = size + F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0))
-    held = df.agg(F.sum(size.cast("long"))).first()[0] or 0
-    return F.broadcast(df) if held <= max_bytes else df
+    return (df.agg(F.sum(size.cast("long"))).first()[0] or 0) <= max_bytes
 
 
 def unique_lookup(lookup: DataFrame, keys: Sequence[Column], values: Sequence[str],
@@ -72,9 +71,10 @@ def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[tuple[Column, Col
     out = dict(values) if isinstance(values, dict) else {v: v for v in values}
     lk = unique_lookup(lookup, [k for _, k in on], list(out), what)
     names = [f"__k{i}" for i in range(len(on))]
-    lk = broadcast_if_small(lk.select(
-        *names, *[F.col(v).alias(f"__v_{n}") for v, n in out.items()],
-        F.lit(True).alias("__found")))
+    lk = lk.select(*names, *[F.col(v).alias(f"__v_{n}") for v, n in out.items()],
+                   F.lit(True).alias("__found"))
+    if is_small(lookup.select(*[k.alias(n) for (_, k), n in zip(on, names, strict=True)], *out)):
+        lk = F.broadcast(lk)
     keyed = df.withColumns({f"__d{i}": k for i, (k, _) in enumerate(on)})
     cond = F.lit(True)
     for i in range(len(on)):

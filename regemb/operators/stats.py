@@ -14,9 +14,10 @@ disjoint column sets, so together they cost about one full read.
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regemb.session import stored
@@ -282,31 +283,32 @@ def _ranked_levels(stats: Stats) -> DataFrame:
     if not features:
         return spark.createDataFrame([], schema)
     nn = stats.needs_nan()
-    number = spark.createDataFrame(list(enumerate(features)), "f int, feature string")
     nans = spark.createDataFrame([(f, NAN_LEVEL) for f in features if nn[f]],
                                  "feature string, level string")
     level_of_nan = F.when(F.col("feature").isin([f for f in features if nn[f]]),
                           F.col("level") == NAN_LEVEL).otherwise(F.lit(False))
     rows = (stats.value_counts.select("feature", "level")
-            .where(~level_of_nan).unionByName(nans)
-            .join(number, "feature")
-            .withColumn("last", level_of_nan)
+            .where(~level_of_nan & F.col("feature").isin(features)).unionByName(nans)
+            .select(F.array_position(F.array(*map(F.lit, features)), F.col("feature")).alias("f"),
+                    level_of_nan.alias("last"), "feature", "level")
             .repartitionByRange("f", "last", "level").sortWithinPartitions("f", "last", "level")
             # task number in the high bits, row number inside the task in the low 33
             .withColumn("at", F.monotonically_increasing_id()))
     placed = stored(rows, "levels")
     part, row = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))
-              # one row per range, so one task can sum them up
-              .select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset")))
-    sizes, first, at = stats.sizes(), {}, 0
-    for f in features:
-        first[f], at = at, at + sizes[f]
-    starts = spark.createDataFrame(list(first.items()), "feature string, start long")
-    return stored(placed.withColumn("part", part).join(ranges, "part").join(starts, "feature")
-                   .select("feature", "level", (F.col("offset") + row - F.col("start"))
-                           .alias("rank")), "dictionary")
+    # one row per range, as many as the sort has tasks
+    held = {r["part"]: r["n"] for r in placed.groupBy(part.alias("part")).agg(
+        F.count(F.lit(1)).alias("n")).collect()}
+    before = list(itertools.accumulate([held.get(i, 0) for i in range(max(held, default=0) + 1)],
+                                       initial=0))
+    sizes = stats.sizes()
+    first = list(itertools.accumulate([sizes[f] for f in features], initial=0))
+
+    def listed(values: list[int], at: Column) -> Column:
+        numbers = F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+        return F.get(numbers, at.cast("int"))
+    return placed.select("feature", "level", (listed(before, part) + row - listed(first, F.col("f") - 1))
+                         .alias("rank"))
 
 
 TOTAL_KEY = "__n__"

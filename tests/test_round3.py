@@ -224,7 +224,7 @@ def test_lookup_join_without_broadcast_and_with_nulls(spark, monkeypatch):
     lk = spark.createDataFrame([("01", "x"), (None, "y"), (None, "z")], "key string, out string")
     want = {("a", "x"), ("b", None), ("c", None)}
     for limit in (LK.BROADCAST_MAX_BYTES, 0):
-        monkeypatch.setattr(LK.broadcast_if_small, "__defaults__", (limit,))
+        monkeypatch.setattr(LK.is_small, "__defaults__", (limit,))
         j = LK.lookup_join(df, lk, [(LK.code("k"), LK.code("key"))], ["out"])
         assert {(r["v"], r["out"]) for r in j.collect()} == want
         assert ("ResolvedHint" in j._jdf.queryExecution().analyzed().toString()) == bool(limit)
