@@ -138,11 +138,14 @@ def weighted_sample(df: DataFrame, weight: str, n: int = 5000,
     result is exactly the unfiltered one.  ``key`` must name a row (several
     columns if need be): rows of one key are drawn together.  Without a key
     a row is named by its contents and its number among equal rows, so the
-    draw does not depend on the partitioning either; that costs a shuffle of
-    the distinct rows.
+    draw does not depend on the partitioning either; that costs two shuffles of
+    the distinct rows, so the rows below the threshold (about ``oversample * n``,
+    at most some ``8 * n``) are written once instead of being numbered again.
     """
     keys = [key] if isinstance(key, str) else list(key or [])
     columns = df.columns
+    if total_weight is None:
+        total_weight = df.agg(F.sum(F.when(F.col(weight) > 0, F.col(weight)))).first()[0]
     if not keys:
         df, keys = _numbered_copies(df, seed), ["_content", "_copy"]
     joined = F.col(keys[0]) if len(keys) == 1 else F.concat_ws(
@@ -150,32 +153,46 @@ def weighted_sample(df: DataFrame, weight: str, n: int = 5000,
     u = hash_uniform(joined)
     order = [F.col("_sample_key"), *map(F.col, keys)]
     keyed = df.withColumn("_sample_key", sample_key(F.col(weight), u))
-    if total_weight is None:
-        total_weight = df.agg(F.sum(F.when(F.col(weight) > 0, F.col(weight)))).first()[0]
     cut = keyed
     if total_weight and total_weight > 0:
         t = oversample * n / float(total_weight)
         for _ in range(6):
-            passed = keyed.where(F.col("_sample_key") <= t).limit(n).count()
-            if passed >= n:
-                cut = keyed.where(F.col("_sample_key") <= t)
+            below = keyed.where(F.col("_sample_key") <= t)
+            if not key:
+                below = stored(below, "sample")
+            if below.limit(n).count() >= n:
+                cut = below
                 break
             t *= 8.0
     return cut.orderBy(*order).limit(n).select(*columns)
 
 
+COPY_RUN = 10_000
+
+
 def _numbered_copies(df: DataFrame, seed: int) -> DataFrame:
     """Rows named by a digest of their contents (``_content``) and a number among equals.
 
     Equal rows are counted (combined before the shuffle, so a row that a third
-    of the table repeats is no hot group) and laid out again by number.
+    of the table repeats is no hot group) and laid out again by number.  The
+    counts of a long table can be a few small rows, which adaptive execution
+    puts into one task; so they are cut into runs of ``COPY_RUN`` numbers and
+    dealt to a fixed number of tasks before they are laid out.
     """
-    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+    spark = df.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
+                spark.sparkContext.defaultParallelism)
     told = F.concat_ws("\x1f", F.lit(str(seed)), *[
         F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("null"))
         for c in df.columns])
-    return counted.select(*df.columns, F.sha2(told, 256).alias("_content"),
-                          F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"))
+    first = F.sequence(F.lit(1).cast("long"), F.col("_n"), F.lit(COPY_RUN).cast("long"))
+    runs = (df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
+              .select(*df.columns, "_n", F.explode(first).alias("_copy_from"))
+              .repartition(parts, *df.columns, "_copy_from")
+              .withColumn("_content", F.sha2(told, 256)))
+    last = F.least(F.col("_n"), F.col("_copy_from") + (COPY_RUN - 1))
+    return runs.select(*df.columns, "_content",
+                       F.explode(F.sequence("_copy_from", last)).alias("_copy"))
 
 
 # ---------------------------------------------------------------------------

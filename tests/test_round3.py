@@ -240,6 +240,35 @@ def test_sample_without_a_key_ignores_partitioning(spark):
     assert sorted(map(tuple, other), key=str) != draws[0]
 
 
+def test_copies_of_few_rows_are_dealt_to_many_tasks(spark):
+    """Every number of a row once, in many tasks, also where a few rows make up the table."""
+    run = st.COPY_RUN
+    sizes = {("a", 1.0): 20 * run + 1, ("b", None): 3 * run, (None, 2.0): run - 1, ("", 2.0): 1}
+    one = spark.createDataFrame([(*k, n) for k, n in sizes.items()], "t string, w double, n long")
+    df = one.select("t", "w", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("col")
+    told = st._numbered_copies(df, 0).withColumn("task", F.spark_partition_id())
+    got = told.groupBy("t", "w", "_content").agg(
+        F.count("_copy"), F.countDistinct("_copy"), F.min("_copy"), F.max("_copy")).collect()
+    assert {(r[0], r[1]): tuple(r[3:]) for r in got} == {
+        k: (n, n, 1, n) for k, n in sizes.items()}
+    assert len({r["_content"] for r in got}) == len(got) == len(sizes)
+    tasks = [r["count"] for r in told.groupBy("task").count().collect()]
+    assert len(tasks) > 2 and max(tasks) < sum(tasks) * 0.6
+
+
+def test_sample_without_a_key_is_the_smallest_keys(spark):
+    """The written rows below the threshold give the draw that sorting every row gives."""
+    rows = ([("a", 1.0)] * 400 + [("b", 3.0)] * 50 + [("c", 1e6), ("d", 0.0), ("e", None), (None, 2.0)])
+    df = spark.createDataFrame(rows, "t string, w double")
+    told = st._numbered_copies(df, 0)
+    u = st.hash_uniform(F.concat_ws("\x1f", "_content", F.col("_copy").cast("string")))
+    best = told.withColumn("k", st.sample_key(F.col("w"), u)).orderBy("k", "_content", "_copy")
+    want = [tuple(r) for r in best.select("t", "w").collect()]
+    for n, total in ((60, None), (60, 1e9), (452, None)):
+        got = st.weighted_sample(df, "w", n, total_weight=total).collect()
+        assert list(map(tuple, got)) == want[:n]
+
+
 PERSON = [v for v in census.VERSIONS if not v.startswith("housing")]
 
 
