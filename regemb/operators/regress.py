@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from regemb.operators.lookup import lookup_join, text
+from regemb.session import scratch_path
 
 # FIXED VALUES: feature-name prefixes left out of the regression (place codes)
 SKIP_PREFIXES = ["POBP_", "RELP_", "POWPUMA_", "POWSP", "MIGSP_", "MIGPUMA_"]
@@ -113,15 +114,20 @@ def logit_binomial(train: DataFrame, successes: str = "y", trials: str = "n",
     The probit fit solves normal equations and so stops at 4,096 columns.  Here
     a region is two weighted rows, its successes and its failures, and the fit
     is L-BFGS, whose state grows linearly with the columns.  ``transform`` gives
-    the share in ``probability[1]``.
+    the share in ``probability[1]``.  The model is saved and loaded: a fresh one
+    carries its training summary and so the session, which tasks cannot be sent
+    once the session has observed a query.
     """
     two = F.array(F.struct(F.lit(1.0).alias("_label"), F.col(successes).cast("double").alias("_w")),
                   F.struct(F.lit(0.0).alias("_label"),
                            (F.col(trials) - F.col(successes)).cast("double").alias("_w")))
     rows = train.select("features", F.inline(two)).where(F.col("_w") > 0)
-    return LogisticRegression(featuresCol="features", labelCol="_label", weightCol="_w",
-                              regParam=reg, elasticNetParam=0.0, standardization=False,
-                              maxIter=max_iter).fit(rows)
+    model = LogisticRegression(featuresCol="features", labelCol="_label", weightCol="_w",
+                               regParam=reg, elasticNetParam=0.0, standardization=False,
+                               maxIter=max_iter).fit(rows)
+    path = scratch_path(train.sparkSession, "logit")
+    model.save(path)
+    return LogisticRegressionModel.load(path)
 
 
 def explained_variance(pred: DataFrame, label: str = "share",

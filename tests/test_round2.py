@@ -58,3 +58,18 @@ def test_logit_binomial_recovers_shares_beyond_4096_columns(spark):
     model = regress.logit_binomial(df, reg=1e-6)
     got = {r["region"]: r["probability"][1] for r in model.transform(df).collect()}
     assert abs(got["r0"] - 0.8) < 0.01 and abs(got["r1"] - 0.3) < 0.01
+
+
+def test_logit_binomial_after_an_observed_query(spark):
+    from pyspark.ml.linalg import Vectors
+    from pyspark.sql import Observation
+
+    from regemb.operators import regress
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    df = spark.createDataFrame([("a", Vectors.dense(1.0, 0.0), 80, 100),
+                                ("b", Vectors.dense(0.0, 1.0), 30, 100)],
+                               ["region", "features", "y", "n"])
+    model = regress.logit_binomial(df, reg=1e-6)
+    got = {r["region"]: r["probability"][1] for r in model.transform(df).collect()}
+    assert seen.get["n"] == 3 and abs(got["a"] - 0.8) < 0.01 and abs(got["b"] - 0.3) < 0.01
